@@ -77,12 +77,12 @@ def _match_by_pieces(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     # A host name has at most 253 characters, so there are at most that many lengths.
     lengths = [row[0] for row in rules.select(F.length("text").alias("n")).where("n <= 253").distinct().collect()]
     host = F.col("_host")
-    starts = lambda n: F.when(F.length(host) >= n, F.sequence(F.lit(1), F.length(host) - n + 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    pieces = F.flatten(
-        F.array(*[F.transform(starts(n), lambda at, n=n: F.substr(host, at, F.lit(n))) for n in sorted(lengths)])
-    )
+
+    def pieces_of(n: int) -> Column:
+        starts = F.when(F.length(host) >= n, F.sequence(F.lit(1), F.length(host) - n + 1))
+        return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda at: F.substr(host, at, F.lit(n)))
+
+    pieces = F.flatten(F.array(*[pieces_of(n) for n in sorted(lengths)]))
     cut = hosts.withColumn("text", F.explode(F.array_distinct(pieces)))
     best = rules.groupBy("text").agg(F.min(F.struct("priority", "app_id")).alias("rule"))
     hits = salted_lookup(cut, best, ["text"], F.col("_host"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetflow.functions.scalars import micros
-from packetflow.operators.ordering import CHUNK, carry_forward, global_rank, lookup
+from packetflow.operators.ordering import CHUNK, HOT_ROWS, carry_forward, global_rank, hot_groups, lookup, mark_hot
 
 # Fixed value: samples a drift line is fitted to.
 FIT_ROWS = 60
@@ -96,7 +96,9 @@ def time_precision(df: DataFrame, column: str = "ts") -> DataFrame:
     )
 
 
-def one_way_delay(packets: DataFrame, point_a: int, point_b: int, limit, chunk=CHUNK) -> DataFrame:
+def one_way_delay(
+    packets: DataFrame, point_a: int, point_b: int, limit, chunk=CHUNK, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Delay from point a to point b by packet digest.
 
     A packet at b is measured against the newest packet with its digest at a, at
@@ -108,7 +110,12 @@ def one_way_delay(packets: DataFrame, point_a: int, point_b: int, limit, chunk=C
     at_a = F.when(F.col("obs_point") == point_a, F.struct(F.col("_t").alias("t"), F.col("packet_id").alias("id")))
     # At one instant the packet at a comes first.
     rows = rows.withColumn("_side", (F.col("obs_point") == point_b).cast("int"))
-    found = carry_forward(rows, ["packet_digest"], at_a, "_sent", tie=["_side", "packet_id"], chunk=chunk)
+    hot = hot_groups(rows, ["packet_digest"], chunk=chunk, rows=hot_rows)
+    if hot is not None:
+        rows = mark_hot(rows, ["packet_digest"], hot)
+    found = carry_forward(
+        rows, ["packet_digest"], at_a, "_sent", tie=["_side", "packet_id"], chunk=None, width="_width" if hot is not None else None
+    )
     delay = F.col("_t") - F.col("_sent.t")
     return found.where((F.col("obs_point") == point_b) & (delay <= micros(limit))).select(
         "packet_digest",

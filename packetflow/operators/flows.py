@@ -1,7 +1,10 @@
 """Packets to flow records: splitting by idle gap and FIN, active slices, end reasons.
 
-Plan: packets are shuffled once, on ``(key, time chunk)``.  A narrow copy with
-one row per chunk of a key carries the open flow from chunk to chunk; its result
+Plan without hot keys: packets are shuffled once, on the key; splitting, numbering
+and the final ``groupBy`` all use that partitioning.
+
+Plan with hot keys: the shuffle is on ``(key, time chunk)``.  A narrow copy of the
+hot keys, one row per chunk, carries the open flow from chunk to chunk; its result
 joins back on the same partitioning.  The final ``groupBy`` combines within each
 task before its shuffle, so a flow that holds a third of all packets arrives as
 one row per chunk.
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 from packetflow.functions.scalars import has_bit, micros
 from packetflow.operators import measures as M
 from packetflow.operators.keys import KEY, flow_key
-from packetflow.operators.ordering import CHUNK, time_chunk
+from packetflow.operators.ordering import CHUNK, HOT_ROWS, chunk_of, hot_groups, mark_hot
 from packetflow.schemas import ACTIVE_TIMEOUT, END_DETECTED, FORCED_END, IDLE_TIMEOUT, TCP
 
 # Default timeouts.
@@ -32,24 +35,26 @@ def _is_fin(columns: list[str], fin: bool) -> Column:
     return (F.col("protocol") == TCP) & has_bit(F.col("tcp_flags"), 1)
 
 
-def split_flows(packets: DataFrame, idle=IDLE, fin: bool = True, chunk=CHUNK) -> DataFrame:
+def split_flows(
+    packets: DataFrame, idle=IDLE, fin: bool = True, chunk=CHUNK, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Number the flows of each key.
 
     A packet opens a new flow when it is the first of its key, comes more than
     ``idle`` after the previous one, or follows a FIN.  Added columns: ``flow_no``
     (from 1 per key), ``direction`` (1 as the flow's first packet, 2 against it),
-    ``flow_start``.  ``chunk=None`` sorts each key in one piece: one join less, for
-    input known to have no hot keys.
+    ``flow_start``.  Keys with about ``hot_rows`` packets or more are cut into chunks of
+    width ``chunk``; ``chunk=None`` skips the look for them.
     """
     keyed = packets if "k_ip1" in packets.columns else flow_key(packets)
     idle_us = micros(idle)
     repeat_fields = [name for name in REPEAT_FIELDS if name in keyed.columns]
     rows = keyed.withColumns({"_t": F.unix_micros("ts"), "_fin": F.coalesce(_is_fin(keyed.columns, fin), F.lit(False))})
-    if chunk is None:
-        groups = KEY
-    else:
+    hot = hot_groups(rows, KEY, chunk=chunk, rows=hot_rows) if chunk is not None else None
+    groups = KEY
+    if hot is not None:
         groups = [*KEY, "_chunk"]
-        rows = rows.withColumn("_chunk", time_chunk("_t", chunk))
+        rows = mark_hot(rows, KEY, hot).withColumn("_chunk", chunk_of("_t"))
     order = Window.partitionBy(*groups).orderBy("_t", "packet_id")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -67,13 +72,13 @@ def split_flows(packets: DataFrame, idle=IDLE, fin: bool = True, chunk=CHUNK) ->
         }
     )
 
-    if chunk is None:
+    if hot is None:
         joined = marked.withColumns({"flow_no": F.col("_cuts") + 1, "_pos": F.col("_local").cast("bigint"), "_opens": opens_here})
         joined = joined.withColumn("_previous", F.when(~F.col("_opens"), F.col("_before")))
     else:
         edges = (
             marked.withColumns({"_first_t": F.first("_t").over(so_far), "_next": F.lead("_t").over(order)})
-            .where(F.col("_next").isNull())
+            .where(F.col("_next").isNull() & F.col("_width").isNotNull())
             .select(*groups, "_first_t", "_cuts", "_local", "_opening", "_packet")
         )
         along = Window.partitionBy(*KEY).orderBy("_chunk")
@@ -98,7 +103,7 @@ def split_flows(packets: DataFrame, idle=IDLE, fin: bool = True, chunk=CHUNK) ->
             "_flows_before",
             "_rows_before",
         )
-        joined = marked.join(carried, groups)
+        joined = marked.join(carried, groups, "left").fillna({"_continues": False, "_flows_before": 0, "_rows_before": 0})
         in_carried = F.col("_continues") & (F.col("_cuts") == 0)
         first_row = F.col("_before").isNull()
         joined = joined.withColumns(
@@ -179,6 +184,7 @@ def build_flows(
     pair_timeout=None,
     consume: bool = False,
     chunk=CHUNK,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Flow records of a packet table.
 
@@ -191,7 +197,7 @@ def build_flows(
     from packetflow.operators import rtt
 
     keyed = flow_key(packets, biflow=biflow, dns=dns, all_protocols=all_protocols)
-    split = split_flows(keyed, idle, fin, chunk)
+    split = split_flows(keyed, idle, fin, chunk, hot_rows)
     if src_prefix:
         split = split.withColumn("_repeat", F.col("_repeat") & F.col("src_ip").startswith(src_prefix))
     plain, packed = M.resolve(measures, packets.columns)
@@ -214,7 +220,7 @@ def build_flows(
     if pair_timeout is not None:
         if not (biflow or all_protocols):
             raise ValueError("round-trip times need two-way flows")
-        pairs = rtt.rtt_pairs(split, pair_timeout, consume=consume, chunk=chunk)
+        pairs = rtt.rtt_pairs(split, pair_timeout, consume=consume)
         if active is not None:
             pairs = slice_active(pairs, active)
         per_record = pairs.groupBy(*group).agg(*rtt.pair_sums())

@@ -1,10 +1,11 @@
 """Order-dependent helpers that never put one key's whole history into one task.
 
 A plain ``Window.partitionBy(key).orderBy(ts)`` sorts a key in one task, and one
-key may hold a third of all packets.  Each helper here cuts a key into time
-chunks, works inside ``(key, chunk)``, and passes a summary of one row per chunk
+key may hold a third of all packets.  Here hot keys are cut into time chunks: the
+work is done inside ``(key, chunk)``, and a summary of one row per chunk is passed
 along the key.  A task then holds at most the packets of one key in one chunk, or
-one row per chunk of a key.
+one row per chunk of a key.  Keys that are not hot stay in one piece, which costs
+one shuffle and no join.
 """
 
 from __future__ import annotations
@@ -45,6 +46,50 @@ def global_rank(
     )
 
 
+#: Rows from which a group counts as hot, and the most groups treated so.
+HOT_ROWS = 1_000_000
+MOST_HOT_GROUPS = 100_000
+#: Rows a hot group is expected to have in the sample it is found in.
+SAMPLED_ROWS = 1_000
+
+
+def hot_groups(df: DataFrame, by: list[str], t: str = "_t", chunk=CHUNK, rows: int = HOT_ROWS) -> DataFrame | None:
+    """Groups of about ``rows`` rows or more, each with a chunk width in µs (``_width``); None if there are none.
+
+    Runs one small job over a sample of the grouping columns.  Which groups it names
+    only decides how the work is cut, never a result: a group it misses, or one
+    beyond the largest ``MOST_HOT_GROUPS``, is done in one piece.  A group with a burst
+    gets chunks as narrow as its fullest chunk needs.
+    """
+    width = micros(chunk)
+    fraction = min(1.0, SAMPLED_ROWS / rows)
+    sample = df.select(*by, time_chunk(t, chunk).alias("_at"))
+    if fraction < 1.0:
+        sample = sample.sample(fraction, seed=1)
+    per_chunk = sample.groupBy(*by, "_at").agg(F.count(F.lit(1)).alias("_n"))
+    limit = rows * fraction
+    found = (
+        per_chunk.groupBy(*by)
+        .agg(F.sum("_n").alias("_n"), F.max("_n").alias("_peak"))
+        .where(F.col("_n") >= limit)
+        .orderBy(F.desc("_n"))
+        .limit(MOST_HOT_GROUPS)
+        .select(*by, F.greatest(F.lit(1), F.floor(F.lit(width) / F.ceil(F.col("_peak") / limit))).cast("bigint").alias("_width"))
+    )
+    names = found.collect()  # at most MOST_HOT_GROUPS short rows
+    return df.sparkSession.createDataFrame(names, found.schema) if names else None
+
+
+def mark_hot(df: DataFrame, by: list[str], hot: DataFrame) -> DataFrame:
+    """Add ``_width``, null for groups that are not hot.  ``hot`` is at most MOST_HOT_GROUPS rows."""
+    return df.join(F.broadcast(hot), by, "left")
+
+
+def chunk_of(t: str, width: str = "_width") -> Column:
+    """Chunk number by a width column; -1 keeps a group in one piece."""
+    return F.when(F.col(width).isNotNull(), F.expr(f"`{t}` div `{width}`")).otherwise(F.lit(-1).cast("bigint"))
+
+
 def carry_forward(
     df: DataFrame,
     by: list[str],
@@ -53,24 +98,32 @@ def carry_forward(
     t: str = "_t",
     tie: str | list[str] = "packet_id",
     chunk=CHUNK,
+    width: str | None = None,
     inclusive: bool = False,
 ) -> DataFrame:
     """As-of look-up: the newest non-null ``value`` before each row (or up to it) within ``by``.
 
-    The per-chunk summary is a map-side combined aggregate, so a hot key costs one
-    row per chunk before anything is shuffled.
+    Every group is cut into chunks of width ``chunk``; with ``chunk=None`` none is; with
+    a ``width`` column (µs) those where it is not null are.  The per-chunk summary is
+    a map-side combined aggregate, so a hot key costs one row per chunk before
+    anything is shuffled.
     """
-    rows = df.withColumn("_cf_value", value).withColumn("_cf_chunk", time_chunk(t, chunk))
+    end = Window.currentRow if inclusive else -1
+    rows = df.withColumn("_cf_value", value)
+    if chunk is None and width is None:
+        whole = Window.partitionBy(*by).orderBy(t, *_names(tie)).rowsBetween(Window.unboundedPreceding, end)
+        return rows.withColumn(name, F.last("_cf_value", ignorenulls=True).over(whole)).drop("_cf_value")
+    rows = rows.withColumn("_cf_chunk", chunk_of(t, width) if width else time_chunk(t, chunk))
     groups = [*by, "_cf_chunk"]
     position = F.when(F.col("_cf_value").isNotNull(), F.struct(t, *_names(tie)))
-    newest = rows.groupBy(*groups).agg(F.max_by("_cf_value", position).alias("_cf_newest"))
+    cut = rows.where(F.col(width).isNotNull()) if width else rows
+    newest = cut.groupBy(*groups).agg(F.max_by("_cf_value", position).alias("_cf_newest"))
     earlier = Window.partitionBy(*by).orderBy("_cf_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = newest.select(*groups, F.last("_cf_newest", ignorenulls=True).over(earlier).alias("_cf_carried"))
-    end = Window.currentRow if inclusive else -1
     local = Window.partitionBy(*groups).orderBy(t, *_names(tie)).rowsBetween(Window.unboundedPreceding, end)
     return (
         rows.withColumn("_cf_local", F.last("_cf_value", ignorenulls=True).over(local))
-        .join(carried, groups)
+        .join(carried, groups, "left" if width else "inner")
         .withColumn(name, F.coalesce("_cf_local", "_cf_carried"))
         .drop("_cf_value", "_cf_chunk", "_cf_local", "_cf_carried")
     )

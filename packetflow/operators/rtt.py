@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from packetflow.functions.scalars import micros
 from packetflow.operators.keys import KEY, is_dns
-from packetflow.operators.ordering import CHUNK, carry_forward
+from packetflow.operators.ordering import carry_forward
 from packetflow.schemas import ICMP, ICMP6, TCP
 
 PAIR_TIMEOUT = "1 second"
@@ -55,18 +55,20 @@ def rtt_pairs(
     timeout=PAIR_TIMEOUT,
     consume: bool = False,
     kinds: tuple[str, ...] = ("tcp", "dns", "icmp"),
-    chunk=CHUNK,
 ) -> DataFrame:
     """Pairs within two-way flows (output of ``split_flows`` on two-way keys).
 
     Each probe pairs with the newest earlier packet of the opposite direction that
     has what it asks for, at most ``timeout`` before.  With ``consume`` a match
-    empties the opposite direction's candidates.
+    empties the opposite direction's candidates.  Keys that ``split_flows`` found hot
+    are cut into the same time chunks here.
     """
     offered, asked = _pair_keys(kinds)
+    width = "_width" if "_width" in split.columns else None
     columns = [*KEY, "flow_no", "_t0"]
+    passed = [*columns, width] if width else columns
     base = split.select(
-        *columns, "_t", "_pos", "packet_id", "direction", offered.alias("_offered"), asked.alias("_asked")
+        *passed, "_t", "_pos", "packet_id", "direction", offered.alias("_offered"), asked.alias("_asked")
     ).where(F.col("_offered").isNotNull() | F.col("_asked").isNotNull())
     # Direction whose packets the row belongs with: its own as candidate, the opposite as probe.
     roles = F.array(
@@ -75,24 +77,18 @@ def rtt_pairs(
     )
     rows = (
         base.withColumn("_role", F.explode(roles))
-        .select(*columns, "_t", "_pos", "packet_id", "direction", "_role.offers", "_role.side", "_role.on")
+        .select(*passed, "_t", "_pos", "packet_id", "direction", "_role.offers", "_role.side", "_role.on")
         .where(F.col("on").isNotNull())
         .select("*", F.col("on.a").alias("_a"), F.col("on.b").alias("_b"), F.col("on.c").alias("_c"))
         .drop("on")
     )
     candidate = F.when(F.col("offers"), F.struct(F.col("_t").alias("t"), F.col("_pos").alias("pos"), F.col("packet_id").alias("id")))
     by = [*columns, "side", "_a", "_b", "_c"]
-    if chunk is None:
-        from pyspark.sql import Window
-
-        order = Window.partitionBy(*by).orderBy("_t", "_pos").rowsBetween(Window.unboundedPreceding, -1)
-        found = rows.withColumn("_match", F.last(candidate, ignorenulls=True).over(order))
-    else:
-        found = carry_forward(rows, by, candidate, "_match", tie="_pos", chunk=chunk)
+    found = carry_forward(rows, by, candidate, "_match", tie="_pos", chunk=None, width=width)
     pairs = found.where(
         ~F.col("offers") & F.col("_match").isNotNull() & (F.col("_t") - F.col("_match.t") <= micros(timeout))
     ).select(
-        *columns,
+        *passed,
         "direction",
         "packet_id",
         "_t",
@@ -102,7 +98,7 @@ def rtt_pairs(
         F.col("_match.pos").alias("_matched_pos"),
         (F.col("_t") - F.col("_match.t")).alias("delay_us"),
     )
-    return _consume(pairs, chunk) if consume else pairs
+    return _consume(pairs, width) if consume else pairs
 
 
 def rtt_pairs_tcp(split: DataFrame, timeout=PAIR_TIMEOUT, **options) -> DataFrame:
@@ -117,7 +113,7 @@ def rtt_pairs_icmp(split: DataFrame, timeout=PAIR_TIMEOUT, **options) -> DataFra
     return rtt_pairs(split, timeout, kinds=("icmp",), **options)
 
 
-def _consume(pairs: DataFrame, chunk) -> DataFrame:
+def _consume(pairs: DataFrame, width: str | None) -> DataFrame:
     """Keep the pairs that survive emptied candidate lists.
 
     A pair is an interval (matched, probe]; in order of probes a pair stands if it
@@ -127,12 +123,10 @@ def _consume(pairs: DataFrame, chunk) -> DataFrame:
     rows with one number of state; no group is gathered.
     """
     by = [*KEY, "flow_no", "_t0", "direction"]
-    if chunk is None:
-        chunk = "3650 days"
-    seen = carry_forward(pairs, by, F.col("_pos"), "_prev_pos", tie="_pos", chunk=chunk)
+    seen = carry_forward(pairs, by, F.col("_pos"), "_prev_pos", tie="_pos", chunk=None, width=width)
     restart = F.col("_prev_pos").isNull() | (F.col("_matched_pos") >= F.col("_prev_pos"))
     runs = carry_forward(
-        seen, by, F.when(restart, F.col("_pos")), "_run", tie="_pos", chunk=chunk, inclusive=True
+        seen, by, F.when(restart, F.col("_pos")), "_run", tie="_pos", chunk=None, width=width, inclusive=True
     ).drop("_prev_pos")
     run_key = [*by, "_run"]
     ordered = runs.repartition(*run_key).sortWithinPartitions(*run_key, "_pos")

@@ -23,6 +23,7 @@ def get_session(cores: str | int = "*", app: str = "packetflow", **conf) -> Spar
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("PACKETFLOW_DRIVER_MEMORY", "8g"))
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
     )
     for key, value in {**RUNTIME_CONF, **conf}.items():

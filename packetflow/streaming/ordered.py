@@ -1,0 +1,65 @@
+"""Per-key processing in event-time order on top of Spark's keyed state.
+
+Micro-batches bring rows in any order.  Rows wait in the key's state until the
+watermark has passed them and are then handed over sorted, so the result does not
+depend on how the stream was cut into batches.
+"""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+#: Handles ready rows: (key, sorted rows, carried state, watermark µs) ->
+#: (output rows, new carried state or None, µs until which the state must be kept or None).
+Step = Callable[[tuple, pd.DataFrame, Any, int], tuple[pd.DataFrame | None, Any, int | None]]
+
+
+def ordered_by_key(stream: DataFrame, by: list[str], late: str, step: Step, output: T.StructType) -> DataFrame:
+    """Run ``step`` per key over rows sorted by (``_t``, ``packet_id``), once the watermark has passed them."""
+    marked = stream.withColumn("_t", F.unix_micros("ts")).withWatermark("ts", late)
+    names = [f.name for f in output.fields]
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, carried = pickle.loads(state.get[0]) if state.exists else (None, None)
+        parts = [b for b in batches if len(b)]
+        if waiting is not None and len(waiting):
+            parts.insert(0, waiting)
+        watermark = state.getCurrentWatermarkMs() * 1000
+        rows = pd.concat(parts, ignore_index=True) if parts else None
+        ready = None
+        if rows is not None:
+            passed = rows["_t"] <= watermark
+            ready = rows[passed].sort_values(["_t", "packet_id"], ignore_index=True)
+            rows = rows[~passed]
+        out, carried, keep_until = step(key, ready, carried, watermark)
+        due = [int(rows["_t"].min())] if rows is not None and len(rows) else []
+        if carried is not None and keep_until is not None:
+            due.append(keep_until)
+        if due:
+            state.update((pickle.dumps((rows, carried)),))
+            state.setTimeoutTimestamp(max(min(due) // 1000 + 1, watermark // 1000 + 1))
+        elif state.exists:
+            state.remove()
+        if out is not None and len(out):
+            yield out[names]
+
+    return marked.groupBy(*by).applyInPandasWithState(
+        run, output, "state binary", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
+def late_rows(query) -> int:
+    """Rows dropped so far because they came after the watermark."""
+    dropped = 0
+    for progress in query.recentProgress:
+        for operator in progress["stateOperators"]:
+            dropped += operator["numRowsDroppedByWatermark"]
+    return dropped
