@@ -22,23 +22,9 @@ def micros(duration) -> int:
     return value
 
 
-def has_bit(flags: Column, bit: int) -> Column:
-    return flags.bitwiseAND(F.lit(bit)) == bit
-
-
 # --- addresses ------------------------------------------------------------------
 
 
-def mac_to_long(mac: Column) -> Column:
-    """48-bit number of ``aa:bb:cc:dd:ee:ff``; fixed width, so it aggregates by hash."""
-    return F.conv(F.replace(mac, F.lit(":"), F.lit("")), 16, 10).cast("bigint")
-
-
-def long_to_mac(value: Column) -> Column:
-    digits = F.lower(F.lpad(F.hex(value), 12, "0"))
-    return F.concat_ws(":", *[F.substring(digits, 1 + 2 * i, 2) for i in range(6)])
-
-
 def expand_ipv6(ip: Column) -> Column:
     """Eight four-digit groups of a canonical (compressed) IPv6 text."""
     halves = F.split(ip, "::", 2)
@@ -75,17 +61,10 @@ def ipv4_wire_number(ip: Column) -> Column:
     octets = F.split(ip, "\\.")
     return reduce(
         lambda a, b: a + b,
-        [F.get(octets, F.lit(i)).cast("bigint") * F.lit(256**i) for i in range(4)],
+        [F.get(octets, F.lit(i)).try_cast("bigint") * F.lit(256**i) for i in range(4)],
     )
 
 
-def is_multicast(ip_version: Column, dst_ip: Column) -> Column:
-    first = F.split(dst_ip, "\\.").getItem(0)
-    v4 = (ip_version == 4) & F.when(ip_version == 4, first).cast("int").between(224, 239)
-    v6 = (ip_version == 6) & F.lower(dst_ip).startswith("ff") & F.lower(dst_ip).rlike("^ff[0-9a-f]{2}:")
-    return F.when(F.coalesce(v4, F.lit(False)) | F.coalesce(v6, F.lit(False)), F.lit(128)).otherwise(F.lit(0))
-
-
 # --- hashes ---------------------------------------------------------------------
 
 
@@ -137,14 +116,3 @@ def flow_id_text(ip_version, protocol, src_ip, dst_ip, src_port, dst_port) -> Co
         protocol.cast("string"), expand_ipv6(src_ip), expand_ipv6(dst_ip), src_port.cast("string"), dst_port.cast("string")
     )
     return F.when(ip_version == 4, v4).otherwise(v6)
-
-
-def digest_parts(digest: Column) -> list[Column]:
-    """An md5 hex text as three ``bigint`` parts (11 + 11 + 10 digits), for hash aggregation."""
-    spans = [(1, 11), (12, 11), (23, 10)]
-    return [F.conv(F.substring(digest, start, size), 16, 10).cast("bigint") for start, size in spans]
-
-
-def digest_text(parts: list[Column]) -> Column:
-    widths = [11, 11, 10]
-    return F.lower(F.concat(*[F.lpad(F.hex(p), w, "0") for p, w in zip(parts, widths)]))

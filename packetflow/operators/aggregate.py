@@ -11,6 +11,7 @@ from packetflow.functions.scalars import micros
 from packetflow.operators.ordering import salted_lookup
 from packetflow.operators.reports import active_flow_count
 from packetflow.schemas import END_DETECTED
+from packetflow.session import settle
 
 # Default threshold and reduction order (first in the list is reduced first).
 OCTETS = 10_000
@@ -158,6 +159,7 @@ def aggregate_cascade(
     distinct: str | None = "exact",
     by: tuple[str, ...] = (),
     salts: int = 16,
+    settled: bool = False,
 ) -> DataFrame:
     """Merge mice level by level.
 
@@ -165,6 +167,10 @@ def aggregate_cascade(
     reach ``octets`` stay at level k, the others go on, and the last level keeps
     all.  ``agg_level`` tells the level (0: never aggregated).  ``scope='finished'``
     aggregates only flows ended by FIN.  ``by`` adds columns to every key.
+
+    Each level is used by the next level and by the result, so it is written to the
+    shared folder once; so are the flows unless the caller says they are a table
+    already (``settled``).
     """
     fields = _fields(reduce)
     if not 1 <= len(fields) <= 4:
@@ -174,6 +180,8 @@ def aggregate_cascade(
     if distinct not in ("exact", "approx", "additive", None):
         raise ValueError(f"distinct must be exact, approx, additive or None, not {distinct!r}")
     keys = [*by, *MERGE_KEY]
+    if not settled:
+        flows = settle(flows, "flows")
     small = F.col("octet_total") < octets
     if scope == "finished":
         small = small & (F.col("end_reason") == END_DETECTED)
@@ -198,7 +206,9 @@ def aggregate_cascade(
             merged = current.withColumns(ends).withColumns(_reduced(fields, 1)).groupBy(*keys).agg(*first)
         else:
             merged = reduced.groupBy(*keys).agg(*aggs)
-        levels.append(merged)
+        if level < len(fields):
+            merged = settle(merged, f"level{level}")
+            levels.append(merged)
         done = merged if level == len(fields) else merged.where(F.col("octet_total") >= octets)
         kept.append(done.withColumn("agg_level", F.lit(level)))
         current = merged.where(F.col("octet_total") < octets)
@@ -234,25 +244,24 @@ def _cascade_distinct(mice, levels, fields, octets, keys, salts) -> DataFrame:
         named = _reduced(fields, level)
         return {f"_at_{name}": named[name] if name in named else F.col(name) for name in keys}
 
-    ends_at = None  # (key of level k) -> level where it ends
-    for level in range(last, 0, -1):
+    ends_at = None  # key of a level -> level where the merged flow ends
+    for level in range(last - 1, 0, -1):
         rows = levels[level - 1].select(*keys, "octet_total")
-        if level == last:
-            found = rows.select(*keys, F.lit(last).alias("agg_level"))
-        else:
-            onward = rows.withColumns(lookup_key(level + 1))
-            nxt = ends_at.select(*[F.col(k).alias(f"_at_{k}") for k in keys], F.col("agg_level").alias("_next"))
-            onward = salted_lookup(
-                onward, nxt, [f"_at_{k}" for k in keys], F.struct(*keys), salts=salts, how="left"
-            )
-            stays = F.col("octet_total") >= octets
-            found = onward.select(
-                *keys, F.when(stays, F.lit(level)).otherwise(F.col("_next")).alias("agg_level")
-            )
-        ends_at = found
+        stays = F.col("octet_total") >= octets
+        if ends_at is None:
+            ends_at = rows.select(*keys, F.when(stays, F.lit(level)).otherwise(F.lit(last)).alias("agg_level"))
+            continue
+        onward = rows.withColumns(lookup_key(level + 1))
+        following = ends_at.select(*[F.col(k).alias(f"_at_{k}") for k in keys], F.col("agg_level").alias("_next"))
+        onward = salted_lookup(onward, following, [f"_at_{k}" for k in keys], F.struct(*keys), salts=salts, how="left")
+        # A flow that stays finds no row at the next level, or another flow's; its own level counts.
+        ends_at = onward.select(*keys, F.when(stays, F.lit(level)).otherwise(F.col("_next")).alias("agg_level"))
     ends = mice.select(*keys).distinct().withColumns(lookup_key(1))
-    at_first = ends_at.select(*[F.col(k).alias(f"_at_{k}") for k in keys], "agg_level")
-    placed = salted_lookup(ends, at_first, [f"_at_{k}" for k in keys], F.struct(*keys), salts=salts)
+    if ends_at is None:
+        placed = ends.withColumn("agg_level", F.lit(last))
+    else:
+        at_first = ends_at.select(*[F.col(k).alias(f"_at_{k}") for k in keys], "agg_level")
+        placed = salted_lookup(ends, at_first, [f"_at_{k}" for k in keys], F.struct(*keys), salts=salts)
     final = {}
     for name in MERGE_KEY:
         column = F.col(name)
@@ -290,10 +299,11 @@ def aggregate_auto(flows: DataFrame, capacity: int, interval, share: float = AUT
     """Aggregate from the first interval in which more than ``share`` of ``capacity`` flows are open; it stays on."""
     if capacity <= 0:
         raise ValueError("capacity must be positive")
+    flows = settle(flows, "flows")
     busy = active_flow_count(flows, interval).where(F.col("active") > share * capacity)
     crossing = busy.agg(F.min("bucket_start")).scalar()
     marked = flows.withColumn("trigger", _trigger(interval)).withColumn("_from", crossing)
     aggregated = marked.where(F.col("trigger") >= F.col("_from")).drop("_from")
     before = marked.where(F.col("_from").isNull() | (F.col("trigger") < F.col("_from"))).drop("_from")
-    done = aggregate_cascade(aggregated, by=("trigger",), **cascade)
+    done = aggregate_cascade(aggregated, by=("trigger",), settled=True, **cascade)
     return done.unionByName(before.withColumn("agg_level", F.lit(0)), allowMissingColumns=True)

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetflow.functions.scalars import has_bit, micros
+from packetflow.functions.scalars import micros
 from packetflow.operators import measures as M
 from packetflow.operators.keys import KEY, flow_key
 from packetflow.operators.ordering import CHUNK, HOT_ROWS, chunk_of, hot_groups, mark_hot
@@ -32,7 +32,7 @@ REPEAT_FIELDS = ("tcp_seq", "tcp_ack", "ip_plength", "tcp_flags")
 def _is_fin(columns: list[str], fin: bool) -> Column:
     if not fin or "tcp_flags" not in columns:
         return F.lit(False)
-    return (F.col("protocol") == TCP) & has_bit(F.col("tcp_flags"), 1)
+    return F.expr(f"coalesce(protocol = {TCP} AND tcp_flags & 1 = 1, false)")
 
 
 def split_flows(
@@ -49,7 +49,7 @@ def split_flows(
     keyed = packets if "k_ip1" in packets.columns else flow_key(packets)
     idle_us = micros(idle)
     repeat_fields = [name for name in REPEAT_FIELDS if name in keyed.columns]
-    rows = keyed.withColumns({"_t": F.unix_micros("ts"), "_fin": F.coalesce(_is_fin(keyed.columns, fin), F.lit(False))})
+    rows = keyed.withColumns({"_t": F.unix_micros("ts"), "_fin": _is_fin(keyed.columns, fin)})
     hot = hot_groups(rows, KEY, chunk=chunk, rows=hot_rows) if chunk is not None else None
     groups = KEY
     if hot is not None:
@@ -209,13 +209,14 @@ def build_flows(
 
     built = {name: M.MEASURES[name].build() for name in plain}
     bookkeeping = {
-        "_start": F.max("_t0"),
-        "_orient": F.max(F.when(F.col("_opens"), F.col("orient"))),
-        "_slice_first_t": F.min("_t"),
-        "_last_t": F.max("_t"),
-        "_last_fin": F.max_by(F.col("_fin"), F.col("_pos")),
+        "_start": "max(_t0)",
+        "_orient": "max(IF(_opens, orient, NULL))",
+        "_slice_first_t": "min(_t)",
+        "_last_t": "max(_t)",
+        "_last_fin": "max_by(_fin, _pos)",
     }
-    flows = split.groupBy(*group).agg(*[c.alias(n) for n, c in {**bookkeeping, **built}.items()])
+    kept = [F.expr(f"{rule} AS {name}") for name, rule in bookkeeping.items()]
+    flows = split.groupBy(*group).agg(*kept, *[c.alias(n) for n, c in built.items()])
 
     if pair_timeout is not None:
         if not (biflow or all_protocols):
@@ -290,43 +291,38 @@ def _with_empty_periods(flows: DataFrame, plain: list[str], pair_sums: list[str]
 
 def _finish(flows: DataFrame, plain: list[str], packed: list[str], with_rtt: bool) -> DataFrame:
     """Oriented key, times and unpacked columns, in a fixed column order."""
-    forward = F.col("_orient") == 1
     columns = [
-        F.col("ip_version"),
-        F.col("protocol"),
-        F.when(forward, F.col("k_ip1")).otherwise(F.col("k_ip2")).alias("src_ip"),
-        F.when(forward, F.col("k_ip2")).otherwise(F.col("k_ip1")).alias("dst_ip"),
-        F.when(forward, F.col("k_port1")).otherwise(F.col("k_port2")).alias("src_port"),
-        F.when(forward, F.col("k_port2")).otherwise(F.col("k_port1")).alias("dst_port"),
-        F.col("k_dns").alias("dns_id"),
-        F.col("flow_no"),
-        F.col("slice"),
-        F.col("end_reason"),
-        F.lit(0).alias("agg_level"),
-        F.timestamp_micros("_start").alias("flow_start"),
-        F.timestamp_micros("_last_t").alias("flow_end"),
-        F.timestamp_micros("_slice_first_t").alias("start_after_export"),
+        "ip_version",
+        "protocol",
+        "IF(_orient = 1, k_ip1, k_ip2) AS src_ip",
+        "IF(_orient = 1, k_ip2, k_ip1) AS dst_ip",
+        "IF(_orient = 1, k_port1, k_port2) AS src_port",
+        "IF(_orient = 1, k_port2, k_port1) AS dst_port",
+        "k_dns AS dns_id",
+        "flow_no",
+        "slice",
+        "end_reason",
+        "0 AS agg_level",
+        "timestamp_micros(_start) AS flow_start",
+        "timestamp_micros(_last_t) AS flow_end",
+        "timestamp_micros(_slice_first_t) AS start_after_export",
     ]
     for name in plain:
-        if name.startswith("_"):
-            continue
-        default = M.MEASURES[name].default
-        column = F.col(name) if default is None else F.coalesce(name, F.lit(default))
-        columns.append(column.alias(name))
-    columns += [M.PACKED[name].unpack([F.col(p) for p in M.PACKED[name].parts]).alias(name) for name in packed]
+        if not name.startswith("_"):
+            default = M.MEASURES[name].default
+            columns.append(f"`{name}`" if default is None else f"coalesce(`{name}`, {default!r}) AS `{name}`")
+    columns += [f"{M.PACKED[name].rule} AS {name}" for name in packed]
     if with_rtt:
-        columns += [F.col(name) for name in ("rtt_fwd", "rtt_bwd", "rtt_pairs")]
-    version = F.col("ip_version")
-    columns.append(F.lit(1).cast("bigint").alias("original_present"))
+        columns += ["rtt_fwd", "rtt_bwd", "rtt_pairs"]
+    columns.append("1L AS original_present")
     if "syn_count" in plain:
-        columns.append((F.col("syn_count") > 0).cast("bigint").alias("original_initiated"))
+        columns.append("CAST(syn_count > 0 AS BIGINT) AS original_initiated")
     if "fin_count" in plain:
-        columns.append((F.col("fin_count") > 0).cast("bigint").alias("original_completed"))
+        columns.append("CAST(fin_count > 0 AS BIGINT) AS original_completed")
     for side in ("src", "dst"):
-        columns.append(F.lit(1).cast("bigint").alias(f"distinct_{side}"))
-        for v in (4, 6):
-            columns.append((version == v).cast("bigint").alias(f"distinct_{side}_v{v}"))
-    return flows.select(*columns)
+        columns.append(f"1L AS distinct_{side}")
+        columns += [f"CAST(ip_version = {v} AS BIGINT) AS distinct_{side}_v{v}" for v in (4, 6)]
+    return flows.selectExpr(*columns)
 
 
 def start_after_export(split: DataFrame, active) -> DataFrame:

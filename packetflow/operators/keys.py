@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetflow.functions.scalars import digest_text, flow_id_text, times33  # noqa: F401
+from packetflow.functions.scalars import flow_id_text, times33
 from packetflow.schemas import ICMP, ICMP6, TCP, UDP
 
 #: Columns that together name the flow a packet belongs to.

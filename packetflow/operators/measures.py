@@ -13,7 +13,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from packetflow.functions.scalars import digest_parts, digest_text, has_bit, long_to_mac, mac_to_long
 from packetflow.schemas import ACK, FIN, PSH, RST, SYN, TCP, URG
 
 # How the records of one long flow combine a measure:
@@ -25,77 +24,65 @@ LATEST = "latest"  # newest non-null value so far
 
 @dataclass(frozen=True)
 class Measure:
-    """One output column of a flow record."""
+    """One output column of a flow record: an aggregate as SQL text or a function that builds it.
+
+    Besides the packet columns it may use ``direction``, ``_pos`` (order within the
+    key), ``_opens`` (true on the flow's first packet) and ``_repeat`` (a
+    retransmission).
+    """
 
     needs: tuple[str, ...]
-    build: Callable[[], Column]
+    rule: str | Callable[[], Column]
     combine: str
     default: object = None
 
+    def build(self) -> Column:
+        return F.expr(self.rule) if isinstance(self.rule, str) else self.rule()
+
 
 @dataclass(frozen=True)
 class Packed:
-    """An output column rebuilt from several numeric measures."""
+    """An output column rebuilt from several numeric measures, as SQL text."""
 
     parts: tuple[str, ...]
-    unpack: Callable[[list[Column]], Column]
-
-
-def _of_first(name: str) -> Callable[[], Column]:
-    """The value on the flow's first packet: exactly one row per flow is marked."""
-    return lambda: F.max(F.when(F.col("_opens"), F.col(name)))
-
-
-def _of_last(name: str) -> Callable[[], Column]:
-    return lambda: F.max_by(F.col(name), F.col("_pos"))
-
+    rule: str
 
-def _flag_count(bit: int) -> Callable[[], Column]:
-    hit = lambda: (F.col("protocol") == TCP) & has_bit(F.col("tcp_flags"), bit)
-    return lambda: F.count_if(hit())
+    def unpack(self) -> Column:
+        return F.expr(self.rule)
 
 
-def _directed(name: str, direction: int) -> Callable[[], Column]:
-    return lambda: F.sum(F.when(F.col("direction") == direction, F.col(name)).otherwise(F.lit(0)).cast("bigint"))
+_LENGTH = "CAST(ip_length AS BIGINT)"
+_REPEAT_NEEDS = ("tcp_seq", "tcp_ack", "ip_plength", "tcp_flags")
 
 
-def _length() -> Column:
-    return F.col("ip_length").cast("bigint")
+def _flag_count(bit: int) -> Measure:
+    return Measure(("tcp_flags",), f"count_if(protocol = {TCP} AND tcp_flags & {bit} = {bit})", TOTAL)
 
 
 MEASURES: dict[str, Measure] = {
-    "packet_total": Measure((), lambda: F.count(F.lit(1)), TOTAL),
-    "octet_total": Measure(("ip_length",), lambda: F.sum(_length()), TOTAL),
-    "octet_sum_squares": Measure(("ip_length",), lambda: F.sum(_length() * _length()), TOTAL),
-    "packet_delta": Measure((), lambda: F.count(F.lit(1)), DELTA),
-    "octet_delta": Measure(("ip_length",), lambda: F.sum(_length()), DELTA),
-    "octet_delta_sum_squares": Measure(("ip_length",), lambda: F.sum(_length() * _length()), DELTA),
-    "fin_count": Measure(("tcp_flags",), _flag_count(FIN), TOTAL),
-    "syn_count": Measure(("tcp_flags",), _flag_count(SYN), TOTAL),
-    "rst_count": Measure(("tcp_flags",), _flag_count(RST), TOTAL),
-    "psh_count": Measure(("tcp_flags",), _flag_count(PSH), TOTAL),
-    "ack_count": Measure(("tcp_flags",), _flag_count(ACK), TOTAL),
-    "urg_count": Measure(("tcp_flags",), _flag_count(URG), TOTAL),
-    "tcp_flags_or": Measure(("tcp_flags",), lambda: F.bit_or(F.when(F.col("protocol") == TCP, F.col("tcp_flags")).otherwise(F.lit(0))), DELTA),
-    "retransmitted_packets": Measure(
-        ("tcp_seq", "tcp_ack", "ip_plength", "tcp_flags"), lambda: F.count_if("_repeat"), DELTA
-    ),
-    "retransmitted_octets": Measure(
-        ("tcp_seq", "tcp_ack", "ip_plength", "tcp_flags", "ip_length"),
-        lambda: F.sum(F.when(F.col("_repeat"), _length()).otherwise(F.lit(0).cast("bigint"))),
-        DELTA,
-    ),
-    "is_sampled": Measure(("is_sampled",), lambda: F.bool_or("is_sampled"), TOTAL),
-    "app_id": Measure(
-        ("app_id",),
-        lambda: F.max_by(F.when(F.col("app_id") != 0, F.col("app_id")), F.when(F.col("app_id") != 0, F.col("_pos"))),
-        LATEST,
-        0,
-    ),
+    "packet_total": Measure((), "count(1)", TOTAL),
+    "octet_total": Measure(("ip_length",), f"sum({_LENGTH})", TOTAL),
+    "octet_sum_squares": Measure(("ip_length",), f"sum({_LENGTH} * {_LENGTH})", TOTAL),
+    "packet_delta": Measure((), "count(1)", DELTA),
+    "octet_delta": Measure(("ip_length",), f"sum({_LENGTH})", DELTA),
+    "octet_delta_sum_squares": Measure(("ip_length",), f"sum({_LENGTH} * {_LENGTH})", DELTA),
+    "fin_count": _flag_count(FIN),
+    "syn_count": _flag_count(SYN),
+    "rst_count": _flag_count(RST),
+    "psh_count": _flag_count(PSH),
+    "ack_count": _flag_count(ACK),
+    "urg_count": _flag_count(URG),
+    "tcp_flags_or": Measure(("tcp_flags",), f"bit_or(IF(protocol = {TCP}, tcp_flags, 0))", DELTA),
+    "retransmitted_packets": Measure(_REPEAT_NEEDS, "count_if(_repeat)", DELTA),
+    "retransmitted_octets": Measure((*_REPEAT_NEEDS, "ip_length"), f"sum(IF(_repeat, {_LENGTH}, 0L))", DELTA),
+    "is_sampled": Measure(("is_sampled",), "bool_or(is_sampled)", TOTAL),
+    "app_id": Measure(("app_id",), "max_by(nullif(app_id, 0), IF(app_id <> 0, _pos, NULL))", LATEST, 0),
 }
 for _name in ("l3_hlength", "l3_length", "l4_hlength"):
-    MEASURES[f"{_name}_fwd"] = Measure((_name,), _directed(_name, 1), TOTAL)
-    MEASURES[f"{_name}_bwd"] = Measure((_name,), _directed(_name, 2), TOTAL)
+    for _side, _direction in (("fwd", 1), ("bwd", 2)):
+        MEASURES[f"{_name}_{_side}"] = Measure(
+            (_name,), f"sum(CAST(IF(direction = {_direction}, {_name}, 0) AS BIGINT))", TOTAL
+        )
 
 #: Header values kept from a flow's first packet: output name -> packet column.
 FIRST_PACKET = {
@@ -120,25 +107,25 @@ LAST_PACKET = {
     "last_tcp_flags": "tcp_flags",
 }
 for _out, _in in FIRST_PACKET.items():
-    MEASURES[_out] = Measure((_in,), _of_first(_in), FIRST)
+    MEASURES[_out] = Measure((_in,), f"max(IF(_opens, {_in}, NULL))", FIRST)
 for _out, _in in LAST_PACKET.items():
-    MEASURES[_out] = Measure((_in,), _of_last(_in), DELTA)
+    MEASURES[_out] = Measure((_in,), f"max_by({_in}, _pos)", DELTA)
 
+# Addresses of interfaces travel as 48-bit numbers, digests as three numbers of 11, 11 and 10 hex digits.
 PACKED: dict[str, Packed] = {}
+_DIGEST_SPANS = ((1, 11), (12, 11), (23, 10))
 for _out, _in in (("source_mac", "src_mac"), ("destination_mac", "dst_mac")):
-    MEASURES[f"_{_out}"] = Measure(
-        (_in,), (lambda c: lambda: F.max(F.when(F.col("_opens"), mac_to_long(F.col(c)))))(_in), FIRST
-    )
-    PACKED[_out] = Packed((f"_{_out}",), lambda parts: long_to_mac(parts[0]))
-for _i in range(3):
-    MEASURES[f"_first_digest{_i}"] = Measure(
-        ("packet_digest",), (lambda i: lambda: F.min_by(digest_parts(F.col("packet_digest"))[i], F.col("_pos")))(_i), DELTA
-    )
-    MEASURES[f"_last_digest{_i}"] = Measure(
-        ("packet_digest",), (lambda i: lambda: F.max_by(digest_parts(F.col("packet_digest"))[i], F.col("_pos")))(_i), DELTA
-    )
-PACKED["first_packet_id"] = Packed(tuple(f"_first_digest{i}" for i in range(3)), digest_text)
-PACKED["last_packet_id"] = Packed(tuple(f"_last_digest{i}" for i in range(3)), digest_text)
+    _number = f"CAST(conv(replace({_in}, ':', ''), 16, 10) AS BIGINT)"
+    MEASURES[f"_{_out}"] = Measure((_in,), f"max(IF(_opens, {_number}, NULL))", FIRST)
+    _digits = f"lower(lpad(hex(_{_out}), 12, '0'))"
+    PACKED[_out] = Packed((f"_{_out}",), f"regexp_replace({_digits}, '(..)(?!$)', '$1:')")
+for _out, _pick in (("first", "min_by"), ("last", "max_by")):
+    _parts = tuple(f"_{_out}_digest{i}" for i in range(3))
+    for _part, (_start, _size) in zip(_parts, _DIGEST_SPANS):
+        _number = f"CAST(conv(substr(packet_digest, {_start}, {_size}), 16, 10) AS BIGINT)"
+        MEASURES[_part] = Measure(("packet_digest",), f"{_pick}({_number}, _pos)", DELTA)
+    _text = ", ".join(f"lpad(hex({p}), {size}, '0')" for p, (_, size) in zip(_parts, _DIGEST_SPANS))
+    PACKED[f"{_out}_packet_id"] = Packed(_parts, f"lower(concat({_text}))")
 
 #: Everything a caller can ask for by name.
 ALL = [name for name in MEASURES if not name.startswith("_")] + list(PACKED)

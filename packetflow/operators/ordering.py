@@ -56,28 +56,38 @@ SAMPLED_ROWS = 1_000
 def hot_groups(df: DataFrame, by: list[str], t: str = "_t", chunk=CHUNK, rows: int = HOT_ROWS) -> DataFrame | None:
     """Groups of about ``rows`` rows or more, each with a chunk width in µs (``_width``); None if there are none.
 
-    Runs one small job over a sample of the grouping columns.  Which groups it names
+    Runs a small job over a sample of the grouping columns (and one more if it finds any).  Which groups it names
     only decides how the work is cut, never a result: a group it misses, or one
     beyond the largest ``MOST_HOT_GROUPS``, is done in one piece.  A group with a burst
     gets chunks as narrow as its fullest chunk needs.
     """
-    width = micros(chunk)
     fraction = min(1.0, SAMPLED_ROWS / rows)
+    limit = rows * fraction
     sample = df.select(*by, time_chunk(t, chunk).alias("_at"))
     if fraction < 1.0:
         sample = sample.sample(fraction, seed=1)
-    per_chunk = sample.groupBy(*by, "_at").agg(F.count(F.lit(1)).alias("_n"))
-    limit = rows * fraction
-    found = (
-        per_chunk.groupBy(*by)
-        .agg(F.sum("_n").alias("_n"), F.max("_n").alias("_peak"))
+    largest = (
+        sample.groupBy(*by)
+        .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") >= limit)
         .orderBy(F.desc("_n"))
         .limit(MOST_HOT_GROUPS)
-        .select(*by, F.greatest(F.lit(1), F.floor(F.lit(width) / F.ceil(F.col("_peak") / limit))).cast("bigint").alias("_width"))
+        .drop("_n")
+    )
+    spark = df.sparkSession
+    names = largest.collect()  # at most MOST_HOT_GROUPS short rows
+    if not names:
+        return None
+    hot = spark.createDataFrame(names, largest.schema)
+    parts = F.ceil(F.max("_n") / limit)
+    widths = (
+        sample.join(F.broadcast(hot), by)
+        .groupBy(*by, "_at")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy(*by)
+        .agg(F.greatest(F.lit(1), F.floor(F.lit(micros(chunk)) / parts)).cast("bigint").alias("_width"))
     )
-    names = found.collect()  # at most MOST_HOT_GROUPS short rows
-    return df.sparkSession.createDataFrame(names, found.schema) if names else None
+    return spark.createDataFrame(widths.collect(), widths.schema)
 
 
 def mark_hot(df: DataFrame, by: list[str], hot: DataFrame) -> DataFrame:

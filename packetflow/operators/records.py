@@ -8,7 +8,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetflow.functions.scalars import is_multicast
 from packetflow.operators import measures as M
 from packetflow.operators.classify import application_id
 from packetflow.operators.keys import flow_id_column, flow_key_indicator_column
@@ -41,17 +40,24 @@ class Export:
 
 @dataclass(frozen=True)
 class Element:
-    """An information element: dictionary entry and value rule."""
+    """An information element: dictionary entry and value rule.
+
+    The rule is SQL text over flow columns, in which ``{name}`` stands for an export
+    setting, or a function of the settings.
+    """
 
     ie: int
     name: str
     length: int
     coding: str
-    value: Callable[[Export], Column]
+    rule: str | Callable[[Export], Column]
     needs: tuple[str, ...] = ()
     enterprise: int = 0
     spark_type: str = field(default="")
 
+    def value(self, export: Export) -> Column:
+        return F.expr(self.rule.format(**vars(export))) if isinstance(self.rule, str) else self.rule(export)
+
     @property
     def type(self) -> str:
         if self.spark_type:
@@ -63,143 +69,115 @@ class Element:
         return {"FLOAT": "double", "BOOL": "boolean"}.get(self.coding, "string")
 
 
-def _c(name: str) -> Callable[[Export], Column]:
-    return lambda e: F.col(name)
-
-
-def _if(condition: Callable[[], Column], value: Callable[[], Column]) -> Callable[[Export], Column]:
-    return lambda e: F.when(condition(), value())
-
-
-def _setting(name: str) -> Callable[[Export], Column]:
-    return lambda e: F.lit(getattr(e, name))
-
-
-def _version(v: int) -> Callable[[], Column]:
-    return lambda: F.col("ip_version") == v
-
-
-def _icmp4() -> Column:
-    return (F.col("ip_version") == 4) & (F.col("protocol") == ICMP)
-
-
-def _icmp6() -> Column:
-    return (F.col("ip_version") == 6) & (F.col("protocol") == ICMP6)
-
-
-def _type_code() -> Column:
-    return F.col("first_icmp_type") * 256 + F.col("first_icmp_code")
-
-
-def _span() -> Column:
-    return F.unix_micros("flow_end") - F.unix_micros("flow_start")
-
-
-def _fragment() -> Column:
-    return F.col("first_ip_offset")
-
+V4, V6 = "ip_version = 4", "ip_version = 6"
+ICMP_V4, ICMP_V6 = f"{V4} AND protocol = {ICMP}", f"{V6} AND protocol = {ICMP6}"
+_TYPE_CODE = "first_icmp_type * 256 + first_icmp_code"
+_MULTICAST = (
+    f"CASE WHEN {V4} AND try_cast(split_part(dst_ip, '.', 1) AS INT) BETWEEN 224 AND 239 THEN 128"
+    f" WHEN {V6} AND lower(dst_ip) RLIKE '^ff[0-9a-f]{{{{2}}}}:' THEN 128 ELSE 0 END"
+)
 
 U, B = "UINT", "BYTES"
 _ICMP = ("first_icmp_type", "first_icmp_code")
 
 # Number, name, length and coding of each element, with its value rule.
 _STANDARD = [
-    Element(1, "octetDeltaCount", 8, U, _c("octet_delta"), ("octet_delta",)),
-    Element(2, "packetDeltaCount", 8, U, _c("packet_delta"), ("packet_delta",)),
-    Element(4, "protocolIdentifier", 1, B, _c("protocol")),
-    Element(5, "ipClassOfService", 1, B, _c("first_tos"), ("first_tos",)),
-    Element(7, "sourceTransportPort", 2, U, _c("src_port")),
-    Element(8, "sourceIPv4Address", 4, B, _if(_version(4), lambda: F.col("src_ip"))),
-    Element(11, "destinationTransportPort", 2, U, _c("dst_port")),
-    Element(12, "destinationIPv4Address", 4, B, _if(_version(4), lambda: F.col("dst_ip"))),
-    Element(21, "flowEndSysUpTime", 4, U, lambda e: F.unix_millis("flow_end") - e.init_ms),
-    Element(22, "flowStartSysUpTime", 4, U, lambda e: F.unix_millis("flow_start") - e.init_ms),
-    Element(27, "sourceIPv6Address", 16, B, _if(_version(6), lambda: F.col("src_ip"))),
-    Element(28, "destinationIPv6Address", 16, B, _if(_version(6), lambda: F.col("dst_ip"))),
-    Element(31, "flowLabelIPv6", 4, U, lambda e: F.col("first_flow_label").bitwiseAND(F.lit(0xFFFFF)), ("first_flow_label",)),
-    Element(32, "icmpTypeCodeIPv4", 2, U, _if(_icmp4, _type_code), _ICMP),
-    Element(33, "igmpType", 1, B, _if(lambda: F.col("protocol") == IGMP, lambda: F.col("first_icmp_type")), ("first_icmp_type",)),
-    Element(36, "flowActiveTimeout", 2, U, _setting("active_timeout_s")),
-    Element(37, "flowIdleTimeout", 2, U, _setting("idle_timeout_s")),
-    Element(54, "fragmentIdentification", 4, U, _c("first_ip_id"), ("first_ip_id",)),
-    Element(55, "postIpClassOfService", 1, B, _c("first_tos"), ("first_tos",)),
-    Element(56, "sourceMacAddress", 6, B, _c("source_mac"), ("source_mac",)),
-    Element(60, "ipVersion", 1, B, _c("ip_version")),
-    Element(80, "destinationMacAddress", 6, B, _c("destination_mac"), ("destination_mac",)),
-    Element(85, "octetTotalCount", 8, U, _c("octet_total"), ("octet_total",)),
-    Element(86, "packetTotalCount", 8, U, _c("packet_total"), ("packet_total",)),
-    Element(88, "fragmentOffset", 2, U, lambda e: _fragment().bitwiseAND(F.lit(0x1FFF)), ("first_ip_offset",)),
+    Element(1, "octetDeltaCount", 8, U, "octet_delta", ("octet_delta",)),
+    Element(2, "packetDeltaCount", 8, U, "packet_delta", ("packet_delta",)),
+    Element(4, "protocolIdentifier", 1, B, "protocol"),
+    Element(5, "ipClassOfService", 1, B, "first_tos", ("first_tos",)),
+    Element(7, "sourceTransportPort", 2, U, "src_port"),
+    Element(8, "sourceIPv4Address", 4, B, f"IF({V4}, src_ip, NULL)"),
+    Element(11, "destinationTransportPort", 2, U, "dst_port"),
+    Element(12, "destinationIPv4Address", 4, B, f"IF({V4}, dst_ip, NULL)"),
+    Element(21, "flowEndSysUpTime", 4, U, "unix_millis(flow_end) - {init_ms}"),
+    Element(22, "flowStartSysUpTime", 4, U, "unix_millis(flow_start) - {init_ms}"),
+    Element(27, "sourceIPv6Address", 16, B, f"IF({V6}, src_ip, NULL)"),
+    Element(28, "destinationIPv6Address", 16, B, f"IF({V6}, dst_ip, NULL)"),
+    Element(31, "flowLabelIPv6", 4, U, "first_flow_label & 1048575", ("first_flow_label",)),
+    Element(32, "icmpTypeCodeIPv4", 2, U, f"IF({ICMP_V4}, {_TYPE_CODE}, NULL)", _ICMP),
+    Element(33, "igmpType", 1, B, f"IF(protocol = {IGMP}, first_icmp_type, NULL)", ("first_icmp_type",)),
+    Element(36, "flowActiveTimeout", 2, U, "{active_timeout_s}"),
+    Element(37, "flowIdleTimeout", 2, U, "{idle_timeout_s}"),
+    Element(54, "fragmentIdentification", 4, U, "first_ip_id", ("first_ip_id",)),
+    Element(55, "postIpClassOfService", 1, B, "first_tos", ("first_tos",)),
+    Element(56, "sourceMacAddress", 6, B, "source_mac", ("source_mac",)),
+    Element(60, "ipVersion", 1, B, "ip_version"),
+    Element(80, "destinationMacAddress", 6, B, "destination_mac", ("destination_mac",)),
+    Element(85, "octetTotalCount", 8, U, "octet_total", ("octet_total",)),
+    Element(86, "packetTotalCount", 8, U, "packet_total", ("packet_total",)),
+    Element(88, "fragmentOffset", 2, U, "first_ip_offset & 8191", ("first_ip_offset",)),
     Element(95, "applicationId", 4, B, lambda e: application_id(F.col("app_id")), ("app_id",), spark_type="bigint"),
-    Element(96, "applicationName", 32, B, _c("app_name"), ("app_name",)),
-    Element(130, "exporterIPv4Address", 4, B, _setting("exporter_ipv4")),
-    Element(131, "exporterIPv6Address", 16, B, _setting("exporter_ipv6")),
-    Element(132, "droppedOctetDeltaCount", 8, U, _c("retransmitted_octets"), ("retransmitted_octets",)),
-    Element(133, "droppedPacketDeltaCount", 8, U, _c("retransmitted_packets"), ("retransmitted_packets",)),
-    Element(136, "flowEndReason", 1, B, _c("end_reason")),
-    Element(138, "observationPointId", 4, U, _setting("observation_point")),
-    Element(139, "icmpTypeCodeIPv6", 2, U, _if(_icmp6, _type_code), _ICMP),
+    Element(96, "applicationName", 32, B, "app_name", ("app_name",)),
+    Element(130, "exporterIPv4Address", 4, B, "'{exporter_ipv4}'"),
+    Element(131, "exporterIPv6Address", 16, B, "'{exporter_ipv6}'"),
+    Element(132, "droppedOctetDeltaCount", 8, U, "retransmitted_octets", ("retransmitted_octets",)),
+    Element(133, "droppedPacketDeltaCount", 8, U, "retransmitted_packets", ("retransmitted_packets",)),
+    Element(136, "flowEndReason", 1, B, "end_reason"),
+    Element(138, "observationPointId", 4, U, "{observation_point}"),
+    Element(139, "icmpTypeCodeIPv6", 2, U, f"IF({ICMP_V6}, {_TYPE_CODE}, NULL)", _ICMP),
     Element(148, "flowID", 8, U, lambda e: flow_id_column(), spark_type="decimal(20,0)"),
-    Element(149, "observationDomainId", 4, U, _setting("observation_domain")),
-    Element(152, "flowStartMilliseconds", 8, U, lambda e: F.unix_millis("flow_start")),
-    Element(153, "flowEndMilliseconds", 8, U, lambda e: F.unix_millis("flow_end")),
-    Element(154, "flowStartMicroseconds", 8, U, lambda e: F.unix_micros("flow_start")),
-    Element(155, "flowEndMicroseconds", 8, U, lambda e: F.unix_micros("flow_end")),
-    Element(156, "flowStartNanoseconds", 8, U, lambda e: F.unix_micros("flow_start") * 1000),
-    Element(157, "flowEndNanoseconds", 8, U, lambda e: F.unix_micros("flow_end") * 1000),
-    Element(158, "flowStartDeltaMicroseconds", 4, U, lambda e: F.lit(e.export_us) - F.unix_micros("flow_start")),
-    Element(159, "flowEndDeltaMicroseconds", 4, U, lambda e: F.lit(e.export_us) - F.unix_micros("flow_end")),
-    Element(160, "systemInitTimeMilliseconds", 8, U, _setting("init_ms")),
-    Element(161, "flowDurationMilliseconds", 4, U, lambda e: F.unix_millis("flow_end") - F.unix_millis("flow_start")),
-    Element(162, "flowDurationMicroseconds", 4, U, lambda e: _span()),
+    Element(149, "observationDomainId", 4, U, "{observation_domain}"),
+    Element(152, "flowStartMilliseconds", 8, U, "unix_millis(flow_start)"),
+    Element(153, "flowEndMilliseconds", 8, U, "unix_millis(flow_end)"),
+    Element(154, "flowStartMicroseconds", 8, U, "unix_micros(flow_start)"),
+    Element(155, "flowEndMicroseconds", 8, U, "unix_micros(flow_end)"),
+    Element(156, "flowStartNanoseconds", 8, U, "unix_micros(flow_start) * 1000"),
+    Element(157, "flowEndNanoseconds", 8, U, "unix_micros(flow_end) * 1000"),
+    Element(158, "flowStartDeltaMicroseconds", 4, U, "{export_us} - unix_micros(flow_start)"),
+    Element(159, "flowEndDeltaMicroseconds", 4, U, "{export_us} - unix_micros(flow_end)"),
+    Element(160, "systemInitTimeMilliseconds", 8, U, "{init_ms}"),
+    Element(161, "flowDurationMilliseconds", 4, U, "unix_millis(flow_end) - unix_millis(flow_start)"),
+    Element(162, "flowDurationMicroseconds", 4, U, "unix_micros(flow_end) - unix_micros(flow_start)"),
     Element(173, "flowKeyIndicator", 8, U, lambda e: flow_key_indicator_column()),
-    Element(176, "icmpTypeIPv4", 1, B, _if(_icmp4, lambda: F.col("first_icmp_type")), _ICMP[:1]),
-    Element(177, "icmpCodeIPv4", 1, B, _if(_icmp4, lambda: F.col("first_icmp_code")), _ICMP[1:]),
-    Element(178, "icmpTypeIPv6", 1, B, _if(_icmp6, lambda: F.col("first_icmp_type")), _ICMP[:1]),
-    Element(179, "icmpCodeIPv6", 1, B, _if(_icmp6, lambda: F.col("first_icmp_code")), _ICMP[1:]),
-    Element(184, "tcpSequenceNumber", 4, U, _c("last_tcp_seq"), ("last_tcp_seq",)),
-    Element(185, "tcpAcknowledgementNumber", 4, U, _c("last_tcp_ack"), ("last_tcp_ack",)),
-    Element(186, "tcpWindowSize", 2, U, _c("first_tcp_window"), ("first_tcp_window",)),
-    Element(187, "tcpUrgentPointer", 2, U, _c("first_tcp_urgent_ptr"), ("first_tcp_urgent_ptr",)),
-    Element(189, "ipHeaderLength", 1, B, _c("first_ip_hlength"), ("first_ip_hlength",)),
-    Element(190, "totalLengthIPv4", 2, U, _if(_version(4), lambda: F.col("first_ip_length")), ("first_ip_length",)),
-    Element(192, "ipTTL", 1, B, _c("first_ttl"), ("first_ttl",)),
-    Element(193, "nextHeaderIPv6", 1, B, _if(_version(6), lambda: F.col("first_next_header")), ("first_next_header",)),
-    Element(195, "ipDiffServCodePoint", 1, B, lambda e: F.shiftright(F.col("first_tos"), 2), ("first_tos",)),
-    Element(196, "ipPrecedence", 1, B, lambda e: F.shiftright(F.col("first_tos"), 5), ("first_tos",)),
-    Element(197, "fragmentFlags", 1, B, lambda e: F.shiftright(_fragment(), 8).bitwiseAND(F.lit(0xE0)), ("first_ip_offset",)),
-    Element(198, "octetDeltaSumOfSquares", 8, U, _c("octet_delta_sum_squares"), ("octet_delta_sum_squares",)),
-    Element(199, "octetTotalSumOfSquares", 8, U, _c("octet_sum_squares"), ("octet_sum_squares",)),
-    Element(204, "ipPayloadLength", 4, U, _c("last_ip_plength"), ("last_ip_plength",)),
-    Element(206, "isMulticast", 1, B, lambda e: is_multicast(F.col("ip_version"), F.col("dst_ip"))),
-    Element(207, "ipv4IHL", 1, B, _if(_version(4), lambda: F.expr("first_ip_hlength div 4")), ("first_ip_hlength",)),
-    Element(211, "collectorIPv4Address", 4, U, _setting("collector_ipv4"), spark_type="string"),
-    Element(212, "collectorIPv6Address", 16, U, _setting("collector_ipv6"), spark_type="string"),
-    Element(213, "exportInterface", 1, B, _setting("export_interface")),
-    Element(214, "exportProtocolVersion", 1, U, _setting("protocol_version")),
-    Element(215, "exportTransportProtocol", 1, U, _setting("transport_protocol")),
-    Element(216, "collectorTransportPort", 2, U, _setting("collector_port")),
-    Element(217, "exporterTransportPort", 2, U, _setting("exporter_port")),
-    Element(218, "tcpSynTotalCount", 8, U, _c("syn_count"), ("syn_count",)),
-    Element(219, "tcpFinTotalCount", 8, U, _c("fin_count"), ("fin_count",)),
-    Element(220, "tcpRstTotalCount", 8, U, _c("rst_count"), ("rst_count",)),
-    Element(221, "tcpPshTotalCount", 8, U, _c("psh_count"), ("psh_count",)),
-    Element(222, "tcpAckTotalCount", 8, U, _c("ack_count"), ("ack_count",)),
-    Element(223, "tcpUrgTotalCount", 8, U, _c("urg_count"), ("urg_count",)),
-    Element(224, "ipTotalLength", 8, U, _c("first_ip_length"), ("first_ip_length",)),
-    Element(375, "originalFlowsPresent", 8, U, _c("original_present")),
-    Element(376, "originalFlowsInitiated", 8, U, _c("original_initiated"), ("syn_count",)),
-    Element(377, "originalFlowsCompleted", 8, U, _c("original_completed"), ("fin_count",)),
-    Element(378, "distinctCountOfSourceIPAddress", 8, U, _c("distinct_src")),
-    Element(379, "distinctCountOfDestinationIPAddress", 8, U, _c("distinct_dst")),
-    Element(380, "distinctCountOfSourceIPv4Address", 4, U, _c("distinct_src_v4")),
-    Element(381, "distinctCountOfDestinationIPv4Address", 4, U, _c("distinct_dst_v4")),
-    Element(382, "distinctCountOfSourceIPv6Address", 8, U, _c("distinct_src_v6")),
-    Element(383, "distinctCountOfDestinationIPv6Address", 8, U, _c("distinct_dst_v6")),
-    Element(240, "roundTripTimeNanoseconds", 8, U, lambda e: F.col("rtt_fwd") + F.col("rtt_bwd"), ("rtt_pairs",), ENTERPRISE),
-    Element(241, "packetPairsTotalCount", 8, U, _c("rtt_pairs"), ("rtt_pairs",), ENTERPRISE),
-    Element(242, "firstPacketID", 16, B, _c("first_packet_id"), ("first_packet_id",), ENTERPRISE),
-    Element(243, "lastPacketID", 16, B, _c("last_packet_id"), ("last_packet_id",), ENTERPRISE),
-    Element(244, "flowStartAfterExport", 8, U, lambda e: F.unix_micros("start_after_export") * 1000, (), ENTERPRISE),
+    Element(176, "icmpTypeIPv4", 1, B, f"IF({ICMP_V4}, first_icmp_type, NULL)", _ICMP[:1]),
+    Element(177, "icmpCodeIPv4", 1, B, f"IF({ICMP_V4}, first_icmp_code, NULL)", _ICMP[1:]),
+    Element(178, "icmpTypeIPv6", 1, B, f"IF({ICMP_V6}, first_icmp_type, NULL)", _ICMP[:1]),
+    Element(179, "icmpCodeIPv6", 1, B, f"IF({ICMP_V6}, first_icmp_code, NULL)", _ICMP[1:]),
+    Element(184, "tcpSequenceNumber", 4, U, "last_tcp_seq", ("last_tcp_seq",)),
+    Element(185, "tcpAcknowledgementNumber", 4, U, "last_tcp_ack", ("last_tcp_ack",)),
+    Element(186, "tcpWindowSize", 2, U, "first_tcp_window", ("first_tcp_window",)),
+    Element(187, "tcpUrgentPointer", 2, U, "first_tcp_urgent_ptr", ("first_tcp_urgent_ptr",)),
+    Element(189, "ipHeaderLength", 1, B, "first_ip_hlength", ("first_ip_hlength",)),
+    Element(190, "totalLengthIPv4", 2, U, f"IF({V4}, first_ip_length, NULL)", ("first_ip_length",)),
+    Element(192, "ipTTL", 1, B, "first_ttl", ("first_ttl",)),
+    Element(193, "nextHeaderIPv6", 1, B, f"IF({V6}, first_next_header, NULL)", ("first_next_header",)),
+    Element(195, "ipDiffServCodePoint", 1, B, "shiftright(first_tos, 2)", ("first_tos",)),
+    Element(196, "ipPrecedence", 1, B, "shiftright(first_tos, 5)", ("first_tos",)),
+    Element(197, "fragmentFlags", 1, B, "shiftright(first_ip_offset, 8) & 224", ("first_ip_offset",)),
+    Element(198, "octetDeltaSumOfSquares", 8, U, "octet_delta_sum_squares", ("octet_delta_sum_squares",)),
+    Element(199, "octetTotalSumOfSquares", 8, U, "octet_sum_squares", ("octet_sum_squares",)),
+    Element(204, "ipPayloadLength", 4, U, "last_ip_plength", ("last_ip_plength",)),
+    Element(206, "isMulticast", 1, B, _MULTICAST),
+    Element(207, "ipv4IHL", 1, B, f"IF({V4}, first_ip_hlength div 4, NULL)", ("first_ip_hlength",)),
+    Element(211, "collectorIPv4Address", 4, U, "'{collector_ipv4}'", spark_type="string"),
+    Element(212, "collectorIPv6Address", 16, U, "'{collector_ipv6}'", spark_type="string"),
+    Element(213, "exportInterface", 1, B, "{export_interface}"),
+    Element(214, "exportProtocolVersion", 1, U, "{protocol_version}"),
+    Element(215, "exportTransportProtocol", 1, U, "{transport_protocol}"),
+    Element(216, "collectorTransportPort", 2, U, "{collector_port}"),
+    Element(217, "exporterTransportPort", 2, U, "{exporter_port}"),
+    Element(218, "tcpSynTotalCount", 8, U, "syn_count", ("syn_count",)),
+    Element(219, "tcpFinTotalCount", 8, U, "fin_count", ("fin_count",)),
+    Element(220, "tcpRstTotalCount", 8, U, "rst_count", ("rst_count",)),
+    Element(221, "tcpPshTotalCount", 8, U, "psh_count", ("psh_count",)),
+    Element(222, "tcpAckTotalCount", 8, U, "ack_count", ("ack_count",)),
+    Element(223, "tcpUrgTotalCount", 8, U, "urg_count", ("urg_count",)),
+    Element(224, "ipTotalLength", 8, U, "first_ip_length", ("first_ip_length",)),
+    Element(375, "originalFlowsPresent", 8, U, "original_present"),
+    Element(376, "originalFlowsInitiated", 8, U, "original_initiated", ("syn_count",)),
+    Element(377, "originalFlowsCompleted", 8, U, "original_completed", ("fin_count",)),
+    Element(378, "distinctCountOfSourceIPAddress", 8, U, "distinct_src"),
+    Element(379, "distinctCountOfDestinationIPAddress", 8, U, "distinct_dst"),
+    Element(380, "distinctCountOfSourceIPv4Address", 4, U, "distinct_src_v4"),
+    Element(381, "distinctCountOfDestinationIPv4Address", 4, U, "distinct_dst_v4"),
+    Element(382, "distinctCountOfSourceIPv6Address", 8, U, "distinct_src_v6"),
+    Element(383, "distinctCountOfDestinationIPv6Address", 8, U, "distinct_dst_v6"),
+    Element(240, "roundTripTimeNanoseconds", 8, U, "rtt_fwd + rtt_bwd", ("rtt_pairs",), ENTERPRISE),
+    Element(241, "packetPairsTotalCount", 8, U, "rtt_pairs", ("rtt_pairs",), ENTERPRISE),
+    Element(242, "firstPacketID", 16, B, "first_packet_id", ("first_packet_id",), ENTERPRISE),
+    Element(243, "lastPacketID", 16, B, "last_packet_id", ("last_packet_id",), ENTERPRISE),
+    Element(244, "flowStartAfterExport", 8, U, "unix_micros(start_after_export) * 1000", (), ENTERPRISE),
 ]
 
 ELEMENTS: dict[tuple[int, int], Element] = {}
@@ -224,8 +202,8 @@ def register_element(
     ie: int,
     name: str,
     type: str,
-    measure: Callable[[], Column] | None,
-    projection: Callable[[Export], Column] | None = None,
+    measure: str | Callable[[], Column] | None,
+    projection: str | Callable[[Export], Column] | None = None,
     *,
     needs: tuple[str, ...] = (),
     combine: str = M.DELTA,
@@ -235,8 +213,8 @@ def register_element(
 ) -> Element:
     """Add an element: how packets aggregate into it, and how it is exported.
 
-    ``measure`` builds an aggregate over packet columns (``needs``), stored in the
-    flow column ``name``; without one the projection uses existing flow columns.
+    ``measure`` is an aggregate over packet columns (``needs``), stored in the flow
+    column ``name``; without one the projection uses existing flow columns.
     """
     if (enterprise, ie) in ELEMENTS:
         raise ValueError(f"element {ie} of enterprise {enterprise} exists already")
@@ -245,7 +223,7 @@ def register_element(
             raise ValueError(f"measure {name} exists already")
         M.MEASURES[name] = M.Measure(tuple(needs), measure, combine)
     element = Element(
-        ie, name, length, coding, projection or _c(name), (name,) if measure is not None else (), enterprise, type
+        ie, name, length, coding, projection or name, (name,) if measure is not None else (), enterprise, type
     )
     ELEMENTS[(enterprise, ie)] = element
     return element

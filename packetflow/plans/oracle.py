@@ -474,7 +474,7 @@ _flows(
     _LISTED,
     _TRIGGERED,
     _ACTIVE.format(width=B.DAY_US),
-    "crossing AS (SELECT min(bucket_us) AS begins FROM active WHERE active > 750)",
+    "crossing AS (SELECT min(bucket_us) AS begins FROM active WHERE active > 225)",
     *_cascade(500, by=("trigger_us",), source="triggered", mice="coalesce(trigger_us >= (SELECT begins FROM crossing), false)"),
 )
 

@@ -6,18 +6,16 @@ exactly with the SQL in ``oracle.py``.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetflow.functions.scalars import expand_ipv6, has_bit
+from packetflow.functions.scalars import expand_ipv6
 from packetflow.operators import aggregate, classify, clock, filters, flows, keys, records, reports, rtt, sampling
 from packetflow.plans import events as E
 from packetflow.schemas import APP_RULES, SYN, TCP
-from packetflow.session import apply_runtime_conf, shared_dir
+from packetflow.session import apply_runtime_conf, new_folder
 from packetflow.sources.frames import decode_frames
 from packetflow.sources.packets import stream_packets, union_interfaces
 from packetflow.sources.sinks import stream_flows_to, write_flows
@@ -679,8 +677,8 @@ def aggregate_every(spark, packets):
     return _merged(done, F.unix_micros("trigger").alias("trigger_us"), "agg_level")
 
 
-#: Small enough for three quarters of it to be in use after a few days at the test scales.
-AUTO_CAPACITY = 1000
+#: Small enough for three quarters of it to be in use after some days at the test scales.
+AUTO_CAPACITY = 300
 
 
 @query
@@ -710,12 +708,12 @@ def _plain(projected: DataFrame) -> DataFrame:
     columns = []
     for name, kind in projected.dtypes:
         if kind == "string":
-            columns.append(F.coalesce(name, F.lit("")).alias(name))
+            columns.append(f"coalesce({name}, '') AS {name}")
         elif kind.startswith("decimal"):
-            columns.append(F.col(name).cast("string").alias(name))
+            columns.append(f"CAST({name} AS STRING) AS {name}")
         else:
-            columns.append(F.coalesce(F.col(name).cast("bigint"), F.lit(-1)).alias(name))
-    return projected.select(*columns)
+            columns.append(f"coalesce(CAST({name} AS BIGINT), -1) AS {name}")
+    return projected.selectExpr(*columns)
 
 
 @query
@@ -761,7 +759,7 @@ def register_element(spark, packets):
     number, enterprise = 9001, 32473
     records.unregister_element(number, enterprise)
     records.register_element(
-        number, "largestPacket", "bigint", lambda: F.max("ip_length"), needs=("ip_length",), enterprise=enterprise
+        number, "largestPacket", "bigint", "max(ip_length)", needs=("ip_length",), enterprise=enterprise
     )
     template = [7, 11, 4, 86, (number, enterprise)]
     projected = records.project_template(_flows(packets, records.template_measures(template)), template)
@@ -793,7 +791,7 @@ def protocol_mix(spark, packets):
 def tumbling_windows(spark, packets):
     counted = packets.groupBy(F.window("ts", "1 hour").alias("w"), "protocol").agg(
         F.count(F.lit(1)).alias("packets"), F.sum("ip_length").alias("octets"),
-        F.count_if((F.col("protocol") == TCP) & has_bit(F.col("tcp_flags"), SYN)).alias("syn_packets"),
+        F.expr(f"count_if(protocol = {TCP} AND tcp_flags & {SYN} = {SYN}) AS syn_packets"),
     )
     return counted.select(F.unix_micros("w.start").alias("start_us"), "protocol", "packets", "octets", "syn_packets")
 
@@ -801,17 +799,10 @@ def tumbling_windows(spark, packets):
 # --- sinks and streams --------------------------------------------------------------------------
 
 
-def _folder(spark, name: str) -> str:
-    """A new folder in the cluster's shared folder; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared_dir(spark, None if named else tempfile.gettempdir())
-    return f"{base.rstrip('/')}/packetflow-{name}-{uuid.uuid4().hex}"
-
-
 @query
 def write_flows_dated(spark, packets):
     """Flows written to a dated table and read back by day."""
-    path = _folder(spark, "flows")
+    path = new_folder(spark, "flows")
     write_flows(_flows(packets, ["packet_total", "octet_total"]), path)
     stored = spark.read.parquet(path)
     return stored.groupBy(F.col("flow_date").cast("string").alias("flow_date")).agg(
@@ -827,7 +818,7 @@ def _stream(spark, sf_dir):
 
 def _drain(spark, stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over what there is now and read its table back."""
-    path, checkpoint = _folder(spark, name), _folder(spark, f"{name}-checkpoint")
+    path, checkpoint = new_folder(spark, name), new_folder(spark, f"{name}-checkpoint")
     writer = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start(path).awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
@@ -868,7 +859,7 @@ def stream_rtt(spark, packets, sf_dir):
 @query
 def stream_flows_to_table(spark, packets, sf_dir):
     finished = streaming.stream_flows(_stream(spark, sf_dir), E.IDLE, None, LATE, biflow=True)
-    path, checkpoint = _folder(spark, "sink"), _folder(spark, "sink-checkpoint")
+    path, checkpoint = new_folder(spark, "sink"), new_folder(spark, "sink-checkpoint")
     stream_flows_to(finished, path, checkpoint, availableNow=True).awaitTermination()
     stored = spark.read.parquet(path)
     return stored.groupBy("end_reason").agg(F.count(F.lit(1)).alias("flows"), F.sum("packet_total").alias("packets"))
@@ -878,7 +869,7 @@ def stream_flows_to_table(spark, packets, sf_dir):
 def stream_aggregate(spark, packets, sf_dir):
     """Finished flows of the stream through the cascade; totals per level."""
     finished = streaming.stream_flows(_stream(spark, sf_dir), E.IDLE, None, LATE, biflow=True)
-    path, checkpoint = _folder(spark, "cascade"), _folder(spark, "cascade-checkpoint")
+    path, checkpoint = new_folder(spark, "cascade"), new_folder(spark, "cascade-checkpoint")
     streaming.stream_aggregate(
         finished, path, checkpoint, {"availableNow": True}, octets=E.MICE_OCTETS, distinct=None
     ).awaitTermination()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that matter for flow metering at scale.  They are all runtime
 #: settings, so they can also be put on a session somebody else created.
@@ -40,14 +42,30 @@ def apply_runtime_conf(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession, default: str | None = None) -> str:
+def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names for intermediate tables.
 
-    ``default`` is only used where the cluster names none, as in local tests.
+    Only a local session, whose executors share this machine, gets a folder of its
+    own when none is named.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named
-    if default is None:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return default
+    return tempfile.gettempdir()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder name nobody else uses, inside the shared folder."""
+    return f"{shared_dir(spark)}/packetflow-{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that is used several times to a table in the shared folder and read it back.
+
+    The table outlives lost executors, and later reads prune its columns.
+    """
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
