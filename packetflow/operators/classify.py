@@ -37,11 +37,12 @@ def port_table(app_rules: DataFrame) -> DataFrame:
 def classify_by_port(df: DataFrame, app_rules: DataFrame) -> DataFrame:
     """``app_id`` by protocol and either port; the rule with the lowest priority number wins, 0 if none."""
     table = port_table(app_rules)
+    kept = [c for c in df.columns if c != "app_id"]
     for side in ("dst", "src"):
         named = table.select("protocol", F.col("port").alias(f"{side}_port"), F.col("rule").alias(f"_{side}_rule"))
         df = df.join(F.broadcast(named), ["protocol", f"{side}_port"], "left")
     best = F.least("_dst_rule", "_src_rule")
-    return df.withColumn("app_id", F.coalesce(best["app_id"], F.lit(0))).drop("_dst_rule", "_src_rule")
+    return df.select(*kept, F.coalesce(best["app_id"], F.lit(0)).alias("app_id"))
 
 
 def classify_by_host(df: DataFrame, app_rules: DataFrame, host: str = "host", most_inline: int = MOST_INLINE_RULES) -> DataFrame:

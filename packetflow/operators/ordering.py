@@ -42,7 +42,7 @@ def global_rank(
         rows.withColumn("_rank_local", F.row_number().over(local))
         .join(offsets, groups)
         .withColumn(name, F.col("_rank_before") + F.col("_rank_local"))
-        .drop("_rank_chunk", "_rank_local", "_rank_before")
+        .select(*df.columns, name)
     )
 
 
@@ -135,7 +135,7 @@ def carry_forward(
         rows.withColumn("_cf_local", F.last("_cf_value", ignorenulls=True).over(local))
         .join(carried, groups, "left" if width else "inner")
         .withColumn(name, F.coalesce("_cf_local", "_cf_carried"))
-        .drop("_cf_value", "_cf_chunk", "_cf_local", "_cf_carried")
+        .select(*df.columns, name)
     )
 
 
@@ -165,7 +165,8 @@ def salted_lookup(left: DataFrame, right: DataFrame, on: list[str], salt: Column
     """
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+    added = [c for c in right.columns if c not in on]
+    return spread.join(copies, [*on, "_salt"], how).select(*left.columns, *added)
 
 
 #: Rows up to which a settings-like table is broadcast.
@@ -179,5 +180,6 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], salt: Column, how:
     else the join is salted, so a hot key never meets in one task.
     """
     if right.limit(most + 1).count() <= most:
-        return left.join(F.broadcast(right), on, how)
+        added = [c for c in right.columns if c not in on]
+        return left.join(F.broadcast(right), on, how).select(*left.columns, *added)
     return salted_lookup(left, right, on, salt, how=how)
