@@ -24,8 +24,11 @@ FIELDS = [
 def folder(spark, tmp_path_factory):
     """Packets in several files, disordered within the lateness, and a last one far ahead that closes everything."""
     path = str(tmp_path_factory.mktemp("packets"))
-    packets = table(spark, random_rows(21, 300)).drop("ip_bytes")
-    packets.repartitionByRange(4, F.unix_micros("ts") + F.pmod("packet_id", F.lit(5)) * 2_000_000).write.parquet(f"{path}/p")
+    packets = table(spark, random_rows(21, 300)).drop("ip_bytes").cache()
+    arrival = F.unix_micros("ts") - 1704067200 * 10**6 + F.pmod("packet_id", F.lit(5)) * 2_000_000
+    files = packets.withColumn("file", F.least(F.lit(3), F.floor(arrival / 150_000_000)))
+    for number in range(4):  # one after the other: files are read in order of their age
+        files.where(F.col("file") == number).drop("file").coalesce(1).write.mode("append").parquet(f"{path}/p")
     end = table(spark, [{"t": 2000, "src_ip": "10.9.9.9", "packet_id": 10**6}]).drop("ip_bytes")
     end.coalesce(1).write.mode("append").parquet(f"{path}/p")
     return f"{path}/p"
