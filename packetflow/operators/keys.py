@@ -9,7 +9,10 @@ from packetflow.functions.scalars import flow_id_text, times33
 from packetflow.schemas import ICMP, ICMP6, TCP, UDP
 
 #: Columns that together name the flow a packet belongs to.
-KEY = ["ip_version", "protocol", "k_ip1", "k_port1", "k_ip2", "k_port2", "k_dns"]
+KEY_FIELDS = ["ip_version", "protocol", "k_ip1", "k_port1", "k_ip2", "k_port2", "k_dns"]
+
+#: The same behind their hash: sorting by key then compares one number in nearly every case.
+KEY = ["k_hash", *KEY_FIELDS]
 
 
 def is_dns() -> Column:
@@ -47,7 +50,7 @@ def flow_key(packets: DataFrame, biflow: bool = False, dns: bool = True, all_pro
             "k_dns": F.coalesce(F.when(is_dns(), dns_id).cast("int"), F.lit(0)),
             "orient": F.when(swap, F.lit(2)).otherwise(F.lit(1)),
         }
-    )
+    ).withColumn("k_hash", F.xxhash64(*KEY_FIELDS))
 
 
 def dns_flow_key(packets: DataFrame) -> DataFrame:

@@ -324,7 +324,7 @@ def start_after_export(spark, packets):
     split = flows.split_flows(keys.flow_key(packets, biflow=True), E.IDLE)
     records_ = flows.start_after_export(split, E.ACTIVE)
     return records_.select(
-        *keys.KEY, "flow_no", "slice", F.unix_micros("start_after_export").alias("after_export_us"), "first_packet"
+        *keys.KEY_FIELDS, "flow_no", "slice", F.unix_micros("start_after_export").alias("after_export_us"), "first_packet"
     )
 
 
@@ -467,7 +467,7 @@ def rtt_pairs_consume(spark, packets):
 def rtt_summary(spark, packets):
     summary = rtt.rtt_summary(rtt.rtt_pairs(_split(packets), E.PAIR_TIMEOUT))
     return summary.select(
-        *keys.KEY, "flow_no", *[F.round(c, 3).alias(c) for c in ("rtt_fwd", "rtt_bwd", "rtt")], "rtt_pairs"
+        *keys.KEY_FIELDS, "flow_no", *[F.round(c, 3).alias(c) for c in ("rtt_fwd", "rtt_bwd", "rtt")], "rtt_pairs"
     )
 
 
@@ -847,7 +847,7 @@ def stream_flows(spark, packets, sf_dir):
 @query
 def stream_flows_idle(spark, packets, sf_dir):
     done = _drain(spark, streaming.stream_flows_idle(_stream(spark, sf_dir), E.IDLE, LATE), "idle")
-    return done.select(*keys.KEY, *_times(), "packet_total", "octet_total")
+    return done.select(*keys.KEY_FIELDS, *_times(), "packet_total", "octet_total")
 
 
 @query

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from packetflow.functions.scalars import micros
 from packetflow.operators.aggregate import aggregate_cascade
 from packetflow.operators.flows import ACTIVE, IDLE, REPEAT_FIELDS
-from packetflow.operators.keys import KEY, flow_key
+from packetflow.operators.keys import KEY_FIELDS, flow_key
 from packetflow.operators.rtt import PAIR_TIMEOUT, _pair_keys
 from packetflow.schemas import ACK, ACTIVE_TIMEOUT, END_DETECTED, FIN, IDLE_TIMEOUT, PSH, RST, SYN, TCP, URG
 from packetflow.sources.sinks import stream_flows_to
@@ -42,7 +42,7 @@ def stream_flows_idle(stream: DataFrame, idle=IDLE, late: str = LATE, biflow: bo
     session = F.session_window("ts", f"{micros(idle)} microseconds").alias("session")
     length = F.col("ip_length").cast("bigint")
     return (
-        keyed.groupBy(*KEY, session)
+        keyed.groupBy(*KEY_FIELDS, session)
         .agg(
             F.count(F.lit(1)).alias("packet_total"),
             F.sum(length).alias("octet_total"),
@@ -50,7 +50,7 @@ def stream_flows_idle(stream: DataFrame, idle=IDLE, late: str = LATE, biflow: bo
             F.min("ts").alias("flow_start"),
             F.max("ts").alias("flow_end"),
         )
-        .select(*KEY, "flow_start", "flow_end", "packet_total", "octet_total", "octet_sum_squares",
+        .select(*KEY_FIELDS, "flow_start", "flow_end", "packet_total", "octet_total", "octet_sum_squares",
                 F.lit(IDLE_TIMEOUT).alias("end_reason"))
     )
 
@@ -142,10 +142,10 @@ def stream_flows(
     flow.  ``flow_no`` counts the flows of a key since its state was last empty.
     """
     keyed = flow_key(stream, biflow=biflow)
-    needed = keyed.select("ts", "packet_id", *KEY, "orient", "ip_length", "tcp_seq", "tcp_ack", "ip_plength", "tcp_flags")
+    needed = keyed.select("ts", "packet_id", *KEY_FIELDS, "orient", "ip_length", "tcp_seq", "tcp_ack", "ip_plength", "tcp_flags")
     step = _flow_step(micros(idle), micros(active) if active is not None else None, fin)
     # The key columns travel with the rows as well: the step needs the protocol of each.
-    flows = ordered_by_key(needed, KEY, late, step, _RECORD)
+    flows = ordered_by_key(needed, KEY_FIELDS, late, step, _RECORD)
     return flows.withColumns(
         {
             "flow_start": F.timestamp_micros("start_us"),
@@ -168,48 +168,37 @@ _PAIR = T.StructType(
 def stream_rtt(stream: DataFrame, timeout=PAIR_TIMEOUT, late: str = LATE) -> DataFrame:
     """Round-trip pairs of a packet stream: the newest earlier answerable packet within ``timeout``.
 
-    Pairs within a two-way key.  The state of a pair key is its newest candidate,
-    kept for ``timeout`` after the watermark, so it is bounded in time.
+    Pairs within a two-way key.  The state of a key is its newest candidates, kept
+    for ``timeout`` after the watermark, so it is bounded in time.
     """
     limit = micros(timeout)
     offered, asked = _pair_keys(("tcp", "dns", "icmp"))
     keyed = flow_key(stream, biflow=True).withColumns({"_offered": offered, "_asked": asked})
-    roles = F.array(
-        F.struct(F.lit(True).alias("offers"), F.col("orient").alias("side"), F.col("_offered").alias("on")),
-        F.struct(F.lit(False).alias("offers"), (3 - F.col("orient")).alias("side"), F.col("_asked").alias("on")),
-    )
-    rows = (
-        keyed.withColumn("_role", F.explode(roles))
-        .where("_role.on IS NOT NULL")
-        .select("ts", "packet_id", *KEY, F.col("orient"), "_role.offers", "_role.side",
-                F.col("_role.on.a").alias("_a"), F.col("_role.on.b").alias("_b"), F.col("_role.on.c").alias("_c"))
+    rows = keyed.where("_offered IS NOT NULL OR _asked IS NOT NULL").select(
+        "ts", "packet_id", *KEY_FIELDS, "orient",
+        *[F.col(f"{name}.{part}").alias(f"{name}_{part}") for name in ("_offered", "_asked") for part in "abc"],
     )
+    offered_names, asked_names = ([f"{name}_{part}" for part in "abc"] for name in ("_offered", "_asked"))
 
     def step(key, ready, carried, watermark):
-        out = None
+        newest = carried or {}
+        out = []
         if ready is not None and len(ready):
-            newest = carried if carried is not None else (None, None)
-            offers = ready["offers"].to_numpy()
-            t, ids = ready["_t"].to_numpy(), ready["packet_id"].to_numpy()
-            # Position of the newest candidate before each row; -1 is the carried one.
-            at = np.where(offers, np.arange(len(t)), -1)
-            before = np.concatenate([[-1], np.maximum.accumulate(at)[:-1]])
-            none = newest[0] is None
-            found_t = np.where(before >= 0, t[before], -1 if none else newest[0])
-            found_id = np.where(before >= 0, ids[before], -1 if none else newest[1])
-            hit = ~offers & ((before >= 0) | (not none)) & (t - found_t <= limit)
-            if hit.any():
-                out = pd.DataFrame(
-                    {"packet_id": ids[hit], "matched_id": found_id[hit], "direction": ready["orient"].to_numpy()[hit],
-                     "probe_us": t[hit], "delay_us": (t - found_t)[hit]}
-                )
-            if at.max() >= 0:
-                carried = (int(t[at.max()]), int(ids[at.max()]))
-        if carried is not None and watermark > carried[0] + limit:
-            carried = None
-        return out, carried, None if carried is None else carried[0] + limit + 1000
-
-    return ordered_by_key(rows, [*KEY, "side", "_a", "_b", "_c"], late, step, _PAIR)
+            offers = zip(*[ready[n] for n in offered_names])
+            asks = zip(*[ready[n] for n in asked_names])
+            for t, packet, side, offer, ask in zip(ready["_t"], ready["packet_id"], ready["orient"], offers, asks):
+                # Nullable parts arrive as floats; a missing key is not equal to itself.
+                if ask[0] == ask[0] and ask[0] is not None:
+                    match = newest.get((3 - side, ask))
+                    if match is not None and t - match[0] <= limit:
+                        out.append((packet, match[1], side, t, t - match[0]))
+                if offer[0] == offer[0] and offer[0] is not None:
+                    newest[(side, offer)] = (t, packet)
+        newest = {k: v for k, v in newest.items() if v[0] + limit >= watermark}
+        frame = pd.DataFrame(out, columns=[f.name for f in _PAIR.fields]) if out else None
+        return frame, newest or None, max(v[0] for v in newest.values()) + limit + 1000 if newest else None
+
+    return ordered_by_key(rows, KEY_FIELDS, late, step, _PAIR)
 
 
 def stream_aggregate(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, **cascade) -> StreamingQuery:

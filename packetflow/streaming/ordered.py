@@ -11,6 +11,7 @@ import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,12 +34,17 @@ def ordered_by_key(stream: DataFrame, by: list[str], late: str, step: Step, outp
         if waiting is not None and len(waiting):
             parts.insert(0, waiting)
         watermark = state.getCurrentWatermarkMs() * 1000
-        rows = pd.concat(parts, ignore_index=True) if parts else None
+        rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0] if parts else None
         ready = None
         if rows is not None:
-            passed = rows["_t"] <= watermark
-            ready = rows[passed].sort_values(["_t", "packet_id"], ignore_index=True)
-            rows = rows[~passed]
+            passed = rows["_t"].to_numpy() <= watermark
+            if passed.all():
+                ready, rows = rows, None
+            elif passed.any():
+                ready, rows = rows[passed], rows[~passed]
+            if ready is not None and len(ready) > 1:
+                order = np.lexsort((ready["packet_id"].to_numpy(), ready["_t"].to_numpy()))
+                ready = ready.take(order).reset_index(drop=True)
         out, carried, keep_until = step(key, ready, carried, watermark)
         due = [int(rows["_t"].min())] if rows is not None and len(rows) else []
         if carried is not None and keep_until is not None:
