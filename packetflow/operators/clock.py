@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packetflow.functions.scalars import micros
 from packetflow.operators.ordering import CHUNK, HOT_ROWS, carry_forward, global_rank, hot_groups, lookup, mark_hot
+from packetflow.session import settle
 
 # Fixed value: samples a drift line is fitted to.
 FIT_ROWS = 60
@@ -67,6 +68,7 @@ def clock_as_of(packets: DataFrame, fits: DataFrame, chunk=CHUNK) -> DataFrame:
         F.col("seq").alias("_order"),
         line.alias("_line"),
     )
+    lines = settle(lines, "drift-lines")  # few rows from a long plan, used three times
     rows = packets.withColumns({"_t": F.unix_micros("ts"), "_kind": F.lit(1), "_order": F.col("packet_id")})
     both = rows.unionByName(lines, allowMissingColumns=True)
     found = carry_forward(both, ["obs_point"], F.col("_line"), "clock", tie=["_kind", "_order"], chunk=chunk)

@@ -29,10 +29,10 @@ ACTIVE = "5 seconds"
 REPEAT_FIELDS = ("tcp_seq", "tcp_ack", "ip_plength", "tcp_flags")
 
 
-def _is_fin(columns: list[str], fin: bool) -> Column:
+def _is_fin(columns: list[str], fin: bool, flags: str = "tcp_flags") -> Column:
     if not fin or "tcp_flags" not in columns:
         return F.lit(False)
-    return F.expr(f"coalesce(protocol = {TCP} AND tcp_flags & 1 = 1, false)")
+    return F.expr(f"coalesce(protocol = {TCP} AND {flags} & 1 = 1, false)")
 
 
 def split_flows(
@@ -143,21 +143,33 @@ def horizon_of(packets: DataFrame) -> Column:
     return packets.select(F.max(F.unix_micros("ts"))).scalar()
 
 
-def end_reason(flows: DataFrame, idle=IDLE, horizon: Column | None = None) -> DataFrame:
+def end_reason(flows: DataFrame, idle=IDLE, horizon=None) -> DataFrame:
     """Why the last record of a flow was closed: FIN, idle, or flushed at the end of input.
 
-    Needs ``_last_t`` (µs) and ``_last_fin``.  ``horizon`` is the end of input in µs.
+    ``flows`` has ``flow_end`` and, for FIN, ``protocol`` and ``last_tcp_flags``.
+    ``horizon`` is the end of input (default: the newest flow end).
     """
-    idle_over = horizon - F.col("_last_t") > micros(idle)
-    reason = (
-        F.when(F.col("_last_fin"), F.lit(END_DETECTED))
-        .when(idle_over, F.lit(IDLE_TIMEOUT))
+    if isinstance(horizon, Column):
+        end = horizon
+    elif horizon is None:
+        end = flows.select(F.max(F.unix_micros("flow_end"))).scalar()
+    else:
+        end = F.unix_micros(F.lit(horizon).cast("timestamp"))
+    ended = _is_fin(["tcp_flags"], True, "last_tcp_flags") if "last_tcp_flags" in flows.columns else F.lit(False)
+    return flows.withColumn("end_reason", _reason(ended, F.unix_micros("flow_end"), end, idle))
+
+
+def _reason(ended: Column, last_t: Column, horizon: Column, idle) -> Column:
+    return (
+        F.when(ended, F.lit(END_DETECTED))
+        .when(horizon - last_t > micros(idle), F.lit(IDLE_TIMEOUT))
         .otherwise(F.lit(FORCED_END))
     )
-    return flows.withColumn("end_reason", reason)
 
 
-force_end = end_reason
+def force_end(flows: DataFrame, idle=IDLE, horizon=None) -> DataFrame:
+    """The flows still open at the end of input, which are flushed."""
+    return end_reason(flows, idle, horizon).where(F.col("end_reason") == FORCED_END)
 
 
 def _horizon(packets: DataFrame, horizon) -> Column:
@@ -231,10 +243,8 @@ def build_flows(
         flows = _interim_records(flows, plain, rtt.PAIR_SUMS if pair_timeout is not None else [], emit_empty)
     else:
         flows = flows.withColumns({"slice": F.lit(0), "_is_last": F.lit(True)})
-    flows = end_reason(flows, idle, _horizon(packets, horizon))
-    flows = flows.withColumn(
-        "end_reason", F.when(F.col("_is_last"), F.col("end_reason")).otherwise(F.lit(ACTIVE_TIMEOUT))
-    )
+    final = _reason(F.col("_last_fin"), F.col("_last_t"), _horizon(packets, horizon), idle)
+    flows = flows.withColumn("end_reason", F.when(F.col("_is_last"), final).otherwise(F.lit(ACTIVE_TIMEOUT)))
     if zero_final:
         for name in ("packet_delta", "octet_delta", "octet_delta_sum_squares"):
             if name in plain:

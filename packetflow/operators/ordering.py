@@ -48,7 +48,7 @@ def global_rank(
 
 #: Rows from which a group counts as hot, and the most groups treated so.
 HOT_ROWS = 1_000_000
-MOST_HOT_GROUPS = 100_000
+MOST_HOT_GROUPS = 20_000
 #: Rows a hot group is expected to have in the sample it is found in.
 SAMPLED_ROWS = 1_000
 
@@ -115,8 +115,8 @@ def carry_forward(
 
     Every group is cut into chunks of width ``chunk``; with ``chunk=None`` none is; with
     a ``width`` column (µs) those where it is not null are.  The per-chunk summary is
-    a map-side combined aggregate, so a hot key costs one row per chunk before
-    anything is shuffled.
+    combined on the map side, so a hot key costs one row per chunk before anything
+    is shuffled.
     """
     end = Window.currentRow if inclusive else -1
     rows = df.withColumn("_cf_value", value)
@@ -125,9 +125,12 @@ def carry_forward(
         return rows.withColumn(name, F.last("_cf_value", ignorenulls=True).over(whole)).drop("_cf_value")
     rows = rows.withColumn("_cf_chunk", chunk_of(t, width) if width else time_chunk(t, chunk))
     groups = [*by, "_cf_chunk"]
-    position = F.when(F.col("_cf_value").isNotNull(), F.struct(t, *_names(tie)))
+    position = F.struct(t, *_names(tie))
     cut = rows.where(F.col(width).isNotNull()) if width else rows
-    newest = cut.groupBy(*groups).agg(F.max_by("_cf_value", position).alias("_cf_newest"))
+    # All chunks are counted by hash; only rows that define a value are looked at for the newest one.
+    present = cut.groupBy(*groups).agg(F.count(F.lit(1)).alias("_cf_rows"))
+    newest = cut.where(F.col("_cf_value").isNotNull()).groupBy(*groups).agg(F.max_by("_cf_value", position).alias("_cf_newest"))
+    newest = present.join(newest, groups, "left")
     earlier = Window.partitionBy(*by).orderBy("_cf_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = newest.select(*groups, F.last("_cf_newest", ignorenulls=True).over(earlier).alias("_cf_carried"))
     local = Window.partitionBy(*groups).orderBy(t, *_names(tie)).rowsBetween(Window.unboundedPreceding, end)

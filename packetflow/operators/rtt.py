@@ -9,14 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from packetflow.functions.scalars import micros
 from packetflow.operators.keys import KEY, is_dns
-from packetflow.operators.ordering import carry_forward
+from packetflow.operators.ordering import carry_forward, chunk_of
 from packetflow.schemas import ICMP, ICMP6, TCP
+from packetflow.session import settle
 
 PAIR_TIMEOUT = "1 second"
 PAIR_SUMS = ["_rtt_sum_fwd", "_rtt_n_fwd", "_rtt_sum_bwd", "_rtt_n_bwd"]
@@ -70,6 +73,9 @@ def rtt_pairs(
     base = split.select(
         *passed, "_t", "_pos", "packet_id", "direction", offered.alias("_offered"), asked.alias("_asked")
     ).where(F.col("_offered").isNotNull() | F.col("_asked").isNotNull())
+    if width:
+        # Read three times below; these few columns are cheaper to keep than to split again.
+        base = settle(base, "pair-rows")
     # Direction whose packets the row belongs with: its own as candidate, the opposite as probe.
     roles = F.array(
         F.struct(F.lit(True).alias("offers"), F.col("direction").alias("side"), F.col("_offered").alias("on")),
@@ -117,35 +123,96 @@ def _consume(pairs: DataFrame, width: str | None) -> DataFrame:
     """Keep the pairs that survive emptied candidate lists.
 
     A pair is an interval (matched, probe]; in order of probes a pair stands if it
-    begins after the last standing pair of its direction ended.  A pair that begins
-    after the previous probe restarts the rule, so the run from one restart to the
-    next is independent of all others.  Each run is walked in order over sorted
-    rows with one number of state; no group is gathered.
+    begins after the last standing pair of its direction ended, the *limit*.  Rows are
+    walked in order with that one number of state.  Hot keys are walked chunk by
+    chunk: each chunk is first summed up as a function from the limit before it to
+    the limit after it, the functions are applied along the key (one short row per
+    chunk), and every chunk then starts from its own limit.
     """
     by = [*KEY, "flow_no", "_t0", "direction"]
-    seen = carry_forward(pairs, by, F.col("_pos"), "_prev_pos", tie="_pos", chunk=None, width=width)
-    restart = F.col("_prev_pos").isNull() | (F.col("_matched_pos") >= F.col("_prev_pos"))
-    runs = carry_forward(
-        seen, by, F.when(restart, F.col("_pos")), "_run", tie="_pos", chunk=None, width=width, inclusive=True
-    ).drop("_prev_pos")
-    run_key = [*by, "_run"]
-    ordered = runs.repartition(*run_key).sortWithinPartitions(*run_key, "_pos")
-
+    if width:
+        # Two uses: the chunk functions and the walk.
+        pairs = settle(pairs.withColumn("_chunk", chunk_of("_t", width)), "pairs")
+        cut = pairs.where(F.col(width).isNotNull()).select(*by, "_chunk", "_matched_pos", "_pos")
+        passed = cut.groupBy(*by, "_chunk").applyInPandas(
+            _limit_function(by), StructType([*cut.select(*by, "_chunk").schema.fields, *_LIMIT_STEPS])
+        )
+        limits = passed.groupBy(*by).applyInPandas(
+            _limits_along(by), StructType([*cut.select(*by, "_chunk").schema.fields, StructField("_limit", LongType())])
+        )
+        rows = pairs.join(limits, [*by, "_chunk"], "left").fillna({"_limit": -1})
+    else:
+        rows = pairs.withColumns({"_chunk": F.lit(-1).cast("bigint"), "_limit": F.lit(-1).cast("bigint")})
+    key = [*by, "_chunk"]
+    ordered = rows.select(*pairs.columns, *[c for c in ("_chunk", "_limit") if c not in pairs.columns])
+    ordered = ordered.repartition(*key).sortWithinPartitions(*key, "_pos")
+    return ordered.mapInPandas(_walk(key), ordered.schema).drop("_chunk", "_limit")
+
+
+_LIMIT_STEPS = [StructField("below", ArrayType(LongType())), StructField("limit", ArrayType(LongType()))]
+
+
+def _walk(key: list[str]):
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, limit = None, -1
         for batch in batches:
-            keys = list(zip(*[batch[name] for name in run_key]))
             keep = []
-            for key, begins, ends in zip(keys, batch["_matched_pos"], batch["_pos"]):
-                if key != current:
-                    current, limit = key, -1
-                stands = begins > limit
-                if stands:
+            names = zip(*[batch[name] for name in key])
+            for name, start, begins, ends in zip(names, batch["_limit"], batch["_matched_pos"], batch["_pos"]):
+                if name != current:
+                    current, limit = name, start
+                keep.append(begins > limit)
+                if begins > limit:
                     limit = ends
-                keep.append(stands)
-            yield batch[pd.Series(keep, index=batch.index, dtype=bool)]
+            yield batch[np.array(keep, dtype=bool)]
+
+    return walk
+
+
+def _limit_function(by: list[str]):
+    """Limit after a chunk as steps of the limit before it: below ``below[i]`` it is ``limit[i]``, else unchanged.
+
+    The first pair to stand is the first that begins after the limit, so only pairs
+    with a new latest begin can be first; from there on the chain is fixed.
+    """
 
-    return ordered.mapInPandas(walk, ordered.schema).drop("_run")
+    def steps(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_pos")
+        begins, ends = rows["_matched_pos"].to_numpy(), rows["_pos"].to_numpy()
+        latest = np.maximum.accumulate(begins)
+        # The pair that stands next after pair i: the first to begin after i's end.
+        following = np.searchsorted(latest, ends, side="right")
+        final = ends.copy()
+        for i in range(len(ends) - 1, -1, -1):
+            if following[i] < len(ends):
+                final[i] = final[following[i]]
+        first = np.flatnonzero(np.concatenate([[True], latest[1:] > latest[:-1]]))
+        below, limit = latest[first], final[first]
+        # Begins from the chunk's first end on exceed any limit before the chunk; equal steps merge.
+        reach = np.searchsorted(below, ends[0], side="left") + 1
+        below, limit = below[:reach], limit[:reach]
+        last_of_step = np.concatenate([limit[1:] != limit[:-1], [True]])
+        out = rows[[*by, "_chunk"]].iloc[:1].copy()
+        out["below"], out["limit"] = [below[last_of_step].tolist()], [limit[last_of_step].tolist()]
+        return out
+
+    return steps
+
+
+def _limits_along(by: list[str]):
+    """The limit before each chunk of a key."""
+
+    def along(chunks: pd.DataFrame) -> pd.DataFrame:
+        chunks = chunks.sort_values("_chunk")
+        limit, before = -1, []
+        for below, after in zip(chunks["below"], chunks["limit"]):
+            before.append(limit)
+            step = np.searchsorted(below, limit, side="right")
+            if step < len(after):
+                limit = int(after[step])
+        return chunks[[*by, "_chunk"]].assign(_limit=before)
+
+    return along
 
 
 def pair_sums() -> list[Column]:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetflow.functions.scalars import hash_fraction, hash_order
+from packetflow.operators.filters import capture_filter
 from packetflow.operators.ordering import CHUNK, global_rank
 
 # Numbers of the sampling rules in interface settings.
@@ -162,3 +163,11 @@ def sample_by_interface(df: DataFrame, interfaces, seed: int = 0, chunk=CHUNK) -
     if not branches:
         return df.where(F.lit(False))
     return reduce(DataFrame.unionByName, branches)
+
+
+def apply_interfaces(df: DataFrame, interfaces, seed: int = 0, chunk=CHUNK) -> DataFrame:
+    """Each interface's own filter, then its own sampling rule."""
+    settings = interface_settings(interfaces)
+    predicates = {row["name"]: row["filter"] for row in settings if row.get("filter")}
+    filtered = capture_filter(df, predicates) if predicates else df
+    return sample_by_interface(filtered, settings, seed, chunk)

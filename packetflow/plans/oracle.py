@@ -111,6 +111,15 @@ _packets(
     _runs(8),
 )
 
+_FILTERED = "chosen AS (SELECT * FROM packets WHERE (interface = 'eth0' AND protocol = 6) OR (interface = 'eth1' AND ip_length > 100))"
+_packets(
+    "apply_interfaces",
+    "SELECT packet_id, interface FROM runs WHERE (interface='eth1' AND place <= 3) OR (interface='eth0' AND (n - 1) % 7 < 2)",
+    _FILTERED,
+    _RANKED.replace("FROM packets", "FROM chosen"),
+    _runs(8),
+)
+
 # --- keys and identity ----------------------------------------------------------------------
 
 _KEYED = "SELECT packet_id, ip_version, protocol, k_ip1, k_port1, k_ip2, k_port2, k_dns, orient FROM keyed"
@@ -191,10 +200,11 @@ _split("split_idle", "SELECT packet_id, flow_no, direction, t0 AS start_us FROM
 _split("split_fin", "SELECT packet_id, flow_no, direction, t0 AS start_us FROM split")
 _split("slice_active", f"SELECT packet_id, flow_no, (t - t0) // {B.ACTIVE_US} AS slice FROM split")
 _flows("end_reason", f"SELECT {ID}, end_reason, {TIMES}, packet_total FROM flows")
-_flows(
+_EARLY = B.PACKETS.rstrip().removesuffix("FROM b)") + "FROM b WHERE ts < TIMESTAMP '2024-01-26 00:00:00')"
+_sql(
     "force_end",
+    [_EARLY, B.keyed(), B.split(), B.flows()],
     "SELECT protocol, count(*) AS open_flows, CAST(sum(packet_total) AS BIGINT) AS packets FROM flows WHERE end_reason = 4 GROUP BY protocol",
-    biflow=False,
 )
 _split(
     "start_after_export",
@@ -635,3 +645,9 @@ _flows(
     f"""SELECT CASE WHEN fin_end THEN 3 ELSE 1 END AS end_reason, count(*) AS flows, CAST(sum(packet_total) AS BIGINT) AS packets
     FROM flows WHERE {_CLOSED} GROUP BY 1""",
 )
+_flows(
+    "stream_aggregate",
+    "SELECT agg_level, CAST(sum(original_present) AS BIGINT) AS flows, CAST(sum(packet_total) AS BIGINT) AS packets FROM cascade GROUP BY agg_level",
+    f"listed AS (SELECT *, [src_ip] AS srcs, [dst_ip] AS dsts FROM flows WHERE {_CLOSED})",
+    *_cascade(500),
+)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from packetflow.functions.scalars import expand_ipv6
 from packetflow.operators import aggregate, classify, clock, filters, flows, keys, records, reports, rtt, sampling
 from packetflow.plans import events as E
-from packetflow.schemas import APP_RULES, SYN, TCP
+from packetflow.schemas import APP_RULES, INTERFACES, SYN, TCP
 from packetflow.session import apply_runtime_conf, new_folder
 from packetflow.sources.frames import decode_frames
 from packetflow.sources.packets import stream_packets, union_interfaces
@@ -215,6 +215,13 @@ def sample_by_interface(spark, packets):
     return sampling.sample_by_interface(packets, settings, seed=7).select("packet_id", "interface")
 
 
+@query
+def apply_interfaces(spark, packets):
+    """Settings as a table: filter and sampling rule per interface."""
+    rows = [("eth0", "protocol = 6", 1, 2, 5), ("eth1", "ip_length > 100", 3, 3, 8)]
+    return sampling.apply_interfaces(packets, spark.createDataFrame(rows, INTERFACES), seed=7).select("packet_id", "interface")
+
+
 # --- keys and identity ----------------------------------------------------------------------
 
 
@@ -312,9 +319,10 @@ def end_reason(spark, packets):
 
 @query
 def force_end(spark, packets):
-    """Flows still open at an earlier end of input, by protocol."""
-    built = _flows(packets, ["packet_total"], biflow=False)
-    return built.where("end_reason = 4").groupBy("protocol").agg(
+    """Flows still open five days before the end of input, by protocol."""
+    early = packets.where("ts < timestamp'2024-01-26 00:00:00'")
+    built = _flows(early, ["packet_total", "last_tcp_flags"], biflow=False)
+    return flows.force_end(built, E.IDLE).groupBy("protocol").agg(
         F.count(F.lit(1)).alias("open_flows"), F.sum("packet_total").alias("packets")
     )
 

@@ -1,5 +1,7 @@
 """Round-trip pairs against a direct walk over the packets of each flow."""
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from helpers import back, collect, random_rows, table
@@ -41,7 +43,7 @@ def walk(rows, timeout_us, consume):
     return sorted(out)
 
 
-@pytest.mark.parametrize("seed", [11, 12])
+@pytest.mark.parametrize("seed", [11, 12, 13])
 @pytest.mark.parametrize("consume", [False, True])
 @pytest.mark.parametrize("hot_rows", [10**6, 40])
 def test_pairs_match_a_walk(spark, seed, consume, hot_rows):
@@ -78,3 +80,20 @@ def test_no_pair_list_is_formed(spark):
     split = flows.split_flows(keys.flow_key(table(spark, random_rows(1, 20)), biflow=True), "60 seconds")
     plan = rtt.rtt_pairs(split, "1 second")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_chunk_functions_compose(seed):
+    """Limits passed through chunk functions equal a walk in one piece."""
+    rng = np.random.default_rng(seed)
+    ends = np.sort(rng.choice(200, 60, replace=False)) + 1
+    begins = np.array([rng.integers(max(0, e - rng.integers(1, 80)), e) for e in ends])
+    walked, limit = [], -1
+    for b, e in zip(begins, ends):
+        walked.append(limit)
+        limit = e if b > limit else limit
+    pairs = pd.DataFrame({"k": 1, "_chunk": ends // 25, "_matched_pos": begins, "_pos": ends})
+    steps = [rtt._limit_function(["k"])(part) for _, part in pairs.groupby("_chunk")]
+    along = rtt._limits_along(["k"])(pd.concat(steps))
+    for chunk, start in zip(along["_chunk"], along["_limit"]):
+        assert start == walked[int(np.flatnonzero(pairs["_chunk"] == chunk)[0])]
