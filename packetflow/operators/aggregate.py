@@ -161,7 +161,7 @@ def aggregate_cascade(
     salts: int = 16,
     settled: bool = False,
 ) -> DataFrame:
-    """Merge mice level by level.
+    """Merge mice level by level.  ``flows`` has one record per flow (no interim records).
 
     At level k the first k fields are zeroed and equal keys merge; merged flows that
     reach ``octets`` stay at level k, the others go on, and the last level keeps

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -187,6 +187,9 @@ for _element in _STANDARD:
 #: The default template: every element, in number order, private ones last.
 DEFAULT_TEMPLATE: list[tuple[int, int]] = [(e.ie, e.enterprise) for e in _STANDARD]
 
+#: Elements a template table may list.
+MOST_FIELDS = 1000
+
 #: Flow columns that are not aggregated by ``build_flows`` itself.
 _JOINED = {"app_name", "rtt_pairs"}
 
@@ -238,7 +241,10 @@ def unregister_element(ie: int, enterprise: int = 0) -> None:
 def template_elements(template) -> list[Element]:
     """Elements of a template: (ie, enterprise) pairs, plain numbers, or a template table."""
     if isinstance(template, DataFrame):
-        template = [(r["ie"], r["enterprise"]) for r in template.orderBy("position").limit(1000).collect()]
+        rows = template.orderBy("position").limit(MOST_FIELDS + 1).collect()
+        if len(rows) > MOST_FIELDS:
+            raise ValueError(f"a template of more than {MOST_FIELDS} elements")
+        template = [(r["ie"], r["enterprise"]) for r in rows]
     pairs = [(item, 0) if isinstance(item, int) else (item[0], item[1] if len(item) > 1 else 0) for item in template]
     return [find_element(ie, enterprise or 0) for ie, enterprise in pairs]
 

@@ -3,8 +3,6 @@
 import datetime as dt
 import random
 
-from pyspark.sql import functions as F
-
 from packetflow.schemas import PACKETS
 
 EPOCH = dt.datetime(2024, 1, 1)
@@ -61,9 +59,5 @@ def random_rows(seed, count, span=600, hot=0.4):
     return rows
 
 
-def micros_of(column):
-    return F.unix_micros(column)
-
-
 def collect(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
