@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetflow.functions.scalars import micros
-from packetflow.operators.ordering import CHUNK, HOT_ROWS, carry_forward, global_rank, hot_groups, lookup, mark_hot
+from packetflow.operators.ordering import CHUNK, HOT_ROWS, carry_forward, cut_into_chunks, global_rank, lookup
 from packetflow.session import settle
 
 # Fixed value: samples a drift line is fitted to.
@@ -112,11 +112,10 @@ def one_way_delay(
     at_a = F.when(F.col("obs_point") == point_a, F.struct(F.col("_t").alias("t"), F.col("packet_id").alias("id")))
     # At one instant the packet at a comes first.
     rows = rows.withColumn("_side", (F.col("obs_point") == point_b).cast("int"))
-    hot = hot_groups(rows, ["packet_digest"], chunk=chunk, rows=hot_rows)
-    if hot is not None:
-        rows = mark_hot(rows, ["packet_digest"], hot)
+    cut = cut_into_chunks(rows, ["packet_digest"], chunk=chunk, rows=hot_rows)
     found = carry_forward(
-        rows, ["packet_digest"], at_a, "_sent", tie=["_side", "packet_id"], chunk=None, width="_width" if hot is not None else None
+        rows if cut is None else cut, ["packet_digest"], at_a, "_sent", tie=["_side", "packet_id"], chunk=None,
+        cut=None if cut is None else "_chunk",
     )
     delay = F.col("_t") - F.col("_sent.t")
     return found.where((F.col("obs_point") == point_b) & (delay <= micros(limit))).select(

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from packetflow.functions.scalars import micros
 from packetflow.operators import measures as M
 from packetflow.operators.keys import KEY, flow_key
-from packetflow.operators.ordering import CHUNK, HOT_ROWS, chunk_of, hot_groups, mark_hot
+from packetflow.operators.ordering import CHUNK, HOT_ROWS, cut_into_chunks
 from packetflow.schemas import ACTIVE_TIMEOUT, END_DETECTED, FORCED_END, IDLE_TIMEOUT, TCP
 
 # Default timeouts.
@@ -50,11 +50,10 @@ def split_flows(
     idle_us = micros(idle)
     repeat_fields = [name for name in REPEAT_FIELDS if name in keyed.columns]
     rows = keyed.withColumns({"_t": F.unix_micros("ts"), "_fin": _is_fin(keyed.columns, fin)})
-    hot = hot_groups(rows, KEY, chunk=chunk, rows=hot_rows) if chunk is not None else None
+    cut = cut_into_chunks(rows, KEY, chunk=chunk, rows=hot_rows) if chunk is not None else None
     groups = KEY
-    if hot is not None:
-        groups = [*KEY, "_chunk"]
-        rows = mark_hot(rows, KEY, hot).withColumn("_chunk", chunk_of("_t"))
+    if cut is not None:
+        groups, rows = [*KEY, "_chunk"], cut
     order = Window.partitionBy(*groups).orderBy("_t", "packet_id")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -62,8 +61,8 @@ def split_flows(
     opening = F.struct(F.col("_t").alias("t"), F.col("orient").alias("orient"))
     marked = rows.withColumns({"_packet": packet, "_local": F.row_number().over(order)})
     marked = marked.withColumns({"_before": F.lag("_packet").over(order)})
-    cut = (F.col("_t") - F.col("_before._t") > idle_us) | F.col("_before._fin")
-    marked = marked.withColumn("_cut", F.coalesce(cut, F.lit(False)))
+    apart = (F.col("_t") - F.col("_before._t") > idle_us) | F.col("_before._fin")
+    marked = marked.withColumn("_cut", F.coalesce(apart, F.lit(False)))
     opens_here = F.col("_before").isNull() | F.col("_cut")
     marked = marked.withColumns(
         {
@@ -72,13 +71,13 @@ def split_flows(
         }
     )
 
-    if hot is None:
+    if cut is None:
         joined = marked.withColumns({"flow_no": F.col("_cuts") + 1, "_pos": F.col("_local").cast("bigint"), "_opens": opens_here})
         joined = joined.withColumn("_previous", F.when(~F.col("_opens"), F.col("_before")))
     else:
         edges = (
             marked.withColumns({"_first_t": F.first("_t").over(so_far), "_next": F.lead("_t").over(order)})
-            .where(F.col("_next").isNull() & F.col("_width").isNotNull())
+            .where(F.col("_next").isNull() & (F.col("_chunk") != -1))
             .select(*groups, "_first_t", "_cuts", "_local", "_opening", "_packet")
         )
         along = Window.partitionBy(*KEY).orderBy("_chunk")
@@ -128,7 +127,7 @@ def split_flows(
             "_repeat": F.coalesce(repeated, F.lit(False)),
         }
     ).drop(
-        "_chunk", "_packet", "_local", "_before", "_cut", "_cuts", "_opening", "_continues", "_previous",
+        "_packet", "_local", "_before", "_cut", "_cuts", "_opening", "_continues", "_previous",
         "_carried_opening", "_carried_packet", "_flows_before", "_rows_before",
     )
 

@@ -28,76 +28,77 @@ def _names(tie: str | list[str]) -> list[str]:
     return [tie] if isinstance(tie, str) else list(tie)
 
 
-def global_rank(
-    df: DataFrame, by: list[str], name: str = "rank", t: str = "_t", tie: str | list[str] = "packet_id", chunk=CHUNK
-) -> DataFrame:
-    """Running number from 1 in ``(t, tie)`` order within ``by`` (the whole table when ``by`` is empty)."""
-    rows = df.withColumn("_rank_chunk", time_chunk(t, chunk))
-    groups = [*by, "_rank_chunk"]
-    counts = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rank_n"))
-    before = Window.partitionBy(*by).orderBy("_rank_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select(*groups, (F.sum("_rank_n").over(before) - F.col("_rank_n")).alias("_rank_before"))
-    local = Window.partitionBy(*groups).orderBy(t, *_names(tie))
-    return (
-        rows.withColumn("_rank_local", F.row_number().over(local))
-        .join(offsets, groups)
-        .withColumn(name, F.col("_rank_before") + F.col("_rank_local"))
-        .select(*df.columns, name)
-    )
-
-
-#: Rows from which a group counts as hot, and the most groups treated so.
+#: Rows from which a group counts as hot, and the most groups (or bursts) treated so.
 HOT_ROWS = 1_000_000
 MOST_HOT_GROUPS = 20_000
 #: Rows a hot group is expected to have in the sample it is found in.
 SAMPLED_ROWS = 1_000
+#: Most parts a burst chunk is cut into.
+MOST_PARTS = 1_000_000
+
+
+def _largest(sample: DataFrame, by: list[str], limit: float) -> DataFrame | None:
+    """Groups with at least ``limit`` sampled rows and their number, as a local table of at most MOST_HOT_GROUPS rows."""
+    counted = sample.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    largest = counted.where(F.col("_n") >= limit).orderBy(F.desc("_n")).limit(MOST_HOT_GROUPS)
+    found = largest.collect()
+    return sample.sparkSession.createDataFrame(found, largest.schema) if found else None
 
 
-def hot_groups(df: DataFrame, by: list[str], t: str = "_t", chunk=CHUNK, rows: int = HOT_ROWS) -> DataFrame | None:
-    """Groups of about ``rows`` rows or more, each with a chunk width in µs (``_width``); None if there are none.
+def cut_into_chunks(
+    df: DataFrame, by: list[str], t: str = "_t", chunk=CHUNK, rows: int = HOT_ROWS, always: bool = False
+) -> DataFrame | None:
+    """Add ``_chunk``: the time chunk of rows of hot groups, -1 for groups left in one piece; None if none is hot.
 
-    Runs a small job over a sample of the grouping columns (and one more if it finds any).  Which groups it names
-    only decides how the work is cut, never a result: a group it misses, or one
-    beyond the largest ``MOST_HOT_GROUPS``, is done in one piece.  A group with a burst
-    gets chunks as narrow as its fullest chunk needs.
+    Hot groups have about ``rows`` rows or more (with ``always``, every group is cut).  A
+    chunk that itself has that many, a burst, is cut into as many parts as it needs.
+    Small jobs over a sample of the grouping columns find both.  What they find only
+    decides how the work is cut, never a result: a group they miss, or one beyond the
+    largest MOST_HOT_GROUPS, is done in one piece.
     """
     fraction = min(1.0, SAMPLED_ROWS / rows)
     limit = rows * fraction
-    sample = df.select(*by, time_chunk(t, chunk).alias("_at"))
+    width = micros(chunk)
+    timed = df.withColumn("_at", time_chunk(t, chunk))
+    sample = timed.select(*by, "_at")
     if fraction < 1.0:
         sample = sample.sample(fraction, seed=1)
-    largest = (
-        sample.groupBy(*by)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= limit)
-        .orderBy(F.desc("_n"))
-        .limit(MOST_HOT_GROUPS)
-        .drop("_n")
-    )
-    spark = df.sparkSession
-    names = largest.collect()  # at most MOST_HOT_GROUPS short rows
-    if not names:
-        return None
-    hot = spark.createDataFrame(names, largest.schema)
-    parts = F.ceil(F.max("_n") / limit)
-    widths = (
-        sample.join(F.broadcast(hot), by)
-        .groupBy(*by, "_at")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy(*by)
-        .agg(F.greatest(F.lit(1), F.floor(F.lit(micros(chunk)) / parts)).cast("bigint").alias("_width"))
-    )
-    return spark.createDataFrame(widths.collect(), widths.schema)
-
-
-def mark_hot(df: DataFrame, by: list[str], hot: DataFrame) -> DataFrame:
-    """Add ``_width``, null for groups that are not hot.  ``hot`` is at most MOST_HOT_GROUPS rows."""
-    return df.join(F.broadcast(hot), by, "left")
+    is_hot = F.lit(True)
+    if not always:
+        hot = _largest(sample, by, limit)
+        if hot is None:
+            return None
+        hot = F.broadcast(hot.select(*by, F.lit(True).alias("_hot")))
+        sample = sample.join(hot, by).drop("_hot")
+        timed = timed.join(hot, by, "left")
+        is_hot = F.coalesce("_hot", F.lit(False))
+    bursts = _largest(sample, [*by, "_at"], limit)
+    part = "0"
+    if bursts is not None:
+        parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("_n") / F.lit(limit)) + 1)
+        timed = timed.join(F.broadcast(bursts.select(*by, "_at", parts.cast("bigint").alias("_parts"))), [*by, "_at"], "left")
+        part = f"((`{t}` - _at * {width}) * coalesce(_parts, 1L)) div {width}"
+    number = F.expr(f"_at * {MOST_PARTS} + {part}")
+    return timed.select(*df.columns, F.when(is_hot, number).otherwise(F.lit(-1)).cast("bigint").alias("_chunk"))
 
 
-def chunk_of(t: str, width: str = "_width") -> Column:
-    """Chunk number by a width column; -1 keeps a group in one piece."""
-    return F.when(F.col(width).isNotNull(), F.expr(f"`{t}` div `{width}`")).otherwise(F.lit(-1).cast("bigint"))
+def global_rank(
+    df: DataFrame, by: list[str], name: str = "rank", t: str = "_t", tie: str | list[str] = "packet_id", chunk=CHUNK,
+    rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Running number from 1 in ``(t, tie)`` order within ``by`` (the whole table when ``by`` is empty)."""
+    cut = cut_into_chunks(df, by, t, chunk, rows, always=True)
+    groups = [*by, "_chunk"]
+    counts = cut.groupBy(*groups).agg(F.count(F.lit(1)).alias("_rank_n"))
+    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select(*groups, (F.sum("_rank_n").over(before) - F.col("_rank_n")).alias("_rank_before"))
+    local = Window.partitionBy(*groups).orderBy(t, *_names(tie))
+    return (
+        cut.withColumn("_rank_local", F.row_number().over(local))
+        .join(offsets, groups)
+        .withColumn(name, F.col("_rank_before") + F.col("_rank_local"))
+        .select(*df.columns, name)
+    )
 
 
 def carry_forward(
@@ -108,35 +109,38 @@ def carry_forward(
     t: str = "_t",
     tie: str | list[str] = "packet_id",
     chunk=CHUNK,
-    width: str | None = None,
+    cut: str | None = None,
     inclusive: bool = False,
 ) -> DataFrame:
     """As-of look-up: the newest non-null ``value`` before each row (or up to it) within ``by``.
 
-    Every group is cut into chunks of width ``chunk``; with ``chunk=None`` none is; with
-    a ``width`` column (µs) those where it is not null are.  The per-chunk summary is
+    Every group is cut into chunks of width ``chunk``; with ``chunk=None`` none is; with a
+    chunk column ``cut`` those where it is not -1 are.  The per-chunk summary is
     combined on the map side, so a hot key costs one row per chunk before anything
     is shuffled.
     """
     end = Window.currentRow if inclusive else -1
     rows = df.withColumn("_cf_value", value)
-    if chunk is None and width is None:
+    if chunk is None and cut is None:
         whole = Window.partitionBy(*by).orderBy(t, *_names(tie)).rowsBetween(Window.unboundedPreceding, end)
         return rows.withColumn(name, F.last("_cf_value", ignorenulls=True).over(whole)).drop("_cf_value")
-    rows = rows.withColumn("_cf_chunk", chunk_of(t, width) if width else time_chunk(t, chunk))
+    if cut is None:
+        rows = cut_into_chunks(rows, by, t, chunk, always=True).withColumnRenamed("_chunk", "_cf_chunk")
+    else:
+        rows = rows.withColumn("_cf_chunk", F.col(cut))
     groups = [*by, "_cf_chunk"]
     position = F.struct(t, *_names(tie))
-    cut = rows.where(F.col(width).isNotNull()) if width else rows
+    pieces = rows.where(F.col("_cf_chunk") != -1)
     # All chunks are counted by hash; only rows that define a value are looked at for the newest one.
-    present = cut.groupBy(*groups).agg(F.count(F.lit(1)).alias("_cf_rows"))
-    newest = cut.where(F.col("_cf_value").isNotNull()).groupBy(*groups).agg(F.max_by("_cf_value", position).alias("_cf_newest"))
+    present = pieces.groupBy(*groups).agg(F.count(F.lit(1)).alias("_cf_rows"))
+    newest = pieces.where(F.col("_cf_value").isNotNull()).groupBy(*groups).agg(F.max_by("_cf_value", position).alias("_cf_newest"))
     newest = present.join(newest, groups, "left")
     earlier = Window.partitionBy(*by).orderBy("_cf_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = newest.select(*groups, F.last("_cf_newest", ignorenulls=True).over(earlier).alias("_cf_carried"))
     local = Window.partitionBy(*groups).orderBy(t, *_names(tie)).rowsBetween(Window.unboundedPreceding, end)
     return (
         rows.withColumn("_cf_local", F.last("_cf_value", ignorenulls=True).over(local))
-        .join(carried, groups, "left" if width else "inner")
+        .join(carried, groups, "left")
         .withColumn(name, F.coalesce("_cf_local", "_cf_carried"))
         .select(*df.columns, name)
     )

@@ -17,7 +17,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from packetflow.functions.scalars import micros
 from packetflow.operators.keys import KEY, is_dns
-from packetflow.operators.ordering import carry_forward, chunk_of
+from packetflow.operators.ordering import carry_forward
 from packetflow.schemas import ICMP, ICMP6, TCP
 from packetflow.session import settle
 
@@ -67,13 +67,13 @@ def rtt_pairs(
     are cut into the same time chunks here.
     """
     offered, asked = _pair_keys(kinds)
-    width = "_width" if "_width" in split.columns else None
+    cut = "_chunk" if "_chunk" in split.columns else None
     columns = [*KEY, "flow_no", "_t0"]
-    passed = [*columns, width] if width else columns
+    passed = [*columns, cut] if cut else columns
     base = split.select(
         *passed, "_t", "_pos", "packet_id", "direction", offered.alias("_offered"), asked.alias("_asked")
     ).where(F.col("_offered").isNotNull() | F.col("_asked").isNotNull())
-    if width:
+    if cut:
         # Read three times below; these few columns are cheaper to keep than to split again.
         base = settle(base, "pair-rows")
     # Direction whose packets the row belongs with: its own as candidate, the opposite as probe.
@@ -90,7 +90,7 @@ def rtt_pairs(
     )
     candidate = F.when(F.col("offers"), F.struct(F.col("_t").alias("t"), F.col("_pos").alias("pos"), F.col("packet_id").alias("id")))
     by = [*columns, "side", "_a", "_b", "_c"]
-    found = carry_forward(rows, by, candidate, "_match", tie="_pos", chunk=None, width=width)
+    found = carry_forward(rows, by, candidate, "_match", tie="_pos", chunk=None, cut=cut)
     pairs = found.where(
         ~F.col("offers") & F.col("_match").isNotNull() & (F.col("_t") - F.col("_match.t") <= micros(timeout))
     ).select(
@@ -104,7 +104,7 @@ def rtt_pairs(
         F.col("_match.pos").alias("_matched_pos"),
         (F.col("_t") - F.col("_match.t")).alias("delay_us"),
     )
-    return _consume(pairs, width) if consume else pairs
+    return _consume(pairs, cut is not None) if consume else pairs
 
 
 def rtt_pairs_tcp(split: DataFrame, timeout=PAIR_TIMEOUT, **options) -> DataFrame:
@@ -119,7 +119,7 @@ def rtt_pairs_icmp(split: DataFrame, timeout=PAIR_TIMEOUT, **options) -> DataFra
     return rtt_pairs(split, timeout, kinds=("icmp",), **options)
 
 
-def _consume(pairs: DataFrame, width: str | None) -> DataFrame:
+def _consume(pairs: DataFrame, is_cut: bool) -> DataFrame:
     """Keep the pairs that survive emptied candidate lists.
 
     A pair is an interval (matched, probe]; in order of probes a pair stands if it
@@ -130,10 +130,10 @@ def _consume(pairs: DataFrame, width: str | None) -> DataFrame:
     chunk), and every chunk then starts from its own limit.
     """
     by = [*KEY, "flow_no", "_t0", "direction"]
-    if width:
+    if is_cut:
         # Two uses: the chunk functions and the walk.
-        pairs = settle(pairs.withColumn("_chunk", chunk_of("_t", width)), "pairs")
-        cut = pairs.where(F.col(width).isNotNull()).select(*by, "_chunk", "_matched_pos", "_pos")
+        pairs = settle(pairs, "pairs")
+        cut = pairs.where(F.col("_chunk") != -1).select(*by, "_chunk", "_matched_pos", "_pos")
         passed = cut.groupBy(*by, "_chunk").applyInPandas(
             _limit_function(by), StructType([*cut.select(*by, "_chunk").schema.fields, *_LIMIT_STEPS])
         )

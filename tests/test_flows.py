@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from helpers import at, back, collect, random_rows, table
 from packetflow.operators import flows, keys
-from packetflow.operators.ordering import hot_groups
+from packetflow.operators.ordering import cut_into_chunks
 
 HOT = {"hot_rows": 5}
 
@@ -113,12 +113,16 @@ def test_unknown_measure(spark):
         build(spark, [{"t": 0}], pair_timeout="1 second")
 
 
-def test_hot_groups(spark):
+def test_hot_groups_and_bursts(spark):
     packets = table(spark, random_rows(1, 400)).withColumn("_t", F.unix_micros("ts"))
-    hot = {r["protocol"]: r["_width"] for r in hot_groups(packets, ["protocol"], chunk="1 minute", rows=60).collect()}
-    assert hot[6] < 60_000_000  # the burst narrows the chunks
-    assert [r.protocol for r in hot_groups(packets, ["protocol"], rows=150).collect()] == [6]
-    assert hot_groups(packets, ["protocol"], rows=1000) is None
+    cut = cut_into_chunks(packets, ["protocol"], chunk="1 minute", rows=150)
+    assert {r[0] for r in cut.where("_chunk <> -1").select("protocol").distinct().collect()} == {6}
+    whole = cut.where("protocol = 6").groupBy("_chunk").count().agg(F.max("count")).first()[0]
+    finer = cut_into_chunks(packets, ["protocol"], chunk="1 minute", rows=40).where("protocol = 6")
+    assert finer.groupBy("_chunk").count().agg(F.max("count")).first()[0] < whole  # the burst is cut further
+    late = finer.groupBy("_chunk").agg(F.min("_t").alias("a"), F.max("_t").alias("b")).orderBy("_chunk").collect()
+    assert all(x["b"] <= y["a"] for x, y in zip(late, late[1:]))
+    assert cut_into_chunks(packets, ["protocol"], rows=1000) is None
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])

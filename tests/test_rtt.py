@@ -49,7 +49,7 @@ def walk(rows, timeout_us, consume):
 def test_pairs_match_a_walk(spark, seed, consume, hot_rows):
     packets = table(spark, random_rows(seed, 400))
     split = flows.split_flows(keys.flow_key(packets, biflow=True), "60 seconds", hot_rows=hot_rows, chunk="7 seconds")
-    assert ("_width" in split.columns) == (hot_rows == 40)
+    assert ("_chunk" in split.columns) == (hot_rows == 40)
     rows = [r.asDict() for r in split.select(*FIELDS).collect()]
     got = sorted((r.packet_id, r.matched_id) for r in rtt.rtt_pairs(split, "8 seconds", consume=consume).collect())
     want = walk(rows, 8_000_000, consume)
