@@ -194,8 +194,8 @@ _CUTS = [i * 2 / 100 for i in range(1, STEPS + 1)]
 ORACLE_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t,
-         list_filter(regexp_split_to_array(coalesce(text, ''), '{GAP}'), x -> x <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '{WORD}')) AS l
+         list_filter(regexp_split_to_array(coalesce(text, ''), '{GAP}'), lambda x: x <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l
   FROM documents
 ), g AS (
   SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n
@@ -222,7 +222,7 @@ WITH d AS (
   GROUP BY ALL
 ), tail AS (
   SELECT lang, rule, cut,
-         CASE WHEN k > n * {MAX_FALSE_REJECTION / len(SHARES)!r}::DOUBLE THEN 1 ELSE list_sum(list_transform(range(0, k + 1), i -> exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+         CASE WHEN k > n * {MAX_FALSE_REJECTION / len(SHARES)!r}::DOUBLE THEN 1 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
               + i * ln({MAX_FALSE_REJECTION / len(SHARES)!r}::DOUBLE) + (n - i) * ln(1 - {MAX_FALSE_REJECTION / len(SHARES)!r}::DOUBLE)))) END AS p
   FROM k
 ), cuts AS (
