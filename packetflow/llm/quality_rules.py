@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packetflow.llm.tables import GAP, WORD, free_name, table
@@ -129,21 +129,25 @@ def certify(
     one aggregate with fixed-width buffers, combined before the shuffle.
     """
     worst = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_label_id")).agg(F.min("quality").alias("_quality"))
-    rows = measured.where(~base_failed(measures)).select(
-        F.col(key).alias("_key"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("_stratum"), F.col(stratum).isNull().alias("_no_stratum"), *[share(measures, r).alias(f"_{r}") for r in SHARES]
+    cuts = F.array(*[F.lit(i * 2 / 100) for i in range(1, STEPS + 1)])
+    # The level of a share is the number of cutoffs below it.
+    level = lambda rule: F.size(F.filter(cuts, lambda c: share(measures, rule) > c))
+    levels = F.array(*[F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in SHARES])
+    rows = measured.where(~base_failed(measures)).select(F.col(key).alias("_key"), F.col(stratum).cast("string").alias("_stratum"), levels.alias("_levels"))
+    good = rows.join(worst.where("_quality = 1"), F.col("_key") == F.col("_label_id")).select("_stratum", F.explode("_levels").alias("x"))
+    counts = good.groupBy("_stratum", "x.rule", "x.level").agg(F.count(F.lit(1)).alias("n"))
+    # From here on there are at most STEPS + 1 rows of counts per stratum and rule.
+    held = counts.groupBy("_stratum", "rule").agg(F.collect_list(F.struct("level", "n")).alias("held"), F.sum("n").alias("n_good"))
+    everywhere = Window.partitionBy(F.lit(0))  # over one row per stratum and rule
+    tried = held.withColumn("strata", F.size(F.collect_set(F.coalesce("_stratum", F.lit(""))).over(everywhere)))
+    tried = tried.select("*", F.explode(F.sequence(F.lit(1), F.lit(STEPS))).alias("i"))
+    above = F.aggregate("held", F.lit(0).cast("long"), lambda acc, x: acc + F.when(x["level"] >= F.col("i"), x["n"]).otherwise(0))
+    tail = binomial_tail(F.col("k"), F.col("n_good"), max_false_rejection / len(SHARES))
+    # More documents lie above a lower cutoff, so the certified ones are a run from the most lenient down.
+    passed = tried.withColumn("k", above).withColumn("cut", F.when(tail <= F.lit(alpha) / (F.col("strata") * len(SHARES)), F.col("i") * 2 / 100))
+    return passed.groupBy(F.col("_stratum").alias("stratum")).agg(
+        F.max("n_good").alias("n_good"), *[F.min(F.when(F.col("rule") == r, F.col("cut"))).alias(f"cutoff_{r}") for r in SHARES]
     )
-    good = rows.join(worst.where("_quality = 1"), F.col("_key") == F.col("_label_id"))
-    above = [F.count_if(F.col(f"_{r}") > F.lit(i * 2 / 100)).alias(f"{r}_{i}") for r in SHARES for i in range(1, STEPS + 1)]
-    counts = good.groupBy("_stratum", "_no_stratum").agg(F.count(F.lit(1)).alias("n_good"), *above)
-    counts = counts.crossJoin(F.broadcast(counts.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("_strata"))))
-    limit, tests = max_false_rejection / len(SHARES), F.col("_strata") * len(SHARES)
-
-    def cutoff(rule: str) -> Column:
-        # More documents lie above a lower cutoff, so the certified ones are a run from the most lenient down.
-        passed = F.array(*[F.when(binomial_tail(F.col(f"{rule}_{i}"), F.col("n_good"), limit) <= alpha / tests, F.lit(i * 2 / 100)) for i in range(1, STEPS + 1)])
-        return F.array_min(passed).alias(f"cutoff_{rule}")
-
-    return counts.select(F.when(~F.col("_no_stratum"), F.col("_stratum")).alias("stratum"), "n_good", *[cutoff(r) for r in SHARES])
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, measures: str = "measures", stratum: str = "lang", name: str = "kept") -> DataFrame:
