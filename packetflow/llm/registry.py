@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from packetflow.llm import quality_rules
+from packetflow.llm import decontaminate, quality_rules
 
 QUERIES = {
+    "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
 ORACLE = {
+    "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
 }
