@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from packetflow.llm import decontaminate, quality_rules
+from packetflow.llm import decontaminate, mixing, quality_rules
 
 QUERIES = {
+    "op5_source_mixing": mixing.op5_source_mixing,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op9_quality_rules": quality_rules.op9_quality_rules,
 }
 
 ORACLE = {
+    "op5_source_mixing": mixing.ORACLE_SQL,
     "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
 }
