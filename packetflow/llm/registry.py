@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from packetflow.llm import decontaminate, mixing, quality_rules, secrets
+from packetflow.llm import decontaminate, mixing, quality_rules, ranking, secrets
 
 QUERIES = {
+    "op3_quality_classifier": ranking.op3_quality_classifier,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
