@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from packetflow.llm import decontaminate, mixing, quality_rules, ranking, secrets
+from packetflow.llm import decontaminate, main_text, mixing, quality_rules, ranking, secrets
 
 QUERIES = {
+    "op6_html_main_text": main_text.op6_html_main_text,
     "op3_quality_classifier": ranking.op3_quality_classifier,
     "op8_secret_scan": secrets.op8_secret_scan,
     "op5_source_mixing": mixing.op5_source_mixing,
