@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from packetflow.llm import decontaminate, main_text, mixing, quality_rules, ranking, secrets
+from packetflow.llm import decontaminate, main_text, mixing, quality_rules, ranking, secrets, tool_calls
 
 QUERIES = {
+    "op2_tool_call_linking": tool_calls.op2_tool_call_linking,
     "op6_html_main_text": main_text.op6_html_main_text,
     "op3_quality_classifier": ranking.op3_quality_classifier,
     "op8_secret_scan": secrets.op8_secret_scan,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op2_tool_call_linking": tool_calls.ORACLE_SQL,
     "op5_source_mixing": mixing.ORACLE_SQL,
     "op7_benchmark_decontamination": decontaminate.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
