@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from packetflow.llm import decontaminate, main_text, mixing, quality_rules, ranking, secrets, tool_calls
+from packetflow.llm import backoff_lm, decontaminate, main_text, mixing, quality_rules, ranking, secrets, tool_calls
 
 QUERIES = {
+    "op10_backoff_lm": backoff_lm.op10_backoff_lm,
     "op2_tool_call_linking": tool_calls.op2_tool_call_linking,
     "op6_html_main_text": main_text.op6_html_main_text,
     "op3_quality_classifier": ranking.op3_quality_classifier,
