@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from packetflow.llm import backoff_lm, decontaminate, main_text, mixing, near_dedup, quality_rules, ranking, secrets, tool_calls
+from packetflow.llm import backoff_lm, decontaminate, main_text, mixing, near_dedup, quality_rules, ranking, secrets, token_files, tool_calls
 
 QUERIES = {
+    "op4_token_files": token_files.op4_token_files,
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op10_backoff_lm": backoff_lm.op10_backoff_lm,
     "op2_tool_call_linking": tool_calls.op2_tool_call_linking,
