@@ -80,7 +80,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         covered.alias("n_repeat_words"),
         left_of("[^A-Z]+").cast("long").alias("n_upper"),
     )
-    return out.select(*docs.columns, measures.alias(free_name(docs, "measures")))
+    # As the one element of an array: else every use of a measure downstream would repeat the work that makes it.
+    return out.select(*docs.columns, F.explode(F.array(measures)).alias(free_name(docs, "measures")))
 
 
 def base_failed(measures: str) -> Column:
