@@ -5,11 +5,13 @@ inverse document frequency of its words.  The frequencies are counted over all d
 (a table of fixed size, so it can be broadcast at any scale).  Two documents are near copies when the weighted Jaccard
 similarity of their sets, sum of minima over sum of maxima, is SIMILARITY or more.
 
-Candidates come from BANDS bands of ROWS consistent weighted samples each: two documents agree in one sample with a
-probability of just that similarity, so in a band with its ROWS-th power.  Exact copies are put together first and stand as one text.
-The documents of one band value are never paired with each other: all are compared with one of them, the hub; where
-some remain in another class, the next hub is taken from those, until every class of a bucket has been a hub's.  Each
-comparison reads both whole texts and computes the similarity itself.  Verified links make the classes (connected components).
+Candidates come from BANDS bands: a band is a fixed choice of ROWS out of SAMPLES consistent weighted samples.  Two
+documents agree in one sample with a probability of just that similarity, so a pair at 0.8 meets in some band with probability 0.995,
+one at 0.85 with 0.9995.  Exact copies are put together first and stand as one text.  The documents that share a band
+value (a bucket) are never paired with each other: all are compared with up to four of them, the hubs, by four different orders.  Each
+comparison reads both whole texts and computes the similarity itself.  Verified links make the classes (connected
+components).  Where a bucket holds several classes, another hub is taken from outside its first class and compared
+with all documents of the others, pass after pass until one finds no further link.
 
 Only samples, identifiers and links are shuffled, and the texts of documents that share a bucket.  Joins are plain equi-joins, which
 adaptive execution splits where a hub is hot; minima per bucket are combined before the shuffle.
@@ -36,7 +38,7 @@ from packetflow.session import settle
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 10, 3
+SAMPLES, BANDS, ROWS = 30, 40, 5
 IDF_BUCKETS = 1 << 18
 SEED = 20_11
 
@@ -120,6 +122,8 @@ def samples(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, count
 
 def bands_of(texts: list[bytes], idf: np.ndarray) -> list[list[int] | None]:
     """BANDS band values of each text; none for a text without words."""
+    rng = np.random.default_rng(SEED)
+    chosen = np.array([rng.choice(SAMPLES, ROWS, replace=False) for _ in range(BANDS)])
     known, out = WordHashes(), [None] * len(texts)
     held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
@@ -127,10 +131,10 @@ def bands_of(texts: list[bytes], idf: np.ndarray) -> list[list[int] | None]:
         if held:
             sizes = [len(s) for _, s, _ in held]
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-            got = samples(np.concatenate([s for _, s, _ in held]), np.concatenate([w for _, _, w in held]), starts, BANDS * ROWS)
-            value = got[:, 0::ROWS].copy()
+            got = samples(np.concatenate([s for _, s, _ in held]), np.concatenate([w for _, _, w in held]), starts, SAMPLES)
+            value = got[:, chosen[:, 0]]
             for j in range(1, ROWS):
-                value = mixed(value * _FACTORS[1] + got[:, j::ROWS])
+                value = mixed(value * _FACTORS[1] + got[:, chosen[:, j]])
             for (i, _, _), row in zip(held, value.view(np.int64).tolist()):
                 out[i] = row
             held.clear()
@@ -195,6 +199,11 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
+def as_pairs(met: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a > b, of documents and the hubs they meet."""
+    return met.where("rep <> hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts (id, text) are similar enough."""
 
@@ -242,33 +251,29 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     copies = settle(copies, "copies")
     members = signed.select("id", "digest").join(copies.select("digest", "rep"), "digest").select("id", "rep").distinct()
     buckets = copies.where(F.col("bands").isNotNull()).select("rep", F.posexplode("bands").alias("band", "value"))
-    hubs = buckets.groupBy("band", "value").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").drop("last")
-    shared = settle(buckets.join(hubs, ["band", "value"]).select("band", "value", "rep", "hub"), "buckets")
+    by = lambda salt: F.min(F.struct(F.xxhash64("rep", F.lit(salt)), "rep"))["rep"]
+    hubs = buckets.groupBy("band", "value").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), by(1).alias("one"), by(2).alias("two")).where("low < high")
+    shared = settle(buckets.join(hubs, ["band", "value"]), "buckets")
     involved = settle(own.join(shared.select(F.col("rep").alias("id")).distinct(), "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
-    tested = settle(shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    met = shared.select("rep", F.explode(F.array_distinct(F.array("low", "high", "one", "two"))).alias("hub"))
+    tested = settle(as_pairs(met), "pairs")
     links = settle(verified(tested, involved, idf, similarity), "similar")
     roots = settle(components(links), "roots")
-    waiting = shared.select("band", "value", "rep")
-    while True:
-        # A bucket goes on while it holds documents that were no hub's comparison and are not in the class of all others.
+    waiting, found_any, turn = shared.select("band", "value", "rep"), True, 2
+    while found_any:
+        turn += 1
         labelled = waiting.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        spread = labelled.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("rep").alias("done"))
-        open_ = spread.where("low < high")
-        # The class of the old hub has been compared with the rest; the next hub comes from outside of it.
-        hub_root = labelled.join(open_, ["band", "value"]).select("band", "value", "rep", "root", "done")
-        old = hub_root.where("rep = done").select("band", "value", F.col("root").alias("old"))
-        rest = settle(hub_root.join(old, ["band", "value"]).where("root <> old").select("band", "value", "rep"), "rest")
-        nxt = rest.groupBy("band", "value").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").drop("last")
-        pairs = rest.join(nxt, ["band", "value"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-        pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
+        mixed_buckets = labelled.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+        waiting = settle(labelled.join(mixed_buckets.select("band", "value", "low"), ["band", "value"]).select("band", "value", "rep", "root", "low"), "waiting")
+        order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("order"), "rep", "root")
+        hubs = waiting.where("root <> low").groupBy("band", "value").agg(F.min(order).alias("h")).select("band", "value", F.col("h.rep").alias("hub"), F.col("h.root").alias("hub_root"))
+        met = waiting.join(hubs, ["band", "value"]).where("root <> hub_root").select("rep", "hub")
+        pairs = settle(as_pairs(met).join(tested, ["a", "b"], "left_anti"), "pairs")
         found = settle(verified(pairs, involved, idf, similarity), "similar")
-        tested = tested.union(pairs)
-        links = links.union(found)
-        if not found.isEmpty():
+        found_any = not found.isEmpty()
+        if found_any:
+            tested, links, waiting = tested.union(pairs), links.union(found), waiting.select("band", "value", "rep")
             roots = settle(components(links), "roots")
-        waiting = rest
     return members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"))
 
 
