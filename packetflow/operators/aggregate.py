@@ -76,10 +76,19 @@ def reduce_key(flows: DataFrame, fields=REDUCE, level: int | None = None) -> Dat
     return flows.withColumns(_reduced(fields, len(fields) if level is None else level))
 
 
-def _merge_order() -> Column:
-    """Which flow's last values stay: the one that ended (then started) last."""
-    end, start = F.unix_micros("flow_end"), F.unix_micros("flow_start")
-    return end.cast("decimal(38,0)") * F.lit(10**18).cast("decimal(19,0)") + start.cast("decimal(38,0)")
+def _merge_order(columns: list[str]) -> Column:
+    """The flow whose last values stay: the one that ended, then started last, then has the largest number.
+
+    The last values themselves end the order, so the greatest struct is one flow's, the same in every run.
+    """
+    ties = [c for c in ("flow_no", *LASTS) if c in columns]
+    return F.struct("flow_end", "flow_start", *ties)
+
+
+def _with_lasts(merged: DataFrame) -> DataFrame:
+    """The last values of merged flows out of their ``_order``."""
+    kept = [f.name for f in merged.schema["_order"].dataType.fields if f.name in LASTS]
+    return merged.withColumns({n: F.col("_order")[n] for n in kept}).drop("_order")
 
 
 def _merge_aggs(columns: list[str]) -> list[Column]:
@@ -87,7 +96,6 @@ def _merge_aggs(columns: list[str]) -> list[Column]:
     aggs = [F.sum(n).alias(n) for n in SUMS if n in have]
     aggs += [F.min(n).alias(n) for n in ("flow_start", "start_after_export") if n in have]
     aggs += [F.max("flow_end").alias("flow_end")]
-    aggs += [F.max_by(n, F.col("_order")).alias(n) for n in LASTS if n in have]
     aggs += [F.bit_or(n).alias(n) for n in ("tcp_flags_or",) if n in have]
     aggs += [F.bool_or(n).alias(n) for n in ("is_sampled",) if n in have]
     aggs += [F.max("_order").alias("_order")]
@@ -111,7 +119,7 @@ def merge_flows(flows: DataFrame, keys=tuple(MERGE_KEY), distinct: str | None =
     (sum of the parts' counts) or None.
     """
     keys = list(keys)
-    rows = flows.withColumn("_order", _merge_order())
+    rows = flows.withColumn("_order", _merge_order(flows.columns))
     aggs = _merge_aggs(flows.columns)
     if distinct == "additive":
         aggs += [F.sum(n).alias(n) for n in DISTINCT if n in flows.columns]
@@ -119,7 +127,7 @@ def merge_flows(flows: DataFrame, keys=tuple(MERGE_KEY), distinct: str | None =
         aggs += [F.hll_sketch_estimate(F.hll_sketch_agg(c)).alias(f"_n_{s}") for s, c in zip(("src", "dst"), endpoints)]
     elif distinct not in (None, "exact"):
         raise ValueError(f"distinct must be exact, approx, additive or None, not {distinct!r}")
-    merged = rows.groupBy(*keys).agg(*aggs).drop("_order")
+    merged = _with_lasts(rows.groupBy(*keys).agg(*aggs))
     if distinct == "approx":
         counts = [c for s in ("src", "dst") for c in _split_by_version(s, F.col(f"_n_{s}"))]
         merged = merged.select("*", *counts).drop("_n_src", "_n_dst")
@@ -194,7 +202,7 @@ def aggregate_cascade(
         # Sketches are built once from the original flows and united afterwards: bounded state per key.
         aggs += [F.hll_union_agg(f"_hll_{s}").alias(f"_hll_{s}") for s in ("src", "dst")]
 
-    current = mice.withColumn("_order", _merge_order())
+    current = mice.withColumn("_order", _merge_order(flows.columns))
     levels: list[DataFrame] = []  # every merged flow of each level
     kept: list[DataFrame] = []
     for level in range(1, len(fields) + 1):
@@ -212,7 +220,7 @@ def aggregate_cascade(
         done = merged if level == len(fields) else merged.where(F.col("octet_total") >= octets)
         kept.append(done.withColumn("agg_level", F.lit(level)))
         current = merged.where(F.col("octet_total") < octets)
-    merged = fold(lambda a, b: a.unionByName(b), kept).drop("_order")
+    merged = _with_lasts(fold(lambda a, b: a.unionByName(b), kept))
 
     if distinct == "approx":
         counts = [
@@ -295,12 +303,15 @@ def aggregate_every(flows: DataFrame, interval, **cascade) -> DataFrame:
 AUTO_SHARE = 0.75
 
 
-def aggregate_auto(flows: DataFrame, capacity: int, interval, share: float = AUTO_SHARE, **cascade) -> DataFrame:
-    """Aggregate from the first interval in which more than ``share`` of ``capacity`` flows are open; it stays on."""
+def aggregate_auto(flows: DataFrame, capacity: int, interval, idle, share: float = AUTO_SHARE, **cascade) -> DataFrame:
+    """Aggregate from the first interval in which flows take more than ``share`` of ``capacity`` places; it stays on.
+
+    A flow takes its place until it has been idle for ``idle``.
+    """
     if capacity <= 0:
         raise ValueError("capacity must be positive")
     flows = settle(flows, "flows")
-    busy = active_flow_count(flows, interval).where(F.col("active") > share * capacity)
+    busy = active_flow_count(flows, interval, idle).where(F.col("peak") > share * capacity)
     crossing = busy.agg(F.min("bucket_start")).scalar()
     marked = flows.withColumn("trigger", _trigger(interval)).withColumn("_from", crossing)
     aggregated = marked.where(F.col("trigger") >= F.col("_from")).drop("_from")

@@ -50,7 +50,7 @@ def classify_by_host(df: DataFrame, app_rules: DataFrame, host: str = "host", mo
 
     Few rules are put into the expression (no join at all).  Beyond that, the
     distinct hosts are cut into pieces of the rules' lengths and matched by
-    equality.
+    equality.  Both give the same result for rules of any length.
     """
     rules = app_rules.where((F.col("kind") == "host") & (F.length("host") > 0)).select(
         "priority", "app_id", F.col("host").alias("text")
@@ -75,8 +75,8 @@ def _inline_match(host: Column, rules: list) -> Column:
 
 
 def _match_by_pieces(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    # A host name has at most 253 characters, so there are at most that many lengths.
-    lengths = [row[0] for row in rules.select(F.length("text").alias("n")).where("n <= 253").distinct().collect()]
+    # One number for each length that occurs; a host shorter than a rule yields no piece of that length.
+    lengths = [row[0] for row in rules.select(F.length("text").alias("n")).distinct().collect()]
     host = F.col("_host")
 
     def pieces_of(n: int) -> Column:

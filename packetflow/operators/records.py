@@ -275,7 +275,10 @@ def project_v9(flows: DataFrame, template=DEFAULT_TEMPLATE, export: Export = Exp
 
 
 def project_v5(flows: DataFrame, export: Export = Export(protocol_version=5)) -> DataFrame:
-    """The fixed 20 columns of version 5; counts keep their low 32 bits, unsupported columns are 0."""
+    """The fixed 20 columns of version 5; counts keep their low 32 bits, unsupported columns are 0.
+
+    Every flow is a record; the addresses of an IPv6 flow do not fit into the format and are 0.0.0.0.
+    """
     narrow = F.lit(2**32)
     zero = F.lit(0)
     flags = F.col("tcp_flags_or") if "tcp_flags_or" in flows.columns else zero
@@ -283,9 +286,12 @@ def project_v5(flows: DataFrame, export: Export = Export(protocol_version=5)) ->
     def count(name: str) -> Column:
         return F.pmod(F.col(name), narrow).cast("bigint")
 
-    return flows.where(F.col("ip_version") == 4).select(
-        F.col("src_ip").alias("sourceAddress"),
-        F.col("dst_ip").alias("destinationAddress"),
+    def address(name: str) -> Column:
+        return F.when(F.col("ip_version") == 4, F.col(name)).otherwise(F.lit("0.0.0.0"))
+
+    return flows.select(
+        address("src_ip").alias("sourceAddress"),
+        address("dst_ip").alias("destinationAddress"),
         F.lit("0.0.0.0").alias("nextHop"),
         zero.alias("inputInterface"),
         zero.alias("outputInterface"),

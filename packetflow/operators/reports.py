@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetflow.functions.scalars import expand_ipv6, micros
@@ -27,20 +27,27 @@ def reject_counters(packets: DataFrame, reason: Column) -> DataFrame:
     )
 
 
-def active_flow_count(flows: DataFrame, bucket) -> DataFrame:
-    """Flows open at the end of each time bucket in which a flow started or ended."""
+def active_flow_count(flows: DataFrame, bucket, idle) -> DataFrame:
+    """Places taken in the flow table, for each time bucket in which a flow came or expired.
+
+    A flow takes its place from its first packet until ``idle`` after its last one.  ``change`` is the
+    difference over the bucket, ``active`` the number at its end, ``peak`` the most at any time in it.
+    """
     width = micros(bucket)
     steps = F.array(
         F.struct(F.unix_micros("flow_start").alias("at"), F.lit(1).alias("step")),
-        F.struct(F.unix_micros("flow_end").alias("at"), F.lit(-1).alias("step")),
-    )
-    changes = (
-        flows.select(F.inline(steps))
-        .groupBy(F.expr(f"at div {width}").alias("_bucket"))
-        .agg(F.sum("step").alias("change"))
+        F.struct((F.unix_micros("flow_end") + micros(idle)).alias("at"), F.lit(-1).alias("step")),
     )
-    return running_total(changes, "_bucket", "change", "active").select(
-        F.timestamp_micros(F.col("_bucket") * F.lit(width)).alias("bucket_start"), "change", "active"
+    # One row per instant, then one per bucket: sums and the highest running sum inside it.
+    instants = flows.select(F.inline(steps)).groupBy("at").agg(F.sum("step").alias("step"))
+    instants = instants.withColumn("_bucket", F.expr(f"at div {width}"))
+    inside = instants.withColumn("_inside", F.sum("step").over(Window.partitionBy("_bucket").orderBy("at")))
+    changes = inside.groupBy("_bucket").agg(F.sum("step").alias("change"), F.max("_inside").alias("_highest"))
+    totals = running_total(changes, "_bucket", "change", "active")
+    before = F.col("active") - F.col("change")
+    return totals.select(
+        F.timestamp_micros(F.col("_bucket") * F.lit(width)).alias("bucket_start"), "change", "active",
+        (before + F.greatest(F.col("_highest"), F.lit(0))).alias("peak"),
     )
 
 

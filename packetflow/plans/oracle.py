@@ -370,14 +370,17 @@ _sql(
 )
 _FORCE = """timed AS (SELECT p.packet_id, p.t, l.slope, l.intercept, l.x0, l.y0 FROM packets p ASOF LEFT JOIN
   (SELECT * FROM lines WHERE slope IS NOT NULL) l ON p.obs_point = l.obs_point AND p.t * 1000 >= l.t3)"""
-_sql("clock_as_of", [B.PACKETS, _SYNC, _FORCE], "SELECT packet_id, round(coalesce(slope, 0.0), 7) AS slope FROM timed")
+_sql("clock_as_of", [B.PACKETS, _SYNC, _FORCE], """SELECT packet_id, round(coalesce(slope, 0.0), 9) AS slope, coalesce(x0, -1) AS x0, coalesce(y0, -1) AS y0,
+  CAST(round(coalesce(intercept, 0.0) / 1000) AS BIGINT) AS intercept_us FROM timed""")
 _CORRECTED = """corrected AS (SELECT *, t * 1000 - coalesce(CAST(trunc(slope * CAST(t * 1000 - x0 AS DOUBLE)) AS BIGINT) + y0
   + CAST(trunc(intercept) AS BIGINT), 0) AS ns FROM timed)"""
-_sql("correct_time", [B.PACKETS, _SYNC, _FORCE, _CORRECTED], "SELECT packet_id, round(ns / 1e9, 1) AS corrected_s FROM corrected")
+_sql("correct_time", [B.PACKETS, _SYNC, _FORCE, _CORRECTED], "SELECT packet_id, (ns + 500) // 1000 AS corrected_us FROM corrected")
 _LABEL = "CASE protocol WHEN 1 THEN 'ICM' WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' WHEN 58 THEN 'IC6' ELSE printf('%03d', protocol) END"
-_packets(
+_RETIMED = "packets AS (SELECT r.* REPLACE ((c.ns + 500000) // 1000000 * 1000 AS t) FROM raw_packets r JOIN corrected c USING (packet_id))"
+_sql(
     "corrected_flows",
-    f"SELECT {_LABEL} AS label, count(*) AS packets, CAST(sum(ip_length) AS BIGINT) AS octets FROM packets GROUP BY 1",
+    [B.PACKETS.replace("packets AS (", "raw_packets AS ("), _SYNC, _FORCE.replace("FROM packets p", "FROM raw_packets p"), _CORRECTED, _RETIMED, *B.flow_base(True)[1:]],
+    f"SELECT {ID}, start_us, end_us, packet_total, octet_total FROM flows",
 )
 _packets(
     "time_precision",
@@ -411,9 +414,9 @@ def _merge_cte(name: str, source: str, level: int, by: tuple[str, ...] = (), whe
         fields[c] = _REDUCE[c]
     keys = [*by, *_MERGE]
     reduced = ", ".join([*by, *[f"{v} AS {k}" for k, v in fields.items()]])
-    kept = ", ".join([*_SUMMED, *_LAST, "start_us", "end_us", "srcs", "dsts"])
+    kept = ", ".join([*_SUMMED, "ord", "start_us", "end_us", "srcs", "dsts"])
     sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _SUMMED)
-    lasts = ", ".join(f"arg_max({c}, end_us) AS {c}" for c in _LAST)
+    lasts = ", ".join(["max(ord) AS ord", *[f"max(ord).{c} AS {c}" for c in _LAST]])
     return f"""{name} AS (SELECT {", ".join(keys)}, {sums}, {lasts}, min(start_us) AS start_us, max(end_us) AS end_us,
   list_distinct(flatten(list(srcs))) AS srcs, list_distinct(flatten(list(dsts))) AS dsts
   FROM (SELECT {reduced}, {kept} FROM {source} WHERE {where}) GROUP BY {", ".join(keys)})"""
@@ -428,7 +431,8 @@ def _distinct_of(srcs: str, dsts: str) -> str:
 
 
 _COUNTED = _distinct_of("len(srcs)", "len(dsts)")
-_LISTED = "listed AS (SELECT *, [src_ip] AS srcs, [dst_ip] AS dsts FROM flows)"
+_LISTED = f"""listed AS (SELECT *, [src_ip] AS srcs, [dst_ip] AS dsts,
+  struct_pack(end_us := end_us, start_us := start_us, flow_no := flow_no, {", ".join(f"{c} := {c}" for c in _LAST)}) AS ord FROM flows)"""
 
 
 def _cascade(octets: int, levels: int = 4, by: tuple[str, ...] = (), mice: str = "true", source: str = "listed") -> list[str]:
@@ -460,6 +464,8 @@ _flows(
     _LISTED,
     _merge_cte("merged", "listed", 2),
 )
+_CLOSE = "true AS src_close, true AS dst_close"
+_flows("merge_flows_approx", f"SELECT {', '.join(_MERGE)}, octet_total, {_CLOSE} FROM merged", _LISTED, _merge_cte("merged", "listed", 2))
 _flows(
     "distinct_endpoints",
     f"SELECT {', '.join(_MERGE)}, {_COUNTED} FROM merged",
@@ -472,19 +478,27 @@ _flows(
     CAST(sum(original_completed) AS BIGINT) AS original_completed, CAST(sum(fin_count) AS BIGINT) AS fin_count FROM flows GROUP BY protocol""",
 )
 _flows("aggregate_cascade", "SELECT * FROM cascade", _LISTED, *_cascade(500))
+_flows(
+    "aggregate_cascade_approx", f"SELECT agg_level, {', '.join(_MERGE)}, octet_total, {_CLOSE} FROM cascade WHERE agg_level > 0", _LISTED, *_cascade(500)
+)
 _flows("aggregate_finished", "SELECT * FROM cascade", _LISTED, *_cascade(500, 1, mice="end_reason = 3"))
 _TRIGGERED = f"triggered AS (SELECT *, end_us // {B.DAY_US} * {B.DAY_US} AS trigger_us FROM listed)"
 _flows("aggregate_every", "SELECT * FROM cascade", _LISTED, _TRIGGERED, *_cascade(500, by=("trigger_us",), source="triggered"))
 _ACTIVE = f"""changes AS (SELECT moment // {{width}} AS bucket, CAST(sum(step) AS BIGINT) AS change FROM
-  (SELECT start_us AS moment, 1 AS step FROM flows UNION ALL SELECT end_us, -1 FROM flows) GROUP BY 1),
-active AS (SELECT bucket * {{width}} AS bucket_us, change, CAST(sum(change) OVER (ORDER BY bucket) AS BIGINT) AS active FROM changes)"""
+  (SELECT start_us AS moment, 1 AS step FROM flows UNION ALL SELECT end_us + {B.IDLE_US}, -1 FROM flows) GROUP BY 1),
+moments AS (SELECT moment, sum(sum(step)) OVER (ORDER BY moment) AS held FROM
+  (SELECT start_us AS moment, 1 AS step FROM flows UNION ALL SELECT end_us + {B.IDLE_US}, -1 FROM flows) GROUP BY moment),
+highest AS (SELECT moment // {{width}} AS bucket, max(held) AS held FROM moments GROUP BY 1),
+closing AS (SELECT bucket, change, sum(change) OVER (ORDER BY bucket) AS active FROM changes),
+active AS (SELECT bucket * {{width}} AS bucket_us, change, CAST(active AS BIGINT) AS active,
+  CAST(greatest(held, active - change) AS BIGINT) AS peak FROM closing JOIN highest USING (bucket))"""
 _flows(
     "aggregate_auto",
     "SELECT * FROM cascade",
     _LISTED,
     _TRIGGERED,
     _ACTIVE.format(width=B.DAY_US),
-    "crossing AS (SELECT min(bucket_us) AS begins FROM active WHERE active > 225)",
+    "crossing AS (SELECT min(bucket_us) AS begins FROM active WHERE peak > 0.75 * 714)",
     *_cascade(500, by=("trigger_us",), source="triggered", mice="coalesce(trigger_us >= (SELECT begins FROM crossing), false)"),
 )
 
@@ -562,11 +576,12 @@ _flows(
 )
 _flows(
     "project_v5",
-    f"""SELECT src_ip AS "sourceAddress", dst_ip AS "destinationAddress", '0.0.0.0' AS "nextHop", 0 AS "inputInterface", 0 AS "outputInterface",
+    f"""SELECT CASE WHEN ip_version = 4 THEN src_ip ELSE '0.0.0.0' END AS "sourceAddress",
+    CASE WHEN ip_version = 4 THEN dst_ip ELSE '0.0.0.0' END AS "destinationAddress", '0.0.0.0' AS "nextHop", 0 AS "inputInterface", 0 AS "outputInterface",
     packet_delta % 4294967296 AS "packetCount", octet_delta % 4294967296 AS "octetCount", start_us // 1000 - {_INIT} AS "startSystemUpTime",
     end_us // 1000 - {_INIT} AS "endSystemUpTime", src_port AS "sourcePort", dst_port AS "destinationPort", 0 AS padding1,
     tcp_flags_or AS "tcpFlags", protocol AS "protocolType", first_tos AS "typeOfService", 0 AS "sourceAs", 0 AS "destinationAs",
-    0 AS "sourceMask", 0 AS "destinationMask", 0 AS padding2 FROM flows WHERE ip_version = 4""",
+    0 AS "sourceMask", 0 AS "destinationMask", 0 AS padding2 FROM flows""",
 )
 _flows("observation_ids", f'SELECT {ID}, packet_total, 124 AS "observationPointId", 3 AS "observationDomainId" FROM flows')
 _v6_or = lambda ip: f"CASE WHEN ip_version = 6 THEN {_v6(ip)} ELSE {ip} END"
@@ -593,7 +608,7 @@ _packets(
     f"""SELECT interface, count(*) AS captured, count(*) FILTER (WHERE (t // 1000000) % 14 < 4) AS sampled,
     count(*) FILTER (WHERE (t // 1000000) % 14 < 4 AND ({_REASON}) IS NOT NULL) AS rejected FROM packets GROUP BY interface""",
 )
-_flows("active_flow_count", "SELECT bucket_us, change, active FROM active", _ACTIVE.format(width=HOUR))
+_flows("active_flow_count", "SELECT bucket_us, change, active, peak FROM active", _ACTIVE.format(width=HOUR))
 _flows(
     "protocol_mix",
     f"""SELECT {_LABEL} AS label, count(*) AS flows, CAST(sum(packet_total) AS BIGINT) AS packets, CAST(sum(octet_total) AS BIGINT) AS octets

@@ -15,7 +15,7 @@ from packetflow.functions.scalars import expand_ipv6
 from packetflow.operators import aggregate, classify, clock, filters, flows, keys, records, reports, rtt, sampling
 from packetflow.plans import events as E
 from packetflow.schemas import APP_RULES, INTERFACES, SYN, TCP
-from packetflow.session import apply_runtime_conf, new_folder
+from packetflow.session import apply_runtime_conf, new_folder, settle
 from packetflow.sources.frames import decode_frames
 from packetflow.sources.packets import stream_packets, union_interfaces
 from packetflow.sources.sinks import stream_flows_to, write_flows
@@ -562,20 +562,23 @@ def _fits_in_force(spark, packets, sf_dir):
 @query
 def clock_as_of(spark, packets, sf_dir):
     timed = _fits_in_force(spark, packets, sf_dir)
-    return timed.select("packet_id", F.round(F.coalesce("clock.slope", F.lit(0.0)), 7).alias("slope"))
+    line = [F.coalesce(f"clock.{c}", F.lit(-1)).alias(c) for c in ("x0", "y0")]
+    intercept = F.round(F.coalesce("clock.intercept", F.lit(0.0)) / 1000).cast("bigint").alias("intercept_us")
+    return timed.select("packet_id", F.round(F.coalesce("clock.slope", F.lit(0.0)), 9).alias("slope"), *line, intercept)
 
 
 @query
 def correct_time(spark, packets, sf_dir):
     timed = clock.correct_time(_fits_in_force(spark, packets, sf_dir))
-    return timed.select("packet_id", F.round(F.col("corrected_ns") / 1e9, 1).alias("corrected_s"))
+    return timed.select("packet_id", F.expr("(corrected_ns + 500) div 1000").alias("corrected_us"))
 
 
 @query
 def corrected_flows(spark, packets, sf_dir):
-    """Clock correction before keying: protocol totals of flows on corrected time."""
-    timed = clock.correct_time(_fits_in_force(spark, packets, sf_dir)).withColumn("ts", F.col("corrected_ts"))
-    return reports.protocol_mix(_flows(timed.drop("clock"), ["packet_total", "octet_total"])).select("label", "packets", "octets")
+    """Clock correction before keying: flow records built on corrected time (whole milliseconds)."""
+    timed = clock.correct_time(_fits_in_force(spark, packets, sf_dir))
+    timed = timed.withColumn("ts", F.timestamp_millis(F.expr("(corrected_ns + 500000) div 1000000")))
+    return _report(_flows(timed.drop("clock"), ["packet_total", "octet_total"]), *_times(), "packet_total", "octet_total")
 
 
 @query
@@ -646,9 +649,19 @@ def merge_flows_additive(spark, packets):
     return _merged(aggregate.merge_flows(_reduced_flows(packets), distinct="additive"))
 
 
+def _close(approximate, exact, *extra):
+    """Merged flows with whether the sketches' counts lie within 5 % (or one) of the exact ones."""
+    keys = [*extra, *aggregate.MERGE_KEY]
+    counts = exact.select(*keys, F.col("distinct_src").alias("_src"), F.col("distinct_dst").alias("_dst"))
+    close = [(F.abs(F.col(f"distinct_{s}") - F.col(f"_{s}")) <= F.greatest(F.lit(1), 0.05 * F.col(f"_{s}"))).alias(f"{s}_close") for s in ("src", "dst")]
+    return approximate.join(counts, keys).select(*keys, "octet_total", *close)
+
+
 @query
 def merge_flows_approx(spark, packets):
-    return _merged(aggregate.merge_flows(_reduced_flows(packets), distinct="approx", endpoints=("end_src", "end_dst")))
+    flows, ends = settle(_reduced_flows(packets), "reduced"), ("end_src", "end_dst")
+    exact = aggregate.merge_flows(flows, endpoints=ends)
+    return _close(aggregate.merge_flows(flows, distinct="approx", endpoints=ends), exact)
 
 
 @query
@@ -671,7 +684,9 @@ def aggregate_cascade(spark, packets):
 
 @query
 def aggregate_cascade_approx(spark, packets):
-    return _merged(aggregate.aggregate_cascade(_agg_flows(packets), E.MICE_OCTETS, distinct="approx"), "agg_level")
+    flows = settle(_agg_flows(packets), "flows")
+    made = [aggregate.aggregate_cascade(flows, E.MICE_OCTETS, distinct=kind, settled=True).where("agg_level > 0") for kind in ("approx", "exact")]
+    return _close(*made, "agg_level")
 
 
 @query
@@ -685,14 +700,14 @@ def aggregate_every(spark, packets):
     return _merged(done, F.unix_micros("trigger").alias("trigger_us"), "agg_level")
 
 
-#: Small enough for three quarters of it to be in use after some days at the test scales.
-AUTO_CAPACITY = 300
+#: Three quarters of it are first in use after twelve days at scale 0.01: flows pass before and are merged after.
+AUTO_CAPACITY = 714
 
 
 @query
 def aggregate_auto(spark, packets):
     built = _agg_flows(packets)
-    done = aggregate.aggregate_auto(built, AUTO_CAPACITY, E.TRIGGER, octets=E.MICE_OCTETS)
+    done = aggregate.aggregate_auto(built, AUTO_CAPACITY, E.TRIGGER, E.IDLE, octets=E.MICE_OCTETS)
     return _merged(done, F.unix_micros("trigger").alias("trigger_us"), "agg_level")
 
 
@@ -786,8 +801,8 @@ def interface_counters(spark, packets):
 
 @query
 def active_flow_count(spark, packets):
-    counts = reports.active_flow_count(_flows(packets, []), "1 hour")
-    return counts.select(F.unix_micros("bucket_start").alias("bucket_us"), "change", "active")
+    counts = reports.active_flow_count(_flows(packets, []), "1 hour", E.IDLE)
+    return counts.select(F.unix_micros("bucket_start").alias("bucket_us"), "change", "active", "peak")
 
 
 @query

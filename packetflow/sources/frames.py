@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from packetflow.functions.scalars import compress_ipv6
 from packetflow.schemas import ICMP, ICMP6, IGMP, TCP, UDP
 
-# EtherTypes, header sizes, IPv6 extension headers, longest stored packet head.
+# EtherTypes, header sizes, IPv6 extension headers, bytes of a transport header that must be there.
 ETHERNET = 14
 ETHERTYPE_IPV4, ETHERTYPE_IPV6 = 0x0800, 0x86DD
 IPV6_HEADER = 40
 HOP_BY_HOP, ROUTING, FRAGMENT, AUTHENTICATION, DESTINATION, SHIM6 = 0, 43, 44, 51, 60, 140
-MAX_EXTENSIONS = 8
-STORED_BYTES = 512
+TRANSPORT_BYTES = {TCP: 20, UDP: 8, ICMP: 8, ICMP6: 8, IGMP: 8}
+DNS_BYTES = 12
 
 _SHORT = "frame too short"
 
@@ -52,7 +52,10 @@ def _ipv6_groups(offset: int) -> Column:
 
 
 def _walk_extensions() -> Column:
-    """Follow at most MAX_EXTENSIONS extension headers: next header, its offset, fragment word."""
+    """Follow the extension headers to the end: next header, its offset, fragment word.
+
+    A header has eight bytes at least, so the length of the frame bounds their number.
+    """
     start = F.struct(
         _number(ETHERNET + 6, 1).alias("next"),
         F.lit(ETHERNET + IPV6_HEADER).cast("bigint").alias("at"),
@@ -80,7 +83,8 @@ def _walk_extensions() -> Column:
             F.when(go & (next_header == FRAGMENT), word).otherwise(fragment).alias("fragment"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_EXTENSIONS)), start, step)
+    most = F.greatest(F.lit(1), F.floor((F.length(text) / 2 - ETHERNET - IPV6_HEADER) / 8).cast("int"))
+    return F.aggregate(F.sequence(F.lit(1), most), start, step)
 
 
 def decode_frames(frames: DataFrame) -> DataFrame:
@@ -138,6 +142,11 @@ def decode_frames(frames: DataFrame) -> DataFrame:
     rows = rows.withColumns(
         {"dns_id": field(8, 2, dns), "_dns_bits": F.coalesce(F.when(dns, _number(at + 10, 1)), zero).cast("int")}
     )
+    # A later fragment has no transport header; every other packet must hold it whole, DNS its own header too.
+    wanted = F.lit(0)
+    for number, size in TRANSPORT_BYTES.items():
+        wanted = F.when(protocol == number, F.lit(size)).otherwise(wanted)
+    wanted = F.when(readable, wanted).otherwise(F.lit(0))
     reason = (
         F.when(F.length("_hex") < 2 * (ETHERNET + 1), _SHORT)
         .when(~(v4 | v6), "not IP")
@@ -145,8 +154,10 @@ def decode_frames(frames: DataFrame) -> DataFrame:
         .when(v4 & (F.col("ip_hlength") < 20), "bad IP header length")
         .when(v4 & ~protocol.isin(TCP, UDP, ICMP, IGMP), "unsupported transport")
         .when(readable & v6 & ~protocol.isin(TCP, UDP, ICMP6), "unsupported transport")
+        .when(F.length("_hex") < 2 * (at + wanted), _SHORT)
         .when(tcp & (F.col("tcp_hlength") < 20), "bad TCP header length")
         .when(udp & (F.col("udp_length") < 8), "bad UDP length")
+        .when(dns & (F.length("_hex") < 2 * (at + TRANSPORT_BYTES[UDP] + DNS_BYTES)), _SHORT)
     )
     word = _number(ETHERNET, 4)
     first = "frame_id" if "frame_id" in frames.columns else "packet_id"
@@ -186,7 +197,7 @@ def decode_frames(frames: DataFrame) -> DataFrame:
         F.col("ip_hlength").alias("l3_hlength"),
         F.col("ip_length").alias("l3_length"),
         F.col("tcp_hlength").alias("l4_hlength"),
-        F.substr("frame", F.lit(ETHERNET + 1), F.least(F.col("ip_length"), F.lit(STORED_BYTES))).alias("ip_bytes"),
+        F.substr("frame", F.lit(ETHERNET + 1), F.col("ip_length")).alias("ip_bytes"),
         F.lit(0).alias("app_id"),
         reason.alias("reject_reason"),
     )

@@ -89,12 +89,12 @@ def test_auto_starts_at_three_quarters_and_stays_on(spark):
     long = [{"t": t, "src_port": p} for p in range(4) for t in (10 * p, 200)]
     rows = long + [{"t": 5, "src_port": 100}, {"t": 95, "src_port": 101}, {"t": 300, "src_port": 102}]
     built = flows.build_flows(table(spark, rows), idle="1 hour")
-    counts = reports.active_flow_count(built, "10 seconds")
-    assert collect(counts, "bucket_start", "active")[:4] == [(at(0), 1), (at(10), 2), (at(20), 3), (at(30), 4)]
-    done = aggregate.aggregate_auto(built, 4, "10 seconds", octets=10_000)
+    counts = reports.active_flow_count(built, "10 seconds", "1 hour")
+    assert collect(counts, "bucket_start", "active")[:4] == [(at(0), 2), (at(10), 3), (at(20), 4), (at(30), 5)]
+    done = aggregate.aggregate_auto(built, 4, "10 seconds", "1 hour", octets=10_000)
     got = collect(done.groupBy("agg_level").agg(F.sum("original_present").alias("n"), F.min("flow_end").alias("first")), "agg_level", "n", "first")
     assert got == [(0, 1, at(5)), (4, 6, at(95))]
-    never = aggregate.aggregate_auto(built, 400, "10 seconds", octets=10_000)
+    never = aggregate.aggregate_auto(built, 400, "10 seconds", "1 hour", octets=10_000)
     assert collect(never.select("agg_level").distinct(), "agg_level") == [(0,)]
 
 
@@ -115,4 +115,4 @@ def test_bad_options(six):
         with pytest.raises(ValueError):
             aggregate.aggregate_cascade(six, 1000, **bad)
     with pytest.raises(ValueError):
-        aggregate.aggregate_auto(six, 0, "1 second")
+        aggregate.aggregate_auto(six, 0, "1 second", "1 second")

@@ -50,6 +50,15 @@ def test_hosts_override_ports(spark, rules, most_inline):
     assert collect(done, "packet_id", "app_id") == [(1, 7), (2, 8), (3, 1), (4, 1), (5, 1)]
 
 
+@pytest.mark.parametrize("most_inline", [500, 0])
+def test_long_host_rules_count_on_both_paths(spark, most_inline):
+    long = "a" * 300
+    rules = spark.createDataFrame([(7, "long", "host", None, None, None, long, 1), (8, "short", "host", None, None, None, "aaa", 2)], APP_RULES)
+    hosts = spark.createDataFrame([(1, f"x{long}.net"), (2, "baaab"), (3, "a" * 299)], "packet_id long, host string")
+    done = classify.classify_by_host(hosts.withColumn("app_id", F.lit(0)), rules, most_inline=most_inline)
+    assert collect(done, "packet_id", "app_id") == [(1, 7), (2, 8), (3, 8)]
+
+
 def test_names(spark, rules):
     apps = spark.createDataFrame([(1, 1), (2, 0), (3, 55)], "packet_id int, app_id int")
     names = rules.select("app_id", "app_name")

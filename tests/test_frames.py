@@ -20,21 +20,31 @@ def ip6(next_header, payload=40):
 
 FRAMES = {
     "tcp": ETH4 + ip4(6) + TCP,
-    "udp": ETH4 + ip4(17) + UDP_DNS,
+    "udp": ETH4 + ip4(17) + UDP_DNS + "00" * 8,
     "icmp": ETH4 + ip4(1) + "08 01 0000 1234 0009",
     "igmp": ETH4 + ip4(2) + "16 00 0000 e0000001",
     "options": ETH4 + ip4(6, 7, 64) + TCP,
-    "udp6": ETH6 + ip6(17) + UDP_DNS,
+    "udp6": ETH6 + ip6(17) + UDP_DNS + "00" * 8,
     "icmp6": ETH6 + ip6(58) + "80 00 0000 1234 0009",
     "extensions": ETH6 + ip6(0) + "3c 00 000000000000" + "06 01" + "00" * 14 + TCP,
     "authentication": ETH6 + ip6(51) + "06 04" + "00" * 22 + TCP,
-    "first_fragment": ETH6 + ip6(44) + "11 00 0001 00000001" + UDP_DNS,
+    "first_fragment": ETH6 + ip6(44) + "11 00 0001 00000001" + UDP_DNS + "00" * 8,
     "later_fragment": ETH6 + ip6(44) + "11 00 0009 00000001" + "00" * 20,
     "encrypted": ETH6 + ip6(50) + "00" * 40,
     "short_header": ETH4 + "44" + ip4(6)[2:] + TCP,
     "short_tcp": ETH4 + ip4(6) + TCP.replace("50 12", "40 12"),
     "short_udp": ETH4 + ip4(17) + "1388 0035 0004 0000",
     "unsupported": ETH4 + ip4(47) + "00" * 20,
+    "twelve_extensions": ETH6 + ip6(0) + "3c 00 000000000000" * 11 + "06 00 000000000000" + TCP,
+    "tcp_cut": ETH4 + ip4(6) + TCP[:-5],
+    "tcp_ports_only": ETH4 + ip4(6) + "1f90 0050",
+    "tcp_gone": ETH4 + ip4(6),
+    "udp_cut": ETH4 + ip4(17) + "1388 0050 0008",
+    "udp_whole": ETH4 + ip4(17) + "1388 0050 0008 0000",
+    "icmp_cut": ETH4 + ip4(1) + "08 00 0000",
+    "icmp6_cut": ETH6 + ip6(58) + "80 00 0000 1234",
+    "dns_cut": ETH4 + ip4(17) + "1388 0035 0014 0000 abcd 8100",
+    "long_packet": ETH4 + ip4(17, total=1028) + "1388 0050 03f0 0000" + "5a" * 1000,
     "arp": "aabbccddeeff 020000000001 0806" + "00" * 30,
     "cut": ETH4,
 }
@@ -96,5 +106,20 @@ def test_rejects(decoded, name, reason):
 
 
 def test_good_frames_have_no_reason(decoded):
-    bad = {"short_header", "short_tcp", "short_udp", "unsupported", "encrypted", "arp", "cut"}
+    bad = {"short_header", "short_tcp", "short_udp", "unsupported", "encrypted", "arp", "cut", "dns_cut"}
+    bad |= {"tcp_cut", "tcp_ports_only", "tcp_gone", "udp_cut", "icmp_cut", "icmp6_cut"}
     assert {n for n, r in decoded.items() if r["reject_reason"]} == bad
+
+
+def test_any_number_of_extension_headers(decoded):
+    assert values(decoded["twelve_extensions"], "protocol", "src_port", "dst_port", "tcp_flags", "reject_reason") == (6, 8080, 80, 18, None)
+
+
+@pytest.mark.parametrize("name", ["tcp_cut", "tcp_ports_only", "tcp_gone", "udp_cut", "icmp_cut", "icmp6_cut", "dns_cut"])
+def test_cut_transport_headers_are_rejected(decoded, name):
+    assert decoded[name]["reject_reason"] == "frame too short"
+
+
+def test_whole_transport_headers_and_packets_pass(decoded):
+    assert decoded["udp_whole"]["reject_reason"] is None and decoded["later_fragment"]["reject_reason"] is None
+    assert decoded["long_packet"]["reject_reason"] is None and len(decoded["long_packet"]["ip_bytes"]) == 1028

@@ -138,8 +138,9 @@ def test_speed(spark):
 
 def test_active_counts(spark):
     rows = [{"t": 0}, {"t": 25}, {"t": 12, "src_port": 1}, {"t": 31, "src_port": 1}, {"t": 14, "src_port": 2}]
-    counts = reports.active_flow_count(flows.build_flows(table(spark, rows), idle="1 minute"), "10 seconds")
-    assert collect(counts, "bucket_start", "change", "active") == [(at(0), 1, 1), (at(10), 1, 2), (at(20), -1, 1), (at(30), -1, 0)]
+    counts = reports.active_flow_count(flows.build_flows(table(spark, rows), idle="1 minute"), "10 seconds", "1 second")
+    # The flow of one packet counts too: it takes a place until it has been idle.
+    assert collect(counts, "bucket_start", "change", "active", "peak") == [(at(0), 1, 1, 1), (at(10), 1, 2, 3), (at(20), -1, 1, 2), (at(30), -1, 0, 1)]
 
 
 def test_filters_by_hand(spark):
