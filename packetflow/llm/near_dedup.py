@@ -53,7 +53,7 @@ class WordHashes(dict):
     """word -> 64-bit hash; forgets everything when it has grown too large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -231,21 +231,17 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def banded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            yield pa.array(bands_of(as_bytes(texts), idf.value), pa.list_(pa.int64()))
+    signature = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
-    @F.arrow_udf(T.BinaryType())
-    def digests(texts: pa.Array) -> pa.Array:
-        out = []
-        for raw in as_bytes(texts):
-            words = words_of(raw)
-            out.append(xxhash.xxh3_128_digest(b"w" + b" ".join(words) if words else b"t" + raw))
-        return pa.array(out, pa.binary())
+    @F.arrow_udf(signature)
+    def signatures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            raw = as_bytes(texts)
+            digests = [xxhash.xxh3_128_digest(b"w" + b" ".join(words) if words else b"t" + x) for x in raw for words in [words_of(x)]]
+            yield pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(bands_of(raw, idf.value), pa.list_(pa.int64()))], ["digest", "bands"])
 
     own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = settle(own.select("id", digests("text").alias("digest"), banded("text").alias("bands")), "bands")
+    signed = settle(own.select("id", signatures("text").alias("s")).select("id", "s.digest", "s.bands"), "bands")
     # Exact copies stand as one text: the smallest id.  Texts without words have no bands.
     copies = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.min("bands").alias("bands"))
     copies = settle(copies, "copies")
