@@ -15,6 +15,9 @@ FIT_ROWS = 60
 #: Samples per block of the rolling fit.
 BLOCK = 4096
 
+#: Pieces of drift lines up to which they are broadcast (about 100 bytes each).
+MOST_LINES = 500_000
+
 
 def clock_offset(sync: DataFrame) -> DataFrame:
     """Path delay and clock drift of each exchange (ns): sent t1, server t2, received t3."""
@@ -58,19 +61,39 @@ def drift_fit(sync: DataFrame, rows: int = FIT_ROWS, chunk=CHUNK) -> DataFrame:
     )
 
 
-def clock_as_of(packets: DataFrame, fits: DataFrame, chunk=CHUNK) -> DataFrame:
-    """Add to each packet the drift line in force at its time (``clock`` is null before the first)."""
+def clock_as_of(packets: DataFrame, fits: DataFrame, chunk=CHUNK, most_lines: int = MOST_LINES) -> DataFrame:
+    """Add to each packet the drift line in force at its time (``clock`` is null before the first).
+
+    Lines are few beside packets.  They become intervals cut at time buckets of about one line each, and packets look
+    theirs up by (observation point, bucket): packets stay where they are while the pieces are at most
+    ``most_lines``.  Beyond that, packets and lines are ordered together in time chunks; both give the same result.
+    """
     line = F.struct("slope", "intercept", "x0", "y0")
-    lines = fits.where("slope IS NOT NULL").select(
-        "obs_point",
-        F.expr("(t3 + 999) div 1000").alias("_t"),
-        F.lit(0).alias("_kind"),
-        F.col("seq").alias("_order"),
-        line.alias("_line"),
-    )
-    lines = settle(lines, "drift-lines")  # few rows from a long plan, used three times
+    known = fits.where("slope IS NOT NULL").select("obs_point", F.expr("(t3 + 999) div 1000").alias("_t"), F.col("seq").alias("_order"), line.alias("_line"))
+    lines = settle(known, "drift-lines")  # few rows from a long plan, used several times
+    points, number, span = lines.groupBy("obs_point").agg(F.count(F.lit(1)).alias("n"), (F.max("_t") - F.min("_t")).alias("span")).agg(
+        F.count(F.lit(1)), F.sum("n"), F.sum("span")
+    ).first()
+    # Buckets of the mean length of an interval: an interval is cut into two pieces on average.
+    if 2 * (number or 0) + points > most_lines:
+        return _clock_in_order(packets, lines, chunk)
+    width = max(1, (span or 0) // max(1, number or 1))
+    newest = lines.groupBy(F.col("obs_point").alias("_point"), F.col("_t").alias("_from")).agg(F.max_by("_line", "_order").alias("_line"))
+    until = F.lead("_from").over(Window.partitionBy("_point").orderBy("_from"))
+    ranges = newest.withColumn("_until", until)
+    pieces = ranges.where("_until IS NOT NULL").withColumn("_bucket", F.explode(F.expr(f"sequence(_from div {width}, (_until - 1) div {width})")))
+    last = ranges.where("_until IS NULL").select(F.col("_point").alias("_last_point"), F.col("_from").alias("_last_from"), F.col("_line").alias("_last"))
+    t = F.unix_micros("ts")
+    inside = (F.col("obs_point") == F.col("_point")) & (F.col("_at") == F.col("_bucket")) & (F.col("_us") >= F.col("_from")) & (F.col("_us") < F.col("_until"))
+    timed = packets.withColumn("_us", t).withColumn("_at", F.expr(f"_us div {width}"))
+    found = timed.join(F.broadcast(pieces), inside, "left").join(F.broadcast(last), F.col("obs_point") == F.col("_last_point"), "left")
+    clock = F.coalesce("_line", F.when(F.col("_us") >= F.col("_last_from"), F.col("_last")))
+    return found.select(*packets.columns, clock.alias("clock"))
+
+
+def _clock_in_order(packets: DataFrame, lines: DataFrame, chunk) -> DataFrame:
     rows = packets.withColumns({"_t": F.unix_micros("ts"), "_kind": F.lit(1), "_order": F.col("packet_id")})
-    both = rows.unionByName(lines, allowMissingColumns=True)
+    both = rows.unionByName(lines.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
     found = carry_forward(both, ["obs_point"], F.col("_line"), "clock", tie=["_kind", "_order"], chunk=chunk)
     return found.where("_kind = 1").drop("_t", "_kind", "_order", "_line")
 

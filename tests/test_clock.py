@@ -45,17 +45,29 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert all(whole[s] is None or cut[s] == pytest.approx(whole[s], rel=1e-9, abs=1e-18) for s in whole)
 
 
-@pytest.mark.parametrize("chunk", ["1 second", "1 minute", "1 day"])
-def test_as_of_and_correction(spark, chunk):
+@pytest.mark.parametrize("chunk,most_lines", [("1 second", 0), ("1 minute", 0), ("1 day", 0), ("1 day", clock.MOST_LINES)])
+def test_as_of_and_correction(spark, chunk, most_lines):
     """The line in force is the newest at or before the packet; none before the second sample."""
     fits = clock.drift_fit(samples(spark, [1_000_000 * i for i in range(200)]))  # 1 ms per s
     packets = table(spark, [{"t": 0.5}, {"t": 1}, {"t": 150.25}, {"t": 500}, {"t": 5, "obs_point": 2}])
-    timed = clock.correct_time(clock.clock_as_of(packets, fits, chunk=chunk))
+    timed = clock.correct_time(clock.clock_as_of(packets, fits, chunk=chunk, most_lines=most_lines))
     assert packets.columns == timed.columns[: len(packets.columns)]
     got = collect(timed, "packet_id", "corrected_ts")
     assert got == [(1, at(0.5)), (2, at(0.999)), (3, at(150.25 - 0.15025)), (4, at(499.5)), (5, at(5))]
 
 
+def test_few_lines_leave_the_packets_where_they_are(spark):
+    fits = clock.drift_fit(samples(spark, [10**6 * i for i in range(50)] + [7]))
+    plan = clock.clock_as_of(table(spark, [{"t": 0.5}]), fits)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 2  # both over the lines
+    assert "strategy=broadcast" in plan and "Sort" not in plan
+    lines = [(1, 0, 5), (1, 1, 5), (1, 2, 9)]  # two lines at one instant: the later one counts
+    fits = spark.createDataFrame([(p, s, (BASE // 1000 + t) * 1000, float(s), 0.0, 0, 0) for p, s, t in lines], "obs_point int, seq long, t3 long, slope double, intercept double, x0 long, y0 long")
+    packets = table(spark, [{"t": t / 1e6} for t in (4, 5, 8, 9, 1000)])
+    for most in (0, clock.MOST_LINES):
+        assert collect(clock.clock_as_of(packets, fits, most_lines=most), "packet_id", "clock.slope") == [(1, None), (2, 1.0), (3, 1.0), (4, 2.0), (5, 2.0)]
+
+
 def test_precision(spark):
     row = clock.time_precision(table(spark, [{"t": 1.234567}])).first()
     assert (row["seconds"], row["millis"]) == (1704067201, 1704067201234)
