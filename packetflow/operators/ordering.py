@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetflow.functions.scalars import micros
+from packetflow.session import settle
 
 #: Default width of a time chunk.
 CHUNK = "1 minute"
@@ -28,21 +29,35 @@ def _names(tie: str | list[str]) -> list[str]:
     return [tie] if isinstance(tie, str) else list(tie)
 
 
-#: Rows from which a group counts as hot, and the most groups (or bursts) treated so.
+#: Rows from which a group counts as hot.
 HOT_ROWS = 1_000_000
-MOST_HOT_GROUPS = 20_000
+#: Hot groups (or bursts) up to which they are broadcast; more of them are a written table, joined with salt.
+MOST_BROADCAST_GROUPS = 20_000
 #: Rows a hot group is expected to have in the sample it is found in.
 SAMPLED_ROWS = 1_000
 #: Most parts a burst chunk is cut into.
 MOST_PARTS = 1_000_000
 
 
-def _largest(sample: DataFrame, by: list[str], limit: float) -> DataFrame | None:
-    """Groups with at least ``limit`` sampled rows and their number, as a local table of at most MOST_HOT_GROUPS rows."""
+def _largest(sample: DataFrame, by: list[str], limit: float) -> tuple[DataFrame, bool] | None:
+    """Groups with at least ``limit`` sampled rows and their number, and whether they are few; None if there are none.
+
+    Few of them are a local table; more are written, so they need not be found again.
+    """
     counted = sample.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    largest = counted.where(F.col("_n") >= limit).orderBy(F.desc("_n")).limit(MOST_HOT_GROUPS)
-    found = largest.collect()
-    return sample.sparkSession.createDataFrame(found, largest.schema) if found else None
+    largest = counted.where(F.col("_n") >= limit)
+    found = largest.limit(MOST_BROADCAST_GROUPS + 1).collect()
+    if len(found) > MOST_BROADCAST_GROUPS:
+        return settle(largest, "hot"), False
+    return (sample.sparkSession.createDataFrame(found, largest.schema), True) if found else None
+
+
+def _add(rows: DataFrame, groups: tuple[DataFrame, bool], on: list[str], salt: str) -> DataFrame:
+    """Left join with the groups of ``_largest``."""
+    table, few = groups
+    if few:
+        return rows.join(F.broadcast(table), on, "left")
+    return salted_lookup(rows, table, on, F.col(salt), how="left")
 
 
 def cut_into_chunks(
@@ -53,8 +68,7 @@ def cut_into_chunks(
     Hot groups have about ``rows`` rows or more (with ``always``, every group is cut).  A
     chunk that itself has that many, a burst, is cut into as many parts as it needs.
     Small jobs over a sample of the grouping columns find both.  What they find only
-    decides how the work is cut, never a result: a group they miss, or one beyond the
-    largest MOST_HOT_GROUPS, is done in one piece.
+    decides how the work is cut, never a result: a group they miss is done in one piece.
     """
     fraction = min(1.0, SAMPLED_ROWS / rows)
     limit = rows * fraction
@@ -68,15 +82,16 @@ def cut_into_chunks(
         hot = _largest(sample, by, limit)
         if hot is None:
             return None
-        hot = F.broadcast(hot.select(*by, F.lit(True).alias("_hot")))
-        sample = sample.join(hot, by).drop("_hot")
-        timed = timed.join(hot, by, "left")
+        hot = (hot[0].select(*by, F.lit(True).alias("_hot")), hot[1])
+        sample = _add(sample, hot, by, "_at").where("_hot").drop("_hot")
+        timed = _add(timed, hot, by, t)
         is_hot = F.coalesce("_hot", F.lit(False))
     bursts = _largest(sample, [*by, "_at"], limit)
     part = "0"
     if bursts is not None:
         parts = F.least(F.lit(MOST_PARTS), F.ceil(F.col("_n") / F.lit(limit)) + 1)
-        timed = timed.join(F.broadcast(bursts.select(*by, "_at", parts.cast("bigint").alias("_parts"))), [*by, "_at"], "left")
+        bursts = (bursts[0].select(*by, "_at", parts.cast("bigint").alias("_parts")), bursts[1])
+        timed = _add(timed, bursts, [*by, "_at"], t)
         part = f"((`{t}` - _at * {width}) * coalesce(_parts, 1L)) div {width}"
     number = F.expr(f"_at * {MOST_PARTS} + {part}")
     return timed.select(*df.columns, F.when(is_hot, number).otherwise(F.lit(-1)).cast("bigint").alias("_chunk"))

@@ -666,3 +666,7 @@ _flows(
     f"listed AS (SELECT *, [src_ip] AS srcs, [dst_ip] AS dsts FROM flows WHERE {_CLOSED})",
     *_cascade(500),
 )
+
+# Cut into chunks or not, the records are the same.
+ORACLE["build_flows_hot_keys"] = ORACLE["build_flows_biflow"]
+ORACLE["rtt_pairs_consume_hot_keys"] = ORACLE["rtt_pairs_consume"]

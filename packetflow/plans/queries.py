@@ -352,6 +352,16 @@ def build_flows_biflow(spark, packets):
     return _flows(packets, _TOTALS).select(*ID, *_times(), "end_reason", *_TOTALS)
 
 
+#: Packets from which a key counts as hot in the queries that check the cut paths.
+FEW_ROWS = 20
+
+
+@query
+def build_flows_hot_keys(spark, packets):
+    """The same records with every larger key cut into time chunks."""
+    return _flows(packets, _TOTALS, hot_rows=FEW_ROWS, chunk="1 day").select(*ID, *_times(), "end_reason", *_TOTALS)
+
+
 @query
 def build_flows_interim(spark, packets):
     """With an interim record per active period."""
@@ -471,6 +481,13 @@ def rtt_pairs_consume(spark, packets):
     return _pairs(rtt.rtt_pairs(_split(packets), E.PAIR_TIMEOUT, consume=True))
 
 
+@query
+def rtt_pairs_consume_hot_keys(spark, packets):
+    """The same pairs with every larger key cut into time chunks."""
+    split = flows.split_flows(keys.biflow_key(packets), E.IDLE, chunk="1 day", hot_rows=FEW_ROWS)
+    return _pairs(rtt.rtt_pairs(split, E.PAIR_TIMEOUT, consume=True))
+
+
 @query
 def rtt_summary(spark, packets):
     summary = rtt.rtt_summary(rtt.rtt_pairs(_split(packets), E.PAIR_TIMEOUT))

@@ -137,6 +137,15 @@ def test_hot_keys_change_nothing(spark, seed, chunk):
     assert collect(plain, *plain.columns) == collect(cut, *plain.columns)
 
 
+def test_many_hot_keys_are_joined_with_salt(spark, monkeypatch):
+    packets = table(spark, random_rows(6, 300)).cache()
+    options = {"idle": "20 seconds", "biflow": True, "chunk": "1 minute", "hot_rows": 10}
+    few = flows.build_flows(packets, **options)
+    got = collect(few, *few.columns)
+    monkeypatch.setattr("packetflow.operators.ordering.MOST_BROADCAST_GROUPS", 1)
+    assert collect(flows.build_flows(packets, **options), *few.columns) == got
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_invariants(spark, seed):
     rows = random_rows(seed, 300)
