@@ -200,11 +200,11 @@ _split("split_idle", "SELECT packet_id, flow_no, direction, t0 AS start_us FROM
 _split("split_fin", "SELECT packet_id, flow_no, direction, t0 AS start_us FROM split")
 _split("slice_active", f"SELECT packet_id, flow_no, (t - t0) // {B.ACTIVE_US} AS slice FROM split")
 _flows("end_reason", f"SELECT {ID}, end_reason, {TIMES}, packet_total FROM flows")
-_EARLY = B.PACKETS.rstrip().removesuffix("FROM b)") + "FROM b WHERE ts < TIMESTAMP '2024-01-26 00:00:00')"
-_sql(
+_flows(
     "force_end",
-    [_EARLY, B.keyed(), B.split(), B.flows()],
-    "SELECT protocol, count(*) AS open_flows, CAST(sum(packet_total) AS BIGINT) AS packets FROM flows WHERE end_reason = 4 GROUP BY protocol",
+    f"""SELECT {ID}, {TIMES}, packet_total FROM flows
+    WHERE NOT fin_end AND epoch_us(TIMESTAMP '2024-02-01 00:00:00') - end_us <= {B.IDLE_US}""",
+    biflow=False,
 )
 _split(
     "start_after_export",
@@ -331,11 +331,10 @@ _flows(
     _WITH_RTT,
 )
 _BY_PORT = """CASE WHEN protocol = 6 AND (dst_port BETWEEN 40000 AND 40199 OR src_port BETWEEN 40000 AND 40199) THEN 5
-  WHEN protocol = 6 AND (dst_port IN (81, 8181) OR src_port IN (81, 8181)) THEN 1
-  WHEN protocol = 17 AND (dst_port BETWEEN 5061 AND 5062 OR src_port BETWEEN 5061 AND 5062) THEN 2
-  WHEN protocol IN (6, 17) AND (dst_port = 860 OR src_port = 860) THEN 3
-  WHEN protocol = 6 AND (dst_port = 3260 OR src_port = 3260) THEN 3
-  WHEN protocol = 6 AND (dst_port = 3000 OR src_port = 3000) THEN 4 ELSE 0 END"""
+  WHEN protocol = 6 AND 80 IN (dst_port, src_port) THEN 1
+  WHEN protocol = 6 AND (dst_port BETWEEN 81 AND 89 OR src_port BETWEEN 81 AND 89) THEN 2
+  WHEN protocol = 17 AND (dst_port BETWEEN 5060 AND 5069 OR src_port BETWEEN 5060 AND 5069) THEN 3
+  WHEN protocol = 17 AND 53 IN (dst_port, src_port) THEN 4 ELSE 0 END"""
 _packets("classify_by_port", f"SELECT packet_id, {_BY_PORT} AS app_id FROM packets")
 _packets(
     "classify_by_host",
@@ -345,7 +344,7 @@ _packets(
 ORACLE["classify_by_host_pieces"] = ORACLE["classify_by_host"]
 _packets(
     "application_name",
-    f"""SELECT CASE {_BY_PORT} WHEN 1 THEN 'HTTP' WHEN 2 THEN 'SIP' WHEN 3 THEN 'iSCSI' WHEN 4 THEN 'ntop' WHEN 5 THEN 'Clients'
+    f"""SELECT CASE {_BY_PORT} WHEN 1 THEN 'Web' WHEN 2 THEN 'Admin' WHEN 3 THEN 'Voice' WHEN 4 THEN 'Names' WHEN 5 THEN 'Clients'
     ELSE 'Unknown' END AS app_name, count(*) AS packets, CAST(sum(ip_length) AS BIGINT) AS octets FROM packets GROUP BY 1""",
 )
 _packets("application_id", "SELECT packet_id, 100663296 + app_id AS application_id FROM packets")

@@ -319,12 +319,9 @@ def end_reason(spark, packets):
 
 @query
 def force_end(spark, packets):
-    """Flows still open five days before the end of input, by protocol."""
-    early = packets.where("ts < timestamp'2024-01-26 00:00:00'")
-    built = _flows(early, ["packet_total", "last_tcp_flags"], biflow=False)
-    return flows.force_end(built, E.IDLE).groupBy("protocol").agg(
-        F.count(F.lit(1)).alias("open_flows"), F.sum("packet_total").alias("packets")
-    )
+    """Flows still open at midnight after the last day, when an operator flushes the table."""
+    built = _flows(packets, ["packet_total", "last_tcp_flags"], biflow=False)
+    return _report(flows.force_end(built, E.IDLE, horizon="2024-02-01 00:00:00"), *_times(), "packet_total")
 
 
 @query
@@ -504,13 +501,10 @@ def flow_rtt(spark, packets):
 
 # Rule tables are settings: (app_id, app_name, kind, protocol, port_lo, port_hi, host, priority).
 APP_RULE_ROWS = [
-    (1, "HTTP", "port", 6, 81, 81, None, 10),
-    (1, "HTTP", "port", 6, 8181, 8181, None, 10),
-    (2, "SIP", "port", 17, 5061, 5062, None, 20),
-    (3, "iSCSI", "port", 6, 860, 860, None, 30),
-    (3, "iSCSI", "port", 17, 860, 860, None, 30),
-    (3, "iSCSI", "port", 6, 3260, 3260, None, 30),
-    (4, "ntop", "port", 6, 3000, 3000, None, 40),
+    (1, "Web", "port", 6, 80, 80, None, 10),
+    (2, "Admin", "port", 6, 81, 89, None, 10),
+    (3, "Voice", "port", 17, 5060, 5069, None, 20),
+    (4, "Names", "port", 17, 53, 53, None, 30),
     (5, "Clients", "port", 6, 40000, 40199, None, 5),
     (6, "CDN", "host", None, None, None, "cdn.example", 1),
     (7, "Seven", "host", None, None, None, "u7.", 2),
