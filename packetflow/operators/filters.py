@@ -32,13 +32,17 @@ def capture_filter(df: DataFrame, predicate: str | dict[str, str]) -> DataFrame:
     if isinstance(predicate, str):
         condition = _usable(df, predicate)
         return df if condition is None else df.where(condition)
-    usable = {name: _usable(df, text) for name, text in predicate.items()}
-    usable = {name: condition for name, condition in usable.items() if condition is not None}
+    # Interfaces with one and the same predicate are one set.
+    names: dict[str, list[str]] = {}
+    for name, text in predicate.items():
+        names.setdefault(text, []).append(name)
+    usable = {text: condition for text in names if (condition := _usable(df, text)) is not None}
     if not usable:
         return df
-    keep = ~F.col("interface").isin(list(usable))
-    for name, condition in usable.items():
-        keep = keep | ((F.col("interface") == name) & condition)
+    on = F.col("interface")
+    keep = ~on.isin([n for text in usable for n in names[text]])
+    for text, condition in usable.items():
+        keep = keep | (on.isin(names[text]) & condition)
     return df.where(keep)
 
 

@@ -107,61 +107,58 @@ def sample_time_decay(df: DataFrame, start_s: int, end_s: int, seed: int = 0) ->
     return df.where(hash_fraction(F.col("packet_id"), seed) < chance)
 
 
-def interface_settings(interfaces: DataFrame | Iterable[dict], most: int = 10_000) -> list[dict]:
-    """Interface settings as dicts; a hand-written table, refused above ``most`` rows."""
-    if not isinstance(interfaces, DataFrame):
-        return [dict(row) for row in interfaces]
-    rows = interfaces.limit(most + 1).collect()
+def interface_settings(interfaces: DataFrame | Iterable[dict], most: int = 100_000) -> list[dict]:
+    """Interface settings as dicts, one per interface; refused above ``most`` rows, which bounds the broadcast."""
+    rows = [row.asDict() for row in interfaces.limit(most + 1).collect()] if isinstance(interfaces, DataFrame) else [dict(row) for row in interfaces]
     if len(rows) > most:
         raise ValueError(f"more than {most} interface settings")
-    return [row.asDict() for row in rows]
+    if len({row["name"] for row in rows}) < len(rows):
+        raise ValueError("an interface is listed twice")
+    return rows
+
+
+def _checked(row: dict) -> tuple[str, int, float | None, float | None]:
+    rule, p1, p2 = int(row["sampling_type"]), row.get("param1"), row.get("param2")
+    if rule in (COUNT, TIME):
+        _positive(param1=p1, param2=p2)
+    elif rule == N_OF_N:
+        _n_of_n_limits(p1, p2)
+    elif rule == UNIFORM and not 0 <= p1 <= 100:
+        raise ValueError(f"percent must be between 0 and 100, not {p1!r}")
+    return row["name"], rule, None if p1 is None else float(p1), None if p2 is None else float(p2)
 
 
 def sample_by_interface(df: DataFrame, interfaces, seed: int = 0, chunk=CHUNK) -> DataFrame:
     """Apply each interface's own rule.  Packets of unlisted interfaces and unknown rules are dropped.
 
-    Each branch filters on its interfaces first, so a branch scans only what it keeps.
+    The settings are joined on the interface, so their number does not show in the plan.  One branch holds all rules that
+    look at a packet alone, one all that need its running number.
     """
-    settings = interface_settings(interfaces)
-    on, t = F.col("interface"), F.unix_seconds("ts")
-    narrow: Column | None = None
-    branches: list[DataFrame] = []
-    for row in settings:
-        rule, p1, p2 = int(row["sampling_type"]), row.get("param1"), row.get("param2")
-        if rule == COUNT:
-            _positive(param1=p1, param2=p2)
-        elif rule == TIME:
-            _positive(param1=p1, param2=p2)
-        elif rule == N_OF_N:
-            _n_of_n_limits(p1, p2)
-        elif rule == UNIFORM and not 0 <= p1 <= 100:
-            raise ValueError(f"percent must be between 0 and 100, not {p1!r}")
-        chance = hash_fraction(F.col("packet_id"), seed)
-        kept = {
-            NONE: lambda: F.lit(True),
-            TIME: lambda: F.pmod(t, F.lit(p1 + p2)) < p1,
-            UNIFORM: lambda: chance < F.lit(p1 / 100.0),
-            TIME_DECAY: lambda: chance < _decay(t.cast("double"), F.lit(float(p1)), F.lit(float(p2))),
-        }.get(rule)
-        if kept is not None:
-            condition = (on == row["name"]) & kept()
-            narrow = condition if narrow is None else narrow | condition
-    if narrow is not None:
-        branches.append(df.where(narrow))
-    for rule in (COUNT, N_OF_N):
-        chosen = [row for row in settings if int(row["sampling_type"]) == rule]
-        if not chosen:
-            continue
-        ranked = global_rank(_timed(df.where(on.isin([row["name"] for row in chosen]))), ["interface"], chunk=chunk)
-        p1 = reduce(lambda c, row: F.when(on == row["name"], F.lit(row["param1"])).otherwise(c), chosen, F.lit(None))
-        p2 = reduce(lambda c, row: F.when(on == row["name"], F.lit(row["param2"])).otherwise(c), chosen, F.lit(None))
-        if rule == COUNT:
-            kept_rows = ranked.where(F.pmod(F.col("rank") - 1, p1 + p2) < p1)
-        else:
-            kept_rows = _pick_in_runs(ranked, ["interface"], p1, p2, seed)
-        branches.append(kept_rows.drop("rank", "_t"))
-    if not branches:
+    settings = [_checked(row) for row in interface_settings(interfaces)]
+    if not settings:
         return df.where(F.lit(False))
+    table = df.sparkSession.createDataFrame(settings, "_name string, _rule int, _p1 double, _p2 double")
+    joined = df.join(F.broadcast(table), F.col("interface") == F.col("_name"))
+    rule, p1, p2 = F.col("_rule"), F.col("_p1"), F.col("_p2")
+    rules = {rule for _, rule, *_ in settings}
+    branches = []
+    if rules - {COUNT, N_OF_N}:
+        chance, t = hash_fraction(F.col("packet_id"), seed), F.unix_seconds("ts")
+        kept = (
+            F.when(rule == NONE, F.lit(True))
+            .when(rule == TIME, F.pmod(t, (p1 + p2).cast("long")) < p1)
+            .when(rule == UNIFORM, chance < p1 / 100.0)
+            .when(rule == TIME_DECAY, chance < _decay(t.cast("double"), p1, p2))
+        )
+        branches.append(joined.where(kept).select(*df.columns))
+    if rules & {COUNT, N_OF_N}:
+        ranked = global_rank(_timed(joined.where(rule.isin(COUNT, N_OF_N))), ["interface"], chunk=chunk)
+        # Runs of keep + skip, or of N, packets; the first ones stay, in their own order or in a drawn one.
+        size = F.when(rule == COUNT, p1 + p2).otherwise(p2)
+        runs = ranked.withColumn("_run", F.floor((F.col("rank") - 1) / size))
+        order = Window.partitionBy("interface", "_run").orderBy("_own", "_draw", "packet_id")
+        drawn = runs.withColumns({"_own": F.when(rule == COUNT, F.col("rank")), "_draw": hash_order(F.col("packet_id"), seed)})
+        branches.append(drawn.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= p1).select(*df.columns))
     return reduce(DataFrame.unionByName, branches)
 
 

@@ -70,6 +70,17 @@ def test_by_interface(packets):
     assert collect(sampling.sample_by_interface(packets, other).groupBy("interface").agg(F.count("*").alias("n")), "interface", "n") == [("eth0", 28)]
 
 
+def test_thousands_of_interfaces_are_a_join(packets):
+    rules = [{"name": f"x{i}", "filter": "ip_length > 5" if i % 2 else None, "sampling_type": i % 6, "param1": 1 + i % 3, "param2": 4} for i in range(5000)]
+    rules.append({"name": "eth0", "filter": "ip_length > 5", "sampling_type": 1, "param1": 4, "param2": 10})
+    chosen = sampling.apply_interfaces(packets, rules)
+    text = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in text and text.count("CASE WHEN") < 20
+    assert chosen.count() == 8
+    with pytest.raises(ValueError, match="twice"):
+        sampling.sample_by_interface(packets, [rules[0], rules[0]])
+
+
 @pytest.mark.parametrize(
     "call",
     [
