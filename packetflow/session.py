@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,9 +59,25 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.gettempdir()
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder name nobody else uses, inside the shared folder."""
-    return f"{shared_dir(spark)}/packetflow-{name}-{uuid.uuid4().hex}"
+    """A folder name nobody else uses, inside the shared folder (or the scratch folder that is open)."""
+    return f"{_scratch.get() or shared_dir(spark)}/packetflow-{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside go to one folder, which is deleted at the end: write results before that."""
+    folder = new_folder(spark, "scratch")
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from packetflow.session import scratch
+
 
 def dated(flows: DataFrame) -> DataFrame:
     return flows.withColumn("flow_date", F.to_date("flow_end"))
@@ -31,10 +33,12 @@ def stream_flows_to(
     after a failure replaces its first try instead of adding to it.
     """
     def write(batch: DataFrame, number: int) -> None:
-        out = batch if transform is None else transform(batch)
-        dated(out).hint("rebalance", "flow_date").write.mode("overwrite").partitionBy("flow_date").parquet(
-            f"{path}/batch={number}"
-        )
+        # Tables that the transformation writes on its way go when the batch is stored.
+        with scratch(batch.sparkSession):
+            out = batch if transform is None else transform(batch)
+            dated(out).hint("rebalance", "flow_date").write.mode("overwrite").partitionBy("flow_date").parquet(
+                f"{path}/batch={number}"
+            )
 
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
     if trigger:

@@ -1,6 +1,7 @@
 """Streams replayed over files agree with the batch operators."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,6 +91,7 @@ def test_aggregate_and_sink(spark, folder, packets, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "out"))
     assert tuple(stored.agg(F.sum("packet_total"), F.sum("octet_total")).first()) == tuple(total)
     assert {r[0] for r in stored.select("agg_level").distinct().collect()} >= {0, 4}
+    assert not list(Path(spark.conf.get("spark.checkpoint.dir")).glob("packetflow-scratch-*"))  # nothing is left of a batch
 
     again = streaming.stream_flows(stream(spark, folder), IDLE, None, LATE, biflow=True)
     stream_flows_to(again, str(tmp_path / "sink"), str(tmp_path / "c2"), availableNow=True).awaitTermination()
