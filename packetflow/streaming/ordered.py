@@ -8,6 +8,7 @@ depend on how the stream was cut into batches.
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: Handles ready rows: (key, sorted rows, carried state, watermark µs) ->
@@ -62,10 +64,27 @@ def ordered_by_key(stream: DataFrame, by: list[str], late: str, step: Step, outp
     )
 
 
-def late_rows(query) -> int:
-    """Rows dropped so far because they came after the watermark."""
-    dropped = 0
-    for progress in query.recentProgress:
-        for operator in progress["stateOperators"]:
-            dropped += operator["numRowsDroppedByWatermark"]
-    return dropped
+class LateRows(StreamingQueryListener):
+    """Counts the rows each query has dropped because they came after the watermark, from its start on.
+
+    Register it before the query starts: ``spark.streams.addListener(late := LateRows())``; ``late.of(query)`` then
+    tells the number so far.  A query's own ``recentProgress`` forgets all but its last batches.
+    """
+
+    def __init__(self) -> None:
+        self.dropped: Counter[str] = Counter()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.dropped[str(event.progress.runId)] += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def of(self, query) -> int:
+        return self.dropped[str(query.runId)]

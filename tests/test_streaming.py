@@ -11,7 +11,7 @@ from packetflow.operators import flows, keys, rtt
 from packetflow.sources.packets import stream_packets
 from packetflow.sources.sinks import stream_flows_to, write_flows
 from packetflow.streaming import flows as streaming
-from packetflow.streaming.ordered import late_rows
+from packetflow.streaming.ordered import LateRows
 
 IDLE, ACTIVE, LATE = "20 seconds", "15 seconds", "30 seconds"
 FIELDS = [
@@ -78,8 +78,14 @@ def test_late_packets_are_dropped_and_counted(spark, tmp_path):
     path = str(tmp_path / "p")
     for number, t in enumerate([0, 500, 510, 1, 1000]):
         table(spark, [{"t": t, "packet_id": number, "src_port": number}]).drop("ip_bytes").coalesce(1).write.mode("append").parquet(path)
-    got, query = drain(spark, streaming.stream_flows(stream(spark, path), IDLE, None, LATE), tmp_path, "late_done")
-    assert late_rows(query) == 1
+    late = LateRows()
+    spark.streams.addListener(late)
+    try:
+        got, query = drain(spark, streaming.stream_flows(stream(spark, path), IDLE, None, LATE), tmp_path, "late_done")
+        spark._jsparkSession.sparkContext().listenerBus().waitUntilEmpty()
+        assert late.of(query) == 1
+    finally:
+        spark.streams.removeListener(late)
     assert collect(got, "src_port") == [(0,), (1,), (2,)]
 
 
