@@ -11,7 +11,7 @@ one at 0.85 with 0.9995.  Exact copies are put together first and stand as one t
 value (a bucket) are never paired with each other: all are compared with up to four of them, the hubs, by four different orders.  Each
 comparison reads both whole texts and computes the similarity itself.  Verified links make the classes (connected
 components).  Where a bucket holds several classes, another hub is taken from outside its first class and compared
-with all documents of the others, pass after pass until one finds no further link.
+with all documents of the others, pass after pass until one adds no more than LEAST_GAIN of the links.
 
 Only samples, identifiers and links are shuffled, and the texts of documents that share a bucket.  Joins are plain equi-joins, which
 adaptive execution splits where a hub is hot; minima per bucket are combined before the shuffle.
@@ -42,6 +42,9 @@ SAMPLES, BANDS, ROWS = 30, 40, 5
 IDF_BUCKETS = 1 << 18
 SEED = 20_11
 
+#: Passes over mixed buckets go on while one adds more than this share of the links.
+LEAST_GAIN = 0.001
+
 _U64 = np.uint64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U64)
 _MIX = (_U64(0xFF51AFD7ED558CCD), _U64(0xC4CEB9FE1A85EC53))
@@ -255,8 +258,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     tested = settle(as_pairs(met), "pairs")
     links = settle(verified(tested, involved, idf, similarity), "similar")
     roots = settle(components(links), "roots")
-    waiting, found_any, turn = shared.select("band", "value", "rep"), True, 2
-    while found_any:
+    waiting, known, turn = shared.select("band", "value", "rep"), links.count(), 2
+    new = known + 1
+    while new > known * LEAST_GAIN:
         turn += 1
         labelled = waiting.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         mixed_buckets = labelled.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
@@ -266,8 +270,9 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         met = waiting.join(hubs, ["band", "value"]).where("root <> hub_root").select("rep", "hub")
         pairs = settle(as_pairs(met).join(tested, ["a", "b"], "left_anti"), "pairs")
         found = settle(verified(pairs, involved, idf, similarity), "similar")
-        found_any = not found.isEmpty()
-        if found_any:
+        new = found.count()
+        known += new
+        if new:
             tested, links, waiting = tested.union(pairs), links.union(found), waiting.select("band", "value", "rep")
             roots = settle(components(links), "roots")
     return members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"))
