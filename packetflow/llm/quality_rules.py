@@ -7,8 +7,8 @@ along the fixed grid of one rule the tests go from the most lenient cutoff down
 needs no further correction.  ``max_false_rejection`` is split over the rules, so a stratum loses at most that share of
 good documents to all of them together, with probability ``1 - alpha``.
 
-All of it is DataFrame expressions: every document is one row from start to end, nothing is exploded or shuffled but
-one row of counts per stratum.
+All of it is DataFrame expressions: a document is one row from start to end, and texts are never shuffled; only the
+numbers of labelled documents are, and counts.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null stratum is one of its own; several
 labels of a document count as its worst one, labels that are null or of unknown documents do not count; without enough
