@@ -10,8 +10,9 @@ documents agree in one sample with a probability of just that similarity, so a p
 one at 0.85 with 0.9995.  Exact copies are put together first and stand as one text.  The documents that share a band
 value (a bucket) are never paired with each other: all are compared with up to four of them, the hubs, by four different orders.  Each
 comparison reads both whole texts and computes the similarity itself.  Verified links make the classes (connected
-components).  Where a bucket holds several classes, another hub is taken from outside its first class and compared
-with all documents of the others, pass after pass until one adds no more than LEAST_GAIN of the links.
+components).  Where a bucket holds several classes, further hubs are taken from outside its largest class and compared with all
+documents of other classes, pass after pass, until every two documents that share a bucket are in one class or were compared.
+Pairs whose total weights differ too much to reach the similarity need no comparison.
 
 Only samples, identifiers and links are shuffled, and the texts of documents that share a bucket.  Joins are plain equi-joins, which
 adaptive execution splits where a hub is hot; minima per bucket are combined before the shuffle.
@@ -42,8 +43,8 @@ SAMPLES, BANDS, ROWS = 30, 40, 5
 IDF_BUCKETS = 1 << 18
 SEED = 20_11
 
-#: Passes over mixed buckets go on while one adds more than this share of the links.
-LEAST_GAIN = 0.001
+#: Hubs of a large mixed bucket in the first pass (twice as many in each that follows), and pairs up to which a bucket gets more.
+HUBS, BUCKET_PAIRS = 32, 1 << 14
 
 _U64 = np.uint64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U64)
@@ -123,11 +124,11 @@ def samples(shingles: np.ndarray, weights: np.ndarray, starts: np.ndarray, count
     return out
 
 
-def bands_of(texts: list[bytes], idf: np.ndarray) -> list[list[int] | None]:
-    """BANDS band values of each text; none for a text without words."""
+def bands_of(texts: list[bytes], idf: np.ndarray) -> tuple[list[list[int] | None], list[float]]:
+    """BANDS band values of each text, none for a text without words, and its total weight."""
     rng = np.random.default_rng(SEED)
     chosen = np.array([rng.choice(SAMPLES, ROWS, replace=False) for _ in range(BANDS)])
-    known, out = WordHashes(), [None] * len(texts)
+    known, out, sums = WordHashes(), [None] * len(texts), [0.0] * len(texts)
     held: list[tuple[int, np.ndarray, np.ndarray]] = []
 
     def flush() -> None:
@@ -147,12 +148,13 @@ def bands_of(texts: list[bytes], idf: np.ndarray) -> list[list[int] | None]:
         shingles, weights = weighted_set(text, idf, known)
         if len(shingles):
             held.append((i, shingles, weights))
+            sums[i] = float(weights.sum(dtype=np.float64))
             total += len(shingles)
         if total >= _CHUNK:
             flush()
             total = 0
     flush()
-    return out
+    return out, sums
 
 
 def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -207,6 +209,12 @@ def as_pairs(met: DataFrame) -> DataFrame:
     return met.where("rep <> hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
 
 
+def within_reach(pairs: DataFrame, weighed: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose total weights (rep, weight) allow the similarity: it is never above the lesser over the greater."""
+    pairs = pairs.join(weighed.select(F.col("rep").alias("a"), F.col("weight").alias("x")), "a").join(weighed.select(F.col("rep").alias("b"), F.col("weight").alias("y")), "b")
+    return pairs.where(F.least("x", "y") >= F.greatest("x", "y") * (similarity - 1e-6)).select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts (id, text) are similar enough."""
 
@@ -234,19 +242,20 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     spark = docs.sparkSession
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))
 
-    signature = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    signature = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("weight", T.DoubleType())])
 
     @F.arrow_udf(signature)
     def signatures(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             raw = as_bytes(texts)
             digests = [xxhash.xxh3_128_digest(b"w" + b" ".join(words) if words else b"t" + x) for x in raw for words in [words_of(x)]]
-            yield pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(bands_of(raw, idf.value), pa.list_(pa.int64()))], ["digest", "bands"])
+            bands, sums = bands_of(raw, idf.value)
+            yield pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sums, pa.float64())], ["digest", "bands", "weight"])
 
     own = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = settle(own.select("id", signatures("text").alias("s")).select("id", "s.digest", "s.bands"), "bands")
+    signed = settle(own.select("id", signatures("text").alias("s")).select("id", "s.digest", "s.bands", "s.weight"), "bands")
     # Exact copies stand as one text: the smallest id.  Texts without words have no bands.
-    copies = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.min("bands").alias("bands"))
+    copies = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.min("bands").alias("bands"), F.max("weight").alias("weight"))
     copies = settle(copies, "copies")
     members = signed.select("id", "digest").join(copies.select("digest", "rep"), "digest").select("id", "rep").distinct()
     buckets = copies.where(F.col("bands").isNotNull()).select("rep", F.posexplode("bands").alias("band", "value"))
@@ -257,23 +266,28 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     met = shared.select("rep", F.explode(F.array_distinct(F.array("low", "high", "one", "two"))).alias("hub"))
     tested = settle(as_pairs(met), "pairs")
     links = settle(verified(tested, involved, idf, similarity), "similar")
-    roots = settle(components(links), "roots")
-    waiting, known, turn = shared.select("band", "value", "rep"), links.count(), 2
-    new = known + 1
-    while new > known * LEAST_GAIN:
+    roots, turn = settle(components(links), "roots"), 2
+    waiting = shared.select("band", "value", "rep")
+    while True:
         turn += 1
         labelled = waiting.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        mixed_buckets = labelled.groupBy("band", "value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-        waiting = settle(labelled.join(mixed_buckets.select("band", "value", "low"), ["band", "value"]).select("band", "value", "rep", "root", "low"), "waiting")
-        order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("order"), "rep", "root")
-        hubs = waiting.where("root <> low").groupBy("band", "value").agg(F.min(order).alias("h")).select("band", "value", F.col("h.rep").alias("hub"), F.col("h.root").alias("hub_root"))
+        sizes = labelled.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"))
+        sizes = sizes.groupBy("band", "value").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("size"), F.max("n").alias("most")).where("most < size")
+        waiting = settle(labelled.join(sizes, ["band", "value"]), "waiting")
+        if waiting.isEmpty():
+            break
+        # All documents outside the largest class where they are few, else about so many, the same ones in every band.
+        wanted = F.greatest(F.lit(HUBS << min(turn - 3, 20)), (F.lit(BUCKET_PAIRS) / F.col("size")).cast("long"))
+        chosen = F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("size") - F.col("most")) < wanted
+        hubs = settle(waiting.where("root <> main").where(chosen).select("band", "value", F.col("rep").alias("hub"), F.col("root").alias("hub_root")), "hubs")
         met = waiting.join(hubs, ["band", "value"]).where("root <> hub_root").select("rep", "hub")
-        pairs = settle(as_pairs(met).join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = settle(within_reach(as_pairs(met), copies, similarity).join(tested, ["a", "b"], "left_anti"), "pairs")
         found = settle(verified(pairs, involved, idf, similarity), "similar")
-        new = found.count()
-        known += new
-        if new:
-            tested, links, waiting = tested.union(pairs), links.union(found), waiting.select("band", "value", "rep")
+        # A hub has met its whole bucket and leaves it.
+        waiting = waiting.join(hubs.withColumnRenamed("hub", "rep"), ["band", "value", "rep"], "left_anti").select("band", "value", "rep")
+        tested = tested.union(pairs)
+        if not found.isEmpty():
+            links = links.union(found)
             roots = settle(components(links), "roots")
     return members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"))
 

@@ -108,3 +108,23 @@ def test_keep_one(spark):
     assert kept.columns == COLUMNS
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 4, 6, 7, 8, 9, 10, 11, 12]
     assert nd.keep_one(docs(spark, odd_rows()).limit(0)).count() == 0
+
+
+def test_pairs_of_non_hubs_in_a_bucket_of_many_classes_are_found(spark, monkeypatch):
+    """Documents that all share one bucket, most of them alone in their class, with a few pairs between documents that are no early hub."""
+    rng = random.Random(9)
+    rows = [(i, sentence(rng, 120)) for i in range(60)]
+    rows += [(100 + i, edited(rng, rows[k][1], 1)) for i, k in enumerate([7, 19, 33, 48])]
+    real = nd.bands_of
+
+    def one_bucket(texts, idf):
+        got = real(texts, idf)
+        one = lambda bands: [b and [1] for b in bands]
+        return (one(got[0]), *got[1:]) if isinstance(got, tuple) else one(got)
+
+    monkeypatch.setattr(nd, "bands_of", one_bucket)
+    monkeypatch.setattr(nd, "HUBS", 4, raising=False)
+    monkeypatch.setattr(nd, "BUCKET_PAIRS", 1, raising=False)
+    got = {r.doc_id: r.class_id for r in nd.classes(docs(spark, rows)).collect()}
+    want = brute(rows)
+    assert len(set(want.values())) < len(rows) and got == want
