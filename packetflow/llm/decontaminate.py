@@ -1,7 +1,8 @@
 """Benchmark decontamination by a broadcast set of word windows.
 
 Every benchmark item is cut into windows of WINDOW consecutive normalised words (a shorter item is one window).  The
-windows of all items form a hash set that is broadcast; its size is checked first.  A task walks each document once: a
+windows of all items form a hash set that is broadcast.  A benchmark of more than MOST_WINDOWS words is broadcast in parts of about that many
+words each; a task holds the set of one part at a time, and a document is judged by the items and spans of all of them.  A task walks each document once: a
 rolling hash of its words (numbered by the benchmark's own vocabulary, 0 for any other word) finds candidates, and each
 candidate is compared word by word before it counts.  Documents are never shuffled.
 
@@ -23,10 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetflow.llm.tables import as_bytes, free_name, table
+from packetflow.session import settle
 
 WINDOW = 13
-#: The largest set that is broadcast: about 100 bytes a window in every Python worker.
+#: Words of benchmark that are broadcast as one set: about 100 bytes a window in every Python worker.
 MOST_WINDOWS = 1_000_000
+#: Text that a task holds while it walks it with one part after another.
+GROUP_BYTES = 32 << 20
 
 #: Bytes that separate words become spaces, A-Z becomes a-z; all separators are ASCII, so UTF-8 stays whole.
 _NORMAL = bytes(32 if b < 0x30 or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -96,30 +100,87 @@ def merged(found: list[tuple[int, int, set[str]]]) -> list[tuple[int, int]]:
     return spans
 
 
+def distinct_items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).distinct()
+
+
+def count_words(benchmark: DataFrame) -> int:
+    return distinct_items(benchmark).agg(F.sum(F.size(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))))).first()[0] or 0
+
+
 def collect_items(benchmark: DataFrame, window: int = WINDOW, most: int = MOST_WINDOWS) -> list[tuple[str, bytes]]:
     """The benchmark's distinct items, after a check that their windows are few enough to be broadcast."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).distinct()
-    words = items.agg(F.sum(F.size(F.regexp_extract_all(F.col("text").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))))).first()[0] or 0
+    items, words = distinct_items(benchmark), count_words(benchmark)
     if words > most:
         raise ValueError(f"the benchmark has {words} words, more than the {most} that are broadcast; split it and call once for each part")
     return [("" if r.item_id is None else r.item_id, bytes(r.text)) for r in items.collect()]
 
 
-def hits(spark: SparkSession, benchmark: DataFrame, text: Column, window: int = WINDOW) -> Column:
-    """A struct for each text: its words, its hit words, the items found (sorted as strings) and the hit spans in words."""
-    held = spark.sparkContext.broadcast(collect_items(benchmark, window))
+def pieces(benchmark: DataFrame, window: int, most: int) -> list[DataFrame]:
+    """The benchmark in parts that ``collect_items`` takes; an item of more words is cut into pieces that share window - 1 words."""
+    pieces_of = max(most // 4, window)
 
-    @F.arrow_udf(HITS)
-    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = WindowSet(held.value, window)
+    @F.arrow_udf(T.ArrayType(T.BinaryType()))
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = []
+            out = []
             for raw in as_bytes(texts):
                 words = words_of(raw)
-                found = known.find(words)
-                spans = merged(found)
-                rows.append({"n_words": len(words), "n_hit": sum(b - a for a, b in spans), "items": sorted(set().union(*[x for _, _, x in found])), "spans": [{"first": a, "last": b} for a, b in spans]})
-            yield pa.array(rows, _ARROW_HITS)
+                out.append([b" ".join(words[i : i + pieces_of + window - 1]) for i in range(0, max(len(words) - window + 1, 1), pieces_of)])
+            yield pa.array(out, pa.list_(pa.binary()))
+
+    texts = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.explode(cut("text")).alias("text"))
+    texts = texts.withColumn("text", F.col("text").cast("string")).distinct()
+    cuts = settle(texts.withColumn("n", F.size(F.split("text", " "))), "benchmark")
+    slots = 1 << 16
+    sizes = {r.slot: r.n for r in cuts.groupBy(F.pmod(F.xxhash64("item_id", "text"), F.lit(slots)).alias("slot")).agg(F.sum("n").alias("n")).collect()}
+    parts, first, total = [], 0, 0
+    slot = F.pmod(F.xxhash64("item_id", "text"), F.lit(slots))
+    for at in sorted(sizes):
+        if total and total + sizes[at] > most:
+            parts.append(cuts.where(slot.between(first, at - 1)).select("item_id", "text"))
+            first, total = at, 0
+        total += sizes[at]
+    return [*parts, cuts.where(slot >= first).select("item_id", "text")]
+
+
+def groups(batches: Iterator[pa.Array], least: int) -> Iterator[list[pa.Array]]:
+    """The batches in lists of about ``least`` bytes."""
+    held: list[pa.Array] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(x.nbytes for x in held) >= least:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def hits(spark: SparkSession, benchmark: DataFrame, text: Column, window: int = WINDOW, most: int = MOST_WINDOWS) -> Column:
+    """A struct for each text: its words, its hit words, the items found (sorted as strings) and the hit spans in words."""
+    parts = [benchmark] if count_words(benchmark) <= most else pieces(benchmark, window, most)
+    held = [spark.sparkContext.broadcast([("" if r.item_id is None else r.item_id, bytes(r.text)) for r in distinct_items(x).collect()]) for x in parts]
+
+    @F.arrow_udf(HITS)
+    def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        only = WindowSet(held[0].value, window) if len(held) == 1 else None
+        for group in groups(batches, 0 if only else GROUP_BYTES):
+            texts = [raw for batch in group for raw in as_bytes(batch)]
+            sizes, items, spans = [0] * len(texts), [set() for _ in texts], [[] for _ in texts]
+            for part in held:  # one set at a time
+                known = only or WindowSet(part.value, window)
+                for i, raw in enumerate(texts):
+                    words = words_of(raw)
+                    found = known.find(words)
+                    sizes[i] = len(words)
+                    items[i].update(*[x for _, _, x in found])
+                    spans[i] = merged(found + [(a, b, set()) for a, b in spans[i]])
+                del known
+            rows = [{"n_words": n, "n_hit": sum(b - a for a, b in cut), "items": sorted(x), "spans": [{"first": a, "last": b} for a, b in cut]} for n, x, cut in zip(sizes, items, spans)]
+            at = 0
+            for batch in group:
+                yield pa.array(rows[at : at + len(batch)], _ARROW_HITS)
+                at += len(batch)
 
     return scan(text)
 

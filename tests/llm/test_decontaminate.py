@@ -41,3 +41,16 @@ def test_odd_rows_empty_tables_and_the_bound(spark):
         raise AssertionError("not refused")
     except ValueError as error:
         assert "split it" in str(error)
+
+
+def test_a_benchmark_in_parts_finds_what_one_set_finds(spark):
+    rng = random.Random(6)
+    items = [(i, sentence(rng, 40)) for i in range(6)] + [(7, "only five words stand here"), (8, None), (9, sentence(rng, 300)), (9, items_end := sentence(rng, 30))]
+    bits = lambda k: " ".join(items[k][1].split()[5:20])
+    rows = [(1, sentence(rng, 50)), (2, sentence(rng, 300) + " " + " ".join(bits(k) for k in (0, 3))), (3, items[8][1]), (4, " ".join(bits(k) for k in range(6)) + " " + items_end), (5, None)]
+    whole = docs(spark, rows).select("doc_id", d.hits(spark, bench(spark, items), F.col("text")).alias("h")).collect()
+    parts = docs(spark, rows).select("doc_id", d.hits(spark, bench(spark, items), F.col("text"), most=100).alias("h")).collect()
+    assert len(d.pieces(bench(spark, items), d.WINDOW, 100)) > 3
+    assert sorted(map(repr, parts)) == sorted(map(repr, whole)) and any(len(r.h["items"]) > 5 for r in whole)
+    two = next(r.h for r in parts if r.doc_id == 2)
+    assert two.n_hit == 30 and 20 * 15 < two.n_words <= 20 * 30  # contaminated by both parts together only
