@@ -7,8 +7,9 @@ for each sectioning element, and each word of a class or id, the log-odds of wor
 over prior counts for the names that pages commonly use (menus, adverts, comments, ...).  For each tag, how much more often it
 comes per word outside than inside.
 
-Inside a marked article only what stands in a negative part (a form, a sidebar, comments) is left out; such parts score 0 there, so
-they never cut an article in two.
+``<article>`` and ``<main>`` are one feature among these, on every page: their weight, at most MOST_MARK, is added to the negative scores of
+the parts and tags inside them, so that a form or comments rarely cut an article in two.  They neither make the words of such a
+part text nor take words outside them from the text.  As the labels come from these marks, that weight itself is not put to the test.
 
 Defined cases: null and empty pages have the empty text; unclosed elements end with their parent or the page; text of a
 page without any markup is kept whole; repeated pages get equal texts; an empty table stays empty; other columns stay.
@@ -51,6 +52,8 @@ comments commentlist disqus reply replies respond form widget widgets toolbar pa
 INSIDE_NAMES = "article content main post entry story body text".split()
 #: Words that a name of the lists counts for before any page is seen.
 PRIOR = 50.0
+#: The most that a mark (``<article>``, ``<main>``) adds, as much as the worst part takes; every tag scores at most LEAST_TAG.
+MOST_MARK, LEAST_TAG = 3.0, -0.05
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</?[a-z][^<>]*\Z",
@@ -119,7 +122,7 @@ def counts(page: str) -> list[tuple[str, bool, int]]:
         if kind == "text":
             n = len(value.split())
             found["", inside] += n
-            for f in set(features) - CONTENT:
+            for f in set(features):
                 found[f, inside] += n
         else:
             found[f"<{value}", inside] += 1
@@ -133,39 +136,43 @@ class Weights:
         got = {(f, bool(i)): n for f, i, n in rows}
         words = {i: got.get(("", i), 0) + 1 for i in (True, False)}
         self.parts = {}
-        for f in {f for f, _ in got if f and f[0] != "<"} | NEVER | {"." + x for x in OUTSIDE_NAMES + INSIDE_NAMES}:
+        for f in {f for f, _ in got if f and f[0] != "<"} | NEVER | CONTENT | {"." + x for x in OUTSIDE_NAMES + INSIDE_NAMES}:
             prior_out = 1.0 + PRIOR * (f in NEVER or f[1:] in OUTSIDE_NAMES)
-            prior_in = 1.0 + PRIOR * (f[1:] in INSIDE_NAMES)
+            prior_in = 1.0 + PRIOR * (f in CONTENT or f[1:] in INSIDE_NAMES)
             self.parts[f] = math.log((got.get((f, True), 0) + prior_in) / (got.get((f, False), 0) + prior_out))
         for f in NEVER:  # elements that are outside by their meaning, whatever was counted
             self.parts[f] = min(self.parts[f], -1.0)
         self.tags = {}
         for f in {f for f, _ in got if f[:1] == "<"}:
             rate = [(got.get((f, i), 0) + 1) / (words[i] + 1000) for i in (True, False)]
-            self.tags[f] = -min(max(math.log(rate[1] / rate[0]), 0.05), 2.0)
+            self.tags[f] = -min(max(math.log(rate[1] / rate[0]), -LEAST_TAG), 2.0)
 
     def word(self, features: tuple[str, ...]) -> float:
         """Negative when any part around the word is; else positive."""
         low = min((self.parts.get(f, 0.0) for f in features), default=0.0)
         return max(low, -3.0) if low < -0.5 else 1.0
 
+    def mark(self, features: tuple[str, ...]) -> float:
+        """What a mark around a word or tag adds to a negative score."""
+        return min(max((self.parts[f] for f in features if f in CONTENT), default=0.0), MOST_MARK)
+
+    def run(self, features: tuple[str, ...]) -> float:
+        """The score of a word in the run: a mark outweighs a negative part, but makes no word of it positive."""
+        own = self.word(features)
+        return own if own > 0 else min(own + self.mark(features), 0.0)
+
+    def tag(self, name: str, features: tuple[str, ...]) -> float:
+        return min(self.tags.get(f"<{name}", -0.1) + self.mark(features), LEAST_TAG)
+
 
 def extract(page: str, weights: Weights) -> str:
     """The text of the best run, blocks joined by one space, white space made one space."""
-    seen, marked = walk(page)
+    seen, _ = walk(page)
     if not any(kind != "text" for kind, *_ in seen):
         return " ".join(html.unescape(page).split())
     scores = []
-    for kind, value, features, inside in seen:
-        if kind == "text":
-            each = weights.word(features)
-            if marked:  # the page tells content from the rest; parts left out do not cut it
-                each = max(each, 0.0) if inside else min(each, -1.0)
-            scores.append(each * len(value.split()))
-        elif marked and inside:
-            scores.append(0.0)
-        else:
-            scores.append(weights.tags.get(f"<{value}", -0.1))
+    for kind, value, features, _ in seen:
+        scores.append(weights.run(features) * len(value.split()) if kind == "text" else weights.tag(value, features))
     best, first, last, total, start = 0.0, 0, 0, 0.0, 0
     for i, s in enumerate(scores):
         if total <= 0:
@@ -175,9 +182,9 @@ def extract(page: str, weights: Weights) -> str:
             best, first, last = total, start, i + 1
     out: list[str] = []
     for i in range(first, last):
-        kind, value, features, inside = seen[i]
+        kind, value, features, _ = seen[i]
         if kind == "text":
-            if weights.word(features) > 0 and (inside or not marked):
+            if weights.word(features) > 0:
                 out.append(value)
         elif value not in INLINE:
             out.append(" ")

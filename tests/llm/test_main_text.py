@@ -53,3 +53,13 @@ def test_query_shape_nulls_and_empty(spark):
     got = pages.select("page_id", m.main_text(spark, learned, pages.html).alias("x")).collect()
     assert sorted((r.page_id, r.x) for r in got) == [(1, ""), (2, TEXT), (2, TEXT), (3, "")]
     assert m.extract(PAGE.format(BODY), m.learn(pages.limit(0))) == TEXT
+
+
+def test_marks_that_are_removed_or_stand_elsewhere(weights):
+    body, text = BODY + "<p>A last paragraph of some ten words stands at the end.</p>", TEXT + " A last paragraph of some ten words stands at the end."
+    assert m.extract(PAGE.replace("<article>", "<div>").replace("</article>", "</div>").format(body), weights) == text
+    comments = "".join(f"<article class='comment'><p>Reader {i} says a great many words here, more of them than stand in the text.</p></article>" for i in range(9))
+    assert m.extract(f"<body><nav><a>Home</a></nav><div>{body}</div>{comments}<footer>Imprint</footer>", weights) == text
+    teaser = "<aside><article><p>Another story that you may like to read.</p></article></aside>"
+    assert m.extract(f"<body><div>{body}</div>{teaser}", weights) == text
+    assert m.extract(f"<body><p>A summary stands before the article and belongs to it.</p><article>{body}</article>", weights) == "A summary stands before the article and belongs to it. " + text
