@@ -109,10 +109,16 @@ def flow_key_indicator(df: DataFrame) -> DataFrame:
 HEADER_FIELDS = ((3, 2), (5, 2), (10, 1), (13, 4), (17, 4))
 HEADER_FIELD_BYTES = 13
 FIXED_HEADER_BYTES = 20
+#: The same of IPv6: payload length, next header, source, destination; hop limit, traffic class and flow label may change on the way.
+HEADER_FIELDS_V6 = ((5, 2), (7, 1), (9, 16), (25, 16))
+FIXED_HEADER_BYTES_V6 = 40
 
 
 def packet_id_column(bytes_col: str = "ip_bytes", length: int = 56) -> Column:
-    """md5 over header fields and up to ``length - 13`` payload bytes of an IPv4 packet."""
+    """md5 over header fields and up to ``length - 13`` payload bytes of an IPv4 or IPv6 packet, null for other bytes.
+
+    The payload of an IPv6 packet is all behind the fixed header, extension headers too, and no byte beyond its payload length.
+    """
     if length < HEADER_FIELD_BYTES:
         raise ValueError(f"length must be at least {HEADER_FIELD_BYTES}")
     data = F.col(bytes_col)
@@ -129,7 +135,11 @@ def packet_id_column(bytes_col: str = "ip_bytes", length: int = 56) -> Column:
     ).otherwise(F.lit(FIXED_HEADER_BYTES))
     size = F.least(F.lit(wanted), F.greatest(F.lit(0), total - FIXED_HEADER_BYTES))
     fields = [F.substring(data, at, n) for at, n in HEADER_FIELDS]
-    return F.md5(F.concat(*fields, F.substring(data, start + 1, size)))
+    v4 = F.md5(F.concat(*fields, F.substring(data, start + 1, size)))
+    fields = [F.substring(data, at, n) for at, n in HEADER_FIELDS_V6]
+    v6 = F.md5(F.concat(*fields, F.substring(data, F.lit(FIXED_HEADER_BYTES_V6 + 1), F.least(F.lit(wanted), number(5, 2)))))
+    version = F.shiftright(number(1, 1), 4)
+    return F.when(version == 4, v4).when(version == 6, v6)
 
 
 def packet_id(df: DataFrame, bytes_col: str = "ip_bytes", length: int = 56) -> DataFrame:

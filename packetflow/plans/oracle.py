@@ -187,6 +187,17 @@ _packets(
     CASE WHEN pl >= 43 THEN substr(pay_hex, 1, 86) ELSE right(concat(opt_hex, pay_hex), 86) END))) AS packet_digest FROM built""",
     _IP_HEX,
 )
+_V6_HEX = f"""built6 AS (SELECT packet_id, CASE packet_id % 3 WHEN 0 THEN 60 WHEN 1 THEN 38 ELSE 5 END AS pl, printf('%02x', protocol) AS proto_hex,
+  replace({_v6('src_ip')}, ':', '') AS src_hex, replace({_v6('dst_ip')}, ':', '') AS dst_hex, repeat(packet_digest, 4) AS pay_hex
+  FROM packets WHERE ip_version = 6)"""
+_packets(
+    "packet_id_all",
+    """SELECT packet_id, md5(from_hex(concat(len_hex, id_hex, proto_hex, src_hex, dst_hex,
+    CASE WHEN pl >= 43 THEN substr(pay_hex, 1, 86) ELSE right(concat(opt_hex, pay_hex), 86) END))) AS packet_digest FROM built
+    UNION ALL SELECT packet_id, md5(from_hex(concat(printf('%04x', pl), proto_hex, src_hex, dst_hex, substr(pay_hex, 1, 2 * least(pl, 43))))) FROM built6""",
+    _IP_HEX,
+    _V6_HEX,
+)
 _bits4 = sum(1 << b for b in (3, 6, 11, 59, 7, 10))
 _bits6 = sum(1 << b for b in (3, 6, 11, 59, 26, 27))
 _packets(

@@ -269,23 +269,46 @@ def flow_id_fast(spark, packets):
     ).drop("flow_id")
 
 
-@query
-def packet_id(spark, packets):
-    """Digests of IPv4 packets whose payload is long, short with options, and shorter still."""
+def _v4_bytes():
+    """IPv4 packets whose payload is long, short with options, and shorter still."""
     c = F.col
     words = 5 + c("ip_id") % 4
     payload = F.when(c("ip_id") % 3 == 0, 60).when(c("ip_id") % 3 == 1, 38).otherwise(5)
-    data = F.unhex(
+    return F.unhex(
         F.concat(
             _hex(64 + words, 2), _hex(c("tos"), 2), _hex(words * 4 + payload, 4), _hex(c("ip_id"), 4), _hex(c("ip_offset"), 4),
             _hex(c("ttl"), 2), _hex(c("protocol"), 2), F.lit("0000"), _ip_hex(c("src_ip")), _ip_hex(c("dst_ip")),
             F.repeat(F.lit("01"), (words - 5) * 4), F.substr(F.repeat(F.col("packet_digest"), F.lit(4)), F.lit(1), payload * 2),
         )
     )
-    v4 = packets.where("ip_version = 4").withColumn("ip_bytes", data)
+
+
+def _v6_bytes():
+    """IPv6 packets with payloads of the same sizes."""
+    c = F.col
+    payload = F.when(c("packet_id") % 3 == 0, 60).when(c("packet_id") % 3 == 1, 38).otherwise(5)
+    return F.unhex(
+        F.concat(
+            _hex(F.lit(6 << 28) + c("tos") * 2**20 + c("flow_label"), 8), _hex(payload, 4), _hex(c("protocol"), 2), _hex(c("ttl"), 2),
+            _ip_hex(c("src_ip")), _ip_hex(c("dst_ip")), F.substr(F.repeat(c("packet_digest"), F.lit(4)), F.lit(1), payload * 2),
+        )
+    )
+
+
+@query
+def packet_id(spark, packets):
+    """Digests of the IPv4 packets; ``packet_id_all`` has those of both versions."""
+    v4 = packets.where("ip_version = 4").withColumn("ip_bytes", _v4_bytes())
     return keys.packet_id(v4.drop("packet_digest")).select("packet_id", "packet_digest")
 
 
+@query
+def packet_id_all(spark, packets):
+    """Digests of all packets, of either version."""
+    whole = packets.withColumn("ip_bytes", F.when(F.col("ip_version") == 4, _v4_bytes()).otherwise(_v6_bytes()))
+    return keys.packet_id(whole.drop("packet_digest")).select("packet_id", "packet_digest")
+
+
 @query
 def flow_key_indicator(spark, packets):
     return keys.flow_key_indicator(packets).groupBy("ip_version", "flow_key_indicator").agg(F.count(F.lit(1)).alias("packets"))

@@ -58,6 +58,18 @@ def test_packet_id_branches(spark, options, payload):
     assert keys.packet_id(packets).first()["packet_digest"] == hashlib.md5(named + body).hexdigest()
 
 
+@pytest.mark.parametrize("payload", [bytes(range(60)), bytes(range(7)), b""])
+def test_packet_id_of_ipv6(spark, payload):
+    """Fixed fields and payload; what routers change does not matter, nor do bytes beyond the packet."""
+    src, dst = ipaddress.ip_address("2001:db8::7").packed, ipaddress.ip_address("fe80::1").packed
+    build = lambda first, hops, source: first + len(payload).to_bytes(2, "big") + b"\x11" + bytes([hops]) + source + dst + payload
+    rows = [build(b"\x60\x00\x00\x00", 64, src), build(b"\x6a\xb1\x23\x45", 9, src) + b"pad", build(b"\x60\x00\x00\x00", 64, src[:-1] + b"\x08")]
+    packets = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(rows)], "n int, ip_bytes binary")
+    got = [r.packet_digest for r in keys.packet_id(packets).orderBy("n").collect()]
+    named = lambda source: hashlib.md5(len(payload).to_bytes(2, "big") + b"\x11" + source + dst + payload[:43]).hexdigest()
+    assert got == [named(src), named(src), named(src[:-1] + b"\x08")]
+
+
 def test_packet_id_length(spark):
     with pytest.raises(ValueError):
         keys.packet_id_column(length=12)
