@@ -673,7 +673,7 @@ _flows(
 _flows(
     "stream_aggregate",
     "SELECT agg_level, CAST(sum(original_present) AS BIGINT) AS flows, CAST(sum(packet_total) AS BIGINT) AS packets FROM cascade GROUP BY agg_level",
-    f"listed AS (SELECT *, [src_ip] AS srcs, [dst_ip] AS dsts FROM flows WHERE {_CLOSED})",
+    _LISTED.removesuffix(")") + f" WHERE {_CLOSED})",
     *_cascade(500),
 )
 

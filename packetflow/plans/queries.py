@@ -106,7 +106,7 @@ def _frames(packets: DataFrame) -> DataFrame:
         ports, _hex(c("tcp_seq"), 8), _hex(c("tcp_ack"), 8), _hex(c("tcp_hlength") * 4, 2), _hex(c("tcp_flags"), 2),
         _hex(c("tcp_window"), 4), F.lit("0000"), _hex(c("tcp_urgent_ptr"), 4),
     )
-    dns = F.concat(_hex(c("dns_id"), 4), _hex(c("dns_qr") * 128 + c("dns_opcode") * 8 + c("dns_rd"), 2), F.lit("000001"))
+    dns = F.concat(_hex(c("dns_id"), 4), _hex(c("dns_qr") * 128 + c("dns_opcode") * 8 + c("dns_rd"), 2), F.lit("000001000000000000"))
     udp = F.concat(ports, _hex(c("udp_length"), 4), F.lit("0000"), F.when(keys.is_dns(), dns).otherwise(F.lit("")))
     icmp = F.concat(_hex(c("icmp_type"), 2), _hex(c("icmp_code"), 2), F.lit("0000"), _hex(c("src_port"), 4), _hex(c("tcp_seq"), 4))
     transport = F.when(c("protocol") == 6, tcp).when(c("protocol") == 17, udp).otherwise(icmp)
