@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from packetflow.llm import backoff_lm, collocations, decontaminate, main_text, mixing, near_dedup, quality_rules, ranking, secrets, token_files, tool_calls, vector_codes
+from packetflow.llm import backoff_lm, collocations, decontaminate, lexicon_bpe, main_text, mixing, near_dedup, quality_rules, ranking, secrets, token_files, tool_calls, vector_codes
 
 QUERIES = {
     "op4_token_files": token_files.op4_token_files,
@@ -15,6 +15,7 @@ QUERIES = {
     "op5_source_mixing": mixing.op5_source_mixing,
     "op7_benchmark_decontamination": decontaminate.op7_benchmark_decontamination,
     "op9_quality_rules": quality_rules.op9_quality_rules,
+    "op11_lexicon_bpe": lexicon_bpe.op11_lexicon_bpe,
     "op12_collocations": collocations.op12_collocations,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
