@@ -15,7 +15,7 @@ numbers however many vectors there are.  Only the codebooks travel to the driver
 Defined cases: a row whose vector is null or holds null or non-finite components is dropped, and so is one whose vector has another length
 than that of the smallest id, or is not divisible into PARTS; rows of one id are all coded, the smallest vector is their seed;
 rows without an id are coded and never a seed; without seeds there are no rows; integers beyond 2^27 either way count as that bound;
-an empty table has no rows; other columns stay as they are.
+an empty table has no rows; other columns stay as they are, but ``code`` and ``error`` are written anew.
 """
 
 from __future__ import annotations
@@ -222,10 +222,11 @@ def coded(vectors: DataFrame, books: Codebooks, scale: int = SCALE, vec_id: str
 
 def with_label_errors(rows: DataFrame, label: str = "label") -> DataFrame:
     """Add ``label_error``: ``error`` summed over the rows of a label, rows without one together."""
-    sums = settle(rows.groupBy(F.col(quoted(label)).alias("_label")).agg(F.sum("error").alias("label_error")), "labels")
+    same = free_name(rows, "_label")
+    sums = settle(rows.groupBy(F.col(quoted(label)).alias(same)).agg(F.sum("error").alias("label_error")), "labels")
     if sums.count() <= LABELS:
         sums = F.broadcast(sums)
-    return rows.join(sums, F.col(quoted(label)).eqNullSafe(F.col("_label")), "left").drop("_label")
+    return rows.join(sums, F.col(quoted(label)).eqNullSafe(F.col(same)), "left").drop(same)
 
 
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
