@@ -9,7 +9,8 @@ first OVERLAP symbols, each as often as the chunk occurs.
 
 Phrases are counted length by length: one of k words is counted only where both phrases of k - 1 words in it may be frequent.
 "May be" is a bit table of bounded size (at most 2^MAX_BITS bits) made of the frequent shorter phrases, which never misses one; a full table lets more
-phrases be counted, and the counts, which are keyed by the words themselves, stay exact.
+phrases be counted, and the counts, which are keyed by the words themselves, stay exact.  From RUNS words on only the parts of the
+chunks are read again that can still hold a longer one.
 
 For a phrase of frequency a and each cut into a first part (frequency l) and a rest (r): floor(1000 a n / (l r)), n being the words of the
 language; the least of them is the score, ties to the earliest cut.  A phrase is dropped if a longer frequent one holds it and comes at least
@@ -40,13 +41,15 @@ SUBSUMED = 100
 TOP = 2000
 NO_LANG = "und"
 
-OVERLAP, PERIOD = LONGEST - 1, 16
+OVERLAP, PERIOD = LONGEST - 1, 32
+#: The length at whose count chunks shrink to the runs of words in which longer phrases may be frequent.
+RUNS = 3
 #: Bits of a table for each phrase in it, and the bound of its size: 2^26 bits are 8 MB.
 BITS, MAX_BITS = 16, 26
 #: Parts of a language that are ranked on their own first.
 SPREAD = 64
-#: Distinct chunks or phrases a task holds before it hands their counts on.
-HELD, HELD_BYTES = 200_000, 64 << 20
+#: Distinct chunks or phrases a task holds before it hands their counts on, and bytes of text they may come from.
+HELD, HELD_BYTES = 400_000, 64 << 20
 
 _U64 = np.uint64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U64)
@@ -86,36 +89,33 @@ class Counts:
     """Counts of keys per language, handed on when there are many."""
 
     def __init__(self, names: list[str]):
-        self.names, self.size = names, 0
+        self.names = names
         self.held: dict[str, dict[bytes, int]] = defaultdict(dict)
 
-    def add(self, lang: str, key: bytes, n: int) -> None:
-        held = self.held[lang]
-        if key in held:
-            held[key] += n
-        else:
-            held[key] = n
-            self.size += len(key) + HELD_BYTES // HELD
+    def full(self) -> bool:
+        return sum(map(len, self.held.values())) > HELD
 
-    def drain(self, least: int = 0) -> Iterator[pa.RecordBatch]:
-        if self.size > least:
-            for lang, held in self.held.items():
-                columns = [pa.array([lang] * len(held), pa.string()), pa.array(list(held), pa.string()), pa.array(held.values(), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=self.names)
-            self.held.clear()
-            self.size = 0
+    def drain(self) -> Iterator[pa.RecordBatch]:
+        for lang, held in self.held.items():
+            columns = [pa.array([lang] * len(held), pa.string()), pa.array(list(held), pa.string()), pa.array(held.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=self.names)
+        self.held.clear()
 
 
 def dictionary(docs: DataFrame, text: str = "text", lang: str = "lang", period: int = PERIOD) -> DataFrame:
     """(lang, chunk, n): the distinct chunks of each language and how often they occur."""
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = WordHashes(), Counts(["lang", "chunk", "n"])
+        known, counts, read = WordHashes(), Counts(["lang", "chunk", "n"]), 0
         for batch in batches:
             for language, raw in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+                held = counts.held[language]
                 for chunk in parse(raw, known, OVERLAP, period) if raw else ():
-                    counts.add(language, chunk, 1)
-                yield from counts.drain(HELD_BYTES)
+                    held[chunk] = held.get(chunk, 0) + 1
+                read += len(raw)
+                if read > HELD_BYTES:
+                    yield from counts.drain()
+                    read = 0
         yield from counts.drain()
 
     texts = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text).cast("string"))
@@ -171,13 +171,24 @@ def maybe(phrases: DataFrame, size: int) -> Maybe:
     return Maybe(cells)
 
 
-def longer(chunks: DataFrame, size: int, shorter: Maybe) -> DataFrame:
-    """(lang, phrase, f) of the phrases of ``size`` words whose shorter phrases may be frequent."""
+def longer(chunks: DataFrame, size: int, shorter: Maybe, runs: bool = False) -> DataFrame:
+    """(lang, phrase, lead, f) of the phrases of ``size`` words whose shorter phrases may be frequent; ``lead`` is null.
+
+    ``chunks`` are (lang, chunk, lead, n); phrases that end within the first ``lead`` symbols belong to another chunk.  With ``runs``
+    there are also rows with a ``lead``: the parts of the chunks in which still longer phrases may be frequent.
+    """
     shared = chunks.sparkSession.sparkContext.broadcast(shorter)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts, frequent = WordHashes(), Counts(["lang", "phrase", "f"]), shared.value
+        parts = [Counts(["lang", "phrase", "f"]) for _ in range(OVERLAP + 1)] if runs else []
         stop = _U64(known[_BREAK])
+
+        def drain() -> Iterator[pa.RecordBatch]:
+            for lead, held in [(None, counts), *enumerate(parts)]:
+                for rows in held.drain():
+                    yield rows.append_column("lead", pa.array([lead] * rows.num_rows, pa.int32()))
+
         for batch in batches:
             split = [c.split(b" ") + [_BREAK] for c in as_bytes(batch.column(1))]
             symbols = list(chain.from_iterable(split))
@@ -185,22 +196,34 @@ def longer(chunks: DataFrame, size: int, shorter: Maybe) -> DataFrame:
                 continue
             sizes = np.fromiter(map(len, split), np.int64, len(split))
             starts = np.cumsum(sizes) - sizes
-            langs, weights = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            langs, weights = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            first_own = starts + batch.column(2).to_numpy()
             hashes = hashed(symbols, known)
             broken = np.cumsum(hashes == stop)
             salt = np.repeat(np.array([language_hash(x, known) for x in langs], _U64), sizes)
-            may = frequent.holds(mixed(windows(hashes, size - 1) ^ salt[: len(hashes) - size + 2]))
-            whole = (broken[size - 1 :] == broken[: len(broken) - size + 1]) & (hashes[: len(hashes) - size + 1] != stop)
-            at = np.flatnonzero(whole & may[:-1] & may[1:])
+            short = len(hashes) - size + 2
+            whole = (broken[size - 2 :] == broken[:short]) & (hashes[:short] != stop)
+            may = whole & frequent.holds(mixed(windows(hashes, size - 1) ^ salt[:short]))
+            both = may[:-1] & may[1:]
+            at = np.flatnonzero(both)
             chunk = np.searchsorted(starts, at, side="right") - 1
-            own = at + size - 1 - starts[chunk] >= OVERLAP
+            own = at + size - 1 >= first_own[chunk]
             for i, c in zip(at[own].tolist(), chunk[own].tolist()):
-                counts.add(langs[c], b" ".join(symbols[i : i + size]), weights[c])
-            yield from counts.drain(HELD_BYTES)
-        yield from counts.drain()
-
-    found = chunks.select("lang", "chunk", "n").mapInArrow(count, "lang string, phrase string, f long")
-    return found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+                held, key = counts.held[langs[c]], b" ".join(symbols[i : i + size])
+                held[key] = held.get(key, 0) + weights[c]
+            if runs:
+                edges = np.flatnonzero(np.diff(may.astype(np.int8), prepend=0, append=0))
+                for a, b in zip(edges[::2].tolist(), (edges[1::2] + size - 2).tolist()):  # symbols a ... b - 1
+                    if b - a > size:
+                        c = int(np.searchsorted(starts, a, side="right")) - 1
+                        held, key = parts[max(int(first_own[c]) - a, 0)].held[langs[c]], b" ".join(symbols[a:b])
+                        held[key] = held.get(key, 0) + weights[c]
+            if counts.full() or any(p.full() for p in parts):
+                yield from drain()
+        yield from drain()
+
+    found = chunks.select("lang", "chunk", "lead", "n").mapInArrow(count, "lang string, phrase string, f long, lead int")
+    return found.groupBy("lang", "phrase", "lead").agg(F.sum("f").alias("f"))
 
 
 def frequent_phrases(chunks: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -208,8 +231,13 @@ def frequent_phrases(chunks: DataFrame, least: int = LEAST, longest: int = LONGE
     counted = settle(words(chunks), "words")
     totals = settle(counted.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     found = [settle(counted.where(F.col("f") >= least), "phrases")]
+    chunks = chunks.withColumn("lead", F.lit(OVERLAP))
     for size in range(2, longest + 1):
-        found.append(settle(longer(chunks, size, maybe(found[-1], size - 1)).where(F.col("f") >= least), "phrases"))
+        runs = size == RUNS < longest
+        level = settle(longer(chunks, size, maybe(found[-1], size - 1), runs).where(F.col("lead").isNotNull() | (F.col("f") >= least)), "phrases")
+        found.append(level.where(F.col("lead").isNull()).select("lang", "phrase", "f"))
+        if runs:
+            chunks = level.where(F.col("lead").isNotNull()).select("lang", F.col("phrase").alias("chunk"), "lead", F.col("f").alias("n"))
     out = found[0].withColumn("size", F.lit(1))
     for size, level in enumerate(found[1:], 2):
         out = out.union(level.withColumn("size", F.lit(size)))
