@@ -1,4 +1,8 @@
-"""Per-flow measures: what each one aggregates and how interim records combine it.
+"""Per-flow measures: what a packet adds, how that is merged, and how interim records combine it.
+
+A measure is defined once: ``lift`` is what one packet brings, ``kind`` how two parts of a record merge (all kinds are
+associative, so parts may come from map-side combining or from the state of a stream), ``combine`` how the records of a
+long flow relate.  ``build`` makes the aggregate of a table from that; ``streaming.flows`` makes the state of a stream.
 
 Every aggregation buffer is a fixed-width number, so Spark aggregates by hash
 with whole-stage code; addresses of interfaces and digests are packed into
@@ -22,22 +26,52 @@ FIRST = "first"  # fixed by the flow's first packet
 LATEST = "latest"  # newest non-null value so far
 
 
+# How two parts of a record merge:
+SUM = "sum"
+OR = "or"  # bits
+ANY = "any"
+OPENING = "opening"  # what the flow's first packet brings
+FIRST_OF = "first"  # of the record
+LAST_OF = "last"  # of the record
+LAST_SET = "last set"  # the last that is not null
+OWN = "own"  # an aggregate of the caller's, which has no parts: tables only
+
+# Packets that count, the others bring nothing:
+FORWARD, BACKWARD, REPEATED = "direction = 1", "direction = 2", "_repeat"
+
+
 @dataclass(frozen=True)
 class Measure:
-    """One output column of a flow record: an aggregate as SQL text or a function that builds it.
+    """One output column of a flow record.
 
-    Besides the packet columns it may use ``direction``, ``_pos`` (order within the
-    key), ``_opens`` (true on the flow's first packet) and ``_repeat`` (a
-    retransmission).
+    ``lift`` is SQL over the packet's own columns; ``only`` limits it to some packets of the flow.  Order within the key is ``_pos``,
+    ``_opens`` is true on the flow's first packet and ``_repeat`` on a retransmission.
     """
 
     needs: tuple[str, ...]
-    rule: str | Callable[[], Column]
+    lift: str | Callable[[], Column]
+    kind: str
     combine: str
     default: object = None
+    only: str | None = None
 
     def build(self) -> Column:
-        return F.expr(self.rule) if isinstance(self.rule, str) else self.rule()
+        """The aggregate over the packets of a record."""
+        if self.kind == OWN:
+            return F.expr(self.lift) if isinstance(self.lift, str) else self.lift()
+        if self.kind == SUM and self.lift == ONE:
+            return F.expr(f"count_if({self.only})" if self.only else "count(1)")
+        lifted = f"IF({self.only}, {self.lift}, 0L)" if self.only else self.lift
+        rule = {
+            SUM: f"sum({lifted})",
+            OR: f"bit_or({lifted})",
+            ANY: f"bool_or({lifted})",
+            OPENING: f"max(IF(_opens, {lifted}, NULL))",
+            FIRST_OF: f"min_by({lifted}, _pos)",
+            LAST_OF: f"max_by({lifted}, _pos)",
+            LAST_SET: f"max_by({lifted}, IF(({lifted}) IS NOT NULL, _pos, NULL))",
+        }
+        return F.expr(rule[self.kind])
 
 
 @dataclass(frozen=True)
@@ -51,38 +85,38 @@ class Packed:
         return F.expr(self.rule)
 
 
+ONE = "1L"
 _LENGTH = "CAST(ip_length AS BIGINT)"
+_SQUARE = f"{_LENGTH} * {_LENGTH}"
 _REPEAT_NEEDS = ("tcp_seq", "tcp_ack", "ip_plength", "tcp_flags")
 
 
 def _flag_count(bit: int) -> Measure:
-    return Measure(("tcp_flags",), f"count_if(protocol = {TCP} AND tcp_flags & {bit} = {bit})", TOTAL)
+    return Measure(("tcp_flags",), f"IF(protocol = {TCP} AND tcp_flags & {bit} = {bit}, 1L, 0L)", SUM, TOTAL)
 
 
 MEASURES: dict[str, Measure] = {
-    "packet_total": Measure((), "count(1)", TOTAL),
-    "octet_total": Measure(("ip_length",), f"sum({_LENGTH})", TOTAL),
-    "octet_sum_squares": Measure(("ip_length",), f"sum({_LENGTH} * {_LENGTH})", TOTAL),
-    "packet_delta": Measure((), "count(1)", DELTA),
-    "octet_delta": Measure(("ip_length",), f"sum({_LENGTH})", DELTA),
-    "octet_delta_sum_squares": Measure(("ip_length",), f"sum({_LENGTH} * {_LENGTH})", DELTA),
+    "packet_total": Measure((), ONE, SUM, TOTAL),
+    "octet_total": Measure(("ip_length",), _LENGTH, SUM, TOTAL),
+    "octet_sum_squares": Measure(("ip_length",), _SQUARE, SUM, TOTAL),
+    "packet_delta": Measure((), ONE, SUM, DELTA),
+    "octet_delta": Measure(("ip_length",), _LENGTH, SUM, DELTA),
+    "octet_delta_sum_squares": Measure(("ip_length",), _SQUARE, SUM, DELTA),
     "fin_count": _flag_count(FIN),
     "syn_count": _flag_count(SYN),
     "rst_count": _flag_count(RST),
     "psh_count": _flag_count(PSH),
     "ack_count": _flag_count(ACK),
     "urg_count": _flag_count(URG),
-    "tcp_flags_or": Measure(("tcp_flags",), f"bit_or(IF(protocol = {TCP}, tcp_flags, 0))", DELTA),
-    "retransmitted_packets": Measure(_REPEAT_NEEDS, "count_if(_repeat)", DELTA),
-    "retransmitted_octets": Measure((*_REPEAT_NEEDS, "ip_length"), f"sum(IF(_repeat, {_LENGTH}, 0L))", DELTA),
-    "is_sampled": Measure(("is_sampled",), "bool_or(is_sampled)", TOTAL),
-    "app_id": Measure(("app_id",), "max_by(nullif(app_id, 0), IF(app_id <> 0, _pos, NULL))", LATEST, 0),
+    "tcp_flags_or": Measure(("tcp_flags",), f"IF(protocol = {TCP}, tcp_flags, 0)", OR, DELTA),
+    "retransmitted_packets": Measure(_REPEAT_NEEDS, ONE, SUM, DELTA, only=REPEATED),
+    "retransmitted_octets": Measure((*_REPEAT_NEEDS, "ip_length"), _LENGTH, SUM, DELTA, only=REPEATED),
+    "is_sampled": Measure(("is_sampled",), "is_sampled", ANY, TOTAL),
+    "app_id": Measure(("app_id",), "nullif(app_id, 0)", LAST_SET, LATEST, 0),
 }
 for _name in ("l3_hlength", "l3_length", "l4_hlength"):
-    for _side, _direction in (("fwd", 1), ("bwd", 2)):
-        MEASURES[f"{_name}_{_side}"] = Measure(
-            (_name,), f"sum(CAST(IF(direction = {_direction}, {_name}, 0) AS BIGINT))", TOTAL
-        )
+    for _side, _only in (("fwd", FORWARD), ("bwd", BACKWARD)):
+        MEASURES[f"{_name}_{_side}"] = Measure((_name,), f"CAST({_name} AS BIGINT)", SUM, TOTAL, only=_only)
 
 #: Header values kept from a flow's first packet: output name -> packet column.
 FIRST_PACKET = {
@@ -107,23 +141,23 @@ LAST_PACKET = {
     "last_tcp_flags": "tcp_flags",
 }
 for _out, _in in FIRST_PACKET.items():
-    MEASURES[_out] = Measure((_in,), f"max(IF(_opens, {_in}, NULL))", FIRST)
+    MEASURES[_out] = Measure((_in,), _in, OPENING, FIRST)
 for _out, _in in LAST_PACKET.items():
-    MEASURES[_out] = Measure((_in,), f"max_by({_in}, _pos)", DELTA)
+    MEASURES[_out] = Measure((_in,), _in, LAST_OF, DELTA)
 
 # Addresses of interfaces travel as 48-bit numbers, digests as three numbers of 11, 11 and 10 hex digits.
 PACKED: dict[str, Packed] = {}
 _DIGEST_SPANS = ((1, 11), (12, 11), (23, 10))
 for _out, _in in (("source_mac", "src_mac"), ("destination_mac", "dst_mac")):
     _number = f"CAST(conv(replace({_in}, ':', ''), 16, 10) AS BIGINT)"
-    MEASURES[f"_{_out}"] = Measure((_in,), f"max(IF(_opens, {_number}, NULL))", FIRST)
+    MEASURES[f"_{_out}"] = Measure((_in,), _number, OPENING, FIRST)
     _digits = f"lower(lpad(hex(_{_out}), 12, '0'))"
     PACKED[_out] = Packed((f"_{_out}",), f"regexp_replace({_digits}, '(..)(?!$)', '$1:')")
-for _out, _pick in (("first", "min_by"), ("last", "max_by")):
+for _out, _pick in (("first", FIRST_OF), ("last", LAST_OF)):
     _parts = tuple(f"_{_out}_digest{i}" for i in range(3))
     for _part, (_start, _size) in zip(_parts, _DIGEST_SPANS):
         _number = f"CAST(conv(substr(packet_digest, {_start}, {_size}), 16, 10) AS BIGINT)"
-        MEASURES[_part] = Measure(("packet_digest",), f"{_pick}({_number}, _pos)", DELTA)
+        MEASURES[_part] = Measure(("packet_digest",), _number, _pick, DELTA)
     _text = ", ".join(f"lpad(hex({p}), {size}, '0')" for p, (_, size) in zip(_parts, _DIGEST_SPANS))
     PACKED[f"{_out}_packet_id"] = Packed(_parts, f"lower(concat({_text}))")
 

@@ -224,7 +224,7 @@ def register_element(
     if measure is not None:
         if name in M.MEASURES:
             raise ValueError(f"measure {name} exists already")
-        M.MEASURES[name] = M.Measure(tuple(needs), measure, combine)
+        M.MEASURES[name] = M.Measure(tuple(needs), measure, M.OWN, combine)
     element = Element(
         ie, name, length, coding, projection or name, (name,) if measure is not None else (), enterprise, type
     )

@@ -12,6 +12,7 @@ IDLE = "48 hours"
 ACTIVE = "120 hours"
 PAIR_TIMEOUT = "24 hours"
 MICE_OCTETS = 500
+FLUSH_AT = "2024-01-20 00:00:00"
 TRIGGER = "1 day"
 
 _PACKETS_SQL = """

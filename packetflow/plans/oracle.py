@@ -647,7 +647,7 @@ _MARK = f"((SELECT max(t) FROM packets) // 1000 - {HOUR // 1000}) * 1000"
 _CLOSED = f"(fin_end AND end_us <= {_MARK} OR {_MARK} > end_us + {B.IDLE_US})"
 _split(
     "stream_flows",
-    f"""SELECT {ID.replace(", flow_no", "")}, slice, {TIMES}, CASE WHEN next_slice IS NOT NULL THEN 2 WHEN fin_end THEN 3 ELSE 1 END AS end_reason,
+    f"""SELECT {ID}, slice, {TIMES}, CASE WHEN next_slice IS NOT NULL THEN 2 WHEN fin_end THEN 3 ELSE 1 END AS end_reason,
     packet_total, octet_total, packet_delta, octet_delta, fin_count, syn_count, retransmitted_packets
     FROM slices WHERE next_us <= {_MARK} OR (next_us IS NULL AND {_CLOSED})""",
     *_slices(B.ACTIVE_US),
@@ -660,11 +660,47 @@ _sql(
     _IDLE_ONLY,
     f"SELECT {B.KEY}, {TIMES}, packet_total, octet_total FROM flows WHERE (end_us + {B.IDLE_US}) // 1000 * 1000 <= {_MARK}",
 )
-_sql(
+_split(
     "stream_rtt",
-    [B.PACKETS, B.keyed(True), B.split(fin=False, idle_us=10**17), _pairs(B.PAIR_US)],
-    f"SELECT packet_id, matched_id, delay_us FROM pairs JOIN (SELECT packet_id, t AS probe_us FROM packets) USING (packet_id) WHERE probe_us <= {_MARK}",
+    f"SELECT packet_id, matched_id, direction, delay_us FROM pairs JOIN (SELECT packet_id, t AS probe_us FROM packets) USING (packet_id) WHERE probe_us <= {_MARK}",
+    _pairs(B.PAIR_US),
 )
+_flows(
+    "stream_flow_measures",
+    f"""SELECT {ID}, {TIMES}, packet_total, octet_total, octet_sum_squares, packet_delta, octet_delta, octet_delta_sum_squares, fin_count, syn_count, rst_count,
+    psh_count, ack_count, urg_count, tcp_flags_or, retransmitted_packets, retransmitted_octets, app_id, l3_hlength_fwd, l3_hlength_bwd, l3_length_fwd,
+    l3_length_bwd, l4_hlength_fwd, l4_hlength_bwd, first_tos, first_ttl, first_ip_id, first_ip_offset, first_ip_hlength, first_ip_length, first_tcp_window,
+    first_tcp_urgent_ptr, first_icmp_type, first_icmp_code, first_flow_label, first_next_header, last_ip_plength, last_tcp_seq, last_tcp_ack, last_tcp_flags,
+    source_mac, destination_mac, first_packet_id, last_packet_id FROM flows WHERE {_CLOSED}""",
+)
+# With every period on time: the records of a flow are its periods up to its end, the last of them final.  A flow that is open at the mark has
+# shown the periods that ended by then.
+_ON_TIME_US = 20 * HOUR
+_split(
+    "stream_flows_on_time",
+    f"""SELECT {ID}, slice, start_us, CAST(coalesce(max(last_us) OVER (PARTITION BY {ID} ORDER BY slice), start_us) AS BIGINT) AS end_us,
+    CASE WHEN slice < final THEN 2 WHEN fin_end THEN 3 ELSE 1 END AS end_reason,
+    CAST(sum(n) OVER (PARTITION BY {ID} ORDER BY slice) AS BIGINT) AS packet_total, n AS packet_delta, octets AS octet_delta FROM told
+    WHERE slice < final OR closed""",
+    f"flow_list AS (SELECT *, t_last AS end_us FROM (SELECT {B.KEY}, flow_no, min(o0) AS o0, min(t) AS start_us, max(t) AS t_last, arg_max(tcp_flags, pos) & 1 = 1 AND protocol = 6 AS fin_end FROM split WHERE t <= {_MARK} GROUP BY {B.KEY}, flow_no, protocol))",
+    f"""reached AS (SELECT *, {_CLOSED} AS closed, CASE WHEN fin_end THEN (end_us - start_us) // {_ON_TIME_US}
+    ELSE (least(end_us + {B.IDLE_US}, {_MARK}) - start_us) // {_ON_TIME_US} END AS final FROM flow_list)""",
+    f"sums AS (SELECT {B.KEY}, flow_no, (t - t0) // {_ON_TIME_US} AS slice, count(*) AS n, CAST(sum(ip_length) AS BIGINT) AS octets, max(t) AS last_us FROM split WHERE t <= {_MARK} GROUP BY ALL)",
+    f"""told AS (SELECT CASE WHEN o0=1 THEN k_ip1 ELSE k_ip2 END AS src_ip, CASE WHEN o0=1 THEN k_ip2 ELSE k_ip1 END AS dst_ip, CASE WHEN o0=1 THEN k_port1 ELSE k_port2 END AS src_port,
+    CASE WHEN o0=1 THEN k_port2 ELSE k_port1 END AS dst_port, k_dns AS dns_id, ip_version, protocol, flow_no, slice, start_us, last_us, final, fin_end, closed, coalesce(n, 0) AS n, coalesce(octets, 0) AS octets
+    FROM (SELECT *, unnest(range(0, final + 1)) AS slice FROM reached) LEFT JOIN sums USING ({B.KEY}, flow_no, slice))""",
+)
+# A flush cuts every key: packets up to it and packets after it are never in one flow.
+_FLUSH = "epoch_us(TIMESTAMP '2024-01-20 00:00:00')"
+_flows(
+    "stream_flows_flush",
+    f"""SELECT {ID}, {TIMES}, CASE WHEN fin_end THEN 3 WHEN end_us <= {_FLUSH} AND {_FLUSH} - end_us <= {B.IDLE_US} THEN 4 ELSE 1 END AS end_reason, packet_total, octet_total
+    FROM flows WHERE {_CLOSED} OR end_us <= {_FLUSH}""",
+)
+ORACLE["stream_flows_flush"] = ORACLE["stream_flows_flush"].replace("(prev_t IS NULL OR", f"(prev_t IS NULL OR (prev_t <= {_FLUSH} AND t > {_FLUSH}) OR")
+# Both points have a watermark; what the join of ten minutes gives may be that much older.
+ORACLE["stream_one_way_delay"] = ORACLE["one_way_delay"] + f" AND b.t <= (least((SELECT max(t) FROM seen1), (SELECT max(t) FROM seen2)) - {HOUR} - 600000000) // 1000 * 1000"
+_packets("reject_counters", f"SELECT * FROM (SELECT {_REASON} AS reject_reason, count(*) AS packets FROM packets GROUP BY 1) WHERE reject_reason IS NOT NULL")
 _flows(
     "stream_flows_to_table",
     f"""SELECT CASE WHEN fin_end THEN 3 ELSE 1 END AS end_reason, count(*) AS flows, CAST(sum(packet_total) AS BIGINT) AS packets

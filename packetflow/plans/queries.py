@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetflow.functions.scalars import expand_ipv6
-from packetflow.operators import aggregate, classify, clock, filters, flows, keys, records, reports, rtt, sampling
+from packetflow.operators import aggregate, classify, clock, filters, flows, keys, measures, records, reports, rtt, sampling
 from packetflow.plans import events as E
 from packetflow.schemas import APP_RULES, INTERFACES, SYN, TCP
 from packetflow.session import apply_runtime_conf, new_folder, settle
@@ -833,6 +833,11 @@ def interface_counters(spark, packets):
     return reports.interface_counters(packets, sampled, filters.reject_reason().isNotNull())
 
 
+@query
+def reject_counters(spark, packets):
+    return reports.reject_counters(packets, filters.reject_reason())
+
+
 @query
 def active_flow_count(spark, packets):
     counts = reports.active_flow_count(_flows(packets, []), "1 hour", E.IDLE)
@@ -892,15 +897,51 @@ def stream_packets_counts(spark, packets, sf_dir):
     )
 
 
+#: Buckets of the stream queries: small state, few tasks.
+BUCKETS = 8
+
+
+def _stream_flows(spark, sf_dir, active=E.ACTIVE, **options):
+    return streaming.stream_flows(_stream(spark, sf_dir), E.IDLE, active, LATE, biflow=True, buckets=BUCKETS, **options)
+
+
 @query
 def stream_flows(spark, packets, sf_dir):
-    done = _drain(spark, streaming.stream_flows(_stream(spark, sf_dir), E.IDLE, E.ACTIVE, LATE, biflow=True), "flows")
+    done = _drain(spark, _stream_flows(spark, sf_dir), "flows")
     return done.select(
-        *[c for c in ID if c != "flow_no"], "slice", *_times(), "end_reason", "packet_total", "octet_total", "packet_delta",
-        "octet_delta", "fin_count", "syn_count", "retransmitted_packets",
+        *ID, "slice", *_times(), "end_reason", "packet_total", "octet_total", "packet_delta", "octet_delta", "fin_count", "syn_count",
+        "retransmitted_packets",
     )
 
 
+_STREAM_MEASURES = [name for name in measures.ALL if name != "is_sampled"]
+
+
+@query
+def stream_flow_measures(spark, packets, sf_dir):
+    """Every measure of a flow, kept as the state of a stream."""
+    done = _drain(spark, _stream_flows(spark, sf_dir, None, measures=_STREAM_MEASURES), "measures")
+    return done.select(*ID, *_times(), *_STREAM_MEASURES)
+
+
+@query
+def stream_flows_on_time(spark, packets, sf_dir):
+    """Each active period reports when it ends, with or without a packet."""
+    done = _drain(spark, _stream_flows(spark, sf_dir, "20 hours", on_time=True, measures=["packet_total", "packet_delta", "octet_delta"]), "on-time")
+    return done.select(*ID, "slice", *_times(), "end_reason", "packet_total", "packet_delta", "octet_delta")
+
+
+@query
+def stream_flows_flush(spark, packets, sf_dir):
+    """An order on a control stream ends every open flow; here the control stream is derived from the packets."""
+    rows = _stream(spark, sf_dir)
+    at = F.lit(E.FLUSH_AT).cast("timestamp")
+    # One order: the first packet at or after that time sends it.
+    orders = rows.where(F.col("packet_id") == 0).select(at.alias("ts"))
+    done = streaming.stream_flows(rows, E.IDLE, None, LATE, biflow=True, buckets=BUCKETS, control=orders, measures=["packet_total", "octet_total"])
+    return _drain(spark, done, "flush").select(*ID, *_times(), "end_reason", "packet_total", "octet_total")
+
+
 @query
 def stream_flows_idle(spark, packets, sf_dir):
     done = _drain(spark, streaming.stream_flows_idle(_stream(spark, sf_dir), E.IDLE, LATE), "idle")
@@ -909,13 +950,19 @@ def stream_flows_idle(spark, packets, sf_dir):
 
 @query
 def stream_rtt(spark, packets, sf_dir):
-    done = _drain(spark, streaming.stream_rtt(_stream(spark, sf_dir), E.PAIR_TIMEOUT, LATE), "rtt")
-    return done.select("packet_id", "matched_id", "delay_us")
+    done = _drain(spark, streaming.stream_rtt(_stream(spark, sf_dir), E.PAIR_TIMEOUT, LATE, E.IDLE, buckets=BUCKETS), "rtt")
+    return done.select("packet_id", "matched_id", "direction", "delay_us")
+
+
+@query
+def stream_one_way_delay(spark, packets, sf_dir):
+    done = streaming.stream_one_way_delay(_two_points(_stream(spark, sf_dir)), 1, 2, "10 minutes", LATE)
+    return _drain(spark, done, "delay")
 
 
 @query
 def stream_flows_to_table(spark, packets, sf_dir):
-    finished = streaming.stream_flows(_stream(spark, sf_dir), E.IDLE, None, LATE, biflow=True)
+    finished = _stream_flows(spark, sf_dir, None)
     path, checkpoint = new_folder(spark, "sink"), new_folder(spark, "sink-checkpoint")
     stream_flows_to(finished, path, checkpoint, availableNow=True).awaitTermination()
     stored = spark.read.parquet(path)
@@ -925,7 +972,7 @@ def stream_flows_to_table(spark, packets, sf_dir):
 @query
 def stream_aggregate(spark, packets, sf_dir):
     """Finished flows of the stream through the cascade; totals per level."""
-    finished = streaming.stream_flows(_stream(spark, sf_dir), E.IDLE, None, LATE, biflow=True)
+    finished = _stream_flows(spark, sf_dir, None)
     path, checkpoint = new_folder(spark, "cascade"), new_folder(spark, "cascade-checkpoint")
     streaming.stream_aggregate(
         finished, path, checkpoint, {"availableNow": True}, octets=E.MICE_OCTETS, distinct=None

@@ -1,39 +1,27 @@
-"""Flow records, round-trip pairs and aggregation on packet streams."""
+"""Flow records, round-trip pairs, delays and aggregation on packet streams."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from packetflow.functions.scalars import micros
+from packetflow.operators import flows as batch
+from packetflow.operators import measures as M
 from packetflow.operators.aggregate import aggregate_cascade
 from packetflow.operators.flows import ACTIVE, IDLE, REPEAT_FIELDS
 from packetflow.operators.keys import KEY_FIELDS, flow_key
 from packetflow.operators.rtt import PAIR_TIMEOUT, _pair_keys
-from packetflow.schemas import ACK, ACTIVE_TIMEOUT, END_DETECTED, FIN, IDLE_TIMEOUT, PSH, RST, SYN, TCP, URG
+from packetflow.schemas import IDLE_TIMEOUT
 from packetflow.sources.sinks import stream_flows_to
-from packetflow.streaming.ordered import ordered_by_key
+from packetflow.streaming.state import NOTHING, FlowStates, PairStates, Rules
 
 LATE = "1 minute"
+#: Groups of keys whose state a task advances together.  It may not change over the life of a checkpoint.
+BUCKETS = 256
 
-_FLAGS = {"fin_count": FIN, "syn_count": SYN, "rst_count": RST, "psh_count": PSH, "ack_count": ACK, "urg_count": URG}
-#: Totals that grow over a flow; the two deltas are per record.
-_TOTALS = ["packet_total", "octet_total", "octet_sum_squares", *_FLAGS]
-_DELTAS = ["retransmitted_packets", "retransmitted_octets"]
-
-_RECORD = T.StructType(
-    [T.StructField(n, T.IntegerType()) for n in ("ip_version", "protocol")]
-    + [T.StructField(n, T.StringType()) for n in ("src_ip", "dst_ip")]
-    + [T.StructField(n, T.IntegerType()) for n in ("src_port", "dst_port", "dns_id")]
-    + [T.StructField("flow_no", T.LongType()), T.StructField("slice", T.IntegerType())]
-    + [T.StructField("end_reason", T.IntegerType())]
-    + [T.StructField(n, T.LongType()) for n in ("start_us", "end_us", "after_export_us")]
-    + [T.StructField(n, T.LongType()) for n in [*_TOTALS, "packet_delta", "octet_delta", *_DELTAS]]
-)
+_SEPARATOR = "|"
 
 
 def stream_flows_idle(stream: DataFrame, idle=IDLE, late: str = LATE, biflow: bool = False) -> DataFrame:
@@ -55,150 +43,106 @@ def stream_flows_idle(stream: DataFrame, idle=IDLE, late: str = LATE, biflow: bo
     )
 
 
-def _contributions(rows: pd.DataFrame) -> pd.DataFrame:
-    """What each packet adds to the totals."""
-    length = rows["ip_length"].astype("int64")
-    tcp = rows["protocol"] == TCP
-    out = {"packet_total": np.ones(len(rows), dtype="int64"), "octet_total": length, "octet_sum_squares": length * length}
-    for name, bit in _FLAGS.items():
-        out[name] = (tcp & ((rows["tcp_flags"].astype("int64") & bit) > 0)).astype("int64")
-    return pd.DataFrame(out)
-
-
-def _flow_step(idle_us: int, active_us: int | None, fin: bool):
-    """Advance one key's open flow over sorted packets; same rules as the batch split."""
-
-    def record(key, flow, reason):
-        forward = flow["orient"] == 1
-        version, protocol, ip1, port1, ip2, port2, dns = key
-        return {
-            "ip_version": version, "protocol": protocol,
-            "src_ip": ip1 if forward else ip2, "dst_ip": ip2 if forward else ip1,
-            "src_port": port1 if forward else port2, "dst_port": port2 if forward else port1,
-            "dns_id": dns, "flow_no": flow["no"], "slice": flow["slice"], "end_reason": reason,
-            "start_us": flow["t0"], "end_us": flow["last_t"], "after_export_us": flow["slice_t"],
-            **flow["totals"],
-            "packet_delta": flow["delta"][0], "octet_delta": flow["delta"][1],
-            "retransmitted_packets": flow["repeats"][0], "retransmitted_octets": flow["repeats"][1],
-        }
-
-    def step(key, rows, carried, watermark):
-        flow, number = carried if carried is not None else (None, 0)
-        out = []
-        if rows is not None and len(rows):
-            t = rows["_t"].to_numpy()
-            ends = ((rows["protocol"] == TCP) & ((rows["tcp_flags"] & FIN) > 0)).to_numpy() if fin else np.zeros(len(t), bool)
-            adds = _contributions(rows)
-            fields = rows[list(REPEAT_FIELDS)].to_numpy()
-            previous_t = np.concatenate([[flow["last_t"] if flow else t[0]], t[:-1]])
-            previous_fin = np.concatenate([[flow["fin"] if flow else False], ends[:-1]])
-            opens = (t - previous_t > idle_us) | previous_fin
-            opens[0] = opens[0] or flow is None
-            same = np.concatenate([[bool(flow) and tuple(fields[0]) == flow["fields"]], (fields[1:] == fields[:-1]).all(axis=1)])
-            repeats = same & ~opens & (rows["protocol"] == TCP).to_numpy()
-            index = np.cumsum(opens)
-            starts = np.where(opens, t, 0)
-            t0 = np.maximum.accumulate(np.where(opens, starts, flow["t0"] if flow else 0))
-            piece = ((t - t0) // active_us) if active_us else np.zeros(len(t), dtype="int64")
-            # One run of rows per (flow, active period).
-            border = np.flatnonzero(np.concatenate([[True], (np.diff(index) != 0) | (np.diff(piece) != 0)]))
-            sums = np.add.reduceat(adds.to_numpy(), border, axis=0)
-            lengths = adds["octet_total"].to_numpy()
-            repeat_n = np.add.reduceat(repeats.astype("int64"), border)
-            repeat_octets = np.add.reduceat(np.where(repeats, lengths, 0), border)
-            last = np.concatenate([border[1:] - 1, [len(t) - 1]])
-            for i, (a, b) in enumerate(zip(border, last)):
-                if opens[a]:
-                    if flow is not None:
-                        out.append(record(key, flow, END_DETECTED if flow["fin"] else IDLE_TIMEOUT))
-                    number += 1
-                    flow = {"no": number, "t0": int(t[a]), "orient": int(rows["orient"].iloc[a]), "slice": int(piece[a]),
-                            "slice_t": int(t[a]), "totals": dict.fromkeys(_TOTALS, 0), "delta": (0, 0), "repeats": (0, 0)}
-                elif flow["slice"] != piece[a]:
-                    out.append(record(key, flow, ACTIVE_TIMEOUT))
-                    flow.update(slice=int(piece[a]), slice_t=int(t[a]), delta=(0, 0), repeats=(0, 0))
-                flow["totals"] = {n: flow["totals"][n] + int(v) for n, v in zip(_TOTALS, sums[i])}
-                flow["delta"] = (flow["delta"][0] + int(sums[i][0]), flow["delta"][1] + int(sums[i][1]))
-                flow["repeats"] = (flow["repeats"][0] + int(repeat_n[i]), flow["repeats"][1] + int(repeat_octets[i]))
-                flow.update(last_t=int(t[b]), fin=bool(ends[b]), fields=tuple(fields[b]))
-        if flow is not None and (flow["fin"] or watermark > flow["last_t"] + idle_us):
-            out.append(record(key, flow, END_DETECTED if flow["fin"] else IDLE_TIMEOUT))
-            flow = None
-        frame = pd.DataFrame(out) if out else None
-        if flow is None:
-            return frame, None, None
-        return frame, (flow, number), flow["last_t"] + idle_us + 1000
-
-    return step
+def _number(value, name: str):
+    """A whole number without nulls: those become NOTHING."""
+    return F.coalesce(value.cast("bigint"), F.lit(NOTHING)).alias(name)
+
+
+def _grouped(keyed: DataFrame, values: dict, fin: bool, late: str, control: DataFrame | None, buckets: int):
+    """Packets as whole numbers beside their key as text, with the flush orders in every bucket, grouped by bucket."""
+    text = F.concat_ws(_SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in KEY_FIELDS])
+    is_fin = batch._is_fin(keyed.columns, fin)
+    repeats = [_number(F.col(c) if c in keyed.columns else F.lit(None), f"f{i}") for i, c in enumerate(REPEAT_FIELDS)]
+    tcp = F.expr("CAST(coalesce(protocol = 6, false) AS BIGINT)").alias("tcp")
+    values = [_number(column, f"v{i}") for i, column in enumerate(values.values())]
+    rows = keyed.select("ts", text.alias("k"), _number(F.col("packet_id"), "packet_id"), _number(F.col("orient"), "orient"), is_fin.cast("bigint").alias("fin"), tcp, *repeats, *values)
+    rows = rows.withColumns({"flush": F.lit(0).cast("bigint"), "bucket": F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int")})
+    if control is not None:
+        blank = {c: F.lit("" if c == "k" else NOTHING) for c in rows.columns if c not in ("ts", "bucket", "flush")}
+        orders = control.select("ts").withColumns({**blank, "flush": F.lit(1).cast("bigint"), "bucket": F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))})
+        rows = rows.unionByName(orders)
+    rows = rows.withColumn("t", F.unix_micros("ts")).withWatermark("ts", late)
+    # The state of transformWithState lives in RocksDB: it may outgrow the executors' memory.
+    keyed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return rows.groupBy("bucket")
 
 
 def stream_flows(
-    stream: DataFrame, idle=IDLE, active=ACTIVE, late: str = LATE, biflow: bool = False, fin: bool = True
+    stream: DataFrame,
+    idle=IDLE,
+    active=ACTIVE,
+    late: str = LATE,
+    biflow: bool = False,
+    fin: bool = True,
+    measures: list[str] | None = None,
+    control: DataFrame | None = None,
+    on_time: bool = False,
+    dns: bool = True,
+    all_protocols: bool = False,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Flow records of a packet stream: idle, FIN and interim (active) records.
+    """Flow records of a packet stream: idle, FIN, interim (active) and flushed records.
+
+    The columns and records are those of ``build_flows`` on the same packets, for every flow that has ended before the watermark.
+    ``flow_no`` goes on counting over the life of a key.
+
+    ``on_time`` lets each active period report when it ends and the flow goes on: also where no packet came, and without
+    waiting for a further packet.  The final record then carries what the last interim record left.
 
-    Agrees with ``build_flows`` on the same packets for every flow that has ended.
-    State per key: the packets newer than the watermark and the sums of the open
-    flow.  ``flow_no`` counts the flows of a key since its state was last empty.
+    ``control`` is a stream of orders with the column ``ts``: every flow that is open at that time ends, with reason 4, as ``force_end``
+    does with that horizon; a later packet of the key opens the next flow.  Send its rows in time order; as part of the
+    stream they move the watermark like packets.
     """
-    keyed = flow_key(stream, biflow=biflow)
-    needed = keyed.select("ts", "packet_id", *KEY_FIELDS, "orient", "ip_length", "tcp_seq", "tcp_ack", "ip_plength", "tcp_flags")
-    step = _flow_step(micros(idle), micros(active) if active is not None else None, fin)
-    # The key columns travel with the rows as well: the step needs the protocol of each.
-    flows = ordered_by_key(needed, KEY_FIELDS, late, step, _RECORD)
-    return flows.withColumns(
-        {
-            "flow_start": F.timestamp_micros("start_us"),
-            "flow_end": F.timestamp_micros("end_us"),
-            "start_after_export": F.timestamp_micros("after_export_us"),
-            "agg_level": F.lit(0),
-            "original_present": F.lit(1).cast("bigint"),
-            "original_initiated": (F.col("syn_count") > 0).cast("bigint"),
-            "original_completed": (F.col("fin_count") > 0).cast("bigint"),
-        }
-    ).drop("start_us", "end_us", "after_export_us")
-
-
-_PAIR = T.StructType(
-    [T.StructField(n, T.LongType()) for n in ("packet_id", "matched_id")]
-    + [T.StructField("direction", T.IntegerType()), T.StructField("probe_us", T.LongType()), T.StructField("delay_us", T.LongType())]
-)
-
-
-def stream_rtt(stream: DataFrame, timeout=PAIR_TIMEOUT, late: str = LATE) -> DataFrame:
-    """Round-trip pairs of a packet stream: the newest earlier answerable packet within ``timeout``.
-
-    Pairs within a two-way key.  The state of a key is its newest candidates, kept
-    for ``timeout`` after the watermark, so it is bounded in time.
+    keyed = flow_key(stream, biflow=biflow, dns=dns, all_protocols=all_protocols)
+    plain, packed = M.resolve(measures, stream.columns)
+    own = [name for name in plain if M.MEASURES[name].kind == M.OWN]
+    if own and measures is not None:
+        raise ValueError(f"measures with an aggregate of their own have no state: {own}")
+    plain = [name for name in plain if name not in own]
+    lifts = {M.MEASURES[name].lift: None for name in plain}
+    values = {lift: F.expr(lift) for lift in lifts}
+    place = {lift: i for i, lift in enumerate(lifts)}
+    rules = Rules(
+        micros(idle), micros(active) if active is not None else None, len(lifts),
+        [(name, place[m.lift], m.kind, m.combine, m.only) for name in plain for m in [M.MEASURES[name]]], on_time,
+    )
+    grouped = _grouped(keyed, values, fin, late, control, buckets)
+    done = grouped.transformWithStateInPandas(FlowStates(rules), rules.output(), "append", "EventTime")
+    # Types as the aggregates of a table have them.
+    some = keyed.sparkSession.createDataFrame([], keyed.schema).withColumns({"_pos": F.lit(0), "_opens": F.lit(True), "_repeat": F.lit(True), "direction": F.lit(1)})
+    kinds = some.groupBy().agg(F.lit(1), *[M.MEASURES[name].build().alias(name) for name in plain]).schema
+    part = F.split("k", "[|]")
+    key = {c: F.get(part, F.lit(i)).cast(keyed.schema[c].dataType) for i, c in enumerate(KEY_FIELDS)}
+    out = done.withColumns({**key, **{name: F.col(name).cast(kinds[name].dataType) for name in plain}})
+    return batch._finish(out, plain, packed, False)
+
+
+def stream_rtt(stream: DataFrame, timeout=PAIR_TIMEOUT, late: str = LATE, idle=IDLE, fin: bool = True, kinds=("tcp", "dns", "icmp"), control: DataFrame | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Round-trip pairs of a packet stream within its two-way flows, as ``rtt_pairs`` finds them.
+
+    The state is the open flows, without measures, and the packets that can still be answered within ``timeout``.
     """
-    limit = micros(timeout)
-    offered, asked = _pair_keys(("tcp", "dns", "icmp"))
-    keyed = flow_key(stream, biflow=True).withColumns({"_offered": offered, "_asked": asked})
-    rows = keyed.where("_offered IS NOT NULL OR _asked IS NOT NULL").select(
-        "ts", "packet_id", *KEY_FIELDS, "orient",
-        *[F.col(f"{name}.{part}").alias(f"{name}_{part}") for name in ("_offered", "_asked") for part in "abc"],
-    )
-    offered_names, asked_names = ([f"{name}_{part}" for part in "abc"] for name in ("_offered", "_asked"))
-
-    def step(key, ready, carried, watermark):
-        newest = carried or {}
-        out = []
-        if ready is not None and len(ready):
-            offers = zip(*[ready[n] for n in offered_names])
-            asks = zip(*[ready[n] for n in asked_names])
-            for t, packet, side, offer, ask in zip(ready["_t"], ready["packet_id"], ready["orient"], offers, asks):
-                # Nullable parts arrive as floats; a missing key is not equal to itself.
-                if ask[0] == ask[0] and ask[0] is not None:
-                    match = newest.get((3 - side, ask))
-                    if match is not None and t - match[0] <= limit:
-                        out.append((packet, match[1], side, t, t - match[0]))
-                if offer[0] == offer[0] and offer[0] is not None:
-                    newest[(side, offer)] = (t, packet)
-        newest = {k: v for k, v in newest.items() if v[0] + limit >= watermark}
-        frame = pd.DataFrame(out, columns=[f.name for f in _PAIR.fields]) if out else None
-        return frame, newest or None, max(v[0] for v in newest.values()) + limit + 1000 if newest else None
-
-    return ordered_by_key(rows, KEY_FIELDS, late, step, _PAIR)
+    offered, asked = (F.when(c.isNotNull(), c["a"] * 256 + c["b"] * 2 + c["c"]) for c in _pair_keys(kinds))
+    keyed = flow_key(stream, biflow=True)
+    rules = Rules(micros(idle), None, 2, [], timeout_us=micros(timeout))
+    grouped = _grouped(keyed, {"offered": offered, "asked": asked}, fin, late, control, buckets)
+    return grouped.transformWithStateInPandas(PairStates(rules), "packet_id long, matched_id long, direction int, probe_us long, delay_us long", "append", "EventTime")
+
+
+def stream_one_way_delay(stream: DataFrame, point_a, point_b, timeout="1 second", late: str = LATE, by: str = "packet_digest") -> DataFrame:
+    """Delay between two observation points of a stream: each packet at ``point_b`` with its newest earlier sighting at ``point_a``.
+
+    A watermarked join of the stream with itself, so state is kept for ``timeout`` and ``late`` only; the newest of
+    several sightings is chosen when the watermark has passed the packet.
+    """
+    seen = stream.where(F.col(by).isNotNull())
+    left = seen.where(F.col("obs_point") == point_a).select(F.col(by).alias("_a_key"), F.col("packet_id").alias("_a_id"), F.col("ts").alias("_a_ts")).withWatermark("_a_ts", late)
+    right = seen.where(F.col("obs_point") == point_b).select(by, "packet_id", "ts").withWatermark("ts", late)
+    gap = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(micros(timeout) / 1e6))
+    near = (F.col("_a_ts") <= F.col("ts")) & (F.col("_a_ts") >= F.col("ts") - gap)
+    pairs = left.join(right, (F.col("_a_key") == F.col(by)) & near).select(by, "packet_id", "ts", F.struct(F.unix_micros("_a_ts").alias("t"), F.col("_a_id").alias("id")).alias("_a"))
+    newest = pairs.groupBy(by, "packet_id", "ts").agg(F.max("_a").alias("_a"))
+    return newest.select(by, F.col("_a.id").alias("packet_id_a"), F.col("packet_id").alias("packet_id_b"), (F.unix_micros("ts") - F.col("_a.t")).alias("delay_us"))
 
 
 def stream_aggregate(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, **cascade) -> StreamingQuery:

@@ -1,6 +1,7 @@
 """Streams replayed over files agree with the batch operators."""
 
 import datetime as dt
+import os
 from pathlib import Path
 
 import pytest
@@ -11,7 +12,7 @@ from packetflow.operators import flows, keys, rtt
 from packetflow.sources.packets import stream_packets
 from packetflow.sources.sinks import stream_flows_to, write_flows
 from packetflow.streaming import flows as streaming
-from packetflow.streaming.ordered import LateRows
+from packetflow.streaming.late import LateRows
 
 IDLE, ACTIVE, LATE = "20 seconds", "15 seconds", "30 seconds"
 FIELDS = [
@@ -57,7 +58,9 @@ def test_flows(spark, folder, packets, tmp_path):
     got, _ = drain(spark, streaming.stream_flows(stream(spark, folder), IDLE, ACTIVE, LATE, biflow=True), tmp_path, "flows_done")
     want = flows.build_flows(packets, IDLE, active=ACTIVE, biflow=True).where("src_ip <> '10.9.9.9'")
     assert want.where("end_reason = 2").count() > 5
-    assert collect(got.where("src_ip <> '10.9.9.9'"), *FIELDS) == collect(want, *FIELDS)
+    assert got.dtypes == want.dtypes
+    # Every column, so every measure, and the number of the flow.
+    assert collect(got.where("src_ip <> '10.9.9.9'"), *got.columns) == collect(want, *got.columns)
 
 
 def test_idle_sessions(spark, folder, packets, tmp_path):
@@ -67,11 +70,70 @@ def test_idle_sessions(spark, folder, packets, tmp_path):
     assert collect(got, *fields) == collect(want, *fields)
 
 
-def test_pairs(spark, folder, packets, tmp_path):
-    got, _ = drain(spark, streaming.stream_rtt(stream(spark, folder), "5 seconds", LATE), tmp_path, "rtt_done")
-    split = flows.split_flows(keys.flow_key(packets, biflow=True), "1 day", fin=False)
-    want = rtt.rtt_pairs(split, "5 seconds")
-    assert collect(got, "packet_id", "matched_id", "delay_us") == collect(want, "packet_id", "matched_id", "delay_us")
+def test_pairs_stay_within_a_flow(spark, folder, packets, tmp_path):
+    got, _ = drain(spark, streaming.stream_rtt(stream(spark, folder), "5 seconds", LATE, IDLE), tmp_path, "rtt_done")
+    fields = ["packet_id", "matched_id", "direction", "delay_us"]
+    want = rtt.rtt_pairs(flows.split_flows(keys.flow_key(packets, biflow=True), IDLE), "5 seconds")
+    assert want.count() > 20 and collect(got, *fields) == collect(want, *fields)
+    loose = rtt.rtt_pairs(flows.split_flows(keys.flow_key(packets, biflow=True), "1 day", fin=False), "5 seconds")
+    assert loose.count() > want.count()  # some pairs would cross the end of a flow
+
+
+def arriving(spark, path, *files):
+    """Packets in files that a stream reads one after the other."""
+    for rows in files:
+        table(spark, rows).drop("ip_bytes").coalesce(1).write.mode("append").parquet(path)
+    return stream(spark, path)
+
+
+def test_silent_flows_report_on_time(spark, tmp_path):
+    """Active periods of 15 s, idle after 20 s: nothing but another key moves the clock."""
+    a = {"src_port": 1, "ip_length": 100}
+    rows = arriving(spark, str(tmp_path / "p"), [{"t": 0, "packet_id": 1, **a}, {"t": 4, "packet_id": 2, **a}, {"t": 46, "packet_id": 3, "src_port": 2}], [{"t": 100, "packet_id": 4, "src_port": 2}], [{"t": 101, "packet_id": 5, "src_port": 2}])
+    for on_time, want in ((False, [(0, 1, 2, 2)]), (True, [(0, 2, 2, 2), (1, 1, 2, 0)])):
+        done = streaming.stream_flows(rows, IDLE, ACTIVE, LATE, measures=["packet_total", "packet_delta"], on_time=on_time, buckets=3)
+        got, _ = drain(spark, done, tmp_path / str(on_time), f"silent_{on_time}")
+        assert collect(got.where("src_port = 1"), "slice", "end_reason", "packet_total", "packet_delta") == want
+
+
+def test_an_interim_record_leaves_before_the_next_packet(spark, tmp_path):
+    """A flow goes on: its first period has left although the stream ends before the flow does."""
+    a = {"src_port": 1}
+    rows = arriving(spark, str(tmp_path / "p"), [{"t": 0, "packet_id": 1, **a}], [{"t": 46.5, "packet_id": 2, "src_port": 2}], [{"t": 46.6, "packet_id": 3, "src_port": 2}])
+    done = streaming.stream_flows(rows, IDLE, ACTIVE, LATE, measures=["packet_total"], on_time=True, buckets=3)
+    got, _ = drain(spark, done, tmp_path, "interim_early")
+    assert collect(got, "src_port", "slice", "end_reason", "packet_total") == [(1, 0, 2, 1)]
+
+
+def test_a_flush_equals_the_forced_end_at_that_time(spark, folder, packets, tmp_path):
+    at = packets.where("src_ip <> '10.9.9.9'").agg(F.expr("percentile_approx(ts, 0.6)")).first()[0]
+    source = stream(spark, folder)
+    first = packets.orderBy("ts").first()["packet_id"]
+    orders = source.where(F.col("packet_id") == first).select(F.lit(at).alias("ts"))
+    got, _ = drain(spark, streaming.stream_flows(source, IDLE, ACTIVE, LATE, biflow=True, control=orders), tmp_path, "flushed")
+    before = flows.build_flows(packets.where(F.col("ts") <= F.lit(at)), IDLE, active=ACTIVE, biflow=True, horizon=at)
+    after = flows.build_flows(packets.where(F.col("ts") > F.lit(at)), IDLE, active=ACTIVE, biflow=True)
+    assert before.where("end_reason = 4").count() > 3
+    shown = lambda df: df.where("src_ip <> '10.9.9.9'")
+    assert collect(shown(got), *FIELDS) == collect(shown(before.unionByName(after)), *FIELDS)
+    assert collect(got.where("end_reason = 4"), *got.columns) == collect(before.where("end_reason = 4"), *got.columns)
+
+
+def test_a_restart_goes_on_from_the_state(spark, folder, packets, tmp_path):
+    """Two runs over one checkpoint, the second after the source has grown: one numbering, no record twice."""
+    files = sorted(Path(folder).glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    path, out = tmp_path / "p", str(tmp_path / "out")
+    path.mkdir()
+    for part in (files[:2], files[2:]):
+        for f in part:
+            (path / f.name).write_bytes(f.read_bytes())
+            os.utime(path / f.name, ns=(f.stat().st_mtime_ns,) * 2)  # files are read in order of their age
+        rows = stream_packets(spark, str(path), schema=packets.schema, maxFilesPerTrigger=1)
+        done = streaming.stream_flows(rows, IDLE, ACTIVE, LATE, biflow=True, buckets=5)
+        stream_flows_to(done, out, str(tmp_path / "c"), availableNow=True).awaitTermination()
+    want = flows.build_flows(packets, IDLE, active=ACTIVE, biflow=True).where("src_ip <> '10.9.9.9'")
+    got = spark.read.parquet(out).where("src_ip <> '10.9.9.9'")
+    assert collect(got, "flow_no", *FIELDS) == collect(want, "flow_no", *FIELDS)
 
 
 def test_late_packets_are_dropped_and_counted(spark, tmp_path):
