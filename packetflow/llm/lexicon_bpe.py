@@ -24,7 +24,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 from pathlib import PurePosixPath
@@ -42,11 +42,11 @@ from packetflow.llm.tables import free_name, quoted, table
 from packetflow.llm.token_files import tokenizer_path
 from packetflow.session import new_folder, settle
 
-LEXICON, KEPT, WORD_BYTES = 1 << 16, 1 << 18, 64
+LEXICON, KEPT, WORD_BYTES = 1 << 16, 1 << 17, 64
 #: Words longer than this are merged one by one with a heap.
 LONG = 256
 #: Words a task remembers between texts, and characters that are encoded together.
-REMEMBERED, PORTION = 1 << 18, 1 << 21
+REMEMBERED, PORTION = 1 << 17, 1 << 20
 
 # Fixed value: the pattern of byte-level BPE that cuts a text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -369,14 +369,14 @@ def frequent_words(docs: DataFrame, vocabulary, text: str = "text", count: int =
     """At most ``count`` of the most frequent words of all texts, ascending: those above the least frequency that still leaves so few."""
 
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, known = Counter(), vocabulary.value.opened
         for batch in batches:
             for t in plain_texts(batch.column(0)):
-                held.update(vocabulary.value.words(t))
+                held.update(known.words(t))
                 if len(held) > 2 * KEPT:
                     least = int(np.partition(np.fromiter(held.values(), np.int64, len(held)), -KEPT)[-KEPT])
                     held = Counter({w: n - least for w, n in held.items() if n > least})
-        rows = [(raw, n) for w, n in held.items() if w not in vocabulary.value.special and len(raw := w.encode("utf-8", "replace")) <= WORD_BYTES]
+        rows = [(raw, n) for w, n in held.items() if w not in known.special and len(raw := w.encode("utf-8", "replace")) <= WORD_BYTES]
         yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.int64())], names=["word", "n"])
 
     words = docs.select(F.col(text).cast("string")).mapInArrow(summary, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -422,6 +422,25 @@ class Coding:
 
         return encoded(text)
 
+    def round_trip(self, text: Column) -> Column:
+        """The ids of a text and the text of those ids, from one Python worker: a struct of ``ids`` and ``decoded``."""
+        vocabulary, name = self.vocabulary, self.name
+        kind = T.StructType([T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+
+        @F.arrow_udf(kind)
+        def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known = vocabulary.value.opened
+            encoder = Encoder(known, Lexicon.mapped(SparkFiles.get(name)))
+            for texts in batches:
+                ids, decoded = [], []
+                for at in range(0, len(texts), 1000):
+                    some = list(encoder.ids(plain_texts(texts[at : at + 1000])))
+                    ids += [x.astype("<u4").tobytes() for x in some]
+                    decoded += known.texts(some)
+                yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["ids", "decoded"])
+
+        return both(text)
+
     def decode(self, ids: Column) -> Column:
         """The text of ids as ``encode`` returns them."""
         vocabulary = self.vocabulary
@@ -444,17 +463,10 @@ class Sent:
     def __getstate__(self) -> dict:
         return {"text": self.text}
 
-    @property
+    @cached_property
     def opened(self) -> Vocabulary:
         return opened(self.text)
 
-    def words(self, text: str) -> list[str]:
-        return self.opened.words(text)
-
-    @property
-    def special(self) -> dict[str, int]:
-        return self.opened.special
-
 
 @lru_cache(2)
 def opened(text: str) -> Vocabulary:
@@ -476,5 +488,5 @@ def encoded(docs: DataFrame, codes: Coding, text: str = "text", ids: str = "ids"
 def op11_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     codes = coding(docs, tokenizer_path())
-    rows = encoded(docs, codes).withColumn("decoded", codes.decode(F.col("ids")))
+    rows = docs.select("doc_id", codes.round_trip(F.col("text")).alias("r")).select("doc_id", "r.ids", "r.decoded")
     return rows.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
