@@ -6,13 +6,15 @@ inverse document frequency of its words.  The frequencies are counted over all d
 similarity of their sets, sum of minima over sum of maxima, is SIMILARITY or more.
 
 Candidates come from BANDS bands: a band is a fixed choice of ROWS out of SAMPLES consistent weighted samples.  Two
-documents agree in one sample with a probability of just that similarity, so a pair at 0.8 meets in some band with probability 0.995,
-one at 0.85 with 0.9995.  Exact copies are put together first and stand as one text.  The documents that share a band
-value (a bucket) are never paired with each other: all are compared with up to four of them, the hubs, by four different orders.  Each
+documents agree in one sample with a probability of just that similarity, so a pair at 0.8 meets in some band with probability 0.97,
+one at 0.85 with 0.997, one at 0.5 with 0.2.  Exact copies are put together first and stand as one text.  The documents that share a band
+value (a bucket) are never paired with each other: all are compared with the smallest id among them.  Each
 comparison reads both whole texts and computes the similarity itself.  Verified links make the classes (connected
-components).  Where a bucket holds several classes, further hubs are taken from outside its largest class and compared with all
-documents of other classes, pass after pass, until every two documents that share a bucket are in one class or were compared.
-Pairs whose total weights differ too much to reach the similarity need no comparison.
+components).  Where a bucket still holds several classes, one of its documents in the largest class is its anchor, and the documents outside the
+anchor's class, the outsiders, go on: in each pass they are compared with the next documents of the bucket, GROWTH times as many as before,
+until they have joined the anchor's class or have met the whole bucket.  Classes only grow, so whoever is an outsider in the end was one
+all along: every two documents that share a bucket are then in one class or were compared.  A member of a large group joins it after a
+few comparisons.  Pairs whose total weights differ too much to reach the similarity need no comparison.
 
 Only samples, identifiers and links are shuffled, and the texts of documents that share a bucket.  Joins are plain equi-joins, which
 adaptive execution splits where a hub is hot; minima per bucket are combined before the shuffle.
@@ -39,12 +41,12 @@ from packetflow.session import settle
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SAMPLES, BANDS, ROWS = 30, 40, 5
+SAMPLES, BANDS, ROWS = 30, 40, 7
 IDF_BUCKETS = 1 << 18
 SEED = 20_11
 
-#: Hubs of a large mixed bucket in the first pass (twice as many in each that follows), and pairs up to which a bucket gets more.
-HUBS, BUCKET_PAIRS = 32, 1 << 14
+#: Documents of a mixed bucket that its outsiders meet in the first pass, and how many times as many in each that follows.
+HUBS, GROWTH = 4, 4
 
 _U64 = np.uint64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U64)
@@ -259,36 +261,39 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     copies = settle(copies, "copies")
     members = signed.select("id", "digest").join(copies.select("digest", "rep"), "digest").select("id", "rep").distinct()
     buckets = copies.where(F.col("bands").isNotNull()).select("rep", F.posexplode("bands").alias("band", "value"))
-    by = lambda salt: F.min(F.struct(F.xxhash64("rep", F.lit(salt)), "rep"))["rep"]
-    hubs = buckets.groupBy("band", "value").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), by(1).alias("one"), by(2).alias("two")).where("low < high")
-    shared = settle(buckets.join(hubs, ["band", "value"]), "buckets")
+    hubs = buckets.groupBy("band", "value").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    shared = settle(buckets.join(hubs.drop("high"), ["band", "value"]), "buckets")
     involved = settle(own.join(shared.select(F.col("rep").alias("id")).distinct(), "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
-    met = shared.select("rep", F.explode(F.array_distinct(F.array("low", "high", "one", "two"))).alias("hub"))
-    tested = settle(as_pairs(met), "pairs")
+    tested = settle(as_pairs(shared.select("rep", F.col("low").alias("hub"))), "pairs")
     links = settle(verified(tested, involved, idf, similarity), "similar")
-    roots, turn = settle(components(links), "roots"), 2
-    waiting = shared.select("band", "value", "rep")
-    while True:
-        turn += 1
-        labelled = waiting.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-        sizes = labelled.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"))
-        sizes = sizes.groupBy("band", "value").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("size"), F.max("n").alias("most")).where("most < size")
-        waiting = settle(labelled.join(sizes, ["band", "value"]), "waiting")
-        if waiting.isEmpty():
+    roots = settle(components(links), "roots")
+    own_root = roots.withColumnRenamed("id", "rep")
+    labelled = shared.join(own_root, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    parts = labelled.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("anchor"))
+    mixed_ones = parts.groupBy("band", "value").agg(F.max(F.struct("n", "anchor"))["anchor"].alias("anchor"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    waiting = settle(shared.drop("low").join(mixed_ones.drop("classes"), ["band", "value"]), "waiting")
+    largest = waiting.agg(F.max("size")).first()[0] or 0
+    met_before, meets = 0, HUBS
+    while met_before < largest:
+        anchors = roots.select(F.col("id").alias("anchor"), F.col("root").alias("main"))
+        labelled = waiting.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(anchors, "anchor", "left")
+        labelled = labelled.withColumns({"root": F.coalesce("root", "rep"), "main": F.coalesce("main", "anchor")})
+        labelled = settle(labelled, "labelled")
+        outsiders = labelled.where("root <> main").select("band", "value", "rep", "root")
+        if outsiders.isEmpty():
             break
-        # All documents outside the largest class where they are few, else about so many, the same ones in every band.
-        wanted = F.greatest(F.lit(HUBS << min(turn - 3, 20)), (F.lit(BUCKET_PAIRS) / F.col("size")).cast("long"))
-        chosen = F.pmod(F.xxhash64("rep", F.lit(turn)), F.col("size") - F.col("most")) < wanted
-        hubs = settle(waiting.where("root <> main").where(chosen).select("band", "value", F.col("rep").alias("hub"), F.col("root").alias("hub_root")), "hubs")
-        met = waiting.join(hubs, ["band", "value"]).where("root <> hub_root").select("rep", "hub")
+        turn = F.pmod(F.xxhash64("rep"), F.col("size"))
+        hubs = labelled.where((turn >= met_before) & (turn < meets)).select("band", "value", F.col("rep").alias("hub"), F.col("root").alias("hub_root"))
+        met = outsiders.join(hubs, ["band", "value"]).where("root <> hub_root").select("rep", "hub")
         pairs = settle(within_reach(as_pairs(met), copies, similarity).join(tested, ["a", "b"], "left_anti"), "pairs")
         found = settle(verified(pairs, involved, idf, similarity), "similar")
-        # A hub has met its whole bucket and leaves it.
-        waiting = waiting.join(hubs.withColumnRenamed("hub", "rep"), ["band", "value", "rep"], "left_anti").select("band", "value", "rep")
-        tested = tested.union(pairs)
+        open_ones = outsiders.select("band", "value").distinct()
+        waiting = labelled.where(F.col("size") > meets).join(open_ones, ["band", "value"], "left_semi").select(*waiting.columns)
+        tested = settle(tested.union(pairs), "tested")
         if not found.isEmpty():
-            links = links.union(found)
+            links = settle(links.union(found), "similar")
             roots = settle(components(links), "roots")
+        met_before, meets = meets, meets * GROWTH
     return members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"))
 
 

@@ -123,8 +123,8 @@ def test_pairs_of_non_hubs_in_a_bucket_of_many_classes_are_found(spark, monkeypa
         return (one(got[0]), *got[1:]) if isinstance(got, tuple) else one(got)
 
     monkeypatch.setattr(nd, "bands_of", one_bucket)
-    monkeypatch.setattr(nd, "HUBS", 4, raising=False)
-    monkeypatch.setattr(nd, "BUCKET_PAIRS", 1, raising=False)
+    monkeypatch.setattr(nd, "HUBS", 1)
+    monkeypatch.setattr(nd, "GROWTH", 2)
     got = {r.doc_id: r.class_id for r in nd.classes(docs(spark, rows)).collect()}
     want = brute(rows)
     assert len(set(want.values())) < len(rows) and got == want
