@@ -46,7 +46,7 @@ IDF_BUCKETS = 1 << 18
 SEED = 20_11
 
 #: Documents of a mixed bucket that its outsiders meet in the first pass, and how many times as many in each that follows.
-HUBS, GROWTH = 4, 4
+HUBS, GROWTH = 8, 8
 
 _U64 = np.uint64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U64)
@@ -267,8 +267,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     tested = settle(as_pairs(shared.select("rep", F.col("low").alias("hub"))), "pairs")
     links = settle(verified(tested, involved, idf, similarity), "similar")
     roots = settle(components(links), "roots")
-    own_root = roots.withColumnRenamed("id", "rep")
-    labelled = shared.join(own_root, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    labelled = shared.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     parts = labelled.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("anchor"))
     mixed_ones = parts.groupBy("band", "value").agg(F.max(F.struct("n", "anchor"))["anchor"].alias("anchor"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
     waiting = settle(shared.drop("low").join(mixed_ones.drop("classes"), ["band", "value"]), "waiting")
@@ -282,7 +281,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         outsiders = labelled.where("root <> main").select("band", "value", "rep", "root")
         if outsiders.isEmpty():
             break
-        turn = F.pmod(F.xxhash64("rep"), F.col("size"))
+        # One order of the documents for all buckets, so an outsider meets much the same ones in each of its buckets.
+        turn = F.expr(f"pmod(xxhash64(rep, {SEED}L), {1 << 24}L) * size div {1 << 24}L")
         hubs = labelled.where((turn >= met_before) & (turn < meets)).select("band", "value", F.col("rep").alias("hub"), F.col("root").alias("hub_root"))
         met = outsiders.join(hubs, ["band", "value"]).where("root <> hub_root").select("rep", "hub")
         pairs = settle(within_reach(as_pairs(met), copies, similarity).join(tested, ["a", "b"], "left_anti"), "pairs")
