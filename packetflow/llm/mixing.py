@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packetflow.llm.tables import WORD, free_name, table
+from packetflow.llm.tables import WORD, free_name, quoted, table
 from packetflow.session import settle
 
 WEIGHTS = (5, 2, 1)
@@ -116,7 +116,7 @@ def fit(docs: DataFrame, seed: str = SEED, share: float = SHARE, epochs: float =
 def mix(docs: DataFrame, seed: str = SEED, share: float = SHARE, epochs: float = EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The mixed documents: every document as many times as the mix takes it.  The texts are not shuffled."""
     _, per_source = fit(docs, seed, share, epochs, weights)
-    own = docs.select(F.struct(*docs.columns).alias("_doc")).withColumn("source", F.col("_doc.source")).withColumn("doc_id", F.col("_doc.doc_id"))
+    own = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_doc")).withColumn("source", F.col("_doc.source")).withColumn("doc_id", F.col("_doc.doc_id"))
     taken = with_repeats(own, per_source, "source", hash_key("doc_id", seed), "_times").where("_times > 0")
     repeated = taken.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_nth"))
     return repeated.select("_doc.*")

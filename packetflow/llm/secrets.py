@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetflow.llm.tables import as_texts, free_name, table
+from packetflow.llm.tables import as_texts, free_name, quoted, table
 from packetflow.session import new_folder, settle
 
 #: Kinds of the contract, in its order; then the kinds this scan adds.  A rule's version is part of the ledger's key.
@@ -79,8 +79,9 @@ def _scan(texts: pa.Array, kinds: pa.Array) -> pa.Array:
 
 
 def versions(docs: DataFrame, text: str = "text", name: str = "blob") -> DataFrame:
-    """The rows with the content address of their text instead of the text."""
-    return docs.withColumn(name, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).drop(text)
+    """The rows with the content address of their text instead of the text, as the last column."""
+    others = [F.col(quoted(c)) for c in docs.columns if c != text]
+    return docs.select(*others, F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias(free_name(docs, name)))
 
 
 def unseen(blobs: DataFrame, ledger: DataFrame, rules: list[str]) -> DataFrame:
@@ -93,7 +94,7 @@ def unseen(blobs: DataFrame, ledger: DataFrame, rules: list[str]) -> DataFrame:
 
 
 def scan(docs: DataFrame, ledger: str, rules: list[str] | None = None, key: str = "doc_id") -> DataFrame:
-    """Bring the ledger (a folder of Parquet) up to date with ``docs``; returns the versions (rows without text, with ``blob``).
+    """Bring the ledger (a folder of Parquet) up to date with ``docs``; returns the versions (rows without text; the last column is the address).
 
     One row of each unseen blob carries its text to the scan.  Two runs that meet may scan a blob twice; reads of the ledger
     take distinct findings, so results stay right.
@@ -117,16 +118,16 @@ def read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
 
 
 def findings(rows: DataFrame, ledger: DataFrame, rules: list[str] | None = None, name: str = "findings") -> DataFrame:
-    """The versions, each with all findings of its blob under today's rules: array of (kind, start, stop), by start, then kind."""
-    rules = rules or list(RULES)
+    """The versions (address in the last column), each with all findings of its blob under today's rules: array of (kind, start, stop), by start, then kind."""
+    rules, address, held, blob = rules or list(RULES), rows.columns[-1], free_name(rows, "_found"), free_name(rows, "_blob")
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r), F.lit(i))])
     current = F.create_map(*[x for r in rules for x in (F.lit(r), F.lit(RULES[r][0]))])
     now = ledger.where((F.col("version") == F.get(F.array(current[F.col("rule")]), F.lit(0))) & (F.size("spans") > 0))
     # Distinct first: two runs may have scanned one blob.
     spans = now.select("blob", "rule", F.explode("spans").alias("s")).distinct()
-    per_blob = spans.groupBy(F.col("blob").alias("_blob")).agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), order[F.col("rule")].alias("place"), F.col("s.stop").alias("stop"), F.col("rule").alias("kind")))).alias("_found"))
+    per_blob = spans.groupBy(F.col("blob").alias(blob)).agg(F.array_sort(F.collect_list(F.struct(F.col("s.start").alias("start"), order[F.col("rule")].alias("place"), F.col("s.stop").alias("stop"), F.col("rule").alias("kind")))).alias(held))
     empty = F.array().cast("array<struct<start:int,place:int,stop:int,kind:string>>")
-    return rows.join(per_blob, F.col("blob") == F.col("_blob"), "left").select(*rows.columns, F.coalesce("_found", empty).alias(free_name(rows, name)))
+    return rows.join(per_blob, F.col(quoted(address)) == F.col(blob), "left").select(*[F.col(quoted(c)) for c in rows.columns], F.coalesce(held, empty).alias(free_name(rows, name)))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
