@@ -660,6 +660,14 @@ _sql(
     _IDLE_ONLY,
     f"SELECT {B.KEY}, {TIMES}, packet_total, octet_total FROM flows WHERE (end_us + {B.IDLE_US}) // 1000 * 1000 <= {_MARK}",
 )
+_packets("stream_sample_count", f"SELECT packet_id, interface, ip_length, host FROM ranked WHERE (n - 1) % 14 < 4 AND t <= {_MARK}", _RANKED)
+# A run of ten has left once its last packet is behind the watermark.
+_packets(
+    "stream_sample_n_of_N",
+    f"""SELECT packet_id, interface FROM runs WHERE place <= 4 AND
+    (n - 1) // 10 < (SELECT count(*) FROM packets p WHERE p.interface = runs.interface AND p.t <= {_MARK}) // 10""",
+    _RANKED, _runs(10),
+)
 _split(
     "stream_rtt",
     f"SELECT packet_id, matched_id, direction, delay_us FROM pairs JOIN (SELECT packet_id, t AS probe_us FROM packets) USING (packet_id) WHERE probe_us <= {_MARK}",

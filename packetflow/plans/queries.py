@@ -20,6 +20,7 @@ from packetflow.sources.frames import decode_frames
 from packetflow.sources.packets import stream_packets, union_interfaces
 from packetflow.sources.sinks import stream_flows_to, write_flows
 from packetflow.streaming import flows as streaming
+from packetflow.streaming import samples as stream_samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -942,6 +943,18 @@ def stream_flows_flush(spark, packets, sf_dir):
     return _drain(spark, done, "flush").select(*ID, *_times(), "end_reason", "packet_total", "octet_total")
 
 
+@query
+def stream_sample_count(spark, packets, sf_dir):
+    rows = _stream(spark, sf_dir).select("packet_id", "ts", "interface", "ip_length", "host")
+    return _drain(spark, stream_samples.stream_sample_count(rows, 4, 10, late=LATE), "counted").select("packet_id", "interface", "ip_length", "host")
+
+
+@query
+def stream_sample_n_of_N(spark, packets, sf_dir):
+    rows = _stream(spark, sf_dir).select("packet_id", "ts", "interface")
+    return _drain(spark, stream_samples.stream_sample_n_of_N(rows, 4, 10, seed=7, late=LATE), "drawn").select("packet_id", "interface")
+
+
 @query
 def stream_flows_idle(spark, packets, sf_dir):
     done = _drain(spark, streaming.stream_flows_idle(_stream(spark, sf_dir), E.IDLE, LATE), "idle")

@@ -43,6 +43,11 @@ def stream_flows_idle(stream: DataFrame, idle=IDLE, late: str = LATE, biflow: bo
     )
 
 
+def keep_state_in_rocksdb(spark) -> None:
+    """transformWithState needs it, and state may outgrow the executors' memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def _number(value, name: str):
     """A whole number without nulls: those become NOTHING."""
     return F.coalesce(value.cast("bigint"), F.lit(NOTHING)).alias(name)
@@ -62,8 +67,7 @@ def _grouped(keyed: DataFrame, values: dict, fin: bool, late: str, control: Data
         orders = control.select("ts").withColumns({**blank, "flush": F.lit(1).cast("bigint"), "bucket": F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))})
         rows = rows.unionByName(orders)
     rows = rows.withColumn("t", F.unix_micros("ts")).withWatermark("ts", late)
-    # The state of transformWithState lives in RocksDB: it may outgrow the executors' memory.
-    keyed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keep_state_in_rocksdb(keyed.sparkSession)
     return rows.groupBy("bucket")
 
 

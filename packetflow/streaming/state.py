@@ -92,6 +92,49 @@ def _running(kind: str, combine: str, values: np.ndarray, first: np.ndarray) ->
     return np.where(some, np.cumsum(plain) - before, NOTHING)
 
 
+def _bytes(batch: pa.RecordBatch) -> bytes:
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue()
+
+
+class Waiting:
+    """The rows of a key that are newer than the watermark: a list of Arrow record batches with a column ``t``."""
+
+    def __init__(self, handle):
+        self.rows = handle.getListState("waiting", "rows binary")
+
+    def passed(self, fresh: list[pa.RecordBatch], mark: int) -> tuple[pa.Table | None, list[int]]:
+        """The rows that ``mark`` has passed, and the first instant of each batch that stays."""
+        held = [pa.ipc.open_stream(io.BytesIO(row[0])).read_next_batch() for row in self.rows.get()] if self.rows.exists() else []
+        first = lambda b: pc.min(b.column("t")).as_py()
+        # Only batches with something due are cut; the others stay as they are.
+        due = [b for b in held if first(b) <= mark] + fresh
+        stay = [b for b in held if first(b) > mark]
+        if not due:
+            return None, [first(b) for b in stay]
+        table = pa.concat_tables([pa.Table.from_batches([b]) for b in due], promote_options="permissive").combine_chunks()
+        over = pc.less_equal(table.column("t"), mark)
+        stay += table.filter(pc.invert(over)).combine_chunks().to_batches()
+        stay = [b for b in stay if b.num_rows]
+        if stay:
+            self.rows.put([(_bytes(b),) for b in stay])
+        else:
+            self.rows.clear()
+        return table.filter(over), [first(b) for b in stay]
+
+
+def only_timer(handle, wanted: int | None) -> None:
+    """Leave the one timer at ``wanted`` ms, or none."""
+    have = list(handle.listTimers())
+    for t in have:
+        if t != wanted:
+            handle.deleteTimer(t)
+    if wanted is not None and wanted not in have:
+        handle.registerTimer(wanted)
+
+
 class _States(StatefulProcessor):
     """Waiting packets, open flows and flow numbers of a bucket; subclasses say what comes out."""
 
@@ -101,7 +144,7 @@ class _States(StatefulProcessor):
     def init(self, handle) -> None:
         self.handle = handle
         fields = ", ".join(f"{n} long" for n in [*_FIXED, *[f"m{i}" for i in range(len(self.rules.measures))]])
-        self.waiting = handle.getListState("waiting", "rows binary")
+        self.waiting = Waiting(handle)
         self.open = handle.getMapState("open", "k string", fields)
         self.numbers = handle.getMapState("numbers", "k string", "no long")
 
@@ -115,27 +158,15 @@ class _States(StatefulProcessor):
 
     def advance(self, fresh: list[pa.RecordBatch], mark: int) -> Iterator[pd.DataFrame]:
         """Handle what the watermark has passed, keep the rest, and set the timer for what is due next."""
-        held = [pa.ipc.open_stream(io.BytesIO(row[0])).read_next_batch() for row in self.waiting.get()] if self.waiting.exists() else []
-        # Of what waits, only batches with something due are opened; the others stay as they are.
-        due = [b for b in held if pc.min(b.column("t")).as_py() <= mark] + fresh
-        stay = [b for b in held if pc.min(b.column("t")).as_py() > mark]
-        table = pa.Table.from_batches(due).combine_chunks() if due else None
+        now, times = self.waiting.passed(fresh, mark)
         packets, orders = None, np.zeros(0, np.int64)
-        if table is not None:
-            passed = pc.less_equal(table.column("t"), mark)
-            rest, now = table.filter(pc.invert(passed)), table.filter(passed)
-            stay += rest.combine_chunks().to_batches()
+        if now is not None:
             order = pc.equal(now.column("flush"), 1)
             orders = np.unique(now.filter(order).column("t").to_numpy())
             packets = now.filter(pc.invert(order))
-        if due:
-            if stay:
-                self.waiting.put([(_bytes(b),) for b in stay])
-            else:
-                self.waiting.clear()
         flows = {key[0]: value for key, value in self.open.iterator()} if self.open.exists() else {}
         frame = self.step(packets, flows, orders, mark)
-        self.set_timer([pc.min(b.column("t")).as_py() for b in stay], flows, mark)
+        self.set_timer(times, flows, mark)
         if frame is not None and len(frame):
             yield frame
 
@@ -151,13 +182,7 @@ class _States(StatefulProcessor):
                 period = flow["t0"] + (flow["slice"] + 1) * active
                 if period <= last:
                     due.append(-(-period // 1000))
-        wanted = max(min(due) - 1, mark // 1000 + 1) if due else None
-        have = list(self.handle.listTimers())
-        for t in have:
-            if t != wanted:
-                self.handle.deleteTimer(t)
-        if wanted is not None and wanted not in have:
-            self.handle.registerTimer(wanted)
+        only_timer(self.handle, max(min(due) - 1, mark // 1000 + 1) if due else None)
 
     def arranged(self, packets: pa.Table | None, flows: dict[str, tuple], orders: np.ndarray) -> dict | None:
         """Open flows and packets in one order, cut into flows: arrays by row."""
@@ -235,13 +260,6 @@ class _States(StatefulProcessor):
         raise NotImplementedError
 
 
-def _bytes(batch: pa.RecordBatch) -> bytes:
-    sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue()
-
-
 class FlowStates(_States):
     """Records of flows."""
 

@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import EPOCH, collect, random_rows, table
-from packetflow.operators import flows, keys, rtt
+from packetflow.operators import flows, keys, rtt, sampling
 from packetflow.sources.packets import stream_packets
 from packetflow.sources.sinks import stream_flows_to, write_flows
 from packetflow.streaming import flows as streaming
+from packetflow.streaming import samples
 from packetflow.streaming.late import LateRows
 
 IDLE, ACTIVE, LATE = "20 seconds", "15 seconds", "30 seconds"
@@ -136,6 +137,24 @@ def test_a_restart_goes_on_from_the_state(spark, folder, packets, tmp_path):
     assert collect(got, "flow_no", *FIELDS) == collect(want, "flow_no", *FIELDS)
 
 
+@pytest.mark.parametrize("scope", ["interface", "global"])
+def test_counted_samples_are_those_of_the_table(spark, folder, packets, tmp_path, scope):
+    table_ = packets.where("packet_id < 1000000")  # the last packet closes the stream and stays behind its watermark
+    by = (lambda r: r.interface) if scope == "interface" else (lambda r: 0)
+    for i, invert in enumerate((False, True)):
+        got, _ = drain(spark, samples.stream_sample_count(stream(spark, folder), 3, 4, scope, invert, LATE), tmp_path / str(i), f"counted_{scope}_{i}")
+        want = sampling.sample_count(table_, 3, 4, scope, invert)
+        assert got.dtypes == want.dtypes and collect(got, *got.columns) == collect(want, *got.columns)
+    got, _ = drain(spark, samples.stream_sample_n_of_N(stream(spark, folder), 2, 9, 5, scope, LATE), tmp_path / "n", f"drawn_{scope}")
+    place, whole = {}, set()
+    for r in table_.orderBy("ts", "packet_id").select("packet_id", "interface").collect():
+        place.setdefault(by(r), []).append(r.packet_id)
+    for ids in place.values():
+        whole.update(ids[: len(ids) // 9 * 9])
+    want = [r for r in collect(sampling.sample_n_of_N(table_, 2, 9, 5, scope), "packet_id") if r[0] in whole]
+    assert len(want) > 40 and collect(got, "packet_id") == want
+
+
 def test_late_packets_are_dropped_and_counted(spark, tmp_path):
     path = str(tmp_path / "p")
     for number, t in enumerate([0, 500, 510, 1, 1000]):
