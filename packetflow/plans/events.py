@@ -73,7 +73,12 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sync_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clock exchanges: one per ``view`` event, in ns, with a drifting clock."""
-    events = read_packets(spark, f"{sf_dir}/events.parquet").where("event_type = 'view'")
+    return samples_of(read_packets(spark, f"{sf_dir}/events.parquet"))
+
+
+def samples_of(events: DataFrame) -> DataFrame:
+    """The same of any table or stream of events."""
+    events = events.where("event_type = 'view'")
     us = F.unix_micros("ts")
     k = F.regexp_replace("props", "[^0-9]", "").cast("bigint")
     return events.select(

@@ -660,6 +660,13 @@ _sql(
     _IDLE_ONLY,
     f"SELECT {B.KEY}, {TIMES}, packet_total, octet_total FROM flows WHERE (end_us + {B.IDLE_US}) // 1000 * 1000 <= {_MARK}",
 )
+_sql(
+    "stream_drift_fit",
+    [_SYNC],
+    """SELECT obs_point, seq, samples, round(coalesce(slope, 0.0), 7) AS slope, round(coalesce(slope * x + y0 + intercept, 0.0) / 1e6, 1) AS drift_ms
+    FROM lines WHERE t3 // 1000 <= ((SELECT max(t3) FROM sync) // 1000000 - 3600000) * 1000""",
+)
+ORACLE["stream_correct_time"] = ORACLE["correct_time"] + f" WHERE t <= {_MARK}"
 _packets("stream_sample_count", f"SELECT packet_id, interface, ip_length, host FROM ranked WHERE (n - 1) % 14 < 4 AND t <= {_MARK}", _RANKED)
 # A run of ten has left once its last packet is behind the watermark.
 _packets(

@@ -19,6 +19,7 @@ from packetflow.session import apply_runtime_conf, new_folder, settle
 from packetflow.sources.frames import decode_frames
 from packetflow.sources.packets import stream_packets, union_interfaces
 from packetflow.sources.sinks import stream_flows_to, write_flows
+from packetflow.streaming import clocks as stream_clocks
 from packetflow.streaming import flows as streaming
 from packetflow.streaming import samples as stream_samples
 
@@ -873,10 +874,13 @@ def write_flows_dated(spark, packets):
     )
 
 
-def _stream(spark, sf_dir):
+def _stream_events(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = stream_packets(spark, sf_dir, schema=schema, pathGlobFilter="events.parquet")
-    return spark.sql(E._PACKETS_SQL, events=events)
+    return stream_packets(spark, sf_dir, schema=schema, pathGlobFilter="events.parquet")
+
+
+def _stream(spark, sf_dir):
+    return spark.sql(E._PACKETS_SQL, events=_stream_events(spark, sf_dir))
 
 
 def _drain(spark, stream: DataFrame, name: str) -> DataFrame:
@@ -955,6 +959,23 @@ def stream_sample_n_of_N(spark, packets, sf_dir):
     return _drain(spark, stream_samples.stream_sample_n_of_N(rows, 4, 10, seed=7, late=LATE), "drawn").select("packet_id", "interface")
 
 
+@query
+def stream_drift_fit(spark, packets, sf_dir):
+    fits = _drain(spark, stream_clocks.stream_drift_fit(E.samples_of(_stream_events(spark, sf_dir)), late=LATE), "fits")
+    at = F.col("slope") * (F.col("t3") - F.col("x0")).cast("double") + F.col("y0") + F.col("intercept")
+    return fits.select(
+        "obs_point", "seq", "samples", F.round(F.coalesce("slope", F.lit(0.0)), 7).alias("slope"),
+        F.round(F.coalesce(at, F.lit(0.0)) / 1e6, 1).alias("drift_ms"),
+    )
+
+
+@query
+def stream_correct_time(spark, packets, sf_dir):
+    rows = _stream(spark, sf_dir).select("packet_id", "ts", "obs_point")
+    done = stream_clocks.stream_correct_time(rows, E.samples_of(_stream_events(spark, sf_dir)), late=LATE)
+    return _drain(spark, done, "corrected").select("packet_id", F.expr("(corrected_ns + 500) div 1000").alias("corrected_us"))
+
+
 @query
 def stream_flows_idle(spark, packets, sf_dir):
     done = _drain(spark, streaming.stream_flows_idle(_stream(spark, sf_dir), E.IDLE, LATE), "idle")

@@ -8,11 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import EPOCH, collect, random_rows, table
-from packetflow.operators import flows, keys, rtt, sampling
+from packetflow.operators import clock, flows, keys, rtt, sampling
 from packetflow.sources.packets import stream_packets
 from packetflow.sources.sinks import stream_flows_to, write_flows
 from packetflow.streaming import flows as streaming
-from packetflow.streaming import samples
+from packetflow.streaming import clocks, samples
 from packetflow.streaming.late import LateRows
 
 IDLE, ACTIVE, LATE = "20 seconds", "15 seconds", "30 seconds"
@@ -192,3 +192,29 @@ def test_write_flows_by_day(spark, tmp_path):
     assert collect(stored, "flow_date") == [(EPOCH.date(),), ((EPOCH + dt.timedelta(days=2)).date(),)]
     write_flows(flows.build_flows(table(spark, rows)), str(tmp_path / "f"))
     assert spark.read.parquet(str(tmp_path / "f")).count() == 4
+
+
+def test_clock_lines_and_corrected_times(spark, folder, packets, tmp_path):
+    """Samples and packets of two points, disordered within the lateness; more samples than a fit takes."""
+    rows = [(1 + i % 2, i, 1704067200 * 10**9 + i * 3_000_000_000 + (i * 7919) % 1000) for i in range(200)]
+    sync = spark.createDataFrame([(p, i, t - 4000 - i, t - 900 - i * i, t) for p, i, t in rows], "obs_point int, seq long, t1 long, t2 long, t3 long")
+    path = str(tmp_path / "sync")
+    for low in (0, 70, 140):
+        sync.where((F.col("seq") >= low) & (F.col("seq") < low + 70)).coalesce(1).write.mode("append").parquet(path)
+    samples_ = spark.readStream.schema(sync.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    mark = 1704067200 * 10**6 + 199 * 3_000_000 - 30_000_000
+    got, _ = drain(spark, clocks.stream_drift_fit(samples_, 20, LATE), tmp_path / "fit", "lines_done")
+    want = clock.drift_fit(sync, 20).where(F.expr(f"(t3 + 999) div 1000 <= {mark // 1000 * 1000}"))
+    exact = ["obs_point", "seq", "t3", "delay", "drift", "x0", "y0", "samples"]
+    assert want.count() > 180 and collect(got, *exact) == collect(want, *exact)
+    a, b = ({r.seq: (r.slope, r.intercept) for r in df.collect()} for df in (got, want))
+    assert all((a[k][0] is None) == (b[k][0] is None) for k in b)
+    assert all(a[k] == pytest.approx(b[k], rel=1e-6, abs=1e-3) for k in b if b[k][0] is not None)
+
+    seen = packets.withColumn("obs_point", F.lit(1))
+    timed = stream(spark, folder).withColumn("obs_point", F.lit(1))
+    done, _ = drain(spark, clocks.stream_correct_time(timed, samples_, 20, LATE), tmp_path / "timed", "timed_done")
+    batch = clock.correct_time(clock.clock_as_of(seen, clock.drift_fit(sync, 20)))
+    near = {r.packet_id: r.corrected_ns for r in batch.collect()}
+    rows = done.collect()
+    assert len(rows) > 200 and all(abs(r.corrected_ns - near[r.packet_id]) <= 2 for r in rows)
