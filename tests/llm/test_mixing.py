@@ -54,3 +54,11 @@ def test_odd_rows_and_empty_tables(spark):
     assert m.mix(table).count() > 0
     assert m.mix(table.limit(0)).count() == 0
     assert m.mix(docs(spark, [(1, None, "en", None), (2, "", "en", "a")])).count() == 0
+
+
+def test_columns_with_dots_and_inner_names_stay(spark):
+    names = "doc_id long, text string, source string, `n.c` string, _doc string, _plan string, _times int"
+    rows = [(i, "some words here", "a", "p", "q", "r", 3) for i in range(20)]
+    mixed = m.mix(spark.createDataFrame(rows, names))
+    assert mixed.columns == ["doc_id", "text", "source", "n.c", "_doc", "_plan", "_times"]
+    assert {tuple(r)[3:] for r in mixed.collect()} == {("p", "q", "r", 3)}

@@ -54,3 +54,13 @@ def test_only_unseen_pairs_are_scanned(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert found(docs(spark, [(1, "x")]).limit(0), new_folder(spark, "ledger")) == []
+
+
+def test_columns_named_like_inner_ones_stay(spark):
+    names = "doc_id long, text string, _found string, _blob string, blob string, `n.c` string, findings string, _key string, _first string"
+    table = spark.createDataFrame([(1, TEXT, *"abcdefg")], names)
+    ledger = new_folder(spark, "ledger")
+    got = s.findings(s.scan(table, ledger, ["assign"]), s.read_ledger(spark, ledger), ["assign"])
+    row = got.first()
+    assert got.columns == ["doc_id", "_found", "_blob", "blob", "n.c", "findings", "_key", "_first", "__blob", "_findings"]
+    assert list(row)[1:8] == list("abcdefg") and len(row["_findings"]) > 0
