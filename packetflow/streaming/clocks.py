@@ -7,7 +7,7 @@ fit takes), the point's first sample, and the line in force.  A packet takes the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,8 +24,18 @@ from packetflow.streaming.state import Waiting, only_timer
 _LINE = ["slope", "intercept", "x0", "y0"]
 
 
+#: Lines that are fitted side by side: each takes as much memory as the samples it is fitted to.
+AT_ONCE = 4_096
+
+
 def fitted(x: np.ndarray, y: np.ndarray, rows: int, fresh: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least-squares lines over the newest ``rows`` samples, after each of the last ``fresh``: slope, intercept (NaN without two times), count."""
+    parts = [_lines(x[: start + AT_ONCE], y[: start + AT_ONCE], rows, min(AT_ONCE, len(x) - start)) for start in range(len(x) - fresh, len(x), AT_ONCE)]
+    return tuple(np.concatenate(part) for part in zip(*parts))
+
+
+def _lines(x: np.ndarray, y: np.ndarray, rows: int, fresh: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x, y = x[-(fresh + rows - 1) :], y[-(fresh + rows - 1) :]
     pad = np.full(rows - 1, np.nan)
     windows = [np.lib.stride_tricks.sliding_window_view(np.concatenate([pad, v]), rows)[len(v) - fresh :] for v in (x, y)]
     there = ~np.isnan(windows[0])
@@ -52,21 +62,19 @@ class _Clock(StatefulProcessor):
         self.line = handle.getValueState("line", "slope double, intercept double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batches = [pa.RecordBatch.from_pandas(frame, preserve_index=False) for frame in rows if len(frame)]
+        batches = (pa.RecordBatch.from_pandas(frame, preserve_index=False) for frame in rows if len(frame))
         yield from self.advance(batches, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self.advance([], timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def advance(self, fresh: list[pa.RecordBatch], mark: int) -> Iterator[pd.DataFrame]:
-        passed, times = self.waiting.passed(fresh, mark)
-        if passed is not None and passed.num_rows:
+    def advance(self, fresh: Iterable[pa.RecordBatch], mark: int) -> Iterator[pd.DataFrame]:
+        for passed, _ in self.waiting.passed(fresh, mark):
             # At one instant samples come before packets.
-            passed = passed.sort_by([("t", "ascending"), ("kind", "ascending"), ("t3", "ascending"), ("id", "ascending")])
-            out = self.step(passed)
+            out = self.step(passed.sort_by([("t", "ascending"), ("kind", "ascending"), ("t3", "ascending"), ("id", "ascending")]))
             if out is not None and len(out):
                 yield out
-        only_timer(self.handle, max(-(-min(times) // 1000) - 1, mark // 1000 + 1) if times else None)
+        only_timer(self.handle, self.waiting.due(mark))
 
     def step(self, rows: pa.Table) -> pd.DataFrame | None:
         packet = rows.column("kind").to_numpy() == 1

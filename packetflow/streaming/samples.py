@@ -6,7 +6,7 @@ numbers follow event time, and come out with the columns they had.  The counter
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,23 +34,24 @@ class _Numbered(StatefulProcessor):
         self.count = handle.getValueState("count", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batches = [pa.RecordBatch.from_pandas(frame, preserve_index=False) for frame in rows if len(frame)]
+        batches = (pa.RecordBatch.from_pandas(frame, preserve_index=False) for frame in rows if len(frame))
         yield from self.advance(batches, timerValues.getCurrentWatermarkInMs() * 1000)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self.advance([], timerValues.getCurrentWatermarkInMs() * 1000)
 
-    def advance(self, fresh: list[pa.RecordBatch], mark: int) -> Iterator[pd.DataFrame]:
-        passed, times = self.waiting.passed(fresh, mark)
-        if passed is not None and passed.num_rows:
-            before = self.count.get()[0] if self.count.exists() else 0
+    def advance(self, fresh: Iterable[pa.RecordBatch], mark: int) -> Iterator[pd.DataFrame]:
+        before = count = self.count.get()[0] if self.count.exists() else 0
+        for passed, _ in self.waiting.passed(fresh, mark):
             passed = passed.sort_by([("t", "ascending"), ("id", "ascending")])
-            passed = passed.append_column("rank", pa.array(np.arange(before + 1, before + 1 + passed.num_rows)))
-            self.count.update((before + passed.num_rows,))
+            passed = passed.append_column("rank", pa.array(np.arange(count + 1, count + 1 + passed.num_rows)))
+            count += passed.num_rows
             kept = self.pick(passed)
             if kept.num_rows:
                 yield kept.select(self.columns).to_pandas()
-        only_timer(self.handle, max(-(-min(times) // 1000) - 1, mark // 1000 + 1) if times else None)
+        if count > before:
+            self.count.update((count,))
+        only_timer(self.handle, self.waiting.due(mark))
 
     def pick(self, packets: pa.Table) -> pa.Table:
         raise NotImplementedError
