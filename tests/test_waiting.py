@@ -166,3 +166,17 @@ def test_lines_are_fitted_a_bounded_number_at_once(monkeypatch):
     for a, b in zip(clocks.fitted(x, y, 9, 41), whole):
         assert np.array_equal(a, b, equal_nan=True)
     assert max(sizes) == 7 and sum(sizes) == 41
+
+
+def test_a_digest_seen_often_is_looked_up_and_not_joined(small):
+    """Each sighting meets one earlier sighting: rows of a step are those that came, and none is joined with all of its digest."""
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"k": [f"d{i}" for i in rng.integers(0, 4, 900)], "t": rng.integers(1, 400, 900) * 1_000, "packet_id": np.arange(900), "side": rng.integers(0, 2, 900)})
+    got = pd.concat(run(state.Delays(2_000), pd.concat([rows, rows[rows.side == 1].iloc[:50]], ignore_index=True)))
+    first = [r for r in rows.itertuples() if r.side == 0]
+    want = []
+    for r in rows[rows.side == 1].itertuples():
+        near = [(a.t, a.packet_id) for a in first if a.k == r.k and 0 <= r.t - a.t <= 2_000]
+        if near:
+            want.append((r.k, max(near)[1], r.packet_id, r.t - max(near)[0]))
+    assert len(want) > 200 and sorted(got.itertuples(index=False, name=None)) == sorted(want)
