@@ -1,13 +1,13 @@
 """Quality classifier by Bradley-Terry pairwise ranking.
 
-Preference pairs (a document of label 1 before one of label 0) are drawn with a seed from a bounded sample of labelled
-documents; the score of a document is linear in its features, and the weights minimise the logistic loss on feature
-differences, with an L2 term (Newton's method: the loss is convex).  The threshold is a quantile of the sample's scores: the
-share of label 0 in it.  Scores are then carried to 0..1 by a logistic curve that puts that quantile at CUT.
+Preference pairs (a document of label 1 before one of label 0) are drawn with a seed from all labelled documents (``fit_all``) or from a bounded
+sample of them (``fit``); the score of a document is linear in its features, and the weights minimise the logistic loss on feature
+differences, with an L2 term (Newton's method: the loss is convex).  The threshold is a quantile of their scores: the
+share of label 0 among them.  Scores are then carried to 0..1 by a logistic curve that puts that quantile at CUT.
 
 Features are read in one walk over the whole text: shares of character classes, repetition, lengths, and how often words of
 each hashed shape occur.  A shape keeps the pattern of cases, digits, symbols and of letters beyond ASCII, not the
-letters.  Scoring is a map; only the sample's features come to the driver (MOST_LABELLED rows at most).
+letters.  Scoring is a map; sums over the labelled documents, or the features of the sample (MOST_LABELLED rows at most), come to the driver.
 
 Defined cases: a null or empty text has the features of zero words and a score like any other; labels of one
 document count as its lowest, null labels and labels of unknown documents do not count; without both labels in the sample every score is
@@ -29,10 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packetflow.llm.tables import as_texts, free_name, remainder, table
+from packetflow.session import settle
 
 #: Labelled rows a model is fitted on at most; which ones is decided by a hash of their id.
 MOST_LABELLED = 8_000
 PAIRS_PER_DOCUMENT = 8
+#: Labelled documents that draw their partners from each other, and how many of either label a group has at least (about).
+IN_GROUP, LEAST = 20_000, 200
+#: Scores that are sorted at once to find the quantile.
+MOST_SORTED = 100_000
 RIDGE = 1e-3
 SEED = 11
 #: The value of a score at the quantile that separates kept from rejected documents.
@@ -145,6 +150,116 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     return fit_arrays(np.array([r.x for r in rows], np.float64).reshape(len(rows), DENSE + SHAPES), np.array([r._label for r in rows], np.int64), seed)
 
 
+def _gathered(docs: DataFrame, labels: DataFrame, label: str, seed: int) -> DataFrame:
+    """All labelled documents as rows of about IN_GROUP of them: the group, labels, features, and which belong to it (others are lent to it).
+
+    A label that is rare is lent to further groups, so that every group holds both.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.min(label).alias("_label"))
+    # The labels grow with the corpus, so they are never broadcast.
+    rows = docs.select("doc_id", "text").join(known.hint("shuffle_merge"), F.col("doc_id") == F.col("_id")).select("_id", F.col("_label").cast("long").alias("_label"), features_of("text").alias("x"))
+    rows = settle(rows.groupBy("_id", "_label").agg(F.min("x").alias("x")), "labelled")
+    count = {r._label: r["count"] for r in rows.groupBy("_label").count().collect()}
+    groups = max(-(-sum(count.values()) // IN_GROUP), 1)
+    places = F.lit(1)
+    for value, n in count.items():
+        places = F.when(F.col("_label") == value, min(groups, max(1, -(-groups * LEAST // n)))).otherwise(places)
+    turn = F.explode(F.sequence(F.lit(0), places - 1)).alias("_turn")
+    dealt = rows.select("*", turn).withColumn("_group", F.pmod(F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(groups)) + F.col("_turn"), F.lit(groups)))
+
+    def packed(key, part):
+        part = part.sort_by("_id")
+        x = np.array(part.column("x").to_pylist(), np.float32)
+        return pa.table({"g": pa.array([key[0].as_py()], pa.int64()), "y": [part.column("_label").to_numpy().astype(np.int64).tobytes()], "x": [x.tobytes()], "own": [(part.column("_turn").to_numpy() == 0).tobytes()]})
+
+    return settle(dealt.groupBy("_group").applyInArrow(packed, "g long, y binary, x binary, own binary"), "groups")
+
+
+def fit_all(docs: DataFrame, labels: DataFrame, label: str = "quality", seed: int = SEED) -> Model:
+    """Fit on every labelled document.
+
+    Each document of a group meets partners of the group, drawn as ``fit_arrays`` draws them.  Groups add up the moments, the steps of Newton's method and
+    the histograms of the quantile; the driver holds sums only, added in the order of the groups.
+    """
+    groups = _gathered(docs, labels, label, seed)
+    width = DENSE + SHAPES
+
+    def over(work) -> list:
+        """``work(x, y, own, g)`` of every group, in their order: a list of arrays each."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    x = np.frombuffer(row["x"], np.float32).reshape(-1, width).astype(np.float64)
+                    out = work(x, np.frombuffer(row["y"], np.int64), np.frombuffer(row["own"], bool), row["g"])
+                    yield pa.RecordBatch.from_pydict({"g": [row["g"]], "v": [np.asarray(out, np.float64).ravel().tolist()]}, pa.schema([("g", pa.int64()), ("v", pa.list_(pa.float64()))]))
+
+        return [np.array(r.v) for r in sorted(groups.mapInArrow(run, "g long, v array<double>").collect())]
+
+    def moments(x, y, own, g):
+        x, y = x[own], y[own]
+        return np.concatenate([[len(y), (y == 1).sum(), (y == 0).sum()], x.sum(0)])
+
+    sums = sum(over(moments), np.zeros(3 + width))
+    total, good, bad = (int(v) for v in sums[:3])
+    if not good or not bad:
+        return fit_arrays(np.zeros((0, width)), np.zeros(0, np.int64), seed)
+    mean = sums[3:] / total
+    scale = np.sqrt(sum(over(lambda x, y, own, g: ((x[own] - mean) ** 2).sum(0))) / total) + 1e-3
+
+    def differences(x, y, g):
+        z = np.clip((x - mean) / scale, -8, 8)
+        rng = np.random.default_rng([seed, g])
+        up, down = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+        pairs = PAIRS_PER_DOCUMENT * max(len(up), len(down)) if len(up) and len(down) else 0
+        return z[rng.choice(up, pairs)] - z[rng.choice(down, pairs)] if pairs else np.zeros((0, width))
+
+    w = np.zeros(width)
+    for _ in range(25):
+
+        def slopes(x, y, own, g):
+            d = differences(x, y, g)
+            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+            return np.concatenate([[len(d)], -d.T @ p, ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+
+        sums = sum(over(slopes))
+        gradient, curve = sums[1 : 1 + width] / sums[0] + RIDGE * w, sums[1 + width :].reshape(width, width) / sums[0] + RIDGE * np.eye(width)
+        step = np.linalg.solve(curve, gradient)
+        w = w - step * min(1.0, 4 / max(np.abs(step).max(), 1e-12))
+        if np.abs(step).max() < 1e-6:
+            break
+    raw = lambda x: np.clip((x - mean) / scale, -8, 8) @ w
+    sides = sum(over(lambda x, y, own, g: [raw(x[own & (y == 1)]).sum(), raw(x[own & (y == 0)]).sum()]))
+    cut = _quantile(lambda count: over(lambda x, y, own, g: count(raw(x[own]))), total, bad / total)
+    return Model(mean, scale, w, cut, 4 / max(float(sides[0] / good - sides[1] / bad), 1e-6))
+
+
+def _quantile(over, total: int, share: float) -> float:
+    """The quantile of all values, as ``np.quantile`` defines it: histograms narrow the range until few values are left to sort."""
+    place = share * (total - 1)
+    wanted = [int(np.floor(place)), int(np.ceil(place))]
+    ends = np.array(over(lambda v: [v.min(initial=np.inf), v.max(initial=-np.inf)]))
+    low, high, below = float(ends[:, 0].min()), float(ends[:, 1].max()), 0
+    while True:
+        inside = lambda v: v[(v >= low) & (v <= high)]
+        edges = np.linspace(low, high, 4_097)
+        counts = sum(over(lambda v: np.histogram(inside(v), edges)[0])) if high > low else np.zeros(1)
+        if counts.sum() <= MOST_SORTED or high <= low:
+            break
+        upto = below + np.cumsum(counts)
+        first, last = (int(np.searchsorted(upto, k, side="right")) for k in wanted)
+        narrowed = float(edges[first]), float(edges[last + 1])
+        if narrowed == (low, high):
+            break
+        below = sum(int(c[0]) for c in over(lambda v: [(v < narrowed[0]).sum()]))
+        low, high = narrowed
+    if high <= low:
+        return low
+    values = np.sort(np.concatenate(over(inside)))
+    a, b = (values[k - below] for k in wanted)
+    return float(a + (b - a) * (place - wanted[0]))
+
+
 def score(spark: SparkSession, model: Model, text: Column) -> Column:
     """The score of each text, 0 to 1; at CUT or more a document lies above the model's quantile."""
     held = spark.sparkContext.broadcast(model)
@@ -169,6 +284,6 @@ def keep_best(docs: DataFrame, model: Model, quantile: float) -> DataFrame:
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    model = fit(docs, labels.where(remainder(F.col("doc_id"), 4) != 2))
+    model = fit_all(docs, labels.where(remainder(F.col("doc_id"), 4) != 2))
     scored = docs.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), score(spark, model, F.col("text")).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))

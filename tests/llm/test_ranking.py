@@ -64,3 +64,27 @@ def test_one_label_odd_rows_and_empty_tables(spark):
 def test_the_shape_is_that_of_the_whole_word():
     buckets = r.ShapeBuckets()
     assert buckets["a" * 250 + "99"] == buckets["a9"] != buckets["a"] and max(map(len, buckets)) == 2
+
+
+def test_the_fit_on_all_labels_counts_every_document(spark, monkeypatch):
+    """The moments are those of all labelled documents, in one group or many, and the cut is their quantile."""
+    table, labels = labelled(spark)
+    seen, original = [], r.fit_arrays
+    monkeypatch.setattr(r, "fit_arrays", lambda a, b, seed: seen.append((a, b)) or original(a, b, seed))
+    r.fit(table, labels)
+    x, y = seen[0]
+    monkeypatch.setattr(r, "MOST_LABELLED", 50)  # a bound on the sample does not bound this fit
+    for size in (20_000, 40):
+        monkeypatch.setattr(r, "IN_GROUP", size), monkeypatch.setattr(r, "LEAST", 4), monkeypatch.setattr(r, "MOST_SORTED", size)
+        model = r.fit_all(table, labels)
+        assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-3)
+        raw = model.raw(x)
+        assert np.isclose(model.cut, np.quantile(raw, (y == 0).mean()))
+        assert np.mean((raw >= model.cut) == (y == 1)) > 0.97
+        again = r.fit_all(table.repartition(5), labels.repartition(3))
+        assert np.array_equal(again.weights, model.weights) and again.cut == model.cut
+    rare = labels.where("quality = 1 OR doc_id = 5")
+    model = r.fit_all(table, rare)
+    assert np.any(model.weights != 0)
+    one = r.fit_all(table, labels.where("quality = 1"))
+    assert not one.weights.any() and r.fit_all(table.limit(0), labels).cut == one.cut
