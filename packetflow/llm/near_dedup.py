@@ -13,10 +13,16 @@ comparison reads both whole texts and computes the similarity itself.  Verified
 components).  Where a bucket still holds several classes, one of its documents in the largest class is its anchor, and the documents outside the
 anchor's class, the outsiders, go on: in each pass they are compared with the next documents of the bucket, GROWTH times as many as before,
 until they have joined the anchor's class or have met the whole bucket.  Classes only grow, so whoever is an outsider in the end was one
-all along: every two documents that share a bucket are then in one class or were compared.  A member of a large group joins it after a
-few comparisons.  Pairs whose total weights differ too much to reach the similarity need no comparison.
+all along: every two documents that share a bucket are then in one class or were compared, or cannot be similar.  A member of a large group
+joins it after a few comparisons.
 
-Only samples, identifiers and links are shuffled, and the texts of documents that share a bucket.  Joins are plain equi-joins, which
+Which pairs cannot be similar follows from weights alone.  The similarity of two sets is at most what they can share over all they hold,
+so a set has a reach: the weight of the heaviest set it can be similar to.  In crowded buckets (more than HUBS documents) what a document can share
+with another class counts only shingles that another class holds, and of these only the common ones; two documents of different classes that share
+a rare shingle (at most RARE of these documents hold it) are compared on their own.  So a member of a large group whose own edits keep it apart
+from all others is done without meeting them.
+
+Only samples, identifiers and links are shuffled, and the texts (of crowded buckets also the shingles) of documents that share a bucket.  Joins are plain equi-joins, which
 adaptive execution splits where a hub is hot; minima per bucket are combined before the shuffle.
 
 Defined cases: texts without words (null and empty ones too) are copies of each other if they are equal, null counting as empty;
@@ -47,6 +53,10 @@ SEED = 20_11
 
 #: Documents of a mixed bucket that its outsiders meet in the first pass, and how many times as many in each that follows.
 HUBS, GROWTH = 8, 8
+#: A shingle that so many documents of crowded buckets hold is rare: those documents are compared with each other.
+RARE = 8
+#: Sums of weights are compared with this much room for rounding.
+_ROOM = 1e-6
 
 _U64 = np.uint64
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U64)
@@ -184,15 +194,21 @@ def inverse_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     return (1 + np.log(total / (df[:IDF_BUCKETS] + 1)) / max(np.log(total), 1.0)).astype(np.float32)
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every id of ``edges`` (a, b) is either below one other or above some."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("b", F.lit(0), F.lit(1)))
+    ends = ends.groupBy("id").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return ends.where("below > 1 or below = 1 and above = 1").agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root): the smallest id of each connected component of ``links`` (a, b); ids without links are absent.
 
     Large star and small star in turn: each round links every id to the smallest in its neighbourhood, so hubs flatten
-    in a few rounds.  Every round is written, so a lost executor costs one round.
+    in a few rounds, until all that is left are stars.  Every round is written, so a lost executor costs one round.
     """
     edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    before = None
-    while True:
+    while not are_stars(edges):
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -200,10 +216,15 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = settle(small.where("a <> b").union(least.select("a", F.col("m").alias("b"))).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
-        before = now
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (id, root) after further links (a, b): only the classes that the links join are followed."""
+    known = roots.union(links.select("a", "a")).union(links.select("b", "b")).groupBy("id").agg(F.min("root").alias("root"))
+    ends = links.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    tops = components(ends).toDF("root", "top")
+    return known.join(tops, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
 
 
 def as_pairs(met: DataFrame) -> DataFrame:
@@ -211,10 +232,58 @@ def as_pairs(met: DataFrame) -> DataFrame:
     return met.where("rep <> hub").select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
 
 
-def within_reach(pairs: DataFrame, weighed: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose total weights (rep, weight) allow the similarity: it is never above the lesser over the greater."""
-    pairs = pairs.join(weighed.select(F.col("rep").alias("a"), F.col("weight").alias("x")), "a").join(weighed.select(F.col("rep").alias("b"), F.col("weight").alias("y")), "b")
-    return pairs.where(F.least("x", "y") >= F.greatest("x", "y") * (similarity - 1e-6)).select("a", "b")
+def shingle_rows(texts: DataFrame, idf) -> DataFrame:
+    """(id, shingle, weight): the weighted sets of texts (id, text)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                found = [weighted_set(x, idf.value, known) for x in as_bytes(part.column(1))]
+                of = np.repeat(np.arange(len(found)), [len(shingles) for shingles, _ in found])
+                shingles, weights = (np.concatenate(column) for column in zip(*found))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of)), pa.array(shingles.view(np.int64)), pa.array(weights.astype(np.float64))], names=["id", "shingle", "weight"])
+
+    return texts.select("id", "text").mapInArrow(sets, T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("shingle", T.LongType()), T.StructField("weight", T.DoubleType())]))
+
+
+def reach_of(weight, common, similarity: float):
+    """The weight of the heaviest set that a set of some weight, which shares ``common`` of it at most, can be similar to."""
+    return (common * ((1 + similarity) / similarity) - weight) * (1 + _ROOM)
+
+
+def mixed_buckets(rows: DataFrame) -> DataFrame:
+    """The rows (band, value, rep, root, ...) of buckets that hold several classes, with the bucket's size and its anchor."""
+    parts = rows.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("anchor"))
+    whole = parts.groupBy("band", "value").agg(F.sum("n").alias("size"), F.max(F.struct("n", "anchor"))["anchor"].alias("anchor"), F.count(F.lit(1)).alias("classes"))
+    return rows.join(whole.where("classes > 1").drop("classes"), ["band", "value"])
+
+
+def can_meet(rows: DataFrame) -> DataFrame:
+    """The rows (band, value, weight, reach, ...) that some other row of their bucket can be similar to, as far as the bucket's extremes tell."""
+    limits = rows.groupBy("band", "value").agg(F.min("weight").alias("lightest"), F.max("reach").alias("farthest"))
+    return rows.join(limits, ["band", "value"]).where("reach >= lightest and weight <= farthest").drop("lightest", "farthest")
+
+
+def within_crowds(rows: DataFrame, involved: DataFrame, copies: DataFrame, idf, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """What crowded buckets (rows: rep, root, ...) need: (rep, weight, reach) of their documents, and the pairs (a, b) that share a rare shingle.
+
+    Documents of different classes that share no rare shingle have at most the lesser ``common`` of the two in common, and reach tells
+    which of them can be similar.  The pairs share a bucket and are of different classes.
+    """
+    members = rows.select(F.col("rep").alias("id"), "root").distinct()
+    sets = settle(shingle_rows(involved.join(members.select("id"), "id"), idf).join(members, "id"), "shingles")
+    holders = settle(sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle", "n"), "holders")
+    common = sets.join(holders.where(F.col("n") > RARE), "shingle").groupBy("id").agg(F.sum("weight").alias("common"))
+    totals = sets.groupBy("id").agg(F.sum("weight").alias("weight")).join(common, "id", "left")
+    reaches = totals.select(F.col("id").alias("rep"), "weight", reach_of(F.col("weight"), F.coalesce("common", F.lit(0.0)), similarity).alias("reach"))
+    few = sets.join(holders.where(F.col("n") <= RARE), "shingle").groupBy("shingle").agg(F.collect_list(F.struct("id", "root")).alias("held"))
+    left = few.select(F.explode("held").alias("x"), "held").select("x", F.explode("held").alias("y")).where("x.id > y.id and x.root <> y.root")
+    pairs = left.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    bands = copies.where(F.col("bands").isNotNull()).select("rep", "bands")
+    pairs = pairs.join(bands.toDF("a", "p"), "a").join(bands.toDF("b", "q"), "b")
+    return reaches, pairs.where(F.exists(F.zip_with("p", "q", lambda x, y: x == y), lambda same: same)).select("a", "b").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
@@ -261,38 +330,47 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     copies = settle(copies, "copies")
     members = signed.select("id", "digest").join(copies.select("digest", "rep"), "digest").select("id", "rep").distinct()
     buckets = copies.where(F.col("bands").isNotNull()).select("rep", F.posexplode("bands").alias("band", "value"))
-    hubs = buckets.groupBy("band", "value").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    hubs = buckets.groupBy("band", "value").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     shared = settle(buckets.join(hubs.drop("high"), ["band", "value"]), "buckets")
     involved = settle(own.join(shared.select(F.col("rep").alias("id")).distinct(), "id").groupBy("id").agg(F.min("text").alias("text")), "texts")
     tested = settle(as_pairs(shared.select("rep", F.col("low").alias("hub"))), "pairs")
     links = settle(verified(tested, involved, idf, similarity), "similar")
     roots = settle(components(links), "roots")
-    labelled = shared.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    parts = labelled.groupBy("band", "value", "root").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("anchor"))
-    mixed_ones = parts.groupBy("band", "value").agg(F.max(F.struct("n", "anchor"))["anchor"].alias("anchor"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    waiting = settle(shared.drop("low").join(mixed_ones.drop("classes"), ["band", "value"]), "waiting")
+    labelled = shared.select("band", "value", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    # An id with several texts has a weight for each.
+    weighed = copies.groupBy("rep").agg(F.min("weight").alias("weight"), reach_of(F.lit(0.0), F.max("weight") / (1 + similarity), similarity).alias("reach"))
+    waiting = settle(mixed_buckets(labelled).join(weighed, "rep"), "waiting")
+    crowded = F.col("size") > HUBS
+    reaches, rare = within_crowds(waiting.where(crowded), involved, copies, idf, similarity)
+    limited = waiting.where(crowded).drop("weight", "reach").join(reaches, "rep")
+    limited = mixed_buckets(can_meet(limited.select("band", "value", "rep", "root", "weight", "reach")))
+    columns = ["band", "value", "rep", "size", "anchor", "weight", "reach"]
+    waiting = settle(limited.select(*columns).union(waiting.where(~crowded).select(*columns)), "waiting")
+    rare = settle(rare, "rare")
     largest = waiting.agg(F.max("size")).first()[0] or 0
     met_before, meets = 0, HUBS
-    while met_before < largest:
+    while met_before < largest or rare is not None:
         anchors = roots.select(F.col("id").alias("anchor"), F.col("root").alias("main"))
         labelled = waiting.join(roots.withColumnRenamed("id", "rep"), "rep", "left").join(anchors, "anchor", "left")
         labelled = labelled.withColumns({"root": F.coalesce("root", "rep"), "main": F.coalesce("main", "anchor")})
         labelled = settle(labelled, "labelled")
-        outsiders = labelled.where("root <> main").select("band", "value", "rep", "root")
-        if outsiders.isEmpty():
+        outsiders = labelled.where("root <> main").select("band", "value", "rep", "root", "weight", "reach")
+        if rare is None and outsiders.isEmpty():
             break
         # One order of the documents for all buckets, so an outsider meets much the same ones in each of its buckets.
         turn = F.expr(f"pmod(xxhash64(rep, {SEED}L), {1 << 24}L) * size div {1 << 24}L")
-        hubs = labelled.where((turn >= met_before) & (turn < meets)).select("band", "value", F.col("rep").alias("hub"), F.col("root").alias("hub_root"))
-        met = outsiders.join(hubs, ["band", "value"]).where("root <> hub_root").select("rep", "hub")
-        pairs = settle(within_reach(as_pairs(met), copies, similarity).join(tested, ["a", "b"], "left_anti"), "pairs")
+        hubs = labelled.where((turn >= met_before) & (turn < meets))
+        hubs = hubs.select("band", "value", F.col("rep").alias("hub"), F.col("root").alias("hub_root"), F.col("weight").alias("hub_weight"), F.col("reach").alias("hub_reach"))
+        met = outsiders.join(hubs, ["band", "value"]).where("root <> hub_root and hub_weight <= reach and weight <= hub_reach").select("rep", "hub")
+        pairs = as_pairs(met) if rare is None else as_pairs(met).union(rare).distinct()
+        pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        rare = None
         found = settle(verified(pairs, involved, idf, similarity), "similar")
         open_ones = outsiders.select("band", "value").distinct()
         waiting = labelled.where(F.col("size") > meets).join(open_ones, ["band", "value"], "left_semi").select(*waiting.columns)
         tested = settle(tested.union(pairs), "tested")
         if not found.isEmpty():
-            links = settle(links.union(found), "similar")
-            roots = settle(components(links), "roots")
+            roots = settle(joined(roots, found), "roots")
         met_before, meets = meets, meets * GROWTH
     return members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"))
 

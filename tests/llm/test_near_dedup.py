@@ -128,3 +128,32 @@ def test_pairs_of_non_hubs_in_a_bucket_of_many_classes_are_found(spark, monkeypa
     got = {r.doc_id: r.class_id for r in nd.classes(docs(spark, rows)).collect()}
     want = brute(rows)
     assert len(set(want.values())) < len(rows) and got == want
+
+
+def test_a_crowd_of_edited_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Documents that share a bucket and most of their text, yet are kept apart by edits of their own; some are similar through a rare edit."""
+    rng = random.Random(13)
+    base = sentence(rng, 150)
+    rows = [(i, edited(rng, base, 9)) for i in range(150)]
+    rows += [(500 + i, edited(rng, rows[k][1], 1)) for i, k in enumerate([3, 60, 61, 149])] + [(600 + i, edited(rng, base, 1)) for i in range(6)]
+    real, compared, verified = nd.bands_of, [], nd.verified
+
+    def one_bucket(texts, idf):
+        bands, sums = real(texts, idf)
+        return [b and [1] for b in bands], sums
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(nd, "bands_of", one_bucket)
+    monkeypatch.setattr(nd, "verified", counted)
+    got = {r.doc_id: r.class_id for r in nd.classes(docs(spark, rows)).collect()}
+    assert got == brute(rows) and 100 < len(set(got.values())) < len(rows) - 6
+    assert sum(compared) < 5 * len(rows)
+
+
+def test_further_links_join_classes(spark):
+    roots = spark.createDataFrame([(1, 1), (4, 1), (2, 2), (5, 2), (3, 3), (6, 3)], "id long, root long")
+    got = {r.id: r.root for r in nd.joined(roots, spark.createDataFrame([(9, 5), (5, 4), (12, 11)], "a long, b long")).collect()}
+    assert got == {1: 1, 4: 1, 2: 1, 5: 1, 9: 1, 3: 3, 6: 3, 11: 11, 12: 11}
