@@ -76,3 +76,31 @@ def test_links_within_a_message_within_a_turn_and_backwards(spark):
         linked[r.conv_id] = linked.get(r.conv_id, 0) + r.n_linked
     assert linked == {i: 2 for i in [1, 2, 5, 6, *range(10, 18)]}
     assert {r.turn: json.loads(r.message)["tool_results"][0]["state"] for r in got if r.conv_id == 6 and r.role == "tool"} == {0: "duplicate", 2: "linked"}
+
+
+def test_calls_are_checked_by_what_their_conversation_declares(spark, tmp_path):
+    tools = json.dumps({"content": "use these", "tools": [{"type": "function", "function": {"name": "add", "parameters": SCHEMAS["add"]}}]})
+    block = '<tools>{"name": "add", "parameters": {"required": ["c"]}}\n{"name": "odd", "input_schema": {"type": ["null", 7], "enum": 1, "required": 5, "properties": []}}</tools>'
+    bad, good, none = (json.dumps({"tool_calls": [x]}) for x in (call("x", a="1", b=2), call("x", a=1, b=2), {"id": "y", "name": "add", "arguments": "{"}))
+    rows = [
+        (1, 0, "system", tools), (1, 1, "assistant", bad), (1, 2, "assistant", good), (1, 3, "assistant", none), (1, 4, "system", block),
+        (2, 0, "system", f"Tools: {block}"), (2, 1, "assistant", good), (2, 2, "assistant", json.dumps({"tool_calls": [call("o", "odd", a=1)]})),
+        (3, 0, "assistant", bad), (None, 0, "system", tools), (None, 1, "assistant", bad), (4, 0, "system", '{"tools": [7, {"name": 1}, {"function": {}}], "functions": 3}'),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r for r in tc.op2_tool_call_linking(spark, str(tmp_path)).collect()}
+    error = {k: x[0].get("error") for k, r in got.items() if (x := json.loads(r.message).get("tool_calls"))}
+    assert error == {
+        (1, 1): "$.a: not integer", (1, 2): None, (1, 3): "$: not JSON", (2, 1): "$.c: missing", (2, 2): None, (3, 0): None, (None, 1): "$.a: not integer",
+    }
+    assert {k: r.n_invalid for k, r in got.items()} == {k: int(error.get(k) is not None) for k in got} and len(got) == len(rows)
+    assert json.loads(got[1, 0].message)["content"] == tools and json.loads(got[2, 0].message)["content"] == f"Tools: {block}"
+    assert "add" in SCHEMAS and tc.check(float("inf"), {"type": "integer"}) == "$: not integer"
+
+
+def test_odd_messages_do_not_end_the_job(spark):
+    half, deep = '{"tool_calls": [{"id": "\\ud800", "name": "f", "arguments": {"\\udfff": 1}}]}', '{"tool_calls": [{"name": "f", "arguments": ' + "[" * 2_000 + "]" * 2_000 + "}]}"
+    tools = '{"tools": [{"name": "f", "parameters": {"additionalProperties": false}}], "x": "\\udc00"}'
+    got = run(spark, [(1, 0, "system", tools), (1, 1, "assistant", half), (1, 2, "assistant", deep)])
+    assert json.loads(got[1, 1].message)["tool_calls"][0]["error"] == "$.\\udfff: unknown"
+    assert json.loads(got[1, 2].message)["content"] == deep
