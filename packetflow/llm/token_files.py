@@ -21,17 +21,18 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from packetflow.llm.tables import as_texts, table
+from packetflow.llm.tables import table
 from packetflow.session import new_folder
 
 END = 0
@@ -40,6 +41,7 @@ BLOCK = 2048
 CHUNK = 2048 * 2000
 SLOTS = 2048  # contexts of each order and block
 CLASSES = 64
+_SPACE = "\u0120"  # a space, in the vocabulary of a byte-level tokenizer
 
 _LINE = 1 << 12  # probabilities are twelve bits; a coding step has sixteen
 # The logistic function and its inverse, in 1/256 steps and twelve bits.
@@ -98,6 +100,10 @@ class Coder:
         return [self.out[i * self.room : end].astype("<u2").tobytes() for i, end in enumerate(self.at.tolist())]
 
 
+def _within(values: np.ndarray, least: int, most: int) -> np.ndarray:
+    return np.minimum(np.maximum(values, least), most)
+
+
 class Question:
     """The probability of a yes from two confidences, mixed in the logistic domain; all of it per block, in flat arrays."""
 
@@ -107,10 +113,10 @@ class Question:
 
     def ask(self, contexts: list[np.ndarray], live: int) -> np.ndarray:
         self.contexts, self.live = contexts, live
-        self.held = [o[c] for o, c in zip(self.odds, contexts)]
-        self.inputs = [_STRETCH[h] for h in self.held]
+        self.held = [o.take(c) for o, c in zip(self.odds, contexts)]
+        self.inputs = [_STRETCH.take(h) for h in self.held]
         total = (self.inputs[0] * self.weights[0][:live] >> 16) + (self.inputs[1] * self.weights[1][:live] >> 16)
-        self.given = _SQUASH[np.clip(total, -2048, 2047) + 2048]
+        self.given = _SQUASH.take(_within(total, -2048, 2047) + 2048)
         return self.given
 
     def learn(self, yes: np.ndarray, asked: np.ndarray | None = None) -> None:
@@ -120,8 +126,14 @@ class Question:
             error *= asked
         for odds, weights, held, given, at in zip(self.odds, self.weights, self.held, self.inputs, self.contexts):
             change = (truth - held) >> 4
-            odds[at] = np.clip(held + (change if asked is None else change * asked), 16, _LINE - 16)
-            weights[: self.live] = np.clip(weights[: self.live] + (given * error >> 14), -(1 << 19), 1 << 19)
+            odds[at] = _within(held + (change if asked is None else change * asked), 16, _LINE - 16)
+            weights[: self.live] = _within(weights[: self.live] + (given * error >> 14), -(1 << 19), 1 << 19)
+
+
+#: The next confidence by the confidence and, from 4 on, for a right prediction; it stands above the sixteen bits of an id.
+_LEVELS = np.array([0, 0, 1, 1, 1, 2, 3, 3], np.int32) << 16
+#: What an id of each class adds to the sums of frequencies before each class and to the total; the last row: no id.
+_ADDED = np.vstack([np.where(np.arange(CLASSES + 1) > np.arange(CLASSES)[:, None], 24, 0), np.zeros(CLASSES + 1)]).astype(np.uint16)
 
 
 class Models:
@@ -129,22 +141,22 @@ class Models:
 
     def __init__(self, lanes: int):
         self.base = np.arange(lanes, dtype=np.int64)
-        self.next = [np.zeros(lanes * SLOTS, np.uint16) for _ in range(2)]
-        self.sure = [np.zeros(lanes * SLOTS, np.int8) for _ in range(2)]
+        self.slots, self.asked = self.base * SLOTS, self.base * 32
+        self.next = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
         self.classes = np.tile((np.arange(CLASSES + 1) * 4).astype(np.uint16), (lanes, 1))
+        self.added = np.empty_like(self.classes)
         self.questions = [Question(lanes), Question(lanes)]
         self.last, self.before, self.hits = (np.zeros(lanes, np.int64) for _ in range(3))
-        self.above = np.arange(CLASSES + 1)
 
     def step(self, coder: Coder, live: int, ids: np.ndarray | None, places) -> np.ndarray:
         """Code the next id of the first ``live`` blocks: ``ids`` when writing, else they are read."""
-        here, base, last, hits = slice(0, live), self.base[:live], self.last[:live], self.hits[:live]
+        here, asked, last, hits = slice(0, live), self.asked[:live], self.last[:live], self.hits[:live]
         one = last * 40_503
-        slots = [base * SLOTS + (((one + self.before[:live] * 30_011) >> 3) & (SLOTS - 1)), base * SLOTS + ((one >> 3) & (SLOTS - 1))]
-        guess = [n[at].astype(np.int32) for n, at in zip(self.next, slots)]
-        sure = [n[at] for n, at in zip(self.sure, slots)]
+        slots = [self.slots[:live] + (x >> 3 & (SLOTS - 1)) for x in (one + self.before[:live] * 30_011, one)]
+        held = [n.take(at) for n, at in zip(self.next, slots)]
+        guess, sure = [h & 0xFFFF for h in held], [h >> 16 for h in held]
         differ = (guess[0] != guess[1]).astype(np.int32)
-        contexts = [base * 32 + (sure[0] * 8 + sure[1] * 2 + differ), base * 32 + (hits * 4 + sure[0])]
+        contexts = [asked + (sure[0] * 8 + sure[1] * 2 + differ), asked + (hits * 4 + sure[0])]
         p = self.questions[0].ask(contexts, live)
         q = self.questions[1].ask(contexts, live) * differ  # order 1 is not asked what order 2 has just denied
         first = p << 4
@@ -152,37 +164,44 @@ class Models:
         part = coder.range[here] >> _BITS
         if ids is None:
             at = coder.target(here, part, 1 << 16)
-            kind = (at >= first).astype(np.int32) + (at >= second)
+            denied, none = at >= first, at >= second
         else:
-            kind = np.where(ids == guess[0], 0, np.where(ids == guess[1], 1, 2))
-        start = np.where(kind == 0, 0, np.where(kind == 1, first, second))
-        stop = np.where(kind == 0, first, np.where(kind == 1, second, 1 << 16))
+            denied = ids != guess[0]
+            none = denied & (ids != guess[1])
+        start = np.where(none, second, np.where(denied, first, 0))
+        stop = np.where(none, 1 << 16, np.where(denied, second, first))
         coder.narrow(here, part, start, stop - start)
-        self.questions[0].learn(kind == 0)
-        self.questions[1].learn(kind == 1, differ * (kind != 0))
-        out = np.where(kind == 0, guess[0], guess[1]).astype(np.int64) if ids is None else ids
-        missed = np.flatnonzero(kind == 2)
+        self.questions[0].learn(~denied)
+        self.questions[1].learn(denied & ~none, differ * denied)
+        out = np.where(denied, guess[1], guess[0]).astype(np.int64) if ids is None else ids
+        missed = np.flatnonzero(none)
         if len(missed):
-            self.escape(coder, missed, out, ids is None, places)
-        self.hits[:live] = ((hits << 1) & 7) | (kind != 2)
-        for guessed, n, level, table, at in zip(guess, self.next, sure, self.sure, slots):
-            right = guessed == out
-            table[at] = np.where(right, np.minimum(level + 1, 3), level >> 1)
-            n[at] = np.where(right | (level > 1), guessed, out)
+            self.escape(coder, missed, live, out, ids is None, places)
+        self.hits[:live] = ((hits << 1) & 7) | ~none
+        for n, at, guessed, level in zip(self.next, slots, guess, sure):
+            n[at] = np.where(level > 1, guessed, out) | _LEVELS.take(level + 4 * (guessed == out))
         self.before[:live] = last
         self.last[:live] = out
         return out
 
-    def escape(self, coder: Coder, lanes: np.ndarray, out: np.ndarray, reading: bool, places) -> None:
+    def escape(self, coder: Coder, lanes: np.ndarray, live: int, out: np.ndarray, reading: bool, places) -> None:
         """An id that was not predicted: its class by the frequencies so far; its place in the class stands as it is."""
-        rows = self.classes[lanes]
-        total = rows[:, -1].astype(np.uint64)
+        flat, rows = self.classes.reshape(-1), lanes * (CLASSES + 1)
+        total = flat.take(rows + CLASSES).astype(np.uint64)
         part = coder.range[lanes] // total
-        kind = (rows[:, 1:] <= coder.target(lanes, part, total.astype(np.int64))[:, None]).sum(1) if reading else out[lanes] >> 10
-        at = np.arange(len(lanes))
-        start = rows[at, kind]
-        coder.narrow(lanes, part, start, rows[at, kind + 1] - start)
-        self.classes[lanes] = rows + (self.above > kind[:, None]).astype(np.uint16) * np.uint16(24)
+        if reading:
+            sought = np.zeros(live, np.uint16)
+            sought[lanes] = coder.target(lanes, part, total.astype(np.int64))
+            kind = (self.classes[:live, 1:] > sought[:, None]).argmax(1)[lanes]
+        else:
+            kind = out[lanes] >> 10
+        start = flat.take(rows + kind)
+        coder.narrow(lanes, part, start, flat.take(rows + kind + 1) - start)
+        # All blocks learn at once: those whose id was predicted add nothing.
+        kinds = np.full(live, CLASSES)
+        kinds[lanes] = kind
+        _ADDED.take(kinds, axis=0, out=self.added[:live], mode="clip")
+        self.classes[:live] += self.added[:live]
         if reading:
             out[lanes] = (kind << 10) | places.take(lanes)
         else:
@@ -200,17 +219,19 @@ class Places:
             self.values[i, : len(bits)] = bits @ (1 << np.arange(9, -1, -1))
 
     def put(self, lanes: np.ndarray, values: np.ndarray) -> None:
-        self.values[lanes, self.size[lanes]] = values
-        self.size[lanes] += 1
+        self.values.reshape(-1)[self._next(lanes)] = values
 
     def take(self, lanes: np.ndarray) -> np.ndarray:
-        found = self.values[lanes, self.size[lanes]].astype(np.int64)
-        self.size[lanes] += 1
-        return found
+        return self.values.reshape(-1).take(self._next(lanes)).astype(np.int64)
+
+    def _next(self, lanes: np.ndarray) -> np.ndarray:
+        size = self.size.take(lanes)
+        self.size[lanes] = size + 1
+        return lanes * self.values.shape[1] + size
 
     def packed(self, i: int) -> bytes:
         values = self.values[i, : self.size[i]]
-        return np.packbits((values[:, None] >> np.arange(9, -1, -1)) & 1).tobytes()
+        return np.packbits((values[:, None] >> np.arange(9, -1, -1, dtype=np.uint16)).astype(np.uint8) & 1).tobytes()
 
 
 def _lanes(n: int, block: int) -> np.ndarray:
@@ -248,47 +269,93 @@ def decode_ids(blocks: list[bytes], n: int, block: int = BLOCK) -> np.ndarray:
     return grid.T.reshape(-1)[:n]
 
 
-class PieceIds(dict):
-    """word -> ids of the word after a space, as bytes; None where a word may not be cut off.
+class PieceIds:
+    """Ids of texts, from a table of words: the ids of each word after a space, and whether it may be cut off.
 
     The tokenizer cuts a text into words before it merges bytes, and a single space between two characters that are no
     white space always begins a word.  So a text may be cut there, and equal words have equal ids wherever they stand.
-    The tokenizer is asked once for each word not seen before; the table forgets everything when it has grown too large.
+    The tokenizer is asked once for each word not seen before; the table forgets older words when it has grown too large.
+    Cutting, looking up and joining are done by Arrow over a portion of texts at once.
     """
 
     def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.most, self.first = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(1 + max(vocabulary.values()), bool)
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith(_SPACE)]] = True
+        self.words, self.known, self.loose = pa.array([], pa.large_string()), _lists([]), np.zeros(0, bool)
+
+    def coded(self, texts: list[str]) -> pa.ListArray:
+        """The ids of each text as the tokenizer gives them; a bounded number of its results is held at once."""
+        parts = []
+        for i in range(0, len(texts), 100):
+            encodings = self.tokenizer.encode_batch_fast(texts[i : i + 100], add_special_tokens=False)
+            parts.append(_lists([e.ids for e in encodings]))
+        return pa.concat_arrays(parts) if parts else _lists([])
+
+    def coded_words(self, words: list[str]) -> pa.ListArray:
+        """The ids of each word after a space: many words are one text, in which an id that begins with a space begins a word."""
+        texts = ["".join([" " + w for w in words[i : i + 256]]) for i in range(0, len(words), 256)]
+        flat = self.coded(texts).flatten()
+        starts = np.flatnonzero(self.spaced[flat.to_numpy()])
+        if len(starts) != len(words) or (len(starts) and starts[0]):
+            return self.coded([" " + w for w in words])
+        return pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)), pa.int32()), flat)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The place of each of some different words in the table, to which new ones are added."""
+        place = pc.index_in(words, self.words)
+        if place.null_count:
+            if len(self.words) > self.most:
+                self.words, self.known, self.loose = self.words.slice(0, 0), self.known.slice(0, 0), self.loose[:0]
+                place = pc.index_in(words, self.words)
+            new = words.filter(place.is_null())
+            plain = _strings(new)
+            self.words = pa.concat_arrays([self.words, new])
+            loose = np.array([not w or w[0].isspace() or w[-1].isspace() for w in plain], bool)
+            # No ids are looked up for words that may not be cut off.
+            lists = self.coded_words([w for w, x in zip(plain, loose.tolist()) if not x])
+            at = np.where(loose, len(lists), np.cumsum(~loose) - 1)
+            self.known = pa.concat_arrays([self.known, pa.concat_arrays([lists, _lists([[]])]).take(pa.array(at))])
+            self.loose = np.concatenate([self.loose, loose])
+            place = pc.index_in(words, self.words)
+        return place.to_numpy()
+
+    def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """The ids of each text as 16-bit numbers."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(texts, " ")
+        # Every text has a first word, which no space precedes.
+        start, words = cut.offsets.to_numpy()[:-1], cut.values.dictionary_encode()
+        firsts = cut.values.take(pa.array(start)).dictionary_encode()
+        place = self.places(words.dictionary)[words.indices.to_numpy()]
+        loose = np.logical_or.reduceat(self.loose[place], start)
+        place[start] = len(self.known) + firsts.indices.to_numpy()
+        lists = pa.concat_arrays([self.known, self.coded(_strings(firsts.dictionary))])
+        flat = lists.take(pa.array(place)).flatten().to_numpy()
+        sizes = lists.value_lengths().to_numpy()[place]
+        ends = np.cumsum(np.add.reduceat(sizes.astype(np.int64), start))
+        # White space beside a space: the text may not be cut there, it is encoded whole.
+        whole = np.flatnonzero(loose)
+        out = [flat[i:j].tobytes() for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        for i, x in zip(whole.tolist(), self.coded(_strings(texts.take(pa.array(whole))))):
+            out[i] = x.values.to_numpy().tobytes()
+        return out
+
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
 
-    def learn(self, words: set[str]) -> None:
-        if len(self) > self.most:
-            self.clear()
-            self.first.clear()
-        new = [w for w in words if w not in self]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([" " + w for w in new], add_special_tokens=False)):
-            self[w] = None if not w or w[0].isspace() or w[-1].isspace() else np.array(e.ids, "<u2").tobytes()
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as 16-bit numbers."""
-        cut = [t.split(" ") for t in texts]
-        self.learn(set(chain.from_iterable(cut)))
-        out = []
-        for text, words in zip(texts, cut):
-            start = words[0]
-            if start not in self.first:
-                self.first[start] = None if self[start] is None else self.whole(start)
-            parts = [self.first[start], *map(self.__getitem__, islice(words, 1, None))]
-            try:
-                out.append(b"".join(parts))
-            except TypeError:  # a None: white space beside a space
-                out.append(self.whole(text))
-        return out
+def _lists(ids: list[list[int]]) -> pa.ListArray:
+    """Lists of ids (below 65,536) as one array."""
+    flat = np.fromiter(chain.from_iterable(ids), np.uint16)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
 
 
 @lru_cache(maxsize=1)
@@ -297,16 +364,14 @@ def piece_ids(path: str) -> PieceIds:
     return PieceIds(path)
 
 
-def in_portions(texts: list[str], characters: int = 1_000_000) -> Iterator[list[str]]:
-    portion, size = [], 0
-    for t in texts:
-        portion.append(t)
-        size += len(t)
-        if size > characters:
-            yield portion
-            portion, size = [], 0
-    if portion:
-        yield portion
+def in_portions(texts: pa.Array, size: int = 8_000_000) -> Iterator[pa.Array]:
+    """Texts without nulls in slices of about ``size`` bytes."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size)) + 1
+        yield texts.slice(at, upto - at)
+        at = upto
 
 
 def packed(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
@@ -348,8 +413,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
             return pa.RecordBatch.from_pylist([row], arrow)
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), as_texts(batch.column(1))
-            coded = chain.from_iterable(map(pieces.ids, in_portions(texts)))
+            doc_ids = batch.column(0).to_pylist()
+            coded = chain.from_iterable(map(pieces.ids, in_portions(batch.column(1))))
             for doc_id, ids in zip(doc_ids, coded):
                 if held and total + len(ids) // 2 + 1 > CHUNK:
                     yield closed()

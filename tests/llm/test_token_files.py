@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,6 +54,20 @@ def test_words_have_the_tokenizers_ids(text):
         assert np.frombuffer(pieces.ids([t])[0], "<u2").tolist() == pieces.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_words_are_asked_together_and_forgotten_when_they_are_many():
+    rng = random.Random(7)
+    texts = [*TEXTS, *("".join(rng.choice(["é", "a", "b", "'s", "7", ".", "\n", " ", " ", "Ġ", "<|endoftext|>", "漢"]) for _ in range(rng.randrange(60))) for _ in range(400))]
+    pieces = tf.PieceIds(tf.tokenizer_path(), most=50)
+    words = sorted({w for t in texts for w in t.split(" ") if w and not w[0].isspace() and not w[-1].isspace()})
+    want = [pieces.tokenizer.encode(" " + w, add_special_tokens=False).ids for w in words]
+    assert len(words) > 256 and pieces.coded_words(words).to_pylist() == want and pieces.coded_words([]).to_pylist() == []
+    for size in (1, 500, 1_000_000):
+        portions = list(tf.in_portions(pa.array(texts), size))
+        assert [t for p in portions for t in p.to_pylist()] == texts and (len(portions) == 1) == (size == 1_000_000)
+        got = [np.frombuffer(x, "<u2").tolist() for p in portions for x in pieces.ids(p)]
+        assert got == [pieces.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_files_round_trip_in_order(spark):
     rng = random.Random(5)
     rows = odd_rows() + [(50 + i, sentence(rng, rng.randrange(200))) for i in range(40)]
