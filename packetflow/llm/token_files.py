@@ -43,229 +43,262 @@ SLOTS = 2048  # contexts of each order and block
 CLASSES = 64
 _SPACE = "\u0120"  # a space, in the vocabulary of a byte-level tokenizer
 
-_LINE = 1 << 12  # probabilities are twelve bits; a coding step has sixteen
-# The logistic function and its inverse, in 1/256 steps and twelve bits.
-_SQUASH = np.clip(np.rint(_LINE / (1 + np.exp(-np.arange(-2048, 2048) / 256))), 16, _LINE - 16).astype(np.int32)
+_LINE = 1 << 12  # probabilities are twelve bits
+# The logistic function of a mixed sum (shifted to be positive) and its inverse, in 1/256 steps and twelve bits.
+_SHIFT = 4096
+_SQUASH = np.clip(np.rint(_LINE / (1 + np.exp(-(np.arange(4 * _SHIFT) - 2 * _SHIFT) / 256))), 16, _LINE - 16).astype(np.int32)
 _STRETCH = np.clip(np.rint(256 * np.log((np.arange(_LINE) + 0.5) / (_LINE - np.arange(_LINE) - 0.5))), -2047, 2047).astype(np.int32)
-# Registers of 48 bits that move by 16; a range below _BOTTOM is cut so that it moves.
-_BITS, _HIGH, _TOP, _BOTTOM, _MASK = np.uint64(16), np.uint64(32), np.uint64(1 << 32), np.uint64(1 << 22), np.uint64((1 << 48) - 1)
+# A coding step has 26 bits: twelve of each question's answer, the rest is for the shares of the classes.
+_STEP, _SHARES = 26, 512
+# Registers of 64 bits that move by 32.
+_WORD, _BITS, _MOST = np.uint64(32), np.uint64(_STEP), np.uint64((1 << 32) - 1)
 
 
 class Coder:
-    """Range coders side by side, without carries: ``narrow`` takes each lane to a part of its range."""
+    """Range coders side by side: ``narrow`` takes each lane to a part of its range."""
 
     def __init__(self, lanes: int, room: int = 0, data: list[bytes] | None = None):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, _MASK)
+        self.range = np.full(lanes, np.uint64((1 << 64) - 1))
         self.reading = data is not None
         if data is not None:
-            words = [np.frombuffer(x, "<u2") for x in data]
+            words = [np.frombuffer(x, "<u4") for x in data]
             self.at = np.cumsum([0, *[len(x) for x in words[:-1]]]).astype(np.int64)
-            self.data = np.concatenate([*words, np.zeros(8, "<u2")]).astype(np.uint64)
-            self.value = (self.data[self.at] << _HIGH) | (self.data[self.at + 1] << _BITS) | self.data[self.at + 2]
-            self.at += 3
+            self.data = np.concatenate([*words, np.zeros(8, "<u4")]).astype(np.uint64)
+            self.value = (self.data[self.at] << _WORD) | self.data[self.at + 1]
+            self.at += 2
         else:
-            self.room, self.out = room, np.zeros(lanes * room, np.uint16)
+            self.low, self.room, self.out = np.zeros(lanes, np.uint64), room, np.zeros(lanes * room, np.uint32)
             self.at = np.arange(lanes, dtype=np.int64) * room
 
-    def target(self, lanes, part: np.ndarray, total) -> np.ndarray:
-        """The place of each lane's value among ``total`` parts."""
-        return np.minimum(((self.value[lanes] - self.low[lanes]) // part).astype(np.int64), total - 1)
-
-    def narrow(self, lanes, part: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        low = self.low[lanes] + part * start.astype(np.uint64)
-        span = part * width.astype(np.uint64)
-        move = np.flatnonzero(((low ^ (low + span)) < _TOP) | (span < _BOTTOM))
-        while len(move):
-            x, r = low[move], span[move]
-            cut = (x ^ (x + r)) >= _TOP
-            if cut.any():
-                r[cut] = (~x[cut] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
-            which = move if isinstance(lanes, slice) else lanes[move]
-            at = self.at[which]
-            if self.reading:
-                self.value[which] = ((self.value[which] << _BITS) & _MASK) | self.data[np.minimum(at, len(self.data) - 1)]
-            else:
-                self.out[at] = (x >> _HIGH).astype(np.uint16)
-            self.at[which] = at + 1
-            x, r = (x << _BITS) & _MASK, r << _BITS
-            low[move], span[move] = x, r
-            move = move[((x ^ (x + r)) < _TOP) | (r < _BOTTOM)]
-        self.low[lanes], self.range[lanes] = low, span
+    def target(self, part: np.ndarray) -> np.ndarray:
+        """The place of each lane's value in its range, which has 2^26 places."""
+        return np.minimum(self.value // part, np.uint64((1 << _STEP) - 1)).astype(np.int32)
+
+    def narrow(self, part: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        before, span = part * start.astype(np.uint64), part * width.astype(np.uint64)
+        if self.reading:
+            self.value -= before
+        else:
+            self.low += before
+            self.carry((self.low < before).nonzero()[0])
+        move = (span <= _MOST).nonzero()[0]
+        at = self.at.take(move)
+        if self.reading:
+            self.value[move] = (self.value.take(move) << _WORD) | self.data.take(at, mode="clip")
+        else:
+            low = self.low.take(move)
+            self.out[at] = low >> _WORD
+            self.low[move] = low << _WORD
+        self.at[move] = at + 1
+        span[move] <<= _WORD
+        self.range = span
+
+    def carry(self, lanes: np.ndarray) -> None:
+        """One more in the words written before; a lane's first word never runs over."""
+        at = self.at.take(lanes) - 1
+        while len(at):
+            more = self.out.take(at) + np.uint32(1)
+            self.out[at] = more
+            at = at[more == 0] - 1
 
     def finish(self) -> list[bytes]:
-        for _ in range(3):
-            self.out[self.at] = (self.low >> _HIGH).astype(np.uint16)
+        for _ in range(2):
+            self.out[self.at] = self.low >> _WORD
+            self.low <<= _WORD
             self.at += 1
-            self.low = (self.low << _BITS) & _MASK
-        return [self.out[i * self.room : end].astype("<u2").tobytes() for i, end in enumerate(self.at.tolist())]
-
-
-def _within(values: np.ndarray, least: int, most: int) -> np.ndarray:
-    return np.minimum(np.maximum(values, least), most)
+        return [self.out[i * self.room : end].astype("<u4").tobytes() for i, end in enumerate(self.at.tolist())]
 
 
 class Question:
     """The probability of a yes from two confidences, mixed in the logistic domain; all of it per block, in flat arrays."""
 
     def __init__(self, lanes: int):
-        self.odds = [np.full(lanes * 32, _LINE // 2, np.int32) for _ in range(2)]
+        self.asked = [np.full(lanes * 32, 2, np.int32) for _ in range(2)]
+        self.yes = [np.ones(lanes * 32, np.int32) for _ in range(2)]
         self.weights = [np.full(lanes, 1 << 15, np.int32) for _ in range(2)]
+        self.inputs = [np.zeros(lanes * 32, np.int32) for _ in range(2)]
 
-    def ask(self, contexts: list[np.ndarray], live: int) -> np.ndarray:
-        self.contexts, self.live = contexts, live
-        self.held = [o.take(c) for o, c in zip(self.odds, contexts)]
-        self.inputs = [_STRETCH.take(h) for h in self.held]
-        total = (self.inputs[0] * self.weights[0][:live] >> 16) + (self.inputs[1] * self.weights[1][:live] >> 16)
-        self.given = _SQUASH.take(_within(total, -2048, 2047) + 2048)
-        return self.given
-
-    def learn(self, yes: np.ndarray, asked: np.ndarray | None = None) -> None:
-        truth = yes.astype(np.int32) << 12
-        error = truth - self.given
-        if asked is not None:
-            error *= asked
-        for odds, weights, held, given, at in zip(self.odds, self.weights, self.held, self.inputs, self.contexts):
-            change = (truth - held) >> 4
-            odds[at] = _within(held + (change if asked is None else change * asked), 16, _LINE - 16)
-            weights[: self.live] = _within(weights[: self.live] + (given * error >> 14), -(1 << 19), 1 << 19)
+    def shares(self, i: int) -> np.ndarray:
+        """What each context of a confidence adds to the mixed sum."""
+        weighted = self.inputs[i].reshape(-1, 32) * self.weights[i][:, None] >> 16
+        return _within(weighted.reshape(-1), 1 - _SHIFT, _SHIFT - 1) + _SHIFT
+
+    def learn(self, contexts: list[np.ndarray], counts: list[tuple[np.ndarray, np.ndarray]], error: np.ndarray) -> None:
+        """From a period: contexts and errors of each id; how often each context was asked, and was right."""
+        for i, (asked, yes) in enumerate(counts):
+            change = np.einsum("ij,ij->j", self.inputs[i].take(contexts[i]), error)
+            self.weights[i] = _within(self.weights[i] + (change >> 14), -(1 << 19), 1 << 19).astype(np.int32)
+            self.asked[i] += asked
+            self.yes[i] += yes
+            self.inputs[i] = _STRETCH.take((self.yes[i] << 12) // self.asked[i])
+
+
+def _within(values: np.ndarray, least: int, most: int) -> np.ndarray:
+    return np.minimum(np.maximum(values, least), most)
 
 
 #: The next confidence by the confidence and, from 4 on, for a right prediction; it stands above the sixteen bits of an id.
 _LEVELS = np.array([0, 0, 1, 1, 1, 2, 3, 3], np.int32) << 16
-#: What an id of each class adds to the sums of frequencies before each class and to the total; the last row: no id.
-_ADDED = np.vstack([np.where(np.arange(CLASSES + 1) > np.arange(CLASSES)[:, None], 24, 0), np.zeros(CLASSES + 1)]).astype(np.uint16)
+#: The mixers and the frequencies learn after these ids of a block, and then after every PERIOD ids.
+PERIOD = 128
+_EARLY = (8, 16, 32, 64)
 
 
 class Models:
-    """What has been seen of each block: ids predicted by order 2 and order 1 with their confidence, classes of order 0."""
+    """What has been seen of each block: ids predicted by order 2 and order 1 with their confidence, classes of order 0.
 
-    def __init__(self, lanes: int):
-        self.base = np.arange(lanes, dtype=np.int64)
-        self.slots, self.asked = self.base * SLOTS, self.base * 32
-        self.next = [np.zeros(lanes * SLOTS, np.int32) for _ in range(2)]
-        self.classes = np.tile((np.arange(CLASSES + 1) * 4).astype(np.uint16), (lanes, 1))
-        self.added = np.empty_like(self.classes)
+    Predictions and confidences follow every id.  The mixers and frequencies follow all ids, but a period at a time.
+    """
+
+    def __init__(self, lanes: int, reading: bool):
+        self.lanes, self.reading = lanes, reading
+        self.slots, self.asked = np.arange(2 * lanes).reshape(2, lanes) * SLOTS, np.arange(lanes) * 32
+        self.next = np.zeros(2 * lanes * SLOTS, np.int32)
+        self.counts = np.full((lanes, CLASSES), 4, np.int32)
         self.questions = [Question(lanes), Question(lanes)]
-        self.last, self.before, self.hits = (np.zeros(lanes, np.int64) for _ in range(3))
-
-    def step(self, coder: Coder, live: int, ids: np.ndarray | None, places) -> np.ndarray:
-        """Code the next id of the first ``live`` blocks: ``ids`` when writing, else they are read."""
-        here, asked, last, hits = slice(0, live), self.asked[:live], self.last[:live], self.hits[:live]
-        one = last * 40_503
-        slots = [self.slots[:live] + (x >> 3 & (SLOTS - 1)) for x in (one + self.before[:live] * 30_011, one)]
-        held = [n.take(at) for n, at in zip(self.next, slots)]
-        guess, sure = [h & 0xFFFF for h in held], [h >> 16 for h in held]
-        differ = (guess[0] != guess[1]).astype(np.int32)
-        contexts = [asked + (sure[0] * 8 + sure[1] * 2 + differ), asked + (hits * 4 + sure[0])]
-        p = self.questions[0].ask(contexts, live)
-        q = self.questions[1].ask(contexts, live) * differ  # order 1 is not asked what order 2 has just denied
-        first = p << 4
-        second = first + (((1 << 16) - first) * q >> 12)
-        part = coder.range[here] >> _BITS
-        if ids is None:
-            at = coder.target(here, part, 1 << 16)
-            denied, none = at >= first, at >= second
+        self.last, self.before, self.hits = (np.zeros(lanes, np.int32) for _ in range(3))
+        # The ids of the period: contexts, what was given to each question, and the answers.
+        self.contexts, self.given = np.empty((2, PERIOD, lanes), np.int64), np.empty((2, PERIOD, lanes), np.int32)
+        self.differ, self.denied, self.none = (np.empty((PERIOD, lanes), bool) for _ in range(3))
+        self.missed: list[np.ndarray] = []
+        self.steps = self.held = 0
+        self.renew()
+
+    def step(self, coder: Coder, ids: np.ndarray | None, spare: Places) -> np.ndarray:
+        """Code the next id of each block: ``ids`` when writing, else they are read."""
+        i = self.held
+        one = self.last * 40_503  # above 32 bits it is cut off; the slots are made of lower ones
+        slots = self.slots + (np.stack([one + self.before * 30_011, one]) >> 3 & (SLOTS - 1))
+        held = self.next.take(slots)
+        guess, sure = held & 0xFFFF, held >> 16
+        differ = np.not_equal(guess[0], guess[1], out=self.differ[i])
+        contexts = self.contexts[:, i]
+        np.add(self.asked, sure[0] * 8 + sure[1] * 2 + differ, out=contexts[0])
+        np.add(self.asked, self.hits * 4 + sure[0], out=contexts[1])
+        sums = self.shares[0].take(contexts[0]) + self.shares[1].take(contexts[1])
+        p = self.given[0, i] = _SQUASH.take(sums >> 16)
+        q = self.given[1, i] = _SQUASH.take(sums & 0xFFFF)
+        q = q * differ  # order 1 is not asked what order 2 has just denied
+        # Of 2^26 places, the first ones say that order 2 is right, then order 1; the rest goes to the classes.
+        share = (_LINE - p) * (_LINE - q) >> 7
+        first, second = p << 14, (1 << _STEP) - share * _SHARES
+        part = coder.range >> _BITS
+        if self.reading:
+            at = coder.target(part)
+            denied, none = np.greater_equal(at, first, out=self.denied[i]), np.greater_equal(at, second, out=self.none[i])
+            out = np.where(denied, guess[1], guess[0])
         else:
-            denied = ids != guess[0]
-            none = denied & (ids != guess[1])
-        start = np.where(none, second, np.where(denied, first, 0))
-        stop = np.where(none, 1 << 16, np.where(denied, second, first))
-        coder.narrow(here, part, start, stop - start)
-        self.questions[0].learn(~denied)
-        self.questions[1].learn(denied & ~none, differ * denied)
-        out = np.where(denied, guess[1], guess[0]).astype(np.int64) if ids is None else ids
-        missed = np.flatnonzero(none)
+            out = ids
+            denied = np.not_equal(ids, guess[0], out=self.denied[i])
+            none = np.logical_and(denied, ids != guess[1], out=self.none[i])
+        start, width = first * denied, np.where(denied, second - first, first)
+        missed = none.nonzero()[0]
         if len(missed):
-            self.escape(coder, missed, live, out, ids is None, places)
-        self.hits[:live] = ((hits << 1) & 7) | ~none
-        for n, at, guessed, level in zip(self.next, slots, guess, sure):
-            n[at] = np.where(level > 1, guessed, out) | _LEVELS.take(level + 4 * (guessed == out))
-        self.before[:live] = last
-        self.last[:live] = out
+            # An id that was not predicted: its class by the frequencies so far; its place in the class stands as it is.
+            share, second = share.take(missed), second.take(missed)
+            if self.reading:
+                kind = (self.kinds.take(missed * _SHARES + (at.take(missed) - second) // share).astype(np.int32) - 1) & (CLASSES - 1)
+                out[missed] = (kind << 10) | spare.take(missed)
+            else:
+                kind = out.take(missed) >> 10
+            rows = missed * (CLASSES + 1) + kind
+            under = self.starts.take(rows)
+            start[missed], width[missed] = second + share * under, share * (self.starts.take(rows + 1) - under)
+            self.missed.append(missed * CLASSES + kind)
+        coder.narrow(part, start, width)
+        self.next[slots] = np.where(sure > 1, guess, out) | _LEVELS.take(sure + 4 * (guess == out))
+        self.hits = ((self.hits << 1) & 7) | ~none
+        self.last, self.before = out, self.last
+        self.steps, self.held = self.steps + 1, i + 1
+        if self.held == PERIOD or self.steps in _EARLY:
+            self.learn()
         return out
 
-    def escape(self, coder: Coder, lanes: np.ndarray, live: int, out: np.ndarray, reading: bool, places) -> None:
-        """An id that was not predicted: its class by the frequencies so far; its place in the class stands as it is."""
-        flat, rows = self.classes.reshape(-1), lanes * (CLASSES + 1)
-        total = flat.take(rows + CLASSES).astype(np.uint64)
-        part = coder.range[lanes] // total
-        if reading:
-            sought = np.zeros(live, np.uint16)
-            sought[lanes] = coder.target(lanes, part, total.astype(np.int64))
-            kind = (self.classes[:live, 1:] > sought[:, None]).argmax(1)[lanes]
-        else:
-            kind = out[lanes] >> 10
-        start = flat.take(rows + kind)
-        coder.narrow(lanes, part, start, flat.take(rows + kind + 1) - start)
-        # All blocks learn at once: those whose id was predicted add nothing.
-        kinds = np.full(live, CLASSES)
-        kinds[lanes] = kind
-        _ADDED.take(kinds, axis=0, out=self.added[:live], mode="clip")
-        self.classes[:live] += self.added[:live]
-        if reading:
-            out[lanes] = (kind << 10) | places.take(lanes)
-        else:
-            places.put(lanes, out[lanes] & 1023)
+    def learn(self) -> None:
+        """Take in the ids of the period."""
+        n, self.held = self.held, 0
+        contexts, given = self.contexts[:, :n], self.given[:, :n]
+        denied, none, differ = self.denied[:n], self.none[:n], self.differ[:n]
+        # 0: order 2 was right, 1: order 1, 2: neither, 3: neither, and order 1 was not asked.
+        answer = denied.view(np.int8) + none.view(np.int8) + (none > differ)
+        counts = [np.bincount((c * 4 + answer).reshape(-1), minlength=self.lanes * 128).reshape(-1, 4).T.astype(np.int32) for c in contexts]
+        errors = [(~denied).astype(np.int32) * _LINE - given[0], ((answer == 1) * np.int32(_LINE) - given[1]) * (denied & differ)]
+        self.questions[0].learn(contexts, [(c[0] + c[1] + c[2] + c[3], c[0]) for c in counts], errors[0])
+        self.questions[1].learn(contexts, [(c[1] + c[2], c[1]) for c in counts], errors[1])
+        if self.missed:
+            self.counts += 24 * np.bincount(np.concatenate(self.missed), minlength=self.lanes * CLASSES).reshape(-1, CLASSES).astype(np.int32)
+            self.missed = []
+        self.renew()
+
+    def renew(self) -> None:
+        """The tables of a period: both questions' sums side by side, and where each class begins among the shares."""
+        self.shares = [(self.questions[0].shares(i) << 16) + self.questions[1].shares(i) for i in range(2)]
+        sums = self.counts.cumsum(1, dtype=np.int32)
+        starts = np.zeros((self.lanes, CLASSES + 1), np.int32)
+        starts[:, 1:] = sums * (_SHARES - CLASSES) // sums[:, -1:] + np.arange(1, CLASSES + 1, dtype=np.int32)
+        self.starts = starts.reshape(-1)
+        if self.reading:
+            # Classes begun up to each share, over all blocks: a block begins 64, so modulo 64 it is the block's own.
+            begun = np.zeros(self.lanes * _SHARES, np.uint8)
+            begun[(starts[:, :-1] + np.arange(self.lanes)[:, None] * _SHARES).reshape(-1)] = 1
+            self.kinds = np.add.accumulate(begun, out=begun)
 
 
 class Places:
-    """Ten bits for each id that no model predicted, packed per block."""
+    """Ten bits for each id that no model predicted, per block: the low bytes, then the rest, four to a byte."""
 
-    def __init__(self, lanes: int, block: int, data: list[bytes] | None = None):
-        self.values, self.size = np.zeros((lanes, block), np.uint16), np.zeros(lanes, np.int64)
-        for i, x in enumerate(data or []):
-            bits = np.unpackbits(np.frombuffer(x, np.uint8))
-            bits = bits[: len(bits) // 10 * 10].reshape(-1, 10)
-            self.values[i, : len(bits)] = bits @ (1 << np.arange(9, -1, -1))
-
-    def put(self, lanes: np.ndarray, values: np.ndarray) -> None:
-        self.values.reshape(-1)[self._next(lanes)] = values
+    def __init__(self, blocks: list[bytes], block: int):
+        self.values, self.at = np.zeros((len(blocks), block + 1), np.int32), np.arange(len(blocks)) * (block + 1)
+        for i, x in enumerate(blocks):
+            data, n = np.frombuffer(x, np.uint8), len(x) * 4 // 5
+            high = data[n:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3
+            self.values[i, :n] = data[:n] + (high.reshape(-1)[:n].astype(np.int32) << 8)
 
     def take(self, lanes: np.ndarray) -> np.ndarray:
-        return self.values.reshape(-1).take(self._next(lanes)).astype(np.int64)
-
-    def _next(self, lanes: np.ndarray) -> np.ndarray:
-        size = self.size.take(lanes)
-        self.size[lanes] = size + 1
-        return lanes * self.values.shape[1] + size
+        at = self.at.take(lanes)
+        self.at[lanes] = at + 1
+        return self.values.take(at)
 
-    def packed(self, i: int) -> bytes:
-        values = self.values[i, : self.size[i]]
-        return np.packbits((values[:, None] >> np.arange(9, -1, -1, dtype=np.uint16)).astype(np.uint8) & 1).tobytes()
+    @staticmethod
+    def packed(ids: np.ndarray) -> bytes:
+        high = np.zeros(-(-len(ids) // 4) * 4, np.uint8)
+        high[: len(ids)] = ids >> 8 & 3
+        return ids.astype(np.uint8).tobytes() + np.bitwise_or.reduce(high.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8), axis=1).tobytes()
 
 
-def _lanes(n: int, block: int) -> np.ndarray:
-    """Sizes of the blocks of n ids: all full but the last, so a step always runs over the first blocks."""
-    return np.minimum(block, n - np.arange(0, n, block))
+def _lanes(n: int, block: int) -> tuple[int, int]:
+    """The number of blocks of n ids, and the ids of the first; the last is filled up with zeros."""
+    return -(-n // block), min(n, block)
 
 
 def encode_ids(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     """The blocks of some ids (below 65,536)."""
     if not len(ids):
         return []
-    sizes = _lanes(len(ids), block)
-    padded = np.zeros(len(sizes) * block, np.int64)
+    lanes, steps = _lanes(len(ids), block)
+    padded = np.zeros(lanes * steps, np.int32)
     padded[: len(ids)] = ids
-    grid = np.ascontiguousarray(padded.reshape(-1, block).T)
-    coder, models, places = Coder(len(sizes), 3 * block + 16), Models(len(sizes)), Places(len(sizes), block)
-    for t in range(int(sizes[0])):
-        live = len(sizes) if t < sizes[-1] else len(sizes) - 1
-        models.step(coder, live, grid[t, :live], places)
+    grid = np.ascontiguousarray(padded.reshape(lanes, steps).T)
+    coder, models, none = Coder(lanes, steps + 4), Models(lanes, False), np.empty((steps, lanes), bool)
+    for t in range(steps):
+        at = models.held
+        models.step(coder, grid[t], None)
+        none[t] = models.none[at]
     # A block: the length of the coded part, the coded part, the packed places.
-    return [len(x).to_bytes(4, "little") + x + places.packed(i) for i, x in enumerate(coder.finish())]
+    missed = np.ascontiguousarray(none.T)
+    return [len(x).to_bytes(4, "little") + x + Places.packed(row[m]) for x, row, m in zip(coder.finish(), padded.reshape(lanes, steps), missed)]
 
 
 def decode_ids(blocks: list[bytes], n: int, block: int = BLOCK) -> np.ndarray:
     """The ids of some blocks, ``n`` in all."""
     if not n:
         return np.zeros(0, np.int64)
-    sizes = _lanes(n, block)
+    lanes, steps = _lanes(n, block)
     ends = [4 + int.from_bytes(x[:4], "little") for x in blocks]
-    coder = Coder(len(sizes), data=[x[4:e] for x, e in zip(blocks, ends)])
-    grid, models, places = np.zeros((block, len(sizes)), np.int64), Models(len(sizes)), Places(len(sizes), block, [x[e:] for x, e in zip(blocks, ends)])
-    for t in range(int(sizes[0])):
-        live = len(sizes) if t < sizes[-1] else len(sizes) - 1
-        grid[t, :live] = models.step(coder, live, None, places)
+    coder, spare = Coder(lanes, data=[x[4:e] for x, e in zip(blocks, ends)]), Places([x[e:] for x, e in zip(blocks, ends)], steps)
+    grid, models = np.zeros((steps, lanes), np.int32), Models(lanes, True)
+    for t in range(steps):
+        grid[t] = models.step(coder, None, spare)
     return grid.T.reshape(-1)[:n]
 
 
@@ -278,7 +311,7 @@ class PieceIds:
     Cutting, looking up and joining are done by Arrow over a portion of texts at once.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -312,7 +345,10 @@ class PieceIds:
             if len(self.words) > self.most:
                 self.words, self.known, self.loose = self.words.slice(0, 0), self.known.slice(0, 0), self.loose[:0]
                 place = pc.index_in(words, self.words)
-            new = words.filter(place.is_null())
+            unknown = place.is_null().to_numpy(zero_copy_only=False)
+            new = words.filter(pa.array(unknown))
+            place = place.fill_null(0).to_numpy().copy()
+            place[unknown] = len(self.words) + np.arange(len(new))  # they come behind the words of the table, in their order
             plain = _strings(new)
             self.words = pa.concat_arrays([self.words, new])
             loose = np.array([not w or w[0].isspace() or w[-1].isspace() for w in plain], bool)
@@ -321,7 +357,7 @@ class PieceIds:
             at = np.where(loose, len(lists), np.cumsum(~loose) - 1)
             self.known = pa.concat_arrays([self.known, pa.concat_arrays([lists, _lists([[]])]).take(pa.array(at))])
             self.loose = np.concatenate([self.loose, loose])
-            place = pc.index_in(words, self.words)
+            return place
         return place.to_numpy()
 
     def ids(self, texts: list[str] | pa.Array) -> list[bytes]:
@@ -364,7 +400,7 @@ def piece_ids(path: str) -> PieceIds:
     return PieceIds(path)
 
 
-def in_portions(texts: pa.Array, size: int = 8_000_000) -> Iterator[pa.Array]:
+def in_portions(texts: pa.Array, size: int = 16_000_000) -> Iterator[pa.Array]:
     """Texts without nulls in slices of about ``size`` bytes."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
     at = 0
