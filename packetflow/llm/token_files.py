@@ -8,8 +8,9 @@ models start anew, and a CRC-32 of the ids guards it.
 Three models predict the next id: the id that followed the last two ids (order 2), the one that followed the last id
 (order 1), and adaptive frequencies of the 64 id classes (order 0).  Two logistic mixers turn the confidence in the order-2 and
 order-1 prediction into the probabilities of "order 2 is right" and "else order 1 is right"; an id that neither
-predicted is coded by its class and its place in the class.  All models are integers, so encoder and decoder agree on any machine.  The
-blocks of a chunk are coded side by side in numpy: step t codes the t-th id of every block.
+predicted is coded by its class in the same coding step, and its ten bits in the class stand as they are.  Predictions follow
+every id; mixers and frequencies take in all ids too, but PERIOD ids at a time.  All models are integers, so encoder and
+decoder agree on any machine.  The blocks of a chunk are coded side by side in numpy: step t codes the t-th id of every block.
 
 Defined cases: a null or empty text is END alone; documents of one id are ordered by their text; a null id comes first; a document
 longer than a chunk is a chunk of its own; no documents make an empty folder with a schema; other columns are not read.
@@ -38,18 +39,19 @@ from packetflow.session import new_folder
 END = 0
 BLOCK = 2048
 #: Ids of a chunk: its blocks are coded side by side.
-CHUNK = 2048 * 2000
+CHUNK = 2048 * 4000
 SLOTS = 2048  # contexts of each order and block
 CLASSES = 64
 _SPACE = "\u0120"  # a space, in the vocabulary of a byte-level tokenizer
 
 _LINE = 1 << 12  # probabilities are twelve bits
-# The logistic function of a mixed sum (shifted to be positive) and its inverse, in 1/256 steps and twelve bits.
-_SHIFT = 4096
-_SQUASH = np.clip(np.rint(_LINE / (1 + np.exp(-(np.arange(4 * _SHIFT) - 2 * _SHIFT) / 256))), 16, _LINE - 16).astype(np.int32)
+_SHIFT, _ASKED = 1 << 13, 1 << 14
+# The probability of a no by the mixed sum (one half at _ASKED + _SHIFT, in 1/256 steps); below _ASKED the question is not asked.
+_NO = np.clip(np.rint(_LINE / (1 + np.exp((np.arange(2 * _ASKED) - _ASKED - _SHIFT) / 256))), 16, _LINE - 16).astype(np.int32)
+_NO[:_ASKED] = _LINE
 _STRETCH = np.clip(np.rint(256 * np.log((np.arange(_LINE) + 0.5) / (_LINE - np.arange(_LINE) - 0.5))), -2047, 2047).astype(np.int32)
 # A coding step has 26 bits: twelve of each question's answer, the rest is for the shares of the classes.
-_STEP, _SHARES = 26, 512
+_STEP, _SHARES = 26, 9
 # Registers of 64 bits that move by 32.
 _WORD, _BITS, _MOST = np.uint64(32), np.uint64(_STEP), np.uint64((1 << 32) - 1)
 
@@ -70,12 +72,13 @@ class Coder:
             self.low, self.room, self.out = np.zeros(lanes, np.uint64), room, np.zeros(lanes * room, np.uint32)
             self.at = np.arange(lanes, dtype=np.int64) * room
 
-    def target(self, part: np.ndarray) -> np.ndarray:
+    def target(self) -> np.ndarray:
         """The place of each lane's value in its range, which has 2^26 places."""
-        return np.minimum(self.value // part, np.uint64((1 << _STEP) - 1)).astype(np.int32)
+        return (self.value // (self.range >> _BITS)).astype(np.int32)
 
-    def narrow(self, part: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
-        before, span = part * start.astype(np.uint64), part * width.astype(np.uint64)
+    def narrow(self, start: np.ndarray, stop: np.ndarray) -> None:
+        part = (self.range >> _BITS).view(np.int64)
+        before, span = (part * start).view(np.uint64), (part * (stop - start)).view(np.uint64)
         if self.reading:
             self.value -= before
         else:
@@ -121,7 +124,7 @@ class Question:
     def shares(self, i: int) -> np.ndarray:
         """What each context of a confidence adds to the mixed sum."""
         weighted = self.inputs[i].reshape(-1, 32) * self.weights[i][:, None] >> 16
-        return _within(weighted.reshape(-1), 1 - _SHIFT, _SHIFT - 1) + _SHIFT
+        return _within(weighted.reshape(-1), 2 - _SHIFT // 2, _SHIFT // 2 - 1) + _SHIFT // 2
 
     def learn(self, contexts: list[np.ndarray], counts: list[tuple[np.ndarray, np.ndarray]], error: np.ndarray) -> None:
         """From a period: contexts and errors of each id; how often each context was asked, and was right."""
@@ -142,12 +145,15 @@ _LEVELS = np.array([0, 0, 1, 1, 1, 2, 3, 3], np.int32) << 16
 #: The mixers and the frequencies learn after these ids of a block, and then after every PERIOD ids.
 PERIOD = 128
 _EARLY = (8, 16, 32, 64)
+#: So many ids of a block are written at once; all the periods are whole groups.
+GROUP = 4
 
 
 class Models:
     """What has been seen of each block: ids predicted by order 2 and order 1 with their confidence, classes of order 0.
 
-    Predictions and confidences follow every id.  The mixers and frequencies follow all ids, but a period at a time.
+    Predictions and confidences follow every id.  The mixers and frequencies follow all ids, but a period at a time, so a
+    writer, who knows the ids, asks them about a group of ids at once.
     """
 
     def __init__(self, lanes: int, reading: bool):
@@ -156,63 +162,103 @@ class Models:
         self.next = np.zeros(2 * lanes * SLOTS, np.int32)
         self.counts = np.full((lanes, CLASSES), 4, np.int32)
         self.questions = [Question(lanes), Question(lanes)]
-        self.last, self.before, self.hits = (np.zeros(lanes, np.int32) for _ in range(3))
-        # The ids of the period: contexts, what was given to each question, and the answers.
+        self.last, self.before, self.misses = (np.zeros(lanes, np.int32) for _ in range(3))
+        # The ids of the period: contexts, the probability of a no to each question, and the answers.
         self.contexts, self.given = np.empty((2, PERIOD, lanes), np.int64), np.empty((2, PERIOD, lanes), np.int32)
         self.differ, self.denied, self.none = (np.empty((PERIOD, lanes), bool) for _ in range(3))
         self.missed: list[np.ndarray] = []
         self.steps = self.held = 0
         self.renew()
 
-    def step(self, coder: Coder, ids: np.ndarray | None, spare: Places) -> np.ndarray:
-        """Code the next id of each block: ``ids`` when writing, else they are read."""
-        i = self.held
-        one = self.last * 40_503  # above 32 bits it is cut off; the slots are made of lower ones
-        slots = self.slots + (np.stack([one + self.before * 30_011, one]) >> 3 & (SLOTS - 1))
+    def follow(self, slots: np.ndarray, guess: np.ndarray, sure: np.ndarray, ids: np.ndarray) -> None:
+        """Learn what followed the contexts."""
+        self.next[slots] = np.where(sure > 1, guess, ids) | _LEVELS.take(sure + 4 * (guess == ids))
+
+    def remember(self, none: np.ndarray) -> None:
+        self.misses = ((self.misses << 1) | none) & 7
+
+    def weigh(self, rows: int | slice, guess: np.ndarray, sure: np.ndarray, misses: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of 2^26 places, the first ones go to the classes (the size of a share, their end), then come order 1 (the end) and order 2."""
+        contexts, differ = self.contexts[:, rows], self.differ[rows]
+        np.not_equal(guess[0], guess[1], out=differ)
+        np.add(self.asked, sure[0] * 8 + sure[1] * 2 + differ, out=contexts[0])
+        np.add(self.asked, misses * 4 + sure[0], out=contexts[1])
+        sums = self.shares[0].take(contexts[0])
+        sums += self.shares[1].take(contexts[1])
+        p = self.given[0, rows] = _NO.take(sums >> 16)
+        q = self.given[1, rows] = _NO.take(sums & 0xFFFF)
+        share = p * q >> 24 + _SHARES - _STEP
+        return share, share << _SHARES, p << _STEP - 12
+
+    def parts(self, denied: np.ndarray, missed: np.ndarray, kinds: np.ndarray, share: np.ndarray, none: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the part of each id begins and ends; of the missed ones, by their classes and the size of their shares."""
+        start, stop = np.where(denied, none, some), np.where(denied, some, np.int32(1 << _STEP))
+        bounds = self.bounds.take(kinds)
+        start.reshape(-1)[missed], stop.reshape(-1)[missed] = share * (bounds >> 16), share * (bounds & 0xFFFF)
+        self.missed.append(kinds)
+        return start, stop
+
+    def look(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The slots of both contexts."""
+        slots = np.empty((2, *last.shape), np.int64)
+        np.add(last, before * 30_011, out=slots[0])
+        slots[1] = last
+        slots &= SLOTS - 1
+        slots += self.slots if last.ndim == 1 else self.slots[:, None]
+        return slots
+
+    def write(self, coder: Coder, ids: np.ndarray) -> np.ndarray:
+        """Code the next group of ids of each block; tells which of them no model predicted."""
+        ids = ids.astype(np.int32)
+        rows, n = slice(self.held, self.held + len(ids)), len(ids)
+        last = np.concatenate([self.last[None], ids[:-1]])
+        slots = self.look(last, np.concatenate([self.before[None], last[:-1]]))
+        guess, sure, misses = np.empty((2, n, self.lanes), np.int32), np.empty((2, n, self.lanes), np.int32), np.empty((n, self.lanes), np.int32)
+        denied, none = self.denied[rows], self.none[rows]
+        for t in range(n):
+            held = self.next.take(slots[:, t])
+            self.follow(slots[:, t], np.bitwise_and(held, 0xFFFF, out=guess[:, t]), np.right_shift(held, 16, out=sure[:, t]), ids[t])
+        np.not_equal(ids, guess[0], out=denied)
+        np.logical_and(denied, ids != guess[1], out=none)
+        for t in range(n):
+            misses[t] = self.misses
+            self.remember(none[t])
+        share, classes, some = self.weigh(rows, guess, sure, misses)
+        missed = none.reshape(-1).nonzero()[0]
+        kinds = missed % self.lanes * CLASSES + (ids.reshape(-1).take(missed) >> 10)
+        start, stop = self.parts(denied, missed, kinds, share.reshape(-1).take(missed), classes, some)
+        for t in range(n):
+            coder.narrow(start[t], stop[t])
+        self.last, self.before = ids[-1], last[-1]
+        none = none.copy()
+        self.done(n)
+        return none
+
+    def read(self, coder: Coder, spare: Places) -> np.ndarray:
+        """The next id of each block."""
+        i, slots = self.held, self.look(self.last, self.before)
         held = self.next.take(slots)
         guess, sure = held & 0xFFFF, held >> 16
-        differ = np.not_equal(guess[0], guess[1], out=self.differ[i])
-        contexts = self.contexts[:, i]
-        np.add(self.asked, sure[0] * 8 + sure[1] * 2 + differ, out=contexts[0])
-        np.add(self.asked, self.hits * 4 + sure[0], out=contexts[1])
-        sums = self.shares[0].take(contexts[0]) + self.shares[1].take(contexts[1])
-        p = self.given[0, i] = _SQUASH.take(sums >> 16)
-        q = self.given[1, i] = _SQUASH.take(sums & 0xFFFF)
-        q = q * differ  # order 1 is not asked what order 2 has just denied
-        # Of 2^26 places, the first ones say that order 2 is right, then order 1; the rest goes to the classes.
-        share = (_LINE - p) * (_LINE - q) >> 7
-        first, second = p << 14, (1 << _STEP) - share * _SHARES
-        part = coder.range >> _BITS
-        if self.reading:
-            at = coder.target(part)
-            denied, none = np.greater_equal(at, first, out=self.denied[i]), np.greater_equal(at, second, out=self.none[i])
-            out = np.where(denied, guess[1], guess[0])
-        else:
-            out = ids
-            denied = np.not_equal(ids, guess[0], out=self.denied[i])
-            none = np.logical_and(denied, ids != guess[1], out=self.none[i])
-        start, width = first * denied, np.where(denied, second - first, first)
+        share, classes, some = self.weigh(i, guess, sure, self.misses)
+        at = coder.target()
+        denied, none = np.less(at, some, out=self.denied[i]), np.less(at, classes, out=self.none[i])
+        out = np.where(denied, guess[1], guess[0])
+        # An id that was not predicted: its class by the frequencies so far; its place in the class stands as it is.
         missed = none.nonzero()[0]
-        if len(missed):
-            # An id that was not predicted: its class by the frequencies so far; its place in the class stands as it is.
-            share, second = share.take(missed), second.take(missed)
-            if self.reading:
-                kind = (self.kinds.take(missed * _SHARES + (at.take(missed) - second) // share).astype(np.int32) - 1) & (CLASSES - 1)
-                out[missed] = (kind << 10) | spare.take(missed)
-            else:
-                kind = out.take(missed) >> 10
-            rows = missed * (CLASSES + 1) + kind
-            under = self.starts.take(rows)
-            start[missed], width[missed] = second + share * under, share * (self.starts.take(rows + 1) - under)
-            self.missed.append(missed * CLASSES + kind)
-        coder.narrow(part, start, width)
-        self.next[slots] = np.where(sure > 1, guess, out) | _LEVELS.take(sure + 4 * (guess == out))
-        self.hits = ((self.hits << 1) & 7) | ~none
+        share = share.take(missed)
+        kind = self.kinds.take((missed << _SHARES) + at.take(missed) // share, mode="clip")
+        coder.narrow(*self.parts(denied, missed, missed * CLASSES + kind, share, classes, some))
+        out[missed] = (kind.astype(np.int32) << 10) | spare.take(missed, none)
+        self.follow(slots, guess, sure, out)
+        self.remember(none)
         self.last, self.before = out, self.last
-        self.steps, self.held = self.steps + 1, i + 1
+        self.done(1)
+        return out
+
+    def done(self, n: int) -> None:
+        self.steps, self.held = self.steps + n, self.held + n
         if self.held == PERIOD or self.steps in _EARLY:
             self.learn()
-        return out
 
     def learn(self) -> None:
         """Take in the ids of the period."""
@@ -222,7 +268,7 @@ class Models:
         # 0: order 2 was right, 1: order 1, 2: neither, 3: neither, and order 1 was not asked.
         answer = denied.view(np.int8) + none.view(np.int8) + (none > differ)
         counts = [np.bincount((c * 4 + answer).reshape(-1), minlength=self.lanes * 128).reshape(-1, 4).T.astype(np.int32) for c in contexts]
-        errors = [(~denied).astype(np.int32) * _LINE - given[0], ((answer == 1) * np.int32(_LINE) - given[1]) * (denied & differ)]
+        errors = [given[0] - denied * np.int32(_LINE), (given[1] - none * np.int32(_LINE)) * (denied & differ)]
         self.questions[0].learn(contexts, [(c[0] + c[1] + c[2] + c[3], c[0]) for c in counts], errors[0])
         self.questions[1].learn(contexts, [(c[1] + c[2], c[1]) for c in counts], errors[1])
         if self.missed:
@@ -232,16 +278,19 @@ class Models:
 
     def renew(self) -> None:
         """The tables of a period: both questions' sums side by side, and where each class begins among the shares."""
-        self.shares = [(self.questions[0].shares(i) << 16) + self.questions[1].shares(i) for i in range(2)]
+        both = [[q.shares(i) for q in self.questions] for i in range(2)]
+        # A context is odd if the predictions differ: else order 1 is not asked what order 2 has denied.
+        both[0] = [both[0][0] + _ASKED, (both[0][1] + _ASKED) * (np.arange(self.lanes * 32, dtype=np.int32) & 1)]
+        self.shares = [(p << 16) + q for p, q in both]
         sums = self.counts.cumsum(1, dtype=np.int32)
         starts = np.zeros((self.lanes, CLASSES + 1), np.int32)
-        starts[:, 1:] = sums * (_SHARES - CLASSES) // sums[:, -1:] + np.arange(1, CLASSES + 1, dtype=np.int32)
-        self.starts = starts.reshape(-1)
+        starts[:, 1:] = sums * ((1 << _SHARES) - CLASSES) // sums[:, -1:] + np.arange(1, CLASSES + 1, dtype=np.int32)
+        self.bounds = ((starts[:, :-1] << 16) + starts[:, 1:]).reshape(-1)
         if self.reading:
             # Classes begun up to each share, over all blocks: a block begins 64, so modulo 64 it is the block's own.
-            begun = np.zeros(self.lanes * _SHARES, np.uint8)
-            begun[(starts[:, :-1] + np.arange(self.lanes)[:, None] * _SHARES).reshape(-1)] = 1
-            self.kinds = np.add.accumulate(begun, out=begun)
+            begun = np.zeros(self.lanes << _SHARES, np.uint8)
+            begun[(starts[:, :-1] + (np.arange(self.lanes)[:, None] << _SHARES)).reshape(-1)] = 1
+            self.kinds = np.add.accumulate(begun, out=begun) - np.uint8(1) & np.uint8(CLASSES - 1)
 
 
 class Places:
@@ -254,10 +303,10 @@ class Places:
             high = data[n:, None] >> np.array([0, 2, 4, 6], np.uint8) & 3
             self.values[i, :n] = data[:n] + (high.reshape(-1)[:n].astype(np.int32) << 8)
 
-    def take(self, lanes: np.ndarray) -> np.ndarray:
-        at = self.at.take(lanes)
-        self.at[lanes] = at + 1
-        return self.values.take(at)
+    def take(self, lanes: np.ndarray, taken: np.ndarray) -> np.ndarray:
+        values = self.values.take(self.at.take(lanes))
+        self.at += taken
+        return values
 
     @staticmethod
     def packed(ids: np.ndarray) -> bytes:
@@ -276,29 +325,25 @@ def encode_ids(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
     if not len(ids):
         return []
     lanes, steps = _lanes(len(ids), block)
-    padded = np.zeros(lanes * steps, np.int32)
+    padded = np.zeros(lanes * steps, np.uint16)
     padded[: len(ids)] = ids
     grid = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    coder, models, none = Coder(lanes, steps + 4), Models(lanes, False), np.empty((steps, lanes), bool)
-    for t in range(steps):
-        at = models.held
-        models.step(coder, grid[t], None)
-        none[t] = models.none[at]
+    coder, models = Coder(lanes, steps + 4), Models(lanes, False)
+    missed = np.ascontiguousarray(np.concatenate([models.write(coder, grid[t : t + GROUP]) for t in range(0, steps, GROUP)]).T)
     # A block: the length of the coded part, the coded part, the packed places.
-    missed = np.ascontiguousarray(none.T)
     return [len(x).to_bytes(4, "little") + x + Places.packed(row[m]) for x, row, m in zip(coder.finish(), padded.reshape(lanes, steps), missed)]
 
 
 def decode_ids(blocks: list[bytes], n: int, block: int = BLOCK) -> np.ndarray:
     """The ids of some blocks, ``n`` in all."""
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint16)
     lanes, steps = _lanes(n, block)
     ends = [4 + int.from_bytes(x[:4], "little") for x in blocks]
     coder, spare = Coder(lanes, data=[x[4:e] for x, e in zip(blocks, ends)]), Places([x[e:] for x, e in zip(blocks, ends)], steps)
-    grid, models = np.zeros((steps, lanes), np.int32), Models(lanes, True)
+    grid, models = np.zeros((steps, lanes), np.uint16), Models(lanes, True)
     for t in range(steps):
-        grid[t] = models.step(coder, None, spare)
+        grid[t] = models.read(coder, spare)
     return grid.T.reshape(-1)[:n]
 
 
@@ -419,7 +464,7 @@ def packed(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
 def unpacked(blocks: list[bytes], checks: list[int], n: int) -> np.ndarray:
     """The ids of a chunk, checked block by block."""
     per = CHUNK // BLOCK
-    ids = np.concatenate([np.zeros(0, np.int64), *[decode_ids(blocks[i : i + per], min(n - i * BLOCK, CHUNK)) for i in range(0, len(blocks), per)]])
+    ids = np.concatenate([np.zeros(0, np.uint16), *[decode_ids(blocks[i : i + per], min(n - i * BLOCK, CHUNK)) for i in range(0, len(blocks), per)]])
     for i, check in enumerate(checks):
         if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].astype("<u4").tobytes()) != check:
             raise ValueError(f"block {i} is damaged")
@@ -443,7 +488,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str) -> None:
         end, total = np.array([END], "<u2").tobytes(), 0
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u2").astype(np.int64)
+            ids = np.frombuffer(b"".join(x for _, x in held), "<u2")
             blocks, checks = packed(ids)
             row = {"part": part, "chunk": chunk, "doc_ids": [i for i, _ in held], "sizes": [len(x) // 2 for _, x in held], "n_ids": len(ids), "blocks": blocks, "checks": checks}
             return pa.RecordBatch.from_pylist([row], arrow)

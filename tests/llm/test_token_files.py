@@ -87,3 +87,44 @@ def test_chunks_close_at_documents(spark, monkeypatch):
     path = new_folder(spark, "tokens")
     tf.write_tokens(docs(spark, [(1, None)]).limit(0), path, tf.tokenizer_path())
     assert tf.read_tokens(spark, path).count() == 0
+
+
+def test_an_id_takes_one_coding_step(monkeypatch):
+    """The class of an id that no model predicted is part of the same step; it was a step of its own."""
+    ids = np.random.default_rng(3).integers(0, 65_536, 5 * 64)
+    steps, narrow = [], tf.Coder.narrow
+    monkeypatch.setattr(tf.Coder, "narrow", lambda self, *parts: (steps.append(self.reading), narrow(self, *parts))[1])
+    assert tf.decode_ids(tf.encode_ids(ids, 64), len(ids), 64).tolist() == ids.tolist()
+    assert steps == [False] * 64 + [True] * 64
+
+
+def test_words_are_looked_up_once_a_portion(monkeypatch):
+    """The table is made ready for look-ups once, also if words are added; it was twice."""
+    pieces, calls, index_in = tf.PieceIds(tf.tokenizer_path()), [], tf.pc.index_in
+    monkeypatch.setattr(tf.pc, "index_in", lambda *a: (calls.append(1), index_in(*a))[1])
+    for text in ("a new word", "a new word and newer ones", "a new word"):
+        assert np.frombuffer(pieces.ids([text])[0], "<u2").tolist() == pieces.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(calls) == 3
+
+
+def test_a_carry_runs_through_full_words():
+    coder = tf.Coder(2, 4)
+    coder.out[:] = [5, 0xFFFFFFFF, 0xFFFFFFFF, 0, 7, 8, 0, 0]
+    coder.at += [3, 2]
+    coder.carry(np.array([0, 1]))
+    assert coder.out.tolist() == [6, 0, 0, 0, 7, 9, 0, 0]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.sampled_from([3, 40, 2_000]), st.integers(1, 700))
+def test_long_blocks_of_any_skew_come_back(seed, most, block):
+    rng = np.random.default_rng(seed)
+    ids = np.concatenate([rng.integers(0, most, 900), np.tile(rng.integers(0, 65_536, 5), 100), rng.integers(65_000, 65_536, 300)])
+    assert np.array_equal(tf.decode_ids(tf.encode_ids(ids, block), len(ids), block), ids)
+    coded = tf.encode_ids(ids, block)
+    at = int(rng.integers(len(coded)))
+    broken = bytearray(coded[at])
+    broken[int(rng.integers(4, len(broken)))] ^= 1 << int(rng.integers(8))
+    coded[at] = bytes(broken)
+    got = tf.decode_ids(coded, len(ids), block)  # ends, and harms no other block
+    assert np.array_equal(np.delete(got, np.s_[at * block : (at + 1) * block]), np.delete(ids, np.s_[at * block : (at + 1) * block]))
